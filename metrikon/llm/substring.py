@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, fresh_path, parts, rolling, stage, strings, text_bytes, word_hashes, words
+from .common import U64, fresh_path, parts, release, rolling, stage, strings, text_bytes, word_hashes, words
 
 WINDOW, ANCHOR, PERIOD = 20, 8, 13
 COVER = (0, 1, 3, 9)
@@ -74,6 +74,19 @@ def _repeated(t: pa.Table) -> pa.Table:
     return pa.table({"bucket": t["bucket"], "block": t["block"], "hashes": pa.array([x.tobytes() for x in back], pa.binary())}).filter(pa.array([len(x) > 0 for x in back], pa.bool_()))
 
 
+def _pack(entry: np.ndarray) -> bytes:
+    """Column after column, which shuffles compress better than rows."""
+    return b"".join(np.ascontiguousarray(entry[f]).tobytes() for f in ENTRY.names)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out, at = np.zeros(len(data) // ENTRY.itemsize, ENTRY), 0
+    for f in ENTRY.names:
+        out[f] = np.frombuffer(data, ENTRY[f], len(out), at)
+        at += len(out) * ENTRY[f].itemsize
+    return out
+
+
 def _flags(doc: np.ndarray, start: np.ndarray) -> bytes:
     """Window starts by ascending position as runs (doc, first start, how many)."""
     if not len(doc):
@@ -105,22 +118,29 @@ def _send_windows(n_buckets: int):
                 new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
                 rest = np.sort(at[order[~new]])
                 if len(rest):
-                    out.append((-1, block, _flags(ids[doc[rest]], (rest - first[doc[rest]]).astype(np.int32))))
-                one = order[new]
+                    out.append((n_buckets + block, block, _flags(ids[doc[rest]], (rest - first[doc[rest]]).astype(np.int32))))
+                one = np.sort(order[new])
                 entry = np.zeros(len(one), ENTRY)
                 entry["a"], entry["b"], entry["doc"], entry["start"] = a[one], b[one], ids[doc[at[one]]], at[one] - first[doc[at[one]]]
                 where = entry["a"] % U64(n_buckets)
-                out += [(int(x), block, entry[where == x].tobytes()) for x in np.unique(where)]
+                out += [(int(x), block, _pack(entry[where == x])) for x in np.unique(where)]
         return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "block": pa.array([r[1] for r in out], pa.int32()), "hashes": pa.array([r[2] for r in out], pa.binary())})
 
     return run
 
 
-def _later(t: pa.Table) -> pa.Table:
-    """Of one hash bucket: to each block those of its windows that start earlier elsewhere."""
-    own = [np.frombuffer(x.as_py(), ENTRY) for x in t["hashes"]]
-    block = np.repeat(t["block"].to_numpy(), [len(x) for x in own])
-    e = np.concatenate(own)
+def _later(n_buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of one hash bucket: to each block those of its windows that start earlier elsewhere. Flags pass through."""
+        if t["bucket"][0].as_py() >= n_buckets:
+            return t
+        own = [_unpack(x.as_py()) for x in t["hashes"]]
+        return _flag_later(np.concatenate(own), np.repeat(t["block"].to_numpy(), [len(x) for x in own]))
+
+    return run
+
+
+def _flag_later(e: np.ndarray, block: np.ndarray) -> pa.Table:
     order = np.lexsort((e["start"], e["doc"], e["b"], e["a"]))
     e, block = e[order], block[order]
     late = np.concatenate([[False], (np.diff(e["a"]) == 0) & (np.diff(e["b"]) == 0)])
@@ -181,11 +201,13 @@ def dedup_substrings(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes:
     name = f"substring_blocks_{uuid.uuid4().hex}"
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
     dealt.repartition(n_files, "block").write.bucketBy(n_files, "block").option("path", fresh_path(spark, name)).saveAsTable(name)
+    release(spark)
     blocks = spark.table(name)
     anchors = blocks.groupBy("block").applyInArrow(_send_anchors(n_hash), SENT)
     known = anchors.groupBy("bucket").applyInArrow(_repeated, SENT)
-    sent = stage(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_windows(n_hash), SENT), "windows")
-    flags = sent.where("bucket < 0").unionByName(sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_later, SENT))
+    sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_windows(n_hash), SENT)
+    flags = stage(sent.groupBy("bucket").applyInArrow(_later(n_hash), SENT), "flags")
+    release(spark)
     schema = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string"
     return blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_cut, schema)
 
