@@ -52,6 +52,13 @@ def _anchors(first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndar
     return at, rolling(h[0], ANCHOR, 21)[at] if len(at) else np.zeros(0, U64)
 
 
+def among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which x are in the sorted values."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
 def _send_anchors(n_buckets: int):
     def run(t: pa.Table) -> pa.Table:
         block = t["block"][0].as_py()
@@ -70,7 +77,7 @@ def _repeated(t: pa.Table) -> pa.Table:
     own = [np.frombuffer(x.as_py(), U64) for x in t["hashes"]]
     values, counts = np.unique(np.concatenate(own), return_counts=True)
     values = values[counts > 1]
-    back = [np.unique(x[np.isin(x, values)]) for x in own]
+    back = [np.unique(x[among(x, values)]) for x in own]
     return pa.table({"bucket": t["bucket"], "block": t["block"], "hashes": pa.array([x.tobytes() for x in back], pa.binary())}).filter(pa.array([len(x) > 0 for x in back], pa.bool_()))
 
 
@@ -105,7 +112,7 @@ def _send_windows(n_buckets: int):
             t, first, doc, h = _block(t)
             at, hashes = _anchors(first, doc, h)
             hot = np.concatenate([np.frombuffer(x.as_py(), U64) for x in known["hashes"]])
-            at = at[np.isin(hashes, hot)]
+            at = at[among(hashes, np.sort(hot))]
             near = np.zeros(len(doc) + 1, np.int32)  # windows that hold a repeated anchor
             np.add.at(near, np.maximum(at - (WINDOW - ANCHOR), first[doc[at]]), 1)
             np.add.at(near, at + 1, -1)
@@ -183,7 +190,7 @@ def _cut(t: pa.Table, known: pa.Table) -> pa.Table:
     })
 
 
-def dedup_substrings(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: int = 96 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, removed ranges of words, kept text) of each document.
 
     A null text has no words; documents under WINDOW words keep all. Repeated rows
