@@ -1 +1 @@
-
+"""Column functions: null discipline, identifiers, geometry of heights."""

@@ -1,6 +1,633 @@
-def queries():
-    return {}
+"""Registered queries of the measurement operators, each with the SQL that gives the same rows.
 
+The driver's tables stand in for measurement tables: customers for subjects, orders for images,
+events for views of a subject, vectors for rows to impute. Nulls are derived by fixed rules.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, ids, nulls
+from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, metrics, nearest, pseudonym, qc
+from ..sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, whole numbers long: the types both engines compare."""
+    kinds = dict(df.dtypes)
+    turn = {c: F.round(c, digits) if k == "double" else F.col(c).cast("long") for c, k in kinds.items() if k in ("double", "int", "bigint", "smallint")}
+    return df.withColumns(turn)
+
+
+# ---- derived tables -------------------------------------------------------------
+
+SALT = "a salt for tests"
+RANGES = {"balance": (-900.0, 9900.0), "AGE": (0.0, 23.0)}
+MEASURES = ["balance", "spend", "AGE"]
+CUST = """cust AS (SELECT c_mktsegment AS site, CAST(c_custkey AS VARCHAR) AS id,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS balance,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 97 = 0 THEN c_acctbal * 20 ELSE c_acctbal / 2 + c_nationkey END AS spend,
+  CAST(c_nationkey AS DOUBLE) AS "AGE" FROM customer)"""
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    spend = F.when(k % 17 == 0, None).when(k % 97 == 0, F.col("c_acctbal") * 20).otherwise(F.col("c_acctbal") / 2 + F.col("c_nationkey"))
+    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("site"), k.cast("string").alias("id"), F.when(k % 11 != 0, F.col("c_acctbal")).alias("balance"), spend.alias("spend"), F.col("c_nationkey").cast("double").alias("AGE"))
+
+
+EST = """est AS (SELECT o_orderkey, o_custkey AS subject, o_orderpriority AS view, o_totalprice AS truth, net, gross
+  FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS net, sum(l_extendedprice) AS gross FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def estimates(spark: SparkSession, d: str) -> DataFrame:
+    price = F.col("l_extendedprice")
+    sums = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(price * (1 - F.col("l_discount"))).alias("net"), F.sum(price).alias("gross"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("view"), F.col("o_totalprice").alias("truth"))
+    return o.join(sums, o.o_orderkey == sums.l_orderkey, "left").drop("l_orderkey")
+
+
+GROUPS = {"FRONT+BACK": ["1-URGENT", "2-HIGH"], "LEFT+RIGHT": ["3-MEDIUM", "5-LOW"]}
+IMG = """img AS (SELECT event_id, user_id AS subject, CASE event_id % 5 WHEN 0 THEN 'front' WHEN 1 THEN 'back' WHEN 2 THEN 'left' WHEN 3 THEN 'right' ELSE 'top' END AS view,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS y, CASE WHEN event_id % 7 = 0 THEN FALSE ELSE value BETWEEN 1 AND 150 END AS ok FROM events)"""
+
+
+def images(spark: SparkSession, d: str) -> DataFrame:
+    e, i = table(spark, d, "events"), F.col("event_id")
+    view = F.when(i % 5 == 0, "front").when(i % 5 == 1, "back").when(i % 5 == 2, "left").when(i % 5 == 3, "right").otherwise("top")
+    y = F.when(i % 7 != 0, F.col("value"))
+    return e.select(i, F.col("user_id").alias("subject"), view.alias("view"), y.alias("y"), F.coalesce(y.between(1, 150), F.lit(False)).alias("ok"))
+
+
+DIMS = [f"e{i}" for i in range(1, 9)]
+VEC = "vec AS (SELECT vec_id, label, " + ", ".join(f"CASE WHEN (vec_id * 7 + {i}) % 5 = 0 THEN NULL ELSE CAST(embedding[{i}] AS DOUBLE) END AS e{i}" for i in range(1, 9)) + " FROM embeddings)"
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    cells = [F.when((F.col("vec_id") * 7 + i) % 5 != 0, F.col("embedding")[i - 1].cast("double")).alias(f"e{i}") for i in range(1, 9)]
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), *cells)
+
+
+# ---- projections and identifiers ------------------------------------------------
+
+
+@query("""SELECT 'CU' AS site, CAST(c_custkey AS VARCHAR) AS "ID", c_mktsegment AS "TYPE", round(c_acctbal * 100, 6) AS "HEIGHT_cm", round((c_acctbal + c_nationkey) / 2, 6) AS "PER_Neck_cm" FROM customer
+UNION ALL SELECT 'SU', CAST(s_suppkey AS VARCHAR), NULL, round(s_acctbal, 6), NULL FROM supplier""")
+def harmonize_union(spark: SparkSession, d: str) -> DataFrame:
+    order = ["ID", "TYPE", "HEIGHT_cm", "PER_Neck_cm"]
+    a = harmonize.Mapping({"ID": "c_custkey", "TYPE": "c_mktsegment", "HEIGHT_cm": "c_acctbal"}, {"HEIGHT_cm": 100.0}, {"PER_Neck_cm": ("c_acctbal", "c_nationkey")})
+    b = harmonize.Mapping({"ID": "s_suppkey", "HEIGHT_cm": "s_acctbal"})
+    frames = [harmonize.equalise(table(spark, d, t), m, order).select(F.lit(s).alias("site"), *order) for t, m, s in (("customer", a, "CU"), ("supplier", b, "SU"))]
+    return tidy(harmonize.union(frames))
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END, 6) AS m
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_discount END AS a, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_tax END AS b FROM lineitem)""")
+def row_mean_pairs(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 3 != 0, F.col("l_discount")).alias("a"), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_tax")).alias("b"))
+    return tidy(li.select("l_orderkey", "l_linenumber", nulls.row_mean("a", "b").alias("m")))
+
+
+@query("""SELECT p_partkey, round(try_cast(substr(p_brand, 7) AS DOUBLE), 6) AS brand_no, round(CASE WHEN p_size = 0 THEN NULL ELSE p_retailprice / pow(p_size / 100.0, 3) END, 6) AS ponderal FROM part""")
+def coerce_and_ponderal(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return tidy(p.select("p_partkey", nulls.number(F.expr("substr(p_brand, 7)")).alias("brand_no"), geometry.ponderal(F.col("p_retailprice"), F.col("p_size").cast("double")).alias("ponderal")))
+
+
+@query("""SELECT c_custkey, substr(c_name, 1, 2) AS site, CASE WHEN contains(c_name, 'ST') THEN 'ST' WHEN contains(c_name, 'CTC') THEN 'CN' ELSE 'unknown' END AS cohort,
+coalesce(list_extract(regexp_extract_all(c_name, '(\\d+)', 1), -1), '') AS number FROM customer""")
+def parse_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", *(c.alias(k) for k, c in ids.parse_id(F.col("c_name")).items()))
+
+
+VIEW_NAME = "concat(CAST(event_id AS VARCHAR), '_', CASE event_id % 6 WHEN 0 THEN 'Front' WHEN 1 THEN 'BACK' WHEN 2 THEN 'left_markers' WHEN 3 THEN 'rightfront' WHEN 4 THEN 'top' ELSE '' END, '.jpg')"
+
+
+@query(f"""SELECT event_id, name, CASE WHEN contains(lower(name), 'front') THEN 'front' WHEN contains(lower(name), 'back') THEN 'back' WHEN contains(lower(name), 'left') THEN 'left' WHEN contains(lower(name), 'right') THEN 'right' END AS view,
+contains(lower(name), 'markers') AS markers, split_part(name, '_', 1) AS subject FROM (SELECT event_id, {VIEW_NAME} AS name FROM events)""")
+def view_from_name(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    part = F.when(i % 6 == 0, "Front").when(i % 6 == 1, "BACK").when(i % 6 == 2, "left_markers").when(i % 6 == 3, "rightfront").when(i % 6 == 4, "top").otherwise("")
+    e = table(spark, d, "events").select(i, F.concat(i.cast("string"), F.lit("_"), part, F.lit(".jpg")).alias("name"))
+    name = F.col("name")
+    return e.select("event_id", "name", ids.view_of(name).alias("view"), F.lower(name).contains("markers").alias("markers"), ids.subject_of(name).alias("subject"))
+
+
+PSEUDO = f"""concat(c_mktsegment, '_', left(sha256(concat('{SALT}', CAST(c_custkey AS VARCHAR))), 8))"""
+
+
+@query(f"""SELECT {PSEUDO} AS "PSEUDO_ID", c_mktsegment, round(c_acctbal, 6) AS c_acctbal FROM customer""")
+def pseudonymize(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(pseudonym.pseudonymise(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_mktsegment", "c_custkey", SALT))
+
+
+@query(f"""SELECT DISTINCT c_mktsegment, c_custkey, {PSEUDO} AS "PSEUDO_ID" FROM customer""")
+def pseudo_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return pseudonym.mapping(table(spark, d, "customer"), "c_mktsegment", "c_mktsegment", "c_custkey", SALT)
+
+
+@query("""SELECT c_custkey, list_aggregate(list_sort(list_filter(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], lambda p: NOT list_contains(have, p))), 'string_agg', ';') AS missing
+FROM (SELECT o_custkey AS c_custkey, list(DISTINCT o_orderpriority) AS have FROM orders GROUP BY 1) WHERE len(list_filter(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], lambda p: NOT list_contains(have, p))) > 0""")
+def missing_views(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    out = tables.missing_views(o, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "c_custkey", "o_orderpriority")
+    return out.select("c_custkey", F.array_join("missing", ";").alias("missing"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_subjects(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_subjects(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
+
+
+# ---- quality control ------------------------------------------------------------
+
+CELLS = CUST + """, cells AS (SELECT site, id, 'balance' AS "column", balance AS value FROM cust UNION ALL SELECT site, id, 'spend', spend FROM cust UNION ALL SELECT site, id, 'AGE', "AGE" FROM cust),
+q AS (SELECT site, "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM cells WHERE value IS NOT NULL AND "column" <> 'AGE' GROUP BY 1, 2),
+bounds AS (SELECT site, "column", q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q WHERE n >= 5 AND q3 <> q1),
+marked AS (SELECT c.site, c.id, c."column", c.value, c.value IS NULL AS miss,
+  coalesce((c."column" = 'balance' AND NOT c.value BETWEEN -900 AND 9900) OR (c."column" = 'AGE' AND NOT c.value BETWEEN 0 AND 23), FALSE) AS inv,
+  coalesce(c.value < low OR c.value > high, FALSE) AS outl FROM cells c LEFT JOIN bounds b ON b.site = c.site AND b."column" = c."column"),
+rowf AS (SELECT site, id, concat_ws(';', CASE WHEN bool_or(inv) THEN 'invalid_range' END, CASE WHEN bool_or(miss) THEN 'missing_values' END, CASE WHEN bool_or(outl) THEN 'outlier' END) AS "QC_FLAGS",
+  coalesce(string_agg("column", ';' ORDER BY "column") FILTER (miss OR inv OR outl), '') AS "QC_COLUMNS", count(*) FILTER (miss OR inv OR outl) AS "QC_N_FLAGS", bool_or(inv) AS rinv, bool_or(outl) AS routl FROM marked GROUP BY 1, 2)"""
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    return qc.cell_flags(customers(spark, d), "site", "id", MEASURES, RANGES)
+
+
+@query(f"""WITH {CELLS} SELECT site, "column", round(low, 6) AS low, round(high, 6) AS high FROM bounds""")
+def qc_iqr_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(qc.iqr_bounds(qc.long_form(customers(spark, d), ["site", "id"], MEASURES), "site"))
+
+
+@query(f"""WITH {CELLS} SELECT site, id, "QC_FLAGS", "QC_COLUMNS", "QC_N_FLAGS" FROM rowf""")
+def qc_flags(spark: SparkSession, d: str) -> DataFrame:
+    return qc.row_flags(cells(spark, d), "site", "id")
+
+
+def _report(inv: str, outl: str) -> str:
+    return f"""WITH {CELLS}, r AS (SELECT m.site, m."column", count(*) AS n_rows, count(*) FILTER (miss) AS n_missing, count(*) FILTER ({inv}) AS n_invalid_range, count(*) FILTER ({outl}) AS n_outliers
+FROM marked m JOIN rowf USING (site, id) GROUP BY 1, 2)
+SELECT *, round_even(100 * n_missing / n_rows, 2) AS missing_pct, round_even(100 * n_invalid_range / n_rows, 2) AS invalid_range_pct, round_even(100 * n_outliers / n_rows, 2) AS outlier_pct,
+CASE WHEN n_missing = 0 THEN 'complete' WHEN 100 * n_missing / n_rows <= 10 THEN 'low_missing' WHEN 100 * n_missing / n_rows <= 25 THEN 'moderate_missing' ELSE 'high_missing' END AS column_status FROM r"""
+
+
+@query(_report("(miss OR inv OR outl) AND rinv", "(miss OR inv OR outl) AND routl"))
+def qc_report_row_level(spark: SparkSession, d: str) -> DataFrame:
+    return qc.report(cells(spark, d), "site", "id")
+
+
+@query(_report("inv", "outl"))
+def qc_report_cell_level(spark: SparkSession, d: str) -> DataFrame:
+    return qc.report(cells(spark, d), "site", "id", "cell_level")
+
+
+@query(f"""WITH {CELLS} SELECT m.site, m.id, "column", round(value, 6) AS value, "QC_FLAGS" FROM marked m JOIN rowf USING (site, id) WHERE miss OR inv OR outl""")
+def qc_flagged_values(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(qc.flagged_values(cells(spark, d), "site", "id"))
+
+
+@query(f"""WITH {CUST} SELECT site, id, round(balance, 6) AS balance, '' AS "IMPUTED_COLUMNS", 0::BIGINT AS "N_IMPUTED_VALUES" FROM cust""")
+def qc_pass_through(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(qc.pass_through(customers(spark, d).select("site", "id", "balance")))
+
+
+# ---- metrics --------------------------------------------------------------------
+
+ERR = "count(e) AS n, round(avg(e), 6) AS bias, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse"
+
+
+def errors(spark: SparkSession, d: str) -> DataFrame:
+    return estimates(spark, d).withColumn("e", F.col("net") - F.col("truth"))
+
+
+@query(f"WITH {EST} SELECT view, {ERR} FROM (SELECT *, net - truth AS e FROM est) GROUP BY view")
+def error_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.error_metrics(errors(spark, d), "e", ["view"]))
+
+
+@query(f"""WITH {EST} SELECT view, {ERR}, round(1 - sum(e * e) / nullif(var_pop(truth) * count(*), 0), 6) AS r2 FROM (SELECT *, net - truth AS e FROM est WHERE net IS NOT NULL) GROUP BY view""")
+def error_metrics_r2(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.with_r2(estimates(spark, d), "truth", "net", ["view"]))
+
+
+@query(f"""WITH {EST} SELECT 'net' AS method, coalesce(view, 'LATERAL_GLOBAL') AS view, count(DISTINCT subject) FILTER (e IS NOT NULL) AS n_subjects, {ERR} FROM (SELECT *, net - truth AS e FROM est) GROUP BY GROUPING SETS ((view), ())""")
+def metrics_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.grouping_sets(errors(spark, d).withColumn("method", F.lit("net")), "method", "view", "subject", "e", "LATERAL_GLOBAL"))
+
+
+@query(f"""WITH {EST} SELECT view, count(*) AS n, round(avg(e), 6) AS bias, round(avg(e) - 1.96 * coalesce(stddev_samp(e), 0), 6) AS low, round(avg(e) + 1.96 * coalesce(stddev_samp(e), 0), 6) AS high, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse
+FROM (SELECT *, net - truth AS e FROM est WHERE net IS NOT NULL) GROUP BY view""")
+def bland_altman(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.bland_altman(errors(spark, d), "e", ["view"]))
+
+
+@query("""SELECT l_returnflag, count(*) AS n, round(avg(l_tax), 6) AS mean, round(median(l_tax), 6) AS median, round(stddev_samp(l_tax), 6) AS std, round(min(l_tax), 6) AS min, round(max(l_tax), 6) AS max FROM lineitem GROUP BY 1""")
+def alignment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.alignment(table(spark, d, "lineitem"), "l_tax", ["l_returnflag"]))
+
+
+@query(f"""WITH {EST}, g AS (SELECT view, abs(gross - truth) - abs(net - truth) AS x FROM est WHERE net IS NOT NULL) SELECT view, count(*) AS n, round(avg(x), 6) AS mean_gain, round(avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END), 6) AS improved FROM g GROUP BY 1""")
+def improvement_fraction(spark: SparkSession, d: str) -> DataFrame:
+    e = estimates(spark, d).withColumns({"b": F.col("gross") - F.col("truth"), "a": F.col("net") - F.col("truth")})
+    return tidy(metrics.improvement(e, "b", "a", ["view"]))
+
+
+MATRIX = EST + """, lab AS (SELECT truth, net, gross, unnest(list_filter([view, CASE WHEN view IN ('1-URGENT', '2-HIGH') THEN 'FRONT+BACK' END, CASE WHEN view IN ('3-MEDIUM', '5-LOW') THEN 'LEFT+RIGHT' END, 'GLOBAL'], lambda x: x IS NOT NULL)) AS grp FROM est),
+m AS (SELECT grp, method, count(e) AS n, avg(e) AS bias, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM (SELECT grp, 'net' AS method, net - truth AS e FROM lab UNION ALL SELECT grp, 'gross', gross - truth FROM lab) WHERE e IS NOT NULL GROUP BY 1, 2)"""
+
+
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.metric_matrix(estimates(spark, d), {"net": "net", "gross": "gross"}, "truth", "view", GROUPS)
+
+
+@query(f"WITH {MATRIX} SELECT grp, method, n, round(bias, 6) AS bias, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM m")
+def method_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(matrix(spark, d))
+
+
+@query(f"WITH {MATRIX} SELECT grp, arg_min(method, {{'a': mae, 'b': method}}) AS method, round(min(mae), 6) AS mae FROM m GROUP BY grp")
+def best_method(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.best_method(matrix(spark, d)))
+
+
+@query(f"WITH {MATRIX} SELECT method, sum(n)::BIGINT AS n, round(sum(n * mae) / sum(n), 6) AS mae, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM m WHERE grp LIKE '_-%' GROUP BY 1")
+def pooled_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.pooled(matrix(spark, d).where(F.col("grp").like("_-%")), ["method"]))
+
+
+@query(f"WITH {IMG} SELECT view, ok, count(*) AS n FROM img GROUP BY 1, 2")
+def value_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.value_counts(images(spark, d), "view", "ok")
+
+
+@query(f"WITH {EST} SELECT subject, round(median(truth), 6) AS truth, round(avg(net), 6) AS mean_estimate, round(median(net), 6) AS median_estimate, count(net) AS n FROM est GROUP BY 1 HAVING count(net) > 0")
+def subject_summary(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.subject_summary(estimates(spark, d), "subject", "truth", "net"))
+
+
+# ---- references -----------------------------------------------------------------
+
+LINES = "ref AS (SELECT l_orderkey, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS ref_no, CASE WHEN l_linenumber % 7 = 6 THEN NULL ELSE l_quantity END AS y, l_discount * 1000 AS x, l_extendedprice / l_quantity AS scale, l_tax AS q FROM lineitem)"
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + i).alias("ref_no"), F.when(i % 7 != 6, F.col("l_quantity")).alias("y"), (F.col("l_discount") * 1000).alias("x"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("scale"), F.col("l_tax").alias("q"))
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey, round(median(scale), 3) AS scale, CASE WHEN count(*) >= 2 THEN round(stddev_pop(scale), 3) END AS std, CASE WHEN count(*) >= 2 THEN round(stddev_pop(scale) / nullif(avg(scale), 0), 3) END AS cv, count(*) AS n,
+CASE WHEN count(*) >= 2 AND stddev_pop(scale) / nullif(avg(scale), 0) > 0.04 THEN 'low_confidence' ELSE 'ok' END AS status FROM ref GROUP BY 1""")
+def scale_summary(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(nearest.scale_summary(references(spark, d), ["l_orderkey"], "scale"), 3)
+
+
+@query(f"""WITH {LINES}, h AS (SELECT l_orderkey, x < 50 AS half, arg_max(scale, {{'a': q, 'b': -ref_no}}) AS s FROM ref GROUP BY 1, 2)
+SELECT l_orderkey, CASE WHEN count(*) = 2 THEN round(max(s) / nullif(min(s), 0), 6) END AS ratio, CASE WHEN count(*) = 2 THEN max(s) / nullif(min(s), 0) > 1.35 END AS flagged FROM h GROUP BY 1""")
+def perspective_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(nearest.perspective(references(spark, d), ["l_orderkey"], F.col("x") < 50, F.col("q"), "scale", "ref_no"))
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey, arg_max(ref_no, {{'a': q, 'b': -ref_no}})::BIGINT AS ref_no, round(arg_max(scale, {{'a': q, 'b': -ref_no}}), 6) AS scale FROM ref GROUP BY 1""")
+def best_quality_pick(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(nearest.best(references(spark, d), ["l_orderkey"], F.col("q"), "ref_no", ["ref_no", "scale"]))
+
+
+FEET = "feet AS (SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey % 50 + 0.5 END AS fy, CAST(o_orderkey % 100 AS DOUBLE) AS fx FROM orders)"
+
+
+def feet(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("l_orderkey"), F.when(k % 13 != 0, F.col("o_custkey") % 50 + F.lit(0.5)).alias("fy"), (k % 100).cast("double").alias("fx"))
+
+
+def _nearest_sql(distance: str) -> str:
+    return f"""WITH {LINES}, {FEET}, p AS (SELECT l_orderkey, ref_no, scale, {distance} AS dist FROM feet JOIN ref USING (l_orderkey)),
+b AS (SELECT l_orderkey, arg_min(ref_no, {{'a': dist, 'b': ref_no}})::BIGINT AS ref_no, arg_min(scale, {{'a': dist, 'b': ref_no}}) AS scale, min(dist) AS dist FROM p WHERE dist IS NOT NULL GROUP BY 1)
+SELECT l_orderkey, ref_no, round(scale, 6) AS scale, round(dist, 6) AS distance FROM feet LEFT JOIN b USING (l_orderkey)"""
+
+
+@query(_nearest_sql("abs(CAST(fy AS DOUBLE) - y)"))
+def nearest_1d(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(nearest.nearest(feet(spark, d), references(spark, d), "l_orderkey", F.abs(F.col("fy") - F.col("y")), "ref_no", ["ref_no", "scale"]).drop("fy", "fx"))
+
+
+@query(_nearest_sql("sqrt((fx - x) * (fx - x) + (CAST(fy AS DOUBLE) - y) * (CAST(fy AS DOUBLE) - y))"))
+def nearest_2d(spark: SparkSession, d: str) -> DataFrame:
+    dist = geometry.distance(F.col("fx"), F.col("fy"), F.col("x"), F.col("y"))
+    return tidy(nearest.nearest(feet(spark, d), references(spark, d), "l_orderkey", dist, "ref_no", ["ref_no", "scale"]).drop("fy", "fx"))
+
+
+@query("""WITH a AS (SELECT l_partkey AS p_partkey, avg(l_tax) AS v FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1), b AS (SELECT p_brand, avg(p_retailprice) AS v FROM part WHERE p_size > 25 GROUP BY 1), t AS (SELECT p_type, avg(p_retailprice) AS v FROM part GROUP BY 1)
+SELECT p.p_partkey, round(coalesce(a.v, CASE WHEN p.p_size > 10 THEN b.v END, t.v), 6) AS v, CASE WHEN a.v IS NOT NULL THEN 'part' WHEN p.p_size > 10 AND b.v IS NOT NULL THEN 'brand' WHEN t.v IS NOT NULL THEN 'type' ELSE 'none' END AS level
+FROM part p LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_brand) LEFT JOIN t USING (p_type)""")
+def cascading_lookup(spark: SparkSession, d: str) -> DataFrame:
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem")
+    a = li.where(F.col("l_partkey") % 3 == 0).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_tax").alias("v"))
+    b = p.where("p_size > 25").groupBy(F.col("p_brand").alias("brand")).agg(F.avg("p_retailprice").alias("v"))
+    t = p.groupBy("p_type").agg(F.avg("p_retailprice").alias("v"))
+    rows = p.select("p_partkey", "p_type", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("brand"))
+    return tidy(nearest.cascade(rows, [("part", a, ["p_partkey"]), ("brand", b, ["brand"]), ("type", t, ["p_type"])], "v").select("p_partkey", "v", "level"))
+
+
+@query("""SELECT o_custkey AS subject, arg_min(o_totalprice, o_orderkey) AS truth FROM orders GROUP BY 1""")
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("subject"), "o_orderkey", F.col("o_totalprice").alias("truth"))
+    return nearest.first_match(o, ["subject"], "o_orderkey").select("subject", "truth")
+
+
+# ---- calibration and sweeps -----------------------------------------------------
+
+LOO = EST + """, s AS (SELECT view, count(*) AS n, avg(net) AS mx, avg(truth) AS my, var_pop(net) AS vx, covar_pop(truth, net) AS cxy FROM est WHERE net IS NOT NULL GROUP BY 1),
+loo AS (SELECT o_orderkey, view, truth, net, CASE WHEN net IS NULL OR n < 8 THEN net ELSE my - (truth - my) / (n - 1) + (n * cxy - n / (n - 1) * (net - mx) * (truth - my)) / (n * vx - n / (n - 1) * (net - mx) * (net - mx)) * ((net - mx) + (net - mx) / (n - 1)) END AS corrected
+FROM (SELECT o_orderkey, view, truth, net, CAST(n AS DOUBLE) AS n, mx, my, vx, cxy FROM est LEFT JOIN s USING (view)))"""
+
+
+@query(f"WITH {LOO} SELECT o_orderkey, round(corrected, 4) AS corrected FROM loo")
+def loo_linear_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(calibrate.leave_one_out(estimates(spark, d), "net", "truth", ["view"]).select("o_orderkey", "corrected"), 4)
+
+
+@query(f"""WITH {LOO} SELECT coalesce(view, 'GLOBAL') AS view, count(*) AS n, round(avg(net - truth), 4) AS bias_before, round(avg(abs(net - truth)), 4) AS mae_before, round(sqrt(avg((net - truth) * (net - truth))), 4) AS rmse_before,
+round(avg(corrected - truth), 4) AS bias_after, round(avg(abs(corrected - truth)), 4) AS mae_after, round(sqrt(avg((corrected - truth) * (corrected - truth))), 4) AS rmse_after FROM loo WHERE net IS NOT NULL GROUP BY GROUPING SETS ((view), ())""")
+def calibration_before_after(spark: SparkSession, d: str) -> DataFrame:
+    out = calibrate.leave_one_out(estimates(spark, d), "net", "truth", ["view"])
+    return tidy(calibrate.before_after(out, "truth", "net", "corrected", "view"), 4)
+
+
+FACTORS = [round(0.6 + 0.05 * i, 2) for i in range(29)]
+SWEEP = EST + f""", sw AS (SELECT factor, {ERR} FROM (SELECT factor, net * factor - truth AS e FROM est, (SELECT CAST(unnest([{", ".join(map(str, FACTORS))}]) AS DOUBLE) AS factor)) GROUP BY 1)"""
+
+
+def swept(spark: SparkSession, d: str) -> DataFrame:
+    return calibrate.sweep(estimates(spark, d), FACTORS, "factor", F.col("net") * F.col("factor") - F.col("truth"))
+
+
+@query(f"WITH {SWEEP} SELECT * FROM sw")
+def param_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(swept(spark, d))
+
+
+@query(f"WITH {SWEEP} SELECT arg_min(factor, {{'a': mae, 'b': factor}}) AS factor, min(mae) AS mae FROM sw")
+def sweep_best(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(calibrate.best_value(swept(spark, d), "factor"))
+
+
+# ---- horizons -------------------------------------------------------------------
+
+FB = "view IN ('front', 'back') AND ok"
+LOSO = IMG + f""", fb AS (SELECT subject, y FROM img WHERE {FB}), la AS (SELECT subject, y FROM img WHERE view IN ('left', 'right') AND ok), subj AS (SELECT DISTINCT subject FROM img),
+gfb AS (SELECT s.subject, median(CASE WHEN fb.subject <> s.subject THEN fb.y END) AS v FROM subj s, fb GROUP BY 1), gl AS (SELECT s.subject, median(CASE WHEN la.subject <> s.subject THEN la.y END) AS v FROM subj s, la GROUP BY 1),
+sfb AS (SELECT subject, median(y) AS v FROM fb GROUP BY 1), sl AS (SELECT subject, median(y) AS v FROM la GROUP BY 1)"""
+HIER = LOSO + """, c AS (SELECT img.event_id, img.view, CASE WHEN ok THEN y END AS own, sfb.v AS sfb, sl.v AS sl, gfb.v AS gfb, gl.v AS gl FROM img LEFT JOIN sfb USING (subject) LEFT JOIN sl USING (subject) LEFT JOIN gfb USING (subject) LEFT JOIN gl USING (subject)),
+hier AS (SELECT event_id, view, CASE WHEN view IN ('front', 'back') THEN CASE WHEN sfb IS NOT NULL THEN {'y': sfb, 's': 'subject_front_back', 'r': 'high'} WHEN own IS NOT NULL THEN {'y': own, 's': 'own_cube', 'r': 'medium'} WHEN gfb IS NOT NULL THEN {'y': gfb, 's': 'global_front_back_loo', 'r': 'low'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_loo', 'r': 'very_low'} ELSE {'y': NULL, 's': 'none', 'r': 'unavailable'} END
+WHEN view IN ('left', 'right') THEN CASE WHEN own IS NOT NULL THEN {'y': own, 's': 'own_cube', 'r': 'high'} WHEN sl IS NOT NULL THEN {'y': sl, 's': 'subject_lateral', 'r': 'medium'} WHEN coalesce(sfb, gfb) IS NOT NULL THEN {'y': coalesce(sfb, gfb), 's': 'subject_front_back_lateral_fallback', 'r': 'medium'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_loo', 'r': 'low'} ELSE {'y': NULL, 's': 'none', 'r': 'unavailable'} END
+ELSE CASE WHEN own IS NOT NULL THEN {'y': own, 's': 'own_cube', 'r': 'medium'} WHEN coalesce(sfb, gfb) IS NOT NULL THEN {'y': coalesce(sfb, gfb), 's': 'shared', 'r': 'low'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_loo', 'r': 'very_low'} ELSE {'y': NULL, 's': 'none', 'r': 'unavailable'} END END AS p FROM c)"""
+
+
+def donors(df: DataFrame) -> DataFrame:
+    return df.where(F.col("view").isin(*horizon.FRONT_BACK) & F.col("ok"))
+
+
+@query(f"""WITH {IMG}, own AS (SELECT subject, median(y) AS v FROM img WHERE {FB} GROUP BY 1), g AS (SELECT median(y) AS v FROM img WHERE {FB})
+SELECT event_id, round(coalesce(own.v, g.v), 6) AS shared, CASE WHEN own.v IS NOT NULL THEN 'subject' WHEN g.v IS NOT NULL THEN 'global' END AS shared_source FROM img LEFT JOIN own USING (subject), g""")
+def shared_reference(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(horizon.shared(images(spark, d), "subject", "y", F.col("view").isin(*horizon.FRONT_BACK) & F.col("ok")).select("event_id", "shared", "shared_source"))
+
+
+@query(f"WITH {LOSO} SELECT subject, round(v, 6) AS loso FROM gfb")
+def loso_median(spark: SparkSession, d: str) -> DataFrame:
+    i = images(spark, d)
+    return tidy(horizon.loso_median(donors(i), i, "subject", "y"))
+
+
+def corrected(spark: SparkSession, d: str) -> DataFrame:
+    return horizon.correct(images(spark, d), "subject", "view", "y", F.col("ok"))
+
+
+@query(f"WITH {HIER} SELECT event_id, round(p.y, 6) AS y, p.s AS source, p.r AS reliability FROM hier")
+def horizon_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(corrected(spark, d).select("event_id", "y", "source", "reliability"))
+
+
+@query(f"WITH {HIER} SELECT view, p.s AS source, p.r AS reliability, count(*) AS n FROM hier GROUP BY 1, 2, 3")
+def horizon_sources(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.value_counts(corrected(spark, d), "view", "source", "reliability")
+
+
+HEIGHTS = "g AS (SELECT l_orderkey, l_linenumber, 100 + l_quantity AS feet, l_discount * 1000 AS head, CAST(l_linenumber AS DOUBLE) * 25 AS hor, l_tax * 1000 AS cam, CAST(l_suppkey % 50 + 110 AS DOUBLE) AS mask FROM lineitem)"
+
+
+def poses(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (100 + c("l_quantity")).alias("feet"), (c("l_discount") * 1000).alias("head"), (c("l_linenumber") * F.lit(25.0)).alias("hor"), (c("l_tax") * 1000).alias("cam"), (c("l_suppkey") % 50 + 110).cast("double").alias("mask"))
+
+
+def _height(variant: str) -> None:
+    extra = {"a": "TRUE", "b": "feet - head > 0", "c": "feet - head > 0 AND feet - hor > 0 AND cam > 0"}[variant]
+    sql = f"WITH {HEIGHTS}, v AS (SELECT *, CASE WHEN abs(feet - hor) > 1e-6 AND {extra} THEN cam * ((feet - head) / (feet - hor)) END AS h FROM g) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(h, 6) AS h, h > 40 AND h < 230 AS ok FROM v"
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        c = F.col
+        p = poses(spark, d).withColumn("h", geometry.height(c("cam"), c("feet"), c("head"), c("hor"), variant))
+        return tidy(p.select("l_orderkey", "l_linenumber", "h", geometry.plausible(c("h")).alias("ok")))
+
+    f.__name__ = f"horizon_height_{variant}"
+    query(sql)(f)
+
+
+for _v in "abc":
+    _height(_v)
+
+
+@query(f"""WITH {HEIGHTS}, f AS (SELECT l_orderkey, l_linenumber, 'single' AS foot, cam * ((feet - head) / (feet - hor)) AS h, abs(feet - hor) > 1e-6 AND feet > head AS fine FROM g UNION ALL SELECT l_orderkey, l_linenumber, 'mask', CASE WHEN mask <> hor THEN cam * ((mask - head) / (mask - hor)) END, abs(mask - hor) > 1e-6 AND mask > head FROM g WHERE TRUE)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, foot, round(CASE WHEN fine THEN h END, 6) AS h FROM f""")
+def foot_variants(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    feet_ = F.explode(F.array(F.struct(F.lit("single").alias("foot"), c("feet").alias("y")), F.struct(F.lit("mask").alias("foot"), c("mask").alias("y"))))
+    p = poses(spark, d).select("*", feet_.alias("f"))
+    return tidy(p.select("l_orderkey", "l_linenumber", "f.foot", geometry.height(c("cam"), c("f.y"), c("head"), c("hor"), "b").alias("h")))
+
+
+@query(f"""WITH {HEIGHTS} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN hor - head > 0 THEN feet - cam * (feet - head) / (hor - head) END, 6) AS y, round(least(greatest(feet - 1.2 * cam, head), feet - 1), 6) AS crown, round(CASE WHEN abs(mask - head) <= 0.12 * (feet - head) THEN mask ELSE head END, 6) AS moved,
+round(1 - abs(abs(degrees(atan2(mask - feet, hor - head))) % 180 - 90) / 90, 6) AS upright FROM g""")
+def landmarks(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    p = poses(spark, d)
+    return tidy(p.select("l_orderkey", "l_linenumber", geometry.horizon(c("feet"), c("head"), c("cam"), c("hor") - c("head")).alias("y"), geometry.crown(c("feet"), c("cam"), F.lit(1.2), c("head")).alias("crown"), geometry.capped_move(c("head"), c("mask"), c("feet")).alias("moved"), geometry.verticality(c("head"), c("feet"), c("hor"), c("mask")).alias("upright")))
+
+
+# ---- fusion ---------------------------------------------------------------------
+
+
+@query(f"""WITH {IMG} SELECT subject, count(*) AS n, round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(CASE WHEN count(*) >= 2 THEN max(y) - min(y) END, 6) AS range, round(CASE WHEN count(*) >= 2 THEN stddev_pop(y) ELSE 0 END, 6) AS std, bool_or(view = 'left') AS has_left, bool_or(view = 'right') AS has_right,
+round(abs(median(y) FILTER (view = 'left') - median(y) FILTER (view = 'right')), 6) AS lr_diff FROM img WHERE view IN ('left', 'right') AND y IS NOT NULL GROUP BY 1""")
+def subject_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(fuse.subjects(images(spark, d), "subject", "view", "y"))
+
+
+@query("""SELECT c_nationkey::BIGINT AS c_nationkey, round(median(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 6) AS "1-URGENT", round(median(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 6) AS "5-LOW" FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def pivot_median(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return tidy(fuse.pivot_median(o, "c_nationkey", "o_orderpriority", ["1-URGENT", "5-LOW"], "o_totalprice"))
+
+
+CHAIN = """s AS (SELECT vec_id, list_filter(list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)) * 4), lambda c: c >= 0.25) AS l, list_filter(list_transform(embedding[5:8], lambda x: abs(CAST(x AS DOUBLE)) * 4), lambda c: c >= 0.25) AS r FROM embeddings),
+k AS (SELECT vec_id, len(l) AS ln, coalesce(list_min(l), 0) AS lm, round(coalesce(list_avg(l), 0), 12) AS la, len(r) AS rn, coalesce(list_min(r), 0) AS rm, round(coalesce(list_avg(r), 0), 12) AS ra FROM s)"""
+
+
+@query(f"WITH {CHAIN} SELECT vec_id, CASE WHEN ln > rn OR (ln = rn AND (lm > rm OR (lm = rm AND la > ra))) THEN 'left' ELSE 'right' END AS side FROM k")
+def visible_side(spark: SparkSession, d: str) -> DataFrame:
+    conf = lambda i: F.transform(F.slice("embedding", i, 4), lambda x: F.abs(x.cast("double")) * 4)
+    return table(spark, d, "embeddings").select("vec_id", fuse.visible_side(conf(1), conf(5)).alias("side"))
+
+
+@query("""SELECT l_orderkey, arg_max(l_linenumber, {'s': l_discount * least(l_tax / 0.15, 1), 'o': -l_linenumber})::BIGINT AS l_linenumber FROM lineitem GROUP BY 1""")
+def best_person(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    return tidy(fuse.best_person(li, "l_orderkey", "l_discount", "l_tax", "l_linenumber").select("l_orderkey", "l_linenumber"))
+
+
+# ---- nearest neighbours ---------------------------------------------------------
+
+Z = VEC + ", z AS (SELECT vec_id, label, " + ", ".join(f"e{i}, (e{i} - avg(e{i}) OVER w) / nullif(stddev_pop(e{i}) OVER w, 0) AS z{i}" for i in range(1, 9)) + " FROM vec WINDOW w AS (PARTITION BY label))"
+TERMS = ", ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i}) AS t{i}" for i in range(1, 9))
+SUM8, CNT8 = " + ".join(f"coalesce(t{i}, 0)" for i in range(1, 9)), " + ".join(f"(t{i} IS NOT NULL)::INT" for i in range(1, 9))
+PAIRS = Z + f""", pr AS (SELECT a.label, a.vec_id, b.vec_id AS donor, {", ".join(f"a.e{i} AS v{i}, b.e{i} AS d{i}" for i in range(1, 9))}, {TERMS} FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id),
+ps AS (SELECT *, {SUM8} AS s, {CNT8} AS m FROM pr)"""
+TARGETS = ["e4", "e5", "e6"]
+
+
+@query(f"WITH {Z} SELECT vec_id, label, " + ", ".join(f"round(z{i}, 6) AS z_e{i}" for i in range(1, 9)) + " FROM z")
+def zscore_strata(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.zscores(vectors(spark, d), ["label"], DIMS).select("vec_id", "label", *("z_" + c for c in DIMS)))
+
+
+@query(f"WITH {PAIRS} SELECT label::BIGINT AS label, vec_id, donor, round(CASE WHEN m > 0 THEN sqrt(8.0 / m * s) END, 6) AS distance FROM ps")
+def nan_distance(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.nan_distance(vectors(spark, d), ["label"], "vec_id", DIMS))
+
+
+IMP = PAIRS + ", imp AS (" + " UNION ALL ".join(f"""SELECT label, vec_id, 'e{i}' AS "column", median(d{i}) AS value FROM (SELECT label, vec_id, d{i}, row_number() OVER (PARTITION BY label, vec_id ORDER BY sqrt(8.0 / m * s), donor) AS rn FROM ps WHERE m > 0 AND v{i} IS NULL AND d{i} IS NOT NULL) WHERE rn <= 3 GROUP BY 1, 2""" for i in (4, 5, 6)) + ")"
+
+
+@query(f"""WITH {IMP} SELECT label::BIGINT AS label, vec_id, "column", round(value, 6) AS value FROM imp""")
+def knn_impute(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.impute(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS))
+
+
+@query(f"""WITH {IMP}, w AS (SELECT vec_id, max(value) FILTER ("column" = 'e4') AS i4, max(value) FILTER ("column" = 'e5') AS i5, max(value) FILTER ("column" = 'e6') AS i6 FROM imp GROUP BY 1)
+SELECT vec_id, round(coalesce(e4, i4), 6) AS e4, round(coalesce(e5, i5), 6) AS e5, round(coalesce(e6, i6), 6) AS e6, e4 IS NULL AND i4 IS NOT NULL AS e4_was_imputed, e5 IS NULL AND i5 IS NOT NULL AS e5_was_imputed, e6 IS NULL AND i6 IS NOT NULL AS e6_was_imputed FROM vec LEFT JOIN w USING (vec_id)""")
+def knn_complete(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS), ["label"], "vec_id", TARGETS)
+    return tidy(out.select("vec_id", *TARGETS, *(f"{c}_was_imputed" for c in TARGETS)))
+
+
+KS = [1, 3, 5]
+DET = PAIRS + ", det AS (" + " UNION ALL ".join(f"""SELECT label, vec_id, 'e{i}' AS "column", v{i} AS own, d{i} AS given, donor, row_number() OVER w AS rn, count(*) OVER (PARTITION BY label, vec_id) AS others FROM (SELECT *, sqrt(8.0 / (m - (t{i} IS NOT NULL)::INT) * greatest(s - coalesce(t{i}, 0), 0)) AS dist FROM ps WHERE v{i} IS NOT NULL AND d{i} IS NOT NULL AND m - (t{i} IS NOT NULL)::INT > 0) WINDOW w AS (PARTITION BY label, vec_id ORDER BY dist, donor)""" for i in (4, 5, 6)) + f"""),
+lv AS (SELECT label, vec_id, "column", k, first(own) AS truth, median(given) AS predicted, string_agg(CAST(donor AS VARCHAR), ';' ORDER BY rn) AS donors FROM det JOIN (SELECT unnest({KS}) AS k) ON rn <= k WHERE others + 1 >= 3 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {DET} SELECT label::BIGINT AS label, vec_id, "column", k::BIGINT AS k, round(truth, 6) AS truth, round(predicted, 6) AS predicted, donors FROM lv""")
+def knn_lovo_detail(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.lovo_detail(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS, KS))
+
+
+@query(f"""WITH {DET} SELECT label::BIGINT AS label, k::BIGINT AS k, count(*) AS n, round(avg(abs(predicted - truth)), 6) AS mae, round(sqrt(avg((predicted - truth) * (predicted - truth))), 6) AS rmse FROM lv GROUP BY 1, 2""")
+def knn_lovo(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.lovo(knn.lovo_detail(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS, KS), ["label"]))
+
+
+@query(f"""WITH {DET}, g AS (SELECT label, k, count(*) AS n, avg(abs(predicted - truth)) AS mae, sqrt(avg((predicted - truth) * (predicted - truth))) AS rmse FROM lv GROUP BY 1, 2)
+SELECT k::BIGINT AS k, sum(n)::BIGINT AS n, round(sum(n * mae) / sum(n), 6) AS mae, round(sqrt(sum(n * rmse * rmse) / sum(n)), 6) AS rmse FROM g GROUP BY 1""")
+def knn_pooled(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(metrics.pooled(knn.lovo(knn.lovo_detail(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS, KS), ["label"]), ["k"]))
+
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1 :]))
+def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.correlations(table(spark, d, "lineitem"), NUMERIC))
+
+
+@query("""SELECT 'l_quantity' AS "column" UNION ALL SELECT 'l_extendedprice' FROM (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) WHERE NOT r > 0.6 UNION ALL SELECT 'l_discount' UNION ALL SELECT 'l_tax'""")
+def corr_greedy(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in knn.not_redundant(table(spark, d, "lineitem"), NUMERIC, 0.6)], "column string")
+
+
+# ---- comparison and cross-validation --------------------------------------------
+
+
+@query(f"""WITH {EST}, a AS (SELECT o_orderkey, net FROM est WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, gross FROM est WHERE o_orderkey % 4 <> 0), c AS (SELECT o_orderkey, truth FROM est WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(a.o_orderkey, b.o_orderkey, c.o_orderkey) AS o_orderkey, round(net, 6) AS e1_net, round(gross, 6) AS e2_gross, round(truth, 6) AS e3_truth, round(truth / nullif(net, 0), 6) AS scale
+FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey FULL JOIN c ON c.o_orderkey = coalesce(a.o_orderkey, b.o_orderkey)""")
+def compare_outer_join(spark: SparkSession, d: str) -> DataFrame:
+    e = estimates(spark, d)
+    part = lambda k, c: e.where(F.col("o_orderkey") % k != 0).select("o_orderkey", c)
+    out = compare.outer({"e1": part(3, "net"), "e2": part(4, "gross"), "e3": part(5, "truth")}, "o_orderkey")
+    return tidy(out.withColumn("scale", compare.equivalent_scale(F.col("e3_truth"), F.col("e1_net"))))
+
+
+@query(f"""WITH {MATRIX} SELECT method, round_even(max(mae) FILTER (grp = 'FRONT+BACK'), 4) AS "FRONT+BACK", round_even(max(mae) FILTER (grp = 'LEFT+RIGHT'), 4) AS "LEFT+RIGHT", round_even(max(mae) FILTER (grp = 'GLOBAL'), 4) AS "GLOBAL" FROM m GROUP BY 1""")
+def matrix_wide(spark: SparkSession, d: str) -> DataFrame:
+    return compare.matrix_wide(matrix(spark, d), ["FRONT+BACK", "LEFT+RIGHT", "GLOBAL"])
+
+
+def cohort(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "supplier")
+    return p.select(F.col("s_suppkey").alias("subject"), (F.col("s_acctbal") / 100 + F.col("s_nationkey")).alias("y"), F.col("s_acctbal").alias("a"), F.when(F.col("s_suppkey") % 9 != 0, F.col("s_nationkey").cast("double")).alias("b"), (F.col("s_suppkey") % 7).cast("double").alias("c"))
+
+
+@query()
+def kfold_assign(spark: SparkSession, d: str) -> DataFrame:
+    return crossval.kfold(cohort(spark, d).select("subject"), "subject")
+
+
+@query()
+def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(crossval.nested(cohort(spark, d), "subject", "y", ["a", "b", "c"]))
+
+
+@query()
+def ridge_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(crossval.coefficients(cohort(spark, d), "subject", "y", ["a", "b", "c"], 1.0))

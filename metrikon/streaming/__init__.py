@@ -1 +1 @@
-
+"""Quality control on streams."""
