@@ -56,7 +56,7 @@ def loso_median(donors: DataFrame, subjects: DataFrame, subject: str, value: str
 
 
 def hierarchy(df: DataFrame, view: str, own: Column, subject_fb: Column, subject_lateral: Column, global_fb: Column, global_lateral: Column) -> DataFrame:
-    """(.., y, source, reliability): the first candidate that is there; value, source and reliability stay together."""
+    """(.., horizon_y, source, reliability): the first candidate that is there; value, source and reliability stay together."""
 
     def pick(y: Column, source: str, reliability: str) -> Column:
         return F.when(y.isNotNull(), F.struct(y.alias("y"), F.lit(source).alias("source"), F.lit(reliability).alias("reliability")))
@@ -67,7 +67,7 @@ def hierarchy(df: DataFrame, view: str, own: Column, subject_fb: Column, subject
     side = F.coalesce(pick(own, "own_cube", "high"), pick(subject_lateral, "subject_lateral", "medium"), pick(y_shared, "subject_front_back_lateral_fallback", "medium"), pick(global_lateral, "global_lateral_loo", "low"), nothing("unavailable"))
     other = F.coalesce(pick(own, "own_cube", "medium"), pick(y_shared, "shared", "low"), pick(global_lateral, "global_lateral_loo", "very_low"), nothing("unavailable"))
     chosen = F.when(F.col(view).isin(*FRONT_BACK), front).when(F.col(view).isin(*LATERAL), side).otherwise(other)
-    return df.withColumn("_pick", chosen).select(*df.columns, "_pick.y", "_pick.source", "_pick.reliability")
+    return df.withColumn("_pick", chosen).select(*df.columns, F.col("_pick.y").alias("horizon_y"), "_pick.source", "_pick.reliability")
 
 
 def correct(df: DataFrame, subject: str, view: str, value: str, valid: Column) -> DataFrame:
@@ -79,4 +79,4 @@ def correct(df: DataFrame, subject: str, view: str, value: str, valid: Column) -
         loso = loso_median(df.where(donor), df, subject, value).withColumnRenamed("loso", name)
         out = out.join(loso, subject, "left")
     picked = hierarchy(out, view, F.when(valid, F.col(value)), *(F.col(c) for c in ("_sfb", "_sl", "_gfb", "_gl")))
-    return picked.select(*df.columns, "y", "source", "reliability")
+    return picked.select(*df.columns, "horizon_y", "source", "reliability")

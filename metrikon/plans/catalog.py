@@ -305,12 +305,12 @@ def subject_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- references -----------------------------------------------------------------
 
-LINES = "ref AS (SELECT l_orderkey, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS ref_no, CASE WHEN l_linenumber % 7 = 6 THEN NULL ELSE l_quantity END AS y, l_discount * 1000 AS x, l_extendedprice / l_quantity AS scale, l_tax AS q FROM lineitem)"
+LINES = "ref AS (SELECT l_orderkey, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS ref_no, CASE WHEN l_linenumber % 7 = 6 THEN NULL ELSE l_quantity END AS y, l_discount * 1000 AS x, l_extendedprice / l_quantity / CAST(3.7 AS DOUBLE) AS scale, l_tax AS q FROM lineitem)"
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + i).alias("ref_no"), F.when(i % 7 != 6, F.col("l_quantity")).alias("y"), (F.col("l_discount") * 1000).alias("x"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("scale"), F.col("l_tax").alias("q"))
+    return table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + i).alias("ref_no"), F.when(i % 7 != 6, F.col("l_quantity")).alias("y"), (F.col("l_discount") * 1000).alias("x"), (F.col("l_extendedprice") / F.col("l_quantity") / F.lit(3.7)).alias("scale"), F.col("l_tax").alias("q"))
 
 
 @query(f"""WITH {LINES} SELECT l_orderkey, round(median(scale), 3) AS scale, CASE WHEN count(*) >= 2 THEN round(stddev_pop(scale), 3) END AS std, CASE WHEN count(*) >= 2 THEN round(stddev_pop(scale) / nullif(avg(scale), 0), 3) END AS cv, count(*) AS n,
@@ -442,9 +442,9 @@ def corrected(spark: SparkSession, d: str) -> DataFrame:
     return horizon.correct(images(spark, d), "subject", "view", "y", F.col("ok"))
 
 
-@query(f"WITH {HIER} SELECT event_id, round(p.y, 6) AS y, p.s AS source, p.r AS reliability FROM hier")
+@query(f"WITH {HIER} SELECT event_id, round(p.y, 6) AS horizon_y, p.s AS source, p.r AS reliability FROM hier")
 def horizon_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(corrected(spark, d).select("event_id", "y", "source", "reliability"))
+    return tidy(corrected(spark, d).select("event_id", "horizon_y", "source", "reliability"))
 
 
 @query(f"WITH {HIER} SELECT view, p.s AS source, p.r AS reliability, count(*) AS n FROM hier GROUP BY 1, 2, 3")
