@@ -62,6 +62,14 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name like name that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
 

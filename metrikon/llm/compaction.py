@@ -20,7 +20,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, unused
 
 
 @dataclass(frozen=True)
@@ -149,13 +149,14 @@ ARRIVALS = 12
 def compacted(docs: DataFrame, arrivals: int = ARRIVALS, **options) -> tuple[ShardStore, DataFrame]:
     """Documents dealt by a hash of doc_id into arrivals of unequal sizes, appended, compacted and read back.
 
-    Rows come back as they were: nulls, repeated rows and any columns (one named _arrival would clash and is not allowed).
+    Rows come back as they were: nulls, repeated rows and any columns.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, fresh_path(spark, "shards"), docs.schema, **options)
     # arrival k of an even number has one half of the share of the next: two sizes, two tiers
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(arrivals * 3 // 2))
-    store.append_split(docs.withColumn("_arrival", F.when(slot < arrivals, slot).otherwise((slot - arrivals) * 2)), "_arrival")
+    name = unused(docs.columns, "_arrival")
+    store.append_split(docs.withColumn(name, F.when(slot < arrivals, slot).otherwise((slot - arrivals) * 2)), name)
     store.compact()
     store.vacuum()
     return store, store.read()

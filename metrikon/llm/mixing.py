@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unused
 
 BLOCK_TOKENS, STEPS = 1 << 20, 80
 DELIMITERS = "[\\x20\\x09-\\x0D]+"
@@ -100,8 +100,10 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.97, most_repeats: flo
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: rows of docs with all their columns, as often as the plan takes them. doc_id is taken to be unique; rows without it go."""
-    chosen = plan(docs, **options).where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(chosen, "doc_id").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    times = unused(docs.columns, "_copies")
+    turn = unused([*docs.columns, times], "_pass")
+    chosen = plan(docs, **options).where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(times))
+    out = docs.join(chosen, "doc_id").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return out.select(*docs.columns)
 
 

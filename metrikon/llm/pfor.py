@@ -30,6 +30,7 @@ MAGIC = b"PFB1"
 HEAD = struct.Struct("<4sIII")
 BLOCK_HEAD = struct.Struct("<IHBH")
 SEGMENT_IDS = 1 << 20
+FILE = "first long, at long, n long, doc_ids binary, segment binary"
 # The split of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same for texts of PLAIN characters only, on which both engines' classes agree; this engine is faster.
@@ -185,12 +186,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 2, part_
             yield segment()
 
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "first long, at long, n long, doc_ids binary, segment binary").write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(run, FILE).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark, path: str, keep: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) or, without keep, (doc_id, start, n_tokens, ids_crc32) from the files."""
-    files = spark.read.parquet(path)
+    files = spark.read.schema(FILE).parquet(path)
     # One row for each written part, not for each document; parts follow from the input's size over part_bytes.
     sizes = files.groupBy("first").agg(F.sum("n").alias("n"))
     before, so_far = {}, 0

@@ -1,0 +1,164 @@
+"""Methods against brute force on random input."""
+
+import random
+
+import numpy as np
+import pytest
+
+from metrikon.llm import compaction, hnsw, mpegts, pfor, pii, simhash, substring
+from metrikon.llm.common import U64, rolling
+
+rng = np.random.default_rng(1)
+
+
+def test_cover_is_a_difference_set():
+    found = {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER}
+    assert found == set(range(substring.PERIOD)) and substring.ANCHOR + substring.PERIOD - 1 <= substring.WINDOW
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substring_brute(spark, seed):
+    r = random.Random(seed)
+    pieces = [" ".join(r.choice("abcdefgh") for _ in range(40)) for _ in range(6)]
+    rows = [(i * 3, " ".join(r.choice(pieces)[r.randrange(20) :] for _ in range(r.randrange(5)))) for i in range(60)]
+    got = sorted(map(tuple, substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == substring.brute(rows)
+
+
+def test_rolling():
+    h = rng.integers(0, 5, 200).astype(U64)
+    for n in (1, 2, 7, 20):
+        q = rolling(h, n, 3)
+        windows = [tuple(h[i : i + n]) for i in range(200 - n + 1)]
+        assert len(set(q.tolist())) == len(set(windows))
+
+
+def near(n, groups):
+    base = rng.integers(0, 2**64, groups, dtype=U64)
+    out = base[rng.integers(0, groups, n)]
+    for _ in range(3):
+        out = out ^ (U64(1) << rng.integers(0, 64, n).astype(U64))
+    return np.unique(out)
+
+
+@pytest.mark.parametrize(("n", "groups", "crowd"), [(400, 40, 64), (600, 2, 4), (300, 300, 64)])
+def test_links_join_all_that_are_near(n, groups, crowd):
+    fp = near(n, groups)
+    pairs = np.concatenate([simhash.links_of(k, fp, crowd) for k in range(simhash.SEGMENTS)])
+    if crowd > 4:  # forests of crowded groups lead to their roots
+        assert (np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= simhash.BUDGET).all()
+    assert classes(fp, pairs) == classes(fp, brute_pairs(fp))
+
+
+def brute_pairs(fp):
+    i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None]) <= simhash.BUDGET, 1))
+    return np.stack([fp[i], fp[j]], 1)
+
+
+def classes(fp, pairs):
+    root = {int(x): int(x) for x in fp}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_majority():
+    h, sizes = rng.integers(0, 2**64, 1500, dtype=U64), np.array([0, 1, 2, 700, 0, 797])
+    got = simhash.majority(h, sizes)
+    at = 0
+    for g, n in zip(got.tolist(), sizes.tolist(), strict=True):
+        part = h[at : at + n].tolist()
+        assert g == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in part) > n)
+        at += n
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 202)]
+    got = simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert len({r.root for r in got if r.node <= 100}) == 1 and len({r.root for r in got}) == 2 and len(got) == 104
+
+
+def test_hnsw(spark):
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[700:900] = x[5]  # a hot vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] * 16), (5003, [None] * 16), (5050, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in hnsw.search(hnsw.index(df, shard_rows=600), df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = u @ u[q]
+        want = [i for i in np.lexsort((np.arange(1500), -np.round(s, 12))) if i != q][:5]
+        found = sorted(got[q])
+        hits += len({v for _, v, _ in found} & set(want))
+        assert [k for k, *_ in found] == [1, 2, 3, 4, 5] and all(abs(s[v] - c) < 1e-12 for _, v, c in found)
+    assert hits / 150 >= 0.95 and 5000 not in got
+    assert sorted(v for _, v, _ in got[750]) == [5, 700, 701, 702, 703]
+
+
+def test_broken_streams():
+    payload = bytes(range(256)) * 100
+    s = mpegts.mux_bytes(payload)
+    lost = s[: 188 * 5] + s[188 * 6 :]
+    assert mpegts.demux_bytes(lost)["broken"] == 1
+    twice = s[: 188 * 6] + s[188 * 5 :]
+    assert mpegts.demux_bytes(twice)["payload"] == payload and mpegts.demux_bytes(twice)["repeats"] == 1
+    assert mpegts.demux_bytes(s + b"x")["errors"] == 1 and mpegts.demux_bytes(b"")["packets"] == 0
+    d = mpegts.demux_bytes(s)
+    assert d["pts"] == [k * mpegts.TICKS for k in range(9)] and d["random_access"] == [0, 8]
+
+
+def test_segments():
+    for x in (np.zeros(0, np.uint32), np.array([7], np.uint32), rng.integers(0, 2**32, 1300).astype(np.uint32), np.full(600, 9, np.uint32), np.concatenate([rng.integers(0, 50, 1000), [2**31]]).astype(np.uint32)):
+        seg = pfor.Segment(pfor.encode_segment(x, np.array([len(x)])))
+        assert (seg.ids() == x).all()
+        if len(x) > 600:
+            assert (seg.block(1) == x[pfor.BLOCK : 2 * pfor.BLOCK]).all()
+
+
+def test_store(spark, tmp_path):
+    df = lambda k: spark.range(k, k + 10).selectExpr("id AS doc_id")
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/t", df(0).schema, fanout=3)
+    assert store.read().count() == 0
+    for k in range(0, 50, 10):
+        store.append(df(k))
+    old = store.version()
+    store.compact()
+    assert len(store.runs()) == 1 and store.runs()[0].level == 1
+    assert sorted(r[0] for r in store.read().collect()) == list(range(50))
+    assert store.read(old).count() == 50
+    with pytest.raises(compaction.Conflict):
+        store.commit([], old)
+    store.vacuum()
+    assert store.read().count() == 50
+
+
+def test_surrogates():
+    key = b"k"
+    for kind, values in {
+        "card": ["4111111111111111", "4111111111111112", "4111-1111-1111-1111"], "phone": ["+1 (017) 555-7713"], "ip": ["10.0.0.1", "8.8.8.8"], "email": ["a.b1@x.example.com"], "secret": ["ab" * 20, "AB" * 20],
+        "ssn": ["123-45-6789"], "iban": ["DE89370400440532013000"], "name": ["f\0Maria Lopez", "m\0IVAN", "m\0Иван Петров"],
+    }.items():
+        for v in values:
+            s = pii.surrogate(kind, v, key)
+            bare = v.rpartition("\0")[2]
+            assert s != bare and s == pii.surrogate(kind, v, key) and len(s.split(" ")) == len(bare.split(" "))
+            if kind == "card":
+                assert pii.luhn(s) == pii.luhn(v) and [c.isdigit() for c in s] == [c.isdigit() for c in v]
+            if kind == "iban":
+                assert pii.iban(s)
+            if kind == "ip":
+                assert (v.startswith("10.")) == s.startswith("10.")
+            if kind == "name" and bare.split(" ")[0].title() in pii.GENDER:
+                assert pii.GENDER[s.split(" ")[0].title()] == v[0] and s.split(" ")[0].isupper() == bare.split(" ")[0].isupper()
+    assert len({pii.surrogate("ssn", f"000-00-{i:04d}", key) for i in range(2000)}) == 2000
+    assert sorted(pii.fpe(i, 500, key, b"t") for i in range(500)) == list(range(500))
