@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +19,22 @@ def two_row_header(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path)
     band, names = (r[0] for r in lines.limit(2).collect())
-    columns = [c.strip() for c in spark.read.csv(spark.createDataFrame([(names,)], "value string")).first()]
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).csv(lines.where(~F.col("value").isin(band, names)))
+    schema = ", ".join(f"`{c}` string" for c in _cells(names))
+    rows = lines.where(~F.col("value").isin(band, names) & (F.trim("value") != ""))
+    return rows.select(F.from_csv("value", schema).alias("r")).select("r.*")
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in next(csv.reader([line]))]
 
 
 def bands(spark: SparkSession, path: str) -> dict[str, str]:
     """The band of each column, carried on to the right."""
-    first, second = (spark.read.csv(spark.createDataFrame([(r[0],)], "value string")).first() for r in spark.read.text(path).limit(2).collect())
+    first, second = (_cells(r[0]) for r in spark.read.text(path).limit(2).collect())
     out, last = {}, ""
     for b, n in zip(first, second, strict=False):
         last = b or last
-        out[n.strip()] = last
+        out[n] = last
     return out
 
 
