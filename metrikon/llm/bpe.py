@@ -123,13 +123,13 @@ class Bpe:
     def pieces_of(self, text: str) -> list[str]:
         if text.isascii():
             return PLAIN_SPLIT.findall(text.lower()) if PLAIN.fullmatch(text) else self.split.findall(text.lower())
-        if max(text) > "\u0530" and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if max(text) > "\u0530" and (not unicodedata.is_normalized("NFC", text) or any(unicodedata.category(c) == "Cn" for c in set(text))):
             return self.library_pieces(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return (PLAIN_SPLIT if PLAIN.fullmatch(text) else self.split).findall(text)
 
     def library_pieces(self, text: str) -> list[str]:
-        """For texts with characters younger than the interpreter's Unicode tables: the tokenizers library's own tables."""
+        """For texts on which the interpreter's and the tokenizers library's Unicode tables can differ: the library's own."""
         from tokenizers import Tokenizer
 
         self.library = self.library or Tokenizer.from_file(self.path)
