@@ -1,16 +1,18 @@
 """PII: keyed surrogates that keep type, format, script and gender.
 
-Every entity is rewritten by a keyed bijection on the values of its own format: a
-Feistel network over the integers below the format's size, walked until the result
-is of the same class (a valid checksum stays valid, a private address private). So
-equal entities get equal surrogates anywhere (coreference) and different ones differ.
-Names keep script, case and the pattern of vowels; given names after a title that
-states a gender go to names of that gender. A distributed check looks for collisions
-and unchanged values, and draws another tweak of the key if there are any.
+Every entity is rewritten by a keyed bijection on the values of its own format. A
+Feistel network over the integers below the format's size puts them on one ring, and
+a value goes to the next on the ring that is of its class (a valid checksum stays
+valid, a public address public). So equal entities get equal surrogates anywhere
+(coreference), different ones differ, and none stays as it is unless it is alone in
+its class. Names keep script, case and the pattern of vowels; given names after a
+title that states a gender go to names of that gender. A distributed check confirms
+that no two values share a surrogate, and draws another tweak of the key if any do.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -34,7 +36,7 @@ LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäë
 CLASS = {c: k for k, s in enumerate(LETTERS) for c in s}
 NAME = r"[^\W\d_]{2,}(?:-[^\W\d_]{2,})*"
 PATTERNS = [
-    ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")),
+    ("email", re.compile(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")),  # from the sign on; the part before is read backwards
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)")),
@@ -43,25 +45,45 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")),
     ("name", re.compile(r"\b(" + "|".join(sorted(TITLE_GENDER, key=len, reverse=True)) + rf")(\.? )({NAME}(?: {NAME})?)")),
 ]
-ROUNDS, TRIES = 8, 8
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Address ranges that stand apart, as first address and size.
+NETS = [(0, 1 << 24), (10 << 24, 1 << 24), (127 << 24, 1 << 24), (172 << 24 | 16 << 16, 1 << 20), (192 << 24 | 168 << 16, 1 << 16), (224 << 24, 1 << 29)]
+ROUNDS, TRIES = 8, 4
+#: Longer values are rewritten in pieces of so many letters, so that no number grows with the text.
+PIECE = 64
 
 
-def fpe(x: int, size: int, key: bytes, tweak: bytes, same: Callable[[int], bool] | None = None) -> int:
-    """A keyed bijection on the x below size (of the same class)."""
-    if size < 2:
-        return x
+def _drawn(right: int, turn: int, half: int, key: bytes, tweak: bytes) -> int:
+    """Keyed random bits, as many as half."""
+    n = (half + 7) // 8
+    seed = hashlib.blake2b(right.to_bytes(n, "big") + bytes([turn]) + tweak, key=key, digest_size=64)
+    return int.from_bytes(seed.digest()[:n] if n <= 64 else hashlib.shake_256(seed.digest()).digest(n), "big") & (1 << half) - 1
+
+
+def fpe(x: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
+    """A keyed bijection on the x below size, or its inverse."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
     while True:
-        left, right = x >> half, x & mask
-        for r in range(ROUNDS):
-            drawn = hashlib.blake2b(right.to_bytes(64, "big") + bytes([r]) + tweak, key=key, digest_size=32).digest()
-            left, right = right, left ^ int.from_bytes(drawn, "big") & mask
+        left, right = x >> half, x & (1 << half) - 1
+        for turn in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            left, right = (right ^ _drawn(left, turn, half, key, tweak), left) if back else (right, left ^ _drawn(right, turn, half, key, tweak))
         x = left << half | right
-        if x < size and (same is None or same(x)):
+        if x < size:
             return x
 
 
+def move(x: int, size: int, key: bytes, tweak: bytes, same: Callable[[int], bool] | None = None) -> int:
+    """A keyed bijection on the x below size (of the same class) that leaves no value, unless alone, as it is."""
+    if size < 2:
+        return x
+    at = fpe(x, size, key, tweak)
+    while True:
+        at = (at + 1) % size
+        y = fpe(at, size, key, tweak, back=True)
+        if y == x or same is None or same(y):
+            return y
+
+
 def digits(text: str, keep: int, key: bytes, tweak: bytes, same: Callable[[str], bool] | None = None) -> str:
     """Rewrites the digits after the first keep; all else stays."""
     at = [i for i, c in enumerate(text) if "0" <= c <= "9"][keep:]
@@ -74,27 +96,37 @@ def digits(text: str, keep: int, key: bytes, tweak: bytes, same: Callable[[str],
 
     shape = re.sub(r"[0-9]", "9", text) + text[: at[0] if at else 0]
     x = int("".join(text[i] for i in at) or "0")
-    return put(fpe(x, 10 ** len(at), key, tweak + shape.encode(), same and (lambda v: same(put(v))))) if at else text
+    return put(move(x, 10 ** len(at), key, tweak + shape.encode(), same and (lambda v: same(put(v))))) if at else text
 
 
-def letters(text: str, key: bytes, tweak: bytes) -> str:
-    """Rewrites letters by letters of their kind (script, case, vowel or not) and digits by digits."""
-    value, size, shape = 0, 1, []
+def letters(text: str, key: bytes, tweak: bytes, same: Callable[[str], bool] | None = None) -> str:
+    """Rewrites letters by letters of their kind (script, case, vowel or not) and digits by digits; long texts by pieces, without a class."""
+    if len(text) > PIECE:
+        return "".join(letters(text[i : i + PIECE], key, tweak + f"{i}\0".encode()) for i in range(0, len(text), PIECE))
+    value, size, shape, mark = 0, 1, [], []
     for c in text:
-        k = CLASS.get(c.lower()) if len(c.lower()) == 1 else None
-        kind = "0123456789" if "0" <= c <= "9" else LETTERS[k] if k is not None and (c.islower() or c.lower().upper() == c) else None
-        shape.append((kind, c.islower() or kind is None))
+        low, k = c.islower(), CLASS.get(c.lower())
+        if "0" <= c <= "9":
+            kind, m = "0123456789", "\0d"
+        elif k is not None and (low or c.lower().upper() == c):
+            kind, m = LETTERS[k] if low else [u for x in LETTERS[k] if len(u := x.upper()) == 1], f"\0{k}{low:d}"
+        else:
+            kind, m = None, c
+        shape.append(kind)
+        mark.append(m)
         if kind:
-            value, size = value * len(kind) + kind.index(c.lower()), size * len(kind)
-    mark = "".join(c if kind is None else f"\0{LETTERS.index(kind) if kind in LETTERS else 9}{low:d}" for c, (kind, low) in zip(text, shape, strict=True))
-    value = fpe(value, size, key, tweak + mark.encode("utf-8", "surrogatepass"))
-    out = []
-    for c, (kind, low) in zip(reversed(text), reversed(shape), strict=True):
-        if kind:
-            value, k = divmod(value, len(kind))
-            c = kind[k] if low else kind[k].upper()
-        out.append(c)
-    return "".join(reversed(out))
+            value, size = value * len(kind) + kind.index(c), size * len(kind)
+
+    def put(x: int) -> str:
+        out = []
+        for c, kind in zip(reversed(text), reversed(shape), strict=True):
+            if kind:
+                x, k = divmod(x, len(kind))
+                c = kind[k]
+            out.append(c)
+        return "".join(reversed(out))
+
+    return put(move(value, size, key, tweak + "".join(mark).encode("utf-8", "surrogatepass"), same and (lambda x: same(put(x)))))
 
 
 def luhn(text: str) -> bool:
@@ -110,22 +142,22 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
-def private(x: int) -> str:
-    a, b = x >> 24, x >> 16 & 255
-    return "10" if a == 10 else "127" if a == 127 else "192" if (a, b) == (192, 168) else "172" if a == 172 and 16 <= b < 32 else "multi" if a >= 224 else "zero" if a == 0 else ""
+def net(x: int) -> tuple[int, int] | None:
+    return next((n for n in NETS if n[0] <= x < n[0] + n[1]), None)
 
 
-def case_of(model: str, text: str) -> str:
-    return text.upper() if model.isupper() and len(model) > 1 else text.lower() if model.islower() else text
+def listed(name: str) -> bool:
+    """Whether a name is one of the known given names, as written or in capitals."""
+    return name in GENDER or (name == name.upper() and name.title() in GENDER)
 
 
-def given(name: str, gender: str, key: bytes, tweak: bytes) -> str | None:
-    """Another given name of the same gender and script, if the name is a known one."""
+def given(name: str, key: bytes, tweak: bytes) -> str:
+    """Another given name of the gender and script of a listed one."""
     own = name.title()
-    for (g, script), names in GIVEN.items():
-        if own in names and (not gender or g == gender or GENDER[own] == g):
-            return case_of(name, names[fpe(names.index(own), len(names), key, tweak + f"{g}{script}".encode())])
-    return None
+    gender, script = next(k for k, names in GIVEN.items() if own in names)
+    names = GIVEN[gender, script]
+    new = names[move(names.index(own), len(names), key, tweak + f"{gender}{script}".encode())]
+    return new.upper() if name == name.upper() else new
 
 
 def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
@@ -135,34 +167,34 @@ def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
         host, dot, top = domain.rpartition(".")
         return letters(local + "@" + host, key, tweak) + dot + top
     if kind == "secret":
-        low = text.lower() == text
-        x = fpe(int(text, 16), 16 ** len(text), key, tweak + f"{len(text)}{low}".encode())
-        return (f"{x:x}" if low else f"{x:X}").zfill(len(text))
+        low = text.lower() == text  # capitals: at least one letter, so that the two kinds share no value
+        write = lambda x: (f"{x:x}" if low else f"{x:X}").zfill(len(text))
+        return write(move(int(text, 16), 16 ** len(text), key, tweak + f"{len(text)}{low}".encode(), None if low else lambda x: not write(x).isdigit()))
     if kind == "card":
         valid = luhn(text)
         return digits(text, 1, key, tweak, lambda s: luhn(s) == valid)
     if kind == "iban":
-        valid = iban(text)
-        body = letters_and_digits(text, key, tweak)
-        return check_iban(body) if valid else body
+        head = text[:2] if (valid := check_iban(text) == text) else text[:4]
+        body = letters(text[4:], key, tweak + head.encode(), None if valid else lambda b: check_iban(text[:4] + b) != text[:4] + b)
+        return check_iban(text[:4] + body) if valid else text[:4] + body
     if kind == "ip":
         a, b, c, d = map(int, text.split("."))
         x = a << 24 | b << 16 | c << 8 | d
-        y = fpe(x, 1 << 32, key, tweak, lambda v: private(v) == private(x))
+        if own := net(x):
+            y = own[0] + move(x - own[0], own[1], key, tweak + str(own[0]).encode())
+        else:
+            y = move(x, 1 << 32, key, tweak, lambda v: net(v) is None)
         return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
     if kind == "phone":
         lead = re.match(r"\+\d{1,3}(?=\D)", text)
         return digits(text, len(lead[0]) - 1 if lead else 0, key, tweak)
     if kind == "name":
-        gender, _, name = text.partition("\0")
-        return " ".join((k == 0 and given(part, gender, key, tweak)) or letters(part, key, tweak + b"s") for k, part in enumerate(name.split(" ")))
+        first, *rest = text.rpartition("\0")[2].split(" ")
+        new = given(first, key, tweak) if listed(first) else letters(first, key, tweak + b"g", lambda s: not listed(s))
+        return " ".join([new, *(letters(part, key, tweak + b"s") for part in rest)])
     return digits(text, 0, key, tweak)
 
 
-def letters_and_digits(text: str, key: bytes, tweak: bytes) -> str:
-    return text[:4] + letters(text[4:], key, tweak + text[:2].encode())
-
-
 def check_iban(text: str) -> str:
     """The same account with the check digits that make it valid."""
     t = text.replace(" ", "")
@@ -175,7 +207,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
     A name's value carries the gender its title states.
     """
-    digit, out = any_digit(text) is not None, []
+    digit, out, starts = any_digit(text) is not None, [], []
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text or kind not in ("email", "name") and not digit:
             continue
@@ -188,10 +220,25 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 start, value = m.start(3), f"{TITLE_GENDER[m[1]]}\0{name}"
                 end = start + len(name)
             else:
-                start, end, value = m.start(), m.end(), m[0]
-            if all(end <= s or start >= e for s, e, *_ in out):
-                out.append((start, end, kind, value))
-    return sorted(out)
+                start, end = before(text, m.start()) if kind == "email" else m.start(), m.end()
+                if kind == "email" and start == m.start():
+                    continue
+                value = text[start:end]
+            k = bisect.bisect(starts, start)  # out holds no overlaps, so its neighbours in order decide
+            if (k == 0 or out[k - 1][1] <= start) and (k == len(out) or end <= out[k][0]):
+                out.insert(k, (start, end, kind, value))
+                starts.insert(k, start)
+    return out
+
+
+def before(text: str, at: int) -> int:
+    """Where the local part of an address begins whose sign is at at; at if there is none."""
+    start = at
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    while start < at and text[start] in "._%+-":
+        start += 1
+    return start
 
 
 any_digit = re.compile(r"[0-9]").search
@@ -230,14 +277,12 @@ def bare(column: str) -> F.Column:
 
 
 def nonce_for(docs: DataFrame, key: bytes) -> int:
-    """The least tweak under which no two values of a kind share a surrogate and none stays as it was."""
+    """The least tweak under which no two values of a kind share a surrogate: the bijections give that for the first, this confirms it."""
     for nonce in range(TRIES):
-        distinct = entities(docs, key, nonce).groupBy("kind", "value", "surrogate").count()
-        shared = distinct.groupBy("kind", "surrogate").agg(F.countDistinct(bare("value")).alias("n"), F.max((bare("value") == F.col("surrogate")).cast("int")).alias("same"))
-        if shared.where((F.col("n") > 1) | (F.col("same") == 1)).isEmpty():
+        distinct = entities(docs, key, nonce).select("kind", bare("value").alias("value"), "surrogate").distinct()
+        if distinct.groupBy("kind", "surrogate").count().where("count > 1").isEmpty():
             return nonce
-    # small formats (a two-letter name) can keep a value under every tweak; distinctness holds by construction
-    return 0
+    raise RuntimeError(f"surrogates collide under {TRIES} tweaks")
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:

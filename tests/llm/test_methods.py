@@ -162,3 +162,42 @@ def test_surrogates():
                 assert pii.GENDER[s.split(" ")[0].title()] == v[0] and s.split(" ")[0].isupper() == bare.split(" ")[0].isupper()
     assert len({pii.surrogate("ssn", f"000-00-{i:04d}", key) for i in range(2000)}) == 2000
     assert sorted(pii.fpe(i, 500, key, b"t") for i in range(500)) == list(range(500))
+
+
+def test_moves_leave_nothing_in_place():
+    for size in (2, 3, 36, 500):
+        moved = [pii.move(i, size, b"k", b"t") for i in range(size)]
+        assert sorted(moved) == list(range(size)) and all(i != m for i, m in enumerate(moved))
+        assert [pii.fpe(pii.fpe(i, size, b"k", b"t"), size, b"k", b"t", back=True) for i in range(size)] == list(range(size))
+    odd = [i for i in range(300) if i % 3 == 1]
+    moved = [pii.move(i, 300, b"k", b"t", lambda x: x % 3 == 1) for i in odd]
+    assert sorted(moved) == odd and all(i != m for i, m in zip(odd, moved, strict=True))
+    assert pii.move(4, 9, b"k", b"t", lambda x: x == 4) == 4 and pii.move(0, 1, b"k", b"t") == 0
+
+
+def test_small_formats_stay_distinct():
+    names = [*pii.GENDER, *(n.upper() for n in pii.GENDER), *(a + b for a in "ABCDE" for b in "aeiouxyz"), "Çñß", "Straße", "MaRia"]
+    got = {n: pii.surrogate("name", "\0" + n, b"k") for n in names}
+    assert len(set(got.values())) == len(got) and all(n != s and len(n) == len(s) or pii.listed(n) and n != s for n, s in got.items())
+    good = [pii.check_iban(f"DE00{i:018d}") for i in range(300)]
+    bad = [t[:2] + f"{(int(t[2:4]) + 1) % 100:02d}" + t[4:] for t in good]
+    moved = [pii.surrogate("iban", t, b"k") for t in good + bad]
+    assert len(set(moved)) == 600 and all(pii.iban(t) for t in moved[:300]) and not any(m == pii.check_iban(m) for m in moved[300:])
+    ips = ["192.168.0.1", "172.16.4.4", "127.0.0.1", "224.0.0.9", "0.1.2.3", "10.1.1.1", "8.8.8.8"]
+    nets = [pii.net(int.from_bytes(bytes(map(int, pii.surrogate("ip", i, b"k").split("."))), "big")) for i in ips]
+    assert len(set(nets)) == 7 and nets[6] is None
+
+
+def test_long_entities_and_runs():
+    local = "ab1." * 60_000 + "z"
+    text = f"x {local}@mail.example.com, " + "q" * 300_000 + " ok@b.example.org " + "1234 " * 20_000
+    new, found = pii.replace(text, b"k")
+    assert [k for _, _, k, *_ in found][:1] == ["email"] and found[0][3] == f"{local}@mail.example.com"
+    assert len(new) == len(text) and all(a != b for *_, a, b in found)
+    assert new[2:130] != text[2:130] and sum(a == b for a, b in zip(new[2 : len(local)], text[2 : len(local)], strict=True)) < 0.5 * len(local)
+
+
+def test_overlaps_and_edges_of_addresses():
+    spans = lambda t: [(k, t[s:e]) for s, e, k, _ in pii.find(t)]
+    assert spans("..a.b@c.example.com@d.org") == [("email", "a.b@c.example.com")]
+    assert spans("@example.com a@b") == [] and spans("ip 10.0.0.1 by 4111111111111111, u@10.0.0.1.example.com") == [("ip", "10.0.0.1"), ("card", "4111111111111111"), ("email", "u@10.0.0.1.example.com")]
