@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import distance
+from ..functions.nulls import ratio
+
 
 def subjects(df: DataFrame, subject: str, view: str, value: str) -> DataFrame:
     """By subject: mean, median, spread and deviation over lateral views, which sides there are, and the difference of their medians."""
@@ -32,6 +35,26 @@ def visible_side(left: Column, right: Column) -> Column:
     return F.when(chain_score(left) > chain_score(right), "left").otherwise("right")
 
 
+def skeletal(df: DataFrame, left: str, right: str, body_height: str, least: float = 0.25) -> DataFrame:
+    """(.., pose_side, min_confidence, mean_confidence, segments in pixels and as shares of the body's height, status).
+
+    left and right: arrays of (x, y, conf) of shoulder, hip, knee and ankle; a missing array has no sure points. The
+    better side must have all four.
+    """
+    empty = F.array().cast("array<double>")
+    score = {s: chain_score(F.coalesce(F.transform(F.col(c), lambda p: p["conf"].cast("double")), empty), least) for s, c in (("left", left), ("right", right))}
+    out = df.withColumn("_better", score["left"] > score["right"]).withColumn("_score", F.when(F.col("_better"), score["left"]).otherwise(score["right"])).withColumn("_p", F.when(F.col("_better"), F.col(left)).otherwise(F.col(right)))
+    tall, whole = F.col(body_height).cast("double"), F.col("_score.n") >= 4
+    usable = F.coalesce(tall > 0, F.lit(False))
+    ok = usable & whole
+    segments = {n: F.when(ok, distance(*(F.get("_p", F.lit(i))[k].cast("double") for i in (a, a + 1) for k in "xy"))) for a, n in enumerate(("shoulder_hip", "hip_knee", "knee_ankle"))}
+    status = F.when(~usable, "invalid_body_height_px").when(~whole, "incomplete_pose_chain").otherwise("ok")
+    return out.select(
+        *df.columns, F.when(ok, F.when(F.col("_better"), "left").otherwise("right")).alias("pose_side"), F.when(ok, F.col("_score.least")).alias("min_confidence"), F.when(ok, F.col("_score.mean")).alias("mean_confidence"),
+        *(v.alias(f"{n}_px") for n, v in segments.items()), *(ratio(v, tall, 1e-9).alias(f"{n}_ratio") for n, v in segments.items()), status.alias("status"),
+    )
+
+
 def best_person(df: DataFrame, image: str, confidence: str, area: str, order: str, enough: float = 0.15) -> DataFrame:
     """Of an image's segmented persons the one of highest confidence, small ones discounted."""
     score = F.col(confidence) * F.least(F.col(area) / enough, F.lit(1.0))

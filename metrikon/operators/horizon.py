@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import height
+
 FRONT_BACK, LATERAL = ("front", "back"), ("left", "right")
 
 
@@ -80,3 +82,16 @@ def correct(df: DataFrame, subject: str, view: str, value: str, valid: Column) -
         out = out.join(loso, subject, "left")
     picked = hierarchy(out, view, F.when(valid, F.col(value)), *(F.col(c) for c in ("_sfb", "_sl", "_gfb", "_gl")))
     return picked.select(*df.columns, "horizon_y", "source", "reliability")
+
+
+def diagnose(df: DataFrame, camera_cm: str, feet: str, head: str, own: str, shared_: str, truth: str, image_h: str) -> DataFrame:
+    """(.., heights, errors and absolute errors from an image's own horizon and from the shared one, improvement, delta_px, delta_share).
+
+    improvement is positive where the own horizon is nearer to the truth; delta_share is the horizons' distance over the image's height.
+    """
+    c = F.col
+    out = df.withColumns({f"h_{n}": height(c(camera_cm), c(feet), c(head), c(y), "c") for n, y in (("own", own), ("shared", shared_))})
+    out = out.withColumns({f"error_{n}": c(f"h_{n}") - c(truth) for n in ("own", "shared")})
+    out = out.withColumns({f"abs_error_{n}": F.abs(f"error_{n}") for n in ("own", "shared")})
+    delta = c(own) - c(shared_)
+    return out.withColumns({"improvement": c("abs_error_shared") - c("abs_error_own"), "delta_px": delta, "delta_share": F.when(c(image_h) > 0, delta / c(image_h))})

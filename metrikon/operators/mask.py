@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,37 @@ def rows_of(runs: DataFrame, image: str = "image_path") -> DataFrame:
     return runs.groupBy(image, "y").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
 
 
+def pixel_median(runs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name, pixels): the median column over the pixels of runs, whose number does not matter to the cost.
+
+    The ends of runs are steps of a staircase over the columns; its running area finds the middle pixels. One
+    shuffle, by keys, serves the steps and both windows.
+    """
+    end = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("step"))))
+    steps = runs.repartition(*keys).select(*keys, end.alias("e")).groupBy(*keys, F.col("e.x").alias("x")).agg(F.sum("e.step").alias("step"))
+    order = Window.partitionBy(*keys).orderBy("x")
+    stairs = steps.withColumns({"tall": F.sum("step").over(order), "wide": F.lead("x").over(order) - F.col("x")})
+    stairs = stairs.withColumn("area", F.coalesce(F.col("tall") * F.col("wide"), F.lit(0)))
+    stairs = stairs.withColumn("upto", F.sum("area").over(order)).withColumn("all", F.sum("area").over(Window.partitionBy(*keys)))
+
+    def pixel(k: Column) -> Column:
+        before = F.col("upto") - F.col("area")
+        return F.max(F.when((before < k) & (k <= F.col("upto")), F.col("x") + F.floor((k - before - 1) / F.col("tall"))))
+
+    middle = (pixel(F.floor((F.col("all") + 1) / 2)) + pixel(F.floor((F.col("all") + 2) / 2))) / 2
+    return stairs.groupBy(*keys).agg(middle.alias(name), F.max("all").alias("pixels")).where("pixels > 0")
+
+
+def extents(runs: DataFrame, image: str = "image_path") -> DataFrame:
+    """(image, x_min, x_max, y_min, y_max, area) of each mask."""
+    return runs.groupBy(image).agg(F.min("x0").alias("x_min"), F.max("x1").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"), F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+
+
 def feet(runs: DataFrame, image: str = "image_path", last: int = 5) -> DataFrame:
     """(image, feet_x, feet_y): the lowest line, and the median column over the last lines."""
     bottom = runs.groupBy(image).agg(F.max("y").alias("feet_y"))
     near = runs.join(bottom, image).where(F.col("y") > F.col("feet_y") - last)
-    pixels = near.select(image, "feet_y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    return pixels.groupBy(image, "feet_y").agg(F.median("x").alias("feet_x")).select(image, "feet_x", "feet_y")
+    return pixel_median(near, [image, "feet_y"], "feet_x").select(image, "feet_x", "feet_y")
 
 
 def head(runs: DataFrame, image: str = "image_path", share: float = 0.5, top: float = 0.12) -> DataFrame:
@@ -27,7 +52,7 @@ def head(runs: DataFrame, image: str = "image_path", share: float = 0.5, top: fl
     """
     lines = rows_of(runs, image).withColumn("width", F.col("x1") - F.col("x0") + 1)
     extent = lines.groupBy(image).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
-    part = lines.join(extent, image).where(F.col("y") < F.col("top") + top * (F.col("bottom") - F.col("top") + 1))
+    part = lines.join(extent, image).where(F.col("y") <= F.floor(F.col("top") + top * (F.col("bottom") - F.col("top"))))
     packed = part.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1", "width"))).alias("lines"))
     widths = F.reverse(F.array_sort(F.transform("lines", lambda r: r["width"])))
     third = F.slice(widths, 1, F.greatest(F.lit(1), F.floor(F.size(widths) / 3).cast("int")))
@@ -38,18 +63,63 @@ def head(runs: DataFrame, image: str = "image_path", share: float = 0.5, top: fl
 
 
 def contact(runs: DataFrame, ankles: DataFrame, image: str = "image_path") -> DataFrame:
-    """(image, ankle, contact_x, contact_y): the lowest line of the mask near an ankle.
+    """(image, ankle, contact_x, contact_y): where the mask near an ankle meets the ground.
 
-    ankles: (image, ankle, x, y, bbox_w, body_h). The window is 12 % of the box wide (15 pixels at least) and reaches
-    8 % of the body's height below the ankle; the column is the mean over a band of 2 % (4 lines at least).
+    ankles: (image, ankle, x, y, bbox_w), one row for each. The window is 12 % of the box to either side (15 pixels at
+    least) and needs 5 pixels. The ground is its lowest line, but not beyond 8 % of the body's height below the ankle;
+    the column is the median over a band of 2 % (4 lines at least) above it, the ankle's own if the band is empty.
     """
     half = F.greatest(0.12 * F.col("bbox_w"), F.lit(15.0))
-    near = runs.withColumnRenamed("y", "line").join(ankles, image).where((F.col("x1") >= F.col("x") - half) & (F.col("x0") <= F.col("x") + half) & (F.col("line") >= F.col("y")) & (F.col("line") <= F.col("y") + 0.08 * F.col("body_h")))
-    near = near.withColumns({"l": F.greatest("x0", F.col("x") - half), "r": F.least("x1", F.col("x") + half)})
-    low = near.groupBy(image, "ankle").agg(F.max("line").alias("contact_y"), F.sum(F.col("r") - F.col("l") + 1).alias("_px")).where("_px >= 5")
-    band = near.join(low, [image, "ankle"]).where(F.col("line") > F.col("contact_y") - F.greatest(0.02 * F.col("body_h"), F.lit(4.0)))
-    weight = F.col("r") - F.col("l") + 1
-    return band.groupBy(image, "ankle", "contact_y").agg((F.sum((F.col("l") + F.col("r")) / 2 * weight) / F.sum(weight)).alias("contact_x")).select(image, "ankle", "contact_x", "contact_y")
+    body = extents(runs, image).select(image, (F.col("y_max") - F.col("y_min") + 1).alias("body_h"))
+    asked = ankles.select(image, "ankle", F.col("x").alias("ankle_x"), F.col("y").alias("ankle_y"), F.ceil(F.col("x") - half).alias("left"), F.floor(F.col("x") + half).alias("right")).join(body, image)
+    near = runs.join(asked, image).withColumns({"x0": F.greatest("x0", "left"), "x1": F.least("x1", "right")}).where("x0 <= x1")
+    low = near.groupBy(image, "ankle", "ankle_x", "ankle_y", "body_h").agg(F.max("y").alias("lowest"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).where("n >= 5")
+    reach = F.col("ankle_y") + 0.08 * F.col("body_h")
+    low = low.withColumn("contact_y", F.when(F.col("lowest") > reach, reach.cast("int")).otherwise(F.col("lowest"))).withColumn("band", F.greatest((0.02 * F.col("body_h")).cast("int"), F.lit(4)))
+    kept = near.join(low.select(image, "ankle", "contact_y", "band"), [image, "ankle"]).where(F.col("y").between(F.col("contact_y") - F.col("band"), F.col("contact_y")))
+    middle = pixel_median(kept, [image, "ankle"], "middle")
+    found = F.coalesce(F.col("middle").cast("int"), F.bround("ankle_x").cast("int"))
+    return low.join(middle, [image, "ankle"], "left").select(image, "ankle", found.alias("contact_x"), F.col("contact_y").cast("int").alias("contact_y"))
+
+
+def support(contacts: DataFrame, image: str = "image_path", view: str = "view") -> DataFrame:
+    """(image, feet_x, feet_y, source): the middle of both feet in front and back views, else the lower contact, the left one on ties.
+
+    contacts: (image, view, ankle, contact_x, contact_y); ankle is left or right.
+    """
+    both = (F.count("*") >= 2) & F.first(F.lower(view), ignorenulls=True).isin("front", "back")
+    lower = F.max_by(F.struct("contact_x", "contact_y"), F.struct("contact_y", (F.col("ankle") == "left").alias("l")))
+    found = contacts.groupBy(image).agg(F.coalesce(both, F.lit(False)).alias("both"), F.avg("contact_x").alias("mx"), F.avg("contact_y").alias("my"), lower.alias("low"))
+    pick = lambda mean, one: F.when(F.col("both"), F.bround(mean).cast("int")).otherwise(F.col(one))
+    return found.select(image, pick("mx", "low.contact_x").alias("feet_x"), pick("my", "low.contact_y").alias("feet_y"), F.when(F.col("both"), "pose_midfeet").otherwise("pose_singlefoot").alias("source"))
+
+
+def head_and_feet(runs: DataFrame, image: str = "image_path") -> DataFrame:
+    """(image, head_x, head_y, feet_x, feet_y, height_px, area, status) from the mask alone, where there is no pose.
+
+    The axis is the median column of the torso (30 to 60 % of the height; of the whole mask if that is empty). The head's
+    column is the median of the top 3 % (4 lines at least) within 18 % of the width of the axis, of the whole top where
+    fewer than 3 pixels are. A mask of one line has no height.
+    """
+    size = extents(runs, image)
+    tall, rise = F.col("y_max") - F.col("y_min"), F.col("y") - F.col("y_min")
+    rows = runs.join(size, image).where(tall > 0)
+    band = F.greatest((tall * F.lit(0.03)).cast("int"), F.lit(4))
+    torso = (rise > 0.30 * tall) & (rise < 0.60 * tall)
+    tags = F.filter(F.array(F.lit("whole"), F.when(torso, F.lit("torso")), F.when(rise <= band, F.lit("top")), F.when(F.col("y") >= F.col("y_max") - band, F.lit("bottom"))), lambda t: t.isNotNull())
+    parts = pixel_median(rows.select(image, "x0", "x1", F.explode(tags).alias("part")), [image, "part"], "middle")
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("middle")))
+    axis = parts.groupBy(image).agg(F.coalesce(of("torso"), of("whole")).alias("axis"), of("top").alias("anywhere"), of("bottom").alias("bottom"))
+    top = rows.where(rise <= band)
+    half = 0.18 * (F.col("x_max") - F.col("x_min") + 1)
+    close = top.join(axis, image).withColumns({"x0": F.greatest("x0", F.ceil(F.col("axis") - half)), "x1": F.least("x1", F.floor(F.col("axis") + half))}).where("x0 <= x1")
+    near = pixel_median(close, [image], "near").where("pixels >= 3").drop("pixels")
+    out = size.join(axis, image, "left").join(near, image, "left")
+    ok = tall > 0
+    return out.select(
+        image, F.coalesce("near", "anywhere").cast("int").alias("head_x"), F.when(ok, F.col("y_min")).alias("head_y"), F.col("bottom").cast("int").alias("feet_x"), F.when(ok, F.col("y_max")).alias("feet_y"),
+        F.when(ok, tall.cast("double")).alias("height_px"), F.col("area"), F.when(ok, "ok").otherwise("invalid_height_px").alias("status"),
+    )
 
 
 def body_status(df: DataFrame, height_px: str, image_h: str, status: str = "status") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, nulls
-from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, metrics, nearest, pseudonym, qc
+from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,6 +525,92 @@ def best_person(spark: SparkSession, d: str) -> DataFrame:
     return tidy(fuse.best_person(li, "l_orderkey", "l_discount", "l_tax", "l_linenumber").select("l_orderkey", "l_linenumber"))
 
 
+@query(f"""WITH {CHAIN}, p AS (SELECT vec_id, label, CASE WHEN ln > rn OR (ln = rn AND (lm > rm OR (lm = rm AND la > ra))) THEN 'left' ELSE 'right' END AS side FROM k JOIN embeddings USING (vec_id)),
+c AS (SELECT vec_id, label, side, list_transform(embedding[(CASE WHEN side = 'left' THEN 1 ELSE 5 END):(CASE WHEN side = 'left' THEN 4 ELSE 8 END)], lambda x: CAST(x AS DOUBLE)) AS e FROM p JOIN embeddings USING (vec_id, label)),
+q AS (SELECT vec_id, label, side, e, list_min(list_transform(e, lambda x: abs(x) * 4)) AS least, list_avg(list_transform(e, lambda x: abs(x) * 4)) AS mean FROM c),
+r AS (SELECT *, CASE WHEN label = 0 THEN 'invalid_body_height_px' WHEN least < 0.25 THEN 'incomplete_pose_chain' ELSE 'ok' END AS status, sqrt(pow(100 * (e[1] - e[2]), 2) + pow(50 * (e[1] - e[2]), 2)) AS s1, sqrt(pow(100 * (e[2] - e[3]), 2) + pow(50 * (e[2] - e[3]), 2)) AS s2, sqrt(pow(100 * (e[3] - e[4]), 2) + pow(50 * (e[3] - e[4]), 2)) AS s3 FROM q)
+SELECT vec_id, CASE WHEN ok THEN side END AS pose_side, round(CASE WHEN ok THEN least END, 6) AS min_confidence, round(CASE WHEN ok THEN mean END, 6) AS mean_confidence, round(CASE WHEN ok THEN s1 END, 6) AS shoulder_hip_px, round(CASE WHEN ok THEN s2 END, 6) AS hip_knee_px, round(CASE WHEN ok THEN s3 END, 6) AS knee_ankle_px,
+round(CASE WHEN ok THEN s1 / (label * 100) END, 6) AS shoulder_hip_ratio, round(CASE WHEN ok THEN s2 / (label * 100) END, 6) AS hip_knee_ratio, round(CASE WHEN ok THEN s3 / (label * 100) END, 6) AS knee_ankle_ratio, status FROM (SELECT *, status = 'ok' AS ok FROM r)""")
+def skeletal_features(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda i: F.transform(F.slice("embedding", i, 4), lambda x: F.struct((x.cast("double") * 100).alias("x"), (x.cast("double") * 50).alias("y"), (F.abs(x.cast("double")) * 4).alias("conf")))
+    p = table(spark, d, "embeddings").select("vec_id", (F.col("label") * 100).alias("body"), part(1).alias("l"), part(5).alias("r"))
+    return tidy(fuse.skeletal(p, "l", "r", "body").drop("body", "l", "r"))
+
+
+@query(f"""WITH {HEIGHTS}, v AS (SELECT *, CASE WHEN abs(feet - hor) > 1e-6 AND feet > head AND feet > hor AND cam > 0 THEN cam * ((feet - head) / (feet - hor)) END AS ho, CASE WHEN abs(feet - mask) > 1e-6 AND feet > head AND feet > mask AND cam > 0 THEN cam * ((feet - head) / (feet - mask)) END AS hs FROM g)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(ho, 6) AS h_own, round(hs, 6) AS h_shared, round(ho - 170, 6) AS error_own, round(hs - 170, 6) AS error_shared, round(abs(ho - 170), 6) AS abs_error_own, round(abs(hs - 170), 6) AS abs_error_shared, round(abs(hs - 170) - abs(ho - 170), 6) AS improvement, round(hor - mask, 6) AS delta_px, round(CASE WHEN feet > 120 THEN (hor - mask) / (feet - 120) END, 6) AS delta_share FROM v""")
+def lateral_diagnostic(spark: SparkSession, d: str) -> DataFrame:
+    p = poses(spark, d).withColumns({"truth": F.lit(170.0), "img_h": F.col("feet") - 120})
+    return tidy(horizon.diagnose(p, "cam", "feet", "head", "hor", "mask", "truth", "img_h").drop("cam", "feet", "head", "hor", "mask", "truth", "img_h"))
+
+
+# ---- masks ----------------------------------------------------------------------
+
+RUNS = """runs AS (SELECT l_orderkey AS img, (l_linenumber * 4 + k) AS y, 40 + l_partkey % 10 AS x0, 40 + l_partkey % 10 + CAST(l_quantity AS BIGINT) AS x1 FROM lineitem, (SELECT unnest(range(4)) AS k)),
+px AS (SELECT img, y, unnest(range(x0, x1 + 1)) AS x FROM runs),
+ext AS (SELECT img, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(*) AS area FROM px GROUP BY 1)"""
+FEET_OF = """ankles AS (SELECT o_orderkey AS img, unnest(['left', 'right']) AS ankle, unnest([45.0::DOUBLE + o_custkey % 20, 60.5::DOUBLE + o_custkey % 30]) AS ax, unnest([4.0::DOUBLE + o_custkey % 24, 20.0::DOUBLE]) AS ay, (o_custkey % 200)::DOUBLE AS w, CASE WHEN o_custkey % 3 = 0 THEN 'left' WHEN o_custkey % 3 = 1 THEN 'front' ELSE 'back' END AS view FROM orders),
+sel AS (SELECT a.*, p.x, p.y, e.y_max - e.y_min + 1 AS body FROM ankles a JOIN px p USING (img) JOIN ext e USING (img) WHERE abs(p.x - a.ax) <= greatest(0.12::DOUBLE * w, 15)),
+low AS (SELECT img, ankle, max(y) AS lowest, any_value(ax) AS ax, any_value(ay) AS ay, any_value(body) AS body FROM sel GROUP BY 1, 2 HAVING count(*) >= 5),
+gr AS (SELECT *, CASE WHEN lowest > ay + 0.08::DOUBLE * body THEN trunc(ay + 0.08::DOUBLE * body) ELSE lowest END AS gy, greatest(trunc(0.02::DOUBLE * body), 4) AS band FROM low),
+con AS (SELECT g.img, g.ankle, (CASE WHEN count(s.x) > 0 THEN trunc(median(s.x)) ELSE round_even(any_value(g.ax), 0) END)::BIGINT AS contact_x, any_value(gy)::BIGINT AS contact_y FROM gr g LEFT JOIN sel s ON s.img = g.img AND s.ankle = g.ankle AND s.y BETWEEN gy - band AND gy GROUP BY 1, 2)"""
+
+
+def runs_of(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("img"), (c("l_linenumber") * 4).alias("y"), (40 + c("l_partkey") % 10).alias("x0"), (40 + c("l_partkey") % 10 + c("l_quantity").cast("long")).alias("x1"))
+    return lines.select("img", F.explode(F.sequence(c("y"), c("y") + 3)).alias("y"), "x0", "x1")
+
+
+def contacts_of(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    sides = F.explode(F.array(F.struct(F.lit("left").alias("ankle"), (45.0 + c("o_custkey") % 20).alias("x"), (4.0 + c("o_custkey") % 24).alias("y")), F.struct(F.lit("right").alias("ankle"), (60.5 + c("o_custkey") % 30).alias("x"), F.lit(20.0).alias("y"))))
+    ankles = table(spark, d, "orders").select(c("o_orderkey").alias("img"), (c("o_custkey") % 200).cast("double").alias("bbox_w"), sides.alias("s")).select("img", "bbox_w", "s.*")
+    return mask.contact(runs_of(spark, d), ankles, "img")
+
+
+@query(f"WITH {RUNS} SELECT p.img, round(median(x), 6) AS feet_x, any_value(y_max)::BIGINT AS feet_y FROM px p JOIN ext e ON e.img = p.img WHERE y > y_max - 5 GROUP BY 1")
+def mask_feet(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(mask.feet(runs_of(spark, d), "img"))
+
+
+@query(f"""WITH {RUNS}, wide AS (SELECT img, y, min(x0) AS l, max(x1) AS r, max(x1) - min(x0) + 1 AS w FROM runs GROUP BY 1, 2),
+head AS (SELECT w.*, row_number() OVER (PARTITION BY img ORDER BY w DESC) AS k, count(*) OVER (PARTITION BY img) AS n FROM wide w JOIN ext e USING (img) WHERE y <= floor(y_min + 0.12::DOUBLE * (y_max - y_min))),
+skull AS (SELECT img, median(w) AS sw FROM head WHERE k <= greatest(1, n // 3) GROUP BY 1)
+SELECT img, round(arg_min((l + r) / 2.0::DOUBLE, y), 6) AS head_x, min(y)::BIGINT AS head_y, round(any_value(sw), 6) AS skull_width FROM head JOIN skull USING (img) WHERE w >= 0.5::DOUBLE * sw GROUP BY 1""")
+def mask_head(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(mask.head(runs_of(spark, d), "img"))
+
+
+@query(f"WITH {RUNS}, {FEET_OF} SELECT img, ankle, contact_x, contact_y FROM con")
+def mask_contact(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(contacts_of(spark, d))
+
+
+@query(f"""WITH {RUNS}, {FEET_OF}, s AS (SELECT img, count(*) >= 2 AND any_value(view) IN ('front', 'back') AS b, avg(contact_x) AS mx, avg(contact_y) AS my, arg_max(contact_x, {{'y': contact_y, 'l': ankle = 'left'}}) AS x, max(contact_y) AS y FROM con JOIN (SELECT DISTINCT img, view FROM ankles) USING (img) GROUP BY 1)
+SELECT img, (CASE WHEN b THEN round_even(mx, 0) ELSE x END)::BIGINT AS feet_x, (CASE WHEN b THEN round_even(my, 0) ELSE y END)::BIGINT AS feet_y, CASE WHEN b THEN 'pose_midfeet' ELSE 'pose_singlefoot' END AS source FROM s""")
+def mask_support(spark: SparkSession, d: str) -> DataFrame:
+    third = F.col("o_custkey") % 3
+    views = table(spark, d, "orders").select(F.col("o_orderkey").alias("img"), F.when(third == 0, "left").when(third == 1, "front").otherwise("back").alias("view"))
+    return tidy(mask.support(contacts_of(spark, d).join(views, "img"), "img"))
+
+
+@query(f"""WITH {RUNS}, t AS (SELECT *, y_max - y_min AS h, greatest(trunc(0.03::DOUBLE * (y_max - y_min)), 4) AS band FROM px JOIN ext USING (img) WHERE y_max > y_min),
+ax AS (SELECT img, coalesce(median(x) FILTER (y > y_min + 0.3::DOUBLE * h AND y < y_min + 0.6::DOUBLE * h), median(x)) AS a FROM t GROUP BY 1),
+m AS (SELECT img, count(*) FILTER (y <= y_min + band AND abs(x - a) <= 0.18::DOUBLE * (x_max - x_min + 1)) AS n, median(x) FILTER (y <= y_min + band AND abs(x - a) <= 0.18::DOUBLE * (x_max - x_min + 1)) AS near, median(x) FILTER (y <= y_min + band) AS anywhere, median(x) FILTER (y >= y_max - band) AS bottom FROM t JOIN ax USING (img) GROUP BY 1)
+SELECT img, trunc(CASE WHEN n >= 3 THEN near ELSE anywhere END)::BIGINT AS head_x, y_min::BIGINT AS head_y, trunc(bottom)::BIGINT AS feet_x, y_max::BIGINT AS feet_y, (y_max - y_min)::DOUBLE AS height_px, area::BIGINT AS area, CASE WHEN y_max > y_min THEN 'ok' ELSE 'invalid_height_px' END AS status FROM ext LEFT JOIN m USING (img)""")
+def mask_head_and_feet(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(mask.head_and_feet(runs_of(spark, d), "img"))
+
+
+@query("SELECT c_custkey::VARCHAR || '_' || lower(c_mktsegment) || '.jpg' AS path, c_custkey::VARCHAR AS subject, '/images/' || c_custkey::VARCHAR || '/' || c_custkey::VARCHAR || '_' || lower(c_mktsegment) || '.jpg' AS target_path FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def image_manifest(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    assets = table(spark, d, "customer").select(F.concat(c("c_custkey").cast("string"), F.lit("_"), F.lower("c_mktsegment"), F.lit(".jpg")).alias("path"), c("c_custkey").cast("string").alias("subject"))
+    accepted = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(c("o_custkey").alias("subject"))
+    return tables.manifest(assets, accepted, "/images/", "subject", "path")
+
+
 # ---- nearest neighbours ---------------------------------------------------------
 
 Z = VEC + ", z AS (SELECT vec_id, label, " + ", ".join(f"e{i}, (e{i} - avg(e{i}) OVER w) / nullif(stddev_pop(e{i}) OVER w, 0) AS z{i}" for i in range(1, 9)) + " FROM vec WINDOW w AS (PARTITION BY label))"

@@ -57,6 +57,13 @@ def missing_views(assets: DataFrame, views: list[str], subject: str = "subject_i
     return assets.groupBy(subject).agg(F.array_sort(lacking).alias("missing")).where(F.size("missing") > 0)
 
 
+def manifest(assets: DataFrame, accepted: DataFrame, folder: str, subject: str = "subject_id", path: str = "image_path") -> DataFrame:
+    """(assets, target_path): where the images of accepted subjects belong, a folder for each subject; no file is moved."""
+    name = F.element_at(F.split(F.col(path), "/"), -1)
+    kept = assets.join(accepted.select(F.trim(F.col(subject).cast("string")).alias(subject)).distinct(), subject, "left_semi")
+    return kept.select(*assets.columns, F.concat_ws("/", F.lit(folder.rstrip("/")), F.col(subject), name).alias("target_path"))
+
+
 def first_images(assets: DataFrame, n: int) -> DataFrame:
     """The first n images in path order."""
     return assets.orderBy("image_path").limit(n)

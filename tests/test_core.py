@@ -116,8 +116,35 @@ def test_mask(spark):
     runs = [("a", y, 40, 42) for y in range(10)] + [("a", y, 30, 50) for y in range(10, 200)] + [("a", 200, 35, 37)]
     df = spark.createDataFrame(runs, "image_path string, y int, x0 int, x1 int")
     assert one(mask.feet(df))["feet_y"] == 200 and one(mask.head(df))["head_y"] == 10
-    ankles = spark.createDataFrame([("a", "l", 40.0, 190.0, 21.0, 200.0)], "image_path string, ankle string, x double, y double, bbox_w double, body_h double")
-    assert one(mask.contact(df, ankles))["contact_y"] == 200 or one(mask.contact(df, ankles))["contact_y"] == 199
+    ankles = spark.createDataFrame([("a", "left", 40.0, 190.0, 21.0), ("a", "right", 45.0, 150.0, 21.0), ("a", "gone", 400.0, 190.0, 21.0)], "image_path string, ankle string, x double, y double, bbox_w double")
+    got = {r.ankle: (r.contact_x, r.contact_y) for r in mask.contact(df, ankles).collect()}
+    assert got == {"left": (40, 200), "right": (40, 166)}  # 8 % of 201 lines below the ankle at most
+    views = mask.contact(df, ankles).selectExpr("*", "'Front' AS view")
+    assert one(mask.support(views)) == {"image_path": "a", "feet_x": 40, "feet_y": 183, "source": "pose_midfeet"}
+    assert one(mask.support(views.withColumn("view", F.lit("left"))))["feet_y"] == 200
+    flat = spark.createDataFrame([("b", 5, 1, 9)], "image_path string, y int, x0 int, x1 int")
+    both = {r.image_path: r.asDict() for r in mask.head_and_feet(df.union(flat)).collect()}
+    assert both["b"]["status"] == "invalid_height_px" and both["b"]["head_x"] is None and both["b"]["area"] == 9
+    assert both["a"] == {"image_path": "a", "head_x": 41, "head_y": 0, "feet_x": 40, "feet_y": 200, "height_px": 200.0, "area": 30 + 190 * 21 + 3, "status": "ok"}
+    many = spark.createDataFrame([(k % 3, k % 11, k % 17) for k in range(60)], "k int, x0 int, n int").selectExpr("k", "x0", "x0 + n AS x1")
+    pixels = {}
+    for r in many.collect():
+        pixels.setdefault(r.k, []).extend(range(r.x0, r.x1 + 1))
+    assert {r.k: (r.m, r.pixels) for r in mask.pixel_median(many, ["k"], "m").collect()} == {k: (float(np.median(v)), len(v)) for k, v in pixels.items()}
+
+
+def test_skeletal_and_manifest(spark):
+    point = lambda x, y, c=0.9: {"x": float(x), "y": float(y), "conf": c}
+    chain = [point(0, 0), point(3, 4), point(3, 8, 0.5), point(3, 9)]
+    rows = [(1, chain, [point(0, 0, 0.1)] * 4, 10.0), (2, chain[:3] + [point(0, 0, 0.2)], None, 10.0), (3, chain, chain, 0.0), (4, chain, chain, None), (5, chain, chain, 5.0)]
+    kind = "array<struct<x:double,y:double,conf:double>>"
+    got = {r.i: r for r in fuse.skeletal(spark.createDataFrame(rows, f"i int, l {kind}, r {kind}, tall double"), "l", "r", "tall").collect()}
+    assert (got[1].pose_side, got[1].min_confidence, got[1].shoulder_hip_px, got[1].hip_knee_ratio, got[1].status) == ("left", 0.5, 5.0, 0.4, "ok")
+    assert got[2].status == "incomplete_pose_chain" and got[2].shoulder_hip_px is None
+    assert got[3].status == got[4].status == "invalid_body_height_px" and got[5].pose_side == "right"
+    assets = spark.createDataFrame([("A1", "/in/x/A1_front.jpg"), ("B2", "/in/B2_left.png"), (None, "/in/y.png")], "subject_id string, image_path string")
+    kept = tables.manifest(assets, spark.createDataFrame([(" A1 ",), (None,)], "subject_id string"), "/out")
+    assert [tuple(r) for r in kept.collect()] == [("A1", "/in/x/A1_front.jpg", "/out/A1/A1_front.jpg")]
 
 
 def test_knn(spark):
