@@ -115,13 +115,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled rows that are not held out. Null labels and texts of unlabelled rows take no part."""
+    """Learns from at most ``sample`` labelled rows that are not held out, one text (the least) of each doc_id. Null labels and texts of unlabelled rows take no part."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     wanted = wanted.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most, so they can be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
-    return train([r[1] for r in rows[:sample]], [r[2] for r in rows[:sample]])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    return train([r[2] for r in rows], [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
