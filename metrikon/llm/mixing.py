@@ -7,7 +7,8 @@ keeps within the repetition limit; the limit wins. A budget of tokens is then de
 by weight: a source's documents lie in blocks by a keyed hash, each block is a keyed
 permutation, whole passes give every document once and the rest of the budget takes
 from each block's permutation its proportional share. Blocks hold a bounded number
-of tokens, so a hot source is many blocks and no window grows with the data.
+of tokens and of documents (a document counts as its tokens and one more), so a hot
+source, wordless documents too, is many blocks and no window grows with the data.
 """
 
 from __future__ import annotations
@@ -76,15 +77,15 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.97, most_repeats: flo
     """
     spark = docs.sparkSession
     rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), token_count().alias("n_tokens")), "mix")
-    sums = sorted(((r[0], r[1]) for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    total = sum(n for _, n in sums)
+    sums = sorted((tuple(r) for r in rows.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    total = sum(n for _, n, _ in sums)
     budget = total if budget is None else budget
     if total:
-        alpha = temperature([n for _, n in sums], budget, target_entropy, most_repeats)
-        w = weights([n / total for _, n in sums], alpha)
+        alpha = temperature([n for _, n, _ in sums], budget, target_entropy, most_repeats)
+        w = weights([n / total for _, n, _ in sums], alpha)
     else:
         w = [0.0 for _ in sums]
-    quota = [(s, x, n, x * budget / n if n else 1.0, max(1, math.ceil(n / block_tokens))) for (s, n), x in zip(sums, w, strict=True)]
+    quota = [(s, x, n, x * budget / n if n else 1.0, max(1, math.ceil((n + rows_) / block_tokens))) for (s, n, rows_), x in zip(sums, w, strict=True)]
     dim = spark.createDataFrame(quota, "source string, weight double, source_tokens long, passes double, n_blocks int")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("key")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")

@@ -71,7 +71,7 @@ MIX = r"""
 WITH RECURSIVE counted AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
 ), sums AS (
-  SELECT source, sum(n_tokens)::BIGINT AS n FROM counted GROUP BY source
+  SELECT source, sum(n_tokens)::BIGINT AS n, count(*) AS m FROM counted GROUP BY source
 ), shares AS (
   SELECT list(n::DOUBLE / total ORDER BY source) FILTER (n > 0) AS ps, max(total)::DOUBLE AS total FROM (SELECT *, sum(n) OVER () AS total FROM sums)
 ), cool AS (
@@ -94,10 +94,10 @@ WITH RECURSIVE counted AS (
 ), last_alpha AS (
   SELECT CASE WHEN over THEN least(1.0::DOUBLE, lo + pow(2.0::DOUBLE, -40)) ELSE (SELECT alpha FROM first_alpha) END AS alpha FROM warm WHERE i = 80
 ), weighed AS (
-  SELECT source, n, CASE WHEN n > 0 THEN up / sum(up) OVER () ELSE 0.0::DOUBLE END AS weight, total FROM (
-    SELECT source, n, total, CASE WHEN n > 0 THEN pow(n / total, alpha) END AS up FROM sums, shares, last_alpha)
+  SELECT source, n, m, CASE WHEN n > 0 THEN up / sum(up) OVER () ELSE 0.0::DOUBLE END AS weight, total FROM (
+    SELECT source, n, m, total, CASE WHEN n > 0 THEN pow(n / total, alpha) END AS up FROM sums, shares, last_alpha)
 ), quota AS (
-  SELECT source, weight, CASE WHEN n > 0 THEN weight * total / n ELSE 1.0::DOUBLE END AS passes, greatest(1, ceil(n / 1048576.0::DOUBLE))::BIGINT AS n_blocks FROM weighed
+  SELECT source, weight, CASE WHEN n > 0 THEN weight * total / n ELSE 1.0::DOUBLE END AS passes, greatest(1, ceil((n + m) / 1048576.0::DOUBLE))::BIGINT AS n_blocks FROM weighed
 ), dealt AS (
   SELECT c.*, q.weight, q.passes, md5(concat_ws('|', 'mix', c.doc_id::VARCHAR)) AS key, ('0x' || substr(md5(concat_ws('|', 'mix', c.doc_id::VARCHAR)), 1, 8))::BIGINT % n_blocks AS block
   FROM counted c JOIN quota q ON c.source IS NOT DISTINCT FROM q.source
