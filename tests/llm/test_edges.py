@@ -155,3 +155,21 @@ def test_mix_meets_budget(spark):
         part = [r for r in got if r.source == s]
         assert abs(sum(r.n_tokens * r.copies for r in part) / total - part[0].weight) < 0.02
         assert max(r.copies for r in part) - min(r.copies for r in part) <= 1
+
+
+def test_mix_wordless_blocks(spark):
+    """A source without words is dealt into blocks like any other."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'w w' ELSE '' END AS text", "CASE WHEN id % 3 = 0 THEN 's' ELSE 'void' END AS source")
+    got = mixing.plan(df, block_tokens=100).where("source = 'void'").groupBy("block").count().collect()
+    assert len(got) == 20 and sum(r[1] for r in got) == 2000 and max(r[1] for r in got) < 200
+
+
+def test_fit_takes_one_row_of_a_doc_id(spark, monkeypatch):
+    """Repeated rows of a labelled doc_id do not reach the driver one by one: the least text of each counts."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: seen.append((texts, labels)))
+    docs = spark.range(4000).selectExpr("id % 2 + 2 AS doc_id", "CASE WHEN id < 9 THEN NULL ELSE concat('t', id % 2) END AS text")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(2, 4)], "doc_id long, quality int"))
+    learn = [i for i in (2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
+    (texts, labels), = seen
+    assert texts == [""] * len(learn) and sorted(labels) == sorted(i % 2 for i in learn)
