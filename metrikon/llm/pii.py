@@ -5,8 +5,11 @@ Feistel network over the integers below the format's size puts them on one ring,
 a value goes to the next on the ring that is of its class (a valid checksum stays
 valid, a public address public). So equal entities get equal surrogates anywhere
 (coreference), different ones differ, and none stays as it is unless it is alone in
-its class. Names keep script, case and the pattern of vowels; given names after a
-title that states a gender go to names of that gender. A distributed check confirms
+its class. Names go word by word, wherever a word stands, so that mentions of one
+person keep their common words; words keep script, case and the pattern of vowels.
+Listed given names go to listed ones of their gender; another given name after a
+title that states a gender gets a listed one of that gender before its own surrogate,
+with a hyphen, so that it is linked to mentions without gender. A distributed check confirms
 that no two values share a surrogate, and draws another tweak of the key if any do.
 """
 
@@ -160,6 +163,41 @@ def given(name: str, key: bytes, tweak: bytes) -> str:
     return new.upper() if name == name.upper() else new
 
 
+def leading(word: str) -> int:
+    """How many pieces before the last of a hyphenated word are listed given names, from the first on."""
+    pieces = word.split("-")
+    return next((k for k, p in enumerate(pieces[:-1]) if not listed(p)), len(pieces) - 1)
+
+
+def namesake(word: str, gender: str, key: bytes, tweak: bytes) -> str | None:
+    """A listed given name of that gender in the word's script and case; none for scripts without a list."""
+    script = "cyrillic" if "\u0400" <= word[0] <= "\u04ff" else "latin" if word[0] < "\u0250" else ""
+    if not (names := GIVEN.get((gender, script))):
+        return None
+    seed = hashlib.blake2b(tweak + b"n" + word.encode("utf-8", "surrogatepass"), key=key, digest_size=8)
+    new = names[int.from_bytes(seed.digest(), "big") % len(names)]
+    return new.upper() if word == word.upper() else new
+
+
+def named(word: str, gender: str, key: bytes, tweak: bytes) -> str:
+    """A word of a name, gender being that of its title if the word stands as a given name.
+
+    With one listed name before it a surrogate is that of a given name with its title's gender, with more that of a
+    word that itself begins with listed names, and gets one more; so no two words share a surrogate.
+    """
+    if listed(word):
+        return given(word, key, tweak)
+    k = leading(word)
+    if k:
+        *first, last = word.split("-", k)
+        gender = GENDER[first[0].title()]
+        rest = [*(given(p, key, tweak) for p in first), named(last, "", key, tweak)]
+    else:
+        rest = [letters(word, key, tweak + b"s", lambda s: not listed(s) and not leading(s))]
+    before_it = namesake(word, gender, key, tweak) if gender else None
+    return "-".join([before_it, *rest] if before_it else rest)
+
+
 def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
     tweak = f"{kind}\0{nonce}\0".encode()
     if kind == "email":
@@ -189,9 +227,9 @@ def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
         lead = re.match(r"\+\d{1,3}(?=\D)", text)
         return digits(text, len(lead[0]) - 1 if lead else 0, key, tweak)
     if kind == "name":
-        first, *rest = text.rpartition("\0")[2].split(" ")
-        new = given(first, key, tweak) if listed(first) else letters(first, key, tweak + b"g", lambda s: not listed(s))
-        return " ".join([new, *(letters(part, key, tweak + b"s") for part in rest)])
+        gender, _, name = text.rpartition("\0")
+        first, *rest = name.split(" ")
+        return " ".join([named(first, gender if rest else "", key, tweak), *(named(part, "", key, tweak) for part in rest)])
     return digits(text, 0, key, tweak)
 
 

@@ -201,3 +201,21 @@ def test_overlaps_and_edges_of_addresses():
     spans = lambda t: [(k, t[s:e]) for s, e, k, _ in pii.find(t)]
     assert spans("..a.b@c.example.com@d.org") == [("email", "a.b@c.example.com")]
     assert spans("@example.com a@b") == [] and spans("ip 10.0.0.1 by 4111111111111111, u@10.0.0.1.example.com") == [("ip", "10.0.0.1"), ("card", "4111111111111111"), ("email", "u@10.0.0.1.example.com")]
+
+
+def test_mentions_of_a_name_stay_linked():
+    """Words of a name have one surrogate in every mention; a given name that is not listed has its title's gender."""
+    text = "Mrs Gudrun Schmidt, Frau Schmidt, Dr Maria Schmidt, Dr Gudrun Schmidt, Mr Gudrun Schmidt, Mr Martin, Dr Felix Martin, Mrs Maria-Luise Schmidt"
+    new = [n.split(" ") for *_, n in pii.replace(text, b"k")[1]]
+    assert len({n[-1] for k, n in enumerate(new) if k not in (5, 6)}) == 1 and new[5] == new[6][1:]
+    her, his = new[0][0].split("-"), new[4][0].split("-")
+    assert pii.GENDER[her[0]] == "f" and pii.GENDER[his[0]] == "m" and her[1] == his[1] == new[3][0]
+    assert pii.GENDER[new[2][0]] == "f" and pii.GENDER[new[7][0].split("-")[0]] == "f"
+
+
+def test_given_names_with_gender_stay_distinct():
+    words = [*(a + b + c for a in "BCD" for b in "aeiou" for c in "bcdf"), *pii.GENDER, *(f"{a}-{b}" for a in ("Anna", "Maria", "Paul", "Bob") for b in ("Bab", "Vera", "Bab-Cac", "Paul-Bab")), "Maria-Anna-Bab"]
+    got = [(w, pii.surrogate("name", f"{g}\0{w} Abc", b"k")) for w in words for g in ("f", "m", "")]
+    owner = {}
+    for w, s in got:
+        assert owner.setdefault(s, w) == w and s.split(" ")[0] != w
