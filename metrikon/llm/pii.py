@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -37,16 +38,28 @@ TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 #: Sets of letters that stand for each other, lower case: vowels and consonants of each script.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 CLASS = {c: k for k, s in enumerate(LETTERS) for c in s}
-NAME = r"[^\W\d_]{2,}(?:-[^\W\d_]{2,})*"
+NAME = r"(?:[^\W\d_]{2,}|[^\W\d_](?=['’-][^\W\d_]))(?:-[^\W\d_]+|['’](?!s\b)[^\W\d_]+)*"
+TITLE = re.compile(r"\b(" + "|".join(sorted(TITLE_GENDER, key=len, reverse=True)) + r")(?:\.\s{0,2}|\s{1,2})")
+#: A word of a name, an initial or a letter alone; what may stand between two.
+PART, GAP, TOKEN = re.compile(rf"{NAME}|[^\W\d_]\.|[^\W\d_](?=[  ])"), re.compile("[  ]{1,2}"), re.compile(rf"{NAME}|[^\W\d_]")
+#: Small words inside names; they stay as they are.
+PARTICLES = frozenset("von van vom zu zur zum der den dem de del della di da do dos das du la le les el al bin ibn ben ter ten te y e und".split())
+JOINED = re.compile(r"(?:[dl]['’]|(?:al|el|ben|bin)-)(?=[^\W\d_])(?![a-zà-ÿ])")
 PATTERNS = [
     ("email", re.compile(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")),  # from the sign on; the part before is read backwards
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[oprsu]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})(?![0-9A-Za-z])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
+    ("card", re.compile(r"(?<![\d.])\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{3}(?!\d)")),  # 16 digits as they are, other lengths by their checksum
     ("card", re.compile(r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)")),
+    ("card", re.compile(r"(?<![\w.])(?:3[47]\d\d[ -]?\d{6}[ -]?\d{5}|3[0689]\d\d[ -]?\d{6}[ -]?\d{4}|[456]\d{12}|[3-6]\d{16,18})(?![\w]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)")),
+    ("ip", re.compile(r":[0-9A-Fa-f]{0,4}:")),  # from the first two colons on, read both ways
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")),
-    ("name", re.compile(r"\b(" + "|".join(sorted(TITLE_GENDER, key=len, reverse=True)) + rf")(\.? )({NAME}(?: {NAME})?)")),
+    ("phone", re.compile(r"(?<![\w+.,/-])(?:1[ .-])?[2-9]\d\d([ .-])\d{3}\1\d{4}(?![\w/-]|[.,]\d)")),
+    ("phone", re.compile(r"(?<![\w+.,/-])0(?:\d[ /-]\d{7,8}|\d{2,4}[ /-]\d{5,8}|\d{1,4}[ -]\d{3,4}[ -]\d{3,4}|\d{2,4}[ /-]\d{2,4}(?:[ -]\d\d){2,3}|\d([ .-])\d\d(?:\1\d\d){3})(?![\w/-]|[.,]\d)")),
+    ("name", TITLE),  # from the title on; the words after it are read one by one
 ]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Address ranges that stand apart, as first address and size.
@@ -204,17 +217,27 @@ def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
         local, _, domain = text.partition("@")
         host, dot, top = domain.rpartition(".")
         return letters(local + "@" + host, key, tweak) + dot + top
+    if kind == "secret" and (head := re.match(r"AKIA|AIza|gh[oprsu]_|xox[abprs]-|eyJ", text)):
+        parts = text.split(".") if head[0] == "eyJ" else [text]  # the first two of a web token's parts begin alike
+        heads = [head[0] if k < 2 else "" for k in range(len(parts))]
+        return ".".join(h + letters(p[len(h) :], key, tweak + h.encode() + b"%d" % k) for k, (h, p) in enumerate(zip(heads, parts, strict=True)))
     if kind == "secret":
         low = text.lower() == text  # capitals: at least one letter, so that the two kinds share no value
         write = lambda x: (f"{x:x}" if low else f"{x:X}").zfill(len(text))
         return write(move(int(text, 16), 16 ** len(text), key, tweak + f"{len(text)}{low}".encode(), None if low else lambda x: not write(x).isdigit()))
     if kind == "card":
         valid = luhn(text)
-        return digits(text, 1, key, tweak, lambda s: luhn(s) == valid)
+        keep = {14: 3, 15: 2}.get(sum(c.isdigit() for c in text), 1)  # as many as say whose card it is
+        return digits(text, keep, key, tweak, lambda s: luhn(s) == valid)
     if kind == "iban":
         head = text[:2] if (valid := check_iban(text) == text) else text[:4]
         body = letters(text[4:], key, tweak + head.encode(), None if valid else lambda b: check_iban(text[:4] + b) != text[:4] + b)
         return check_iban(text[:4] + body) if valid else text[:4] + body
+    if kind == "ip" and ":" in text:  # the first 16 bits say what kind of address it is; they stay
+        x = int(ipaddress.IPv6Address(text))
+        high, low = x >> 112, x & (1 << 112) - 1
+        spoken = lambda v: address(ipaddress.IPv6Address(high << 112 | v).compressed)
+        return ipaddress.IPv6Address(high << 112 | move(low, 1 << 112, key, tweak + b"6" + high.to_bytes(2, "big"), spoken)).compressed
     if kind == "ip":
         a, b, c, d = map(int, text.split("."))
         x = a << 24 | b << 16 | c << 8 | d
@@ -225,11 +248,20 @@ def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
         return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
     if kind == "phone":
         lead = re.match(r"\+\d{1,3}(?=\D)", text)
-        return digits(text, len(lead[0]) - 1 if lead else 0, key, tweak)
+        if lead or "(" in text or text[0] == "+":
+            return digits(text, len(lead[0]) - 1 if lead else 0, key, tweak)
+        keep = int(text[0] in "01")  # national: the trunk digit stays, an area code does not begin with one
+        area = re.compile(r"\D*[01]")
+        return digits(text, keep, key, tweak, None if text[0] == "0" else lambda s: not area.match(s[keep:]))
     if kind == "name":
         gender, _, name = text.rpartition("\0")
-        first, *rest = name.split(" ")
-        return " ".join([named(first, gender if rest else "", key, tweak), *(named(part, "", key, tweak) for part in rest)])
+        words = [m for m in TOKEN.finditer(name) if m[0] not in PARTICLES]
+        out, at = [], 0
+        for m in words:
+            own = gender if m is words[0] and len(words) > 1 else ""  # alone it is a surname
+            out += [name[at : m.start()], named(m[0], own, key, tweak) if len(m[0]) > 1 else letters(m[0], key, tweak + b"i")]
+            at = m.end()
+        return "".join([*out, name[at:]])
     return digits(text, 0, key, tweak)
 
 
@@ -247,21 +279,28 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """
     digit, out, starts = any_digit(text) is not None, [], []
     for kind, pattern in PATTERNS:
-        if kind == "email" and "@" not in text or kind not in ("email", "name") and not digit:
+        if kind == "email" and "@" not in text or kind not in ("email", "name", "secret") and not digit:
+            continue
+        if pattern.pattern[0] == ":" and "::" not in text and text.count(":") < 7:
             continue
         for m in pattern.finditer(text):
             if kind == "name":
-                parts = [p for p in m[3].split(" ")]
-                if not parts[0][0].isupper():
+                if not (found := after(text, m)):
+                    continue
+                start, end, gender = found
+                value = f"{gender}\0{text[start:end]}"
+            elif m[0][0] == ":":
+                start, end = around(text, m.start())
+                if not address(text[start:end]):
                     continue
-                name = m[3] if len(parts) > 1 and parts[1][0].isupper() else parts[0]
-                start, value = m.start(3), f"{TITLE_GENDER[m[1]]}\0{name}"
-                end = start + len(name)
+                value = ipaddress.IPv6Address(text[start:end]).compressed
             else:
                 start, end = before(text, m.start()) if kind == "email" else m.start(), m.end()
                 if kind == "email" and start == m.start():
                     continue
                 value = text[start:end]
+                if kind == "card" and sum(c.isdigit() for c in value) != 16 and not luhn(value):
+                    continue
             k = bisect.bisect(starts, start)  # out holds no overlaps, so its neighbours in order decide
             if (k == 0 or out[k - 1][1] <= start) and (k == len(out) or end <= out[k][0]):
                 out.insert(k, (start, end, kind, value))
@@ -269,6 +308,52 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def after(text: str, title: re.Match) -> tuple[int, int, str] | None:
+    """(start, end, gender) of the name after a title and those that follow it: capitalised words, initials, and particles between them."""
+    gender, last, at = TITLE_GENDER[title[1]], title, title.end()
+    while (m := TITLE.match(text, at)) is not None:
+        gender, last, at = gender or TITLE_GENDER[m[1]], m, m.end()
+    start = end = at
+    while (m := PART.match(text, at)) is not None:
+        word = m[0]
+        if (word[0].isupper() or JOINED.match(word)) and (len(word) > 1 or end == start) and not (end > start and TITLE.match(text, at)):
+            start, end = start if end > start else m.start(), m.end()
+        elif word not in PARTICLES:
+            break
+        gap = GAP.match(text, m.end())
+        if gap is None and word[-1] != ".":
+            break
+        at = gap.end() if gap else m.end()
+    if end > start:
+        return start, end, gender
+    return None if last is title else (last.start(1), last.end(1), gender)  # a name that is written like a title
+
+
+HEX = frozenset("0123456789abcdefABCDEF:.")
+
+
+def around(text: str, at: int) -> tuple[int, int]:
+    """Where what may be an address of colons and hexadecimal digits begins and ends, at most as long as one can be; empty inside a word."""
+    start = end = at
+    while start and text[start - 1] in HEX and at - start < 40:
+        start -= 1
+    while end < len(text) and text[end] in HEX and end - at < 48:
+        end += 1
+    joined = start and (text[start - 1].isalnum() or text[start - 1] == "_") or end < len(text) and (text[end].isalnum() or text[end] == "_")
+    while end > start and (text[end - 1] == "." or text[end - 1] == ":" and text[end - 2 : end] != "::"):
+        end -= 1
+    return (at, at) if joined else (start, end)
+
+
+def address(text: str) -> bool:
+    """Whether a text is an IPv6 address that is not taken for code or times: eight groups, or a first group of three digits or more."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any_digit(text) is not None and ("::" not in text or text.find(":") > 2)
+
+
 def before(text: str, at: int) -> int:
     """Where the local part of an address begins whose sign is at at; at if there is none."""
     start = at
