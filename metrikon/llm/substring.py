@@ -1,7 +1,8 @@
 """Substring dedup by difference-cover anchors.
 
 A window of ``WINDOW`` words is repeated if its words also start earlier (smaller
-doc_id, or the same document further left). Only windows of ``ANCHOR`` words at
+doc_id, or the same document further left). Rows of one doc_id count as one after
+the other, in the order of their texts, and their starts run on from row to row. Only windows of ``ANCHOR`` words at
 positions whose remainder modulo ``PERIOD`` lies in ``COVER`` are hashed first.
 COVER is a perfect difference set, so two equal windows share an anchor at the
 same shift of at most PERIOD - 1, and ANCHOR + PERIOD - 1 <= WINDOW. Anchors seen
@@ -43,6 +44,11 @@ def _block(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return t, first, doc, np.stack([word_hashes(flat, starts, s) for s in (11, 12)])
 
 
+def _base(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each row, by ascending doc_id: the block's first word of its doc_id, from which starts are counted."""
+    return first[np.searchsorted(ids, ids)]
+
+
 def _anchors(first: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the block's anchors and their hashes."""
     at = np.arange(len(doc))
@@ -120,15 +126,16 @@ def _send_windows(n_buckets: int):
             at = at[at + WINDOW <= first[doc[at] + 1]]
             if len(at):
                 ids = t["doc_id"].to_numpy()
+                base = _base(ids, first)
                 a, b = (rolling(h[k], WINDOW, 31 + k)[at] for k in (0, 1))
                 order = np.lexsort((at, b, a))
                 new = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])
                 rest = np.sort(at[order[~new]])
                 if len(rest):
-                    out.append((n_buckets + block, block, _flags(ids[doc[rest]], (rest - first[doc[rest]]).astype(np.int32))))
+                    out.append((n_buckets + block, block, _flags(ids[doc[rest]], (rest - base[doc[rest]]).astype(np.int32))))
                 one = np.sort(order[new])
                 entry = np.zeros(len(one), ENTRY)
-                entry["a"], entry["b"], entry["doc"], entry["start"] = a[one], b[one], ids[doc[at[one]]], at[one] - first[doc[at[one]]]
+                entry["a"], entry["b"], entry["doc"], entry["start"] = a[one], b[one], ids[doc[at[one]]], at[one] - base[doc[at[one]]]
                 where = entry["a"] % U64(n_buckets)
                 out += [(int(x), block, _pack(entry[where == x])) for x in np.unique(where)]
         return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "block": pa.array([r[1] for r in out], pa.int32()), "hashes": pa.array([r[2] for r in out], pa.binary())})
@@ -164,18 +171,20 @@ def _cut(t: pa.Table, known: pa.Table) -> pa.Table:
     """Of one block: removed word ranges and what is kept."""
     t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     runs = np.concatenate([np.frombuffer(x.as_py(), FLAG) for x in known["hashes"]] or [np.zeros(0, FLAG)])
-    runs = runs[np.argsort(runs["doc"], kind="stable")]
+    runs = runs[np.lexsort((runs["start"], runs["doc"]))]
     ids = t["doc_id"].to_numpy()
     lo, hi = np.searchsorted(runs["doc"], ids), np.searchsorted(runs["doc"], ids, "right")
-    n, gone, removed, kept = [], [], [], []
+    n, gone, removed, kept, before = [], [], [], [], 0
     for k, text in enumerate(t["text"]):
         w = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+        before = before + n[-1] if k and ids[k] == ids[k - 1] else 0  # words of the doc_id's rows before
         n.append(len(w))
         mine = runs[lo[k] : hi[k]]
+        mine = mine[slice(*np.searchsorted(mine["start"], [before, before + len(w)]))]
         if len(mine):
             edge = np.zeros(len(w) + 1, np.int32)
-            np.add.at(edge, mine["start"], 1)
-            np.add.at(edge, mine["start"] + mine["n"] + WINDOW - 1, -1)
+            np.add.at(edge, mine["start"] - before, 1)
+            np.add.at(edge, mine["start"] - before + mine["n"] + WINDOW - 1, -1)
             keep = np.cumsum(edge[:-1]) == 0
             w = list(itertools.compress(w, keep))
             ends = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
@@ -193,9 +202,9 @@ def _cut(t: pa.Table, known: pa.Table) -> pa.Table:
 def dedup_substrings(docs: DataFrame, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, removed ranges of words, kept text) of each document.
 
-    A null text has no words; documents under WINDOW words keep all. Repeated rows
-    (same doc_id and text) count as documents in a fixed order, but share their doc_id's
-    ranges, so all copies of such a row lose what its later copies lose. Rows whose
+    A null text has no words; documents under WINDOW words keep all. Rows of one doc_id are
+    documents of their own, by ascending text: of repeated rows the first stays and the others lose
+    what it holds. The SQL of the query takes doc_id to be unique. Rows whose
     doc_id is null are left out. Other columns are ignored. block_bytes bounds what a
     task holds of texts (or one text, if longer); bucket_bytes is the text behind one
     bucket of hashes.

@@ -244,3 +244,12 @@ def test_other_formats_are_found():
         assert spans(f"it is {v}, so") == [], v
     same = [n for *_, n in pii.replace("2001:db8::1 2001:0DB8:0:0:0:0:0:1", b"k")[1]]
     assert same[0] == same[1]
+
+
+def test_substring_repeated_rows(spark):
+    """Of rows with one doc_id each loses only what an earlier row holds."""
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 30)))
+    rows = [(1, a), (1, a), (2, b), (2, "x y"), (2, b + " " + a), (2, None), (3, "z " + a), (3, "z " + a), (4, b)]
+    got = sorted(map(tuple, substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(substring.brute(sorted(rows, key=lambda r: (r[0], r[1] or ""))))
+    assert [r[:3] for r in got if r[0] == 1] == [(1, 50, 0), (1, 50, 50)]
