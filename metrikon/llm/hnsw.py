@@ -4,7 +4,9 @@ Vectors are dealt to shards by a hash of their id. Each shard builds a layered g
 in numpy, nodes inserted in growing batches, and stores it as flat neighbour arrays
 (layer after layer, a fixed number of slots for each node, -1 for none). Queries
 search every shard's graph in blocks, and shard results are merged. Equal vectors
-are one node of a shard that keeps its smallest ids, as many as an answer can hold.
+are one node of a shard that keeps its smallest distinct ids, one more than an answer
+holds. Repeated rows count once, as rows of the index and as queries; an id with
+several vectors is as near as its nearest one.
 """
 
 from __future__ import annotations
@@ -157,16 +159,16 @@ def _layer(vectors: np.ndarray, members: np.ndarray, slots: int, wide: int) -> n
     return links
 
 
-INDEX = "shard int, dims int, ids array<long>, owner array<int>, vectors binary, members array<binary>, links array<binary>, entry int"
+INDEX = "shard int, dims int, keep int, ids array<long>, owner array<int>, vectors binary, members array<binary>, links array<binary>, entry int"
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, keep: int = 6, slots: int = SLOTS, wide: int = WIDE) -> DataFrame:
+def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 5, slots: int = SLOTS, wide: int = WIDE) -> DataFrame:
     """One row for each shard: ids by node (owner), original vectors of the nodes in double precision, flat neighbour arrays.
 
-    vectors: (vec_id, embedding). Null, zero and non-finite vectors and null ids take no part; keep is the number of ids
-    that a node of equal vectors holds. Vectors of other lengths than a shard's most frequent one are shards of their own.
+    vectors: (vec_id, embedding). Null, zero and non-finite vectors and null ids take no part; k is the most that a
+    search may ask for, so a node of equal vectors holds k + 1 ids, the asking one among them. Repeated rows lie in one shard. Vectors of other lengths than a shard's most frequent one are shards of their own.
     """
-    rows = usable(vectors)
+    rows, keep = usable(vectors), k + 1
     n = rows.count()
     shards = max(1, math.ceil(n / shard_rows))
 
@@ -177,15 +179,15 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, keep: int = 6, slots
         order = np.argsort(ids, kind="stable")
         ids, flat = ids[order], np.ascontiguousarray(flat[order])
         _, first, node = np.unique(flat.view(f"V{8 * dims}").ravel(), return_index=True, return_inverse=True)
-        o = np.argsort(node, kind="stable")
-        place = np.empty(len(node), int)
-        place[o] = np.arange(len(node)) - np.repeat(np.cumsum(c := np.bincount(node)) - c, c)
+        once = np.concatenate([[True], (np.diff(ids[o := np.lexsort((ids, node))]) != 0) | (np.diff(node[o]) != 0)])
+        ids, node = ids[o][once], node[o][once]  # by node, distinct ids in order
+        place = np.arange(len(node)) - np.repeat(np.cumsum(c := np.bincount(node)) - c, c)
         held = place < keep
         own = flat[first]
         g = build((own / np.linalg.norm(own, axis=1, keepdims=True)).astype(np.float32), slots, wide)
-        row = {"shard": t["shard"][0].as_py(), "dims": dims, "ids": ids[held].tolist(), "owner": node[held].tolist(), "vectors": own.tobytes(), "entry": g.entry}
+        row = {"shard": t["shard"][0].as_py(), "dims": dims, "keep": keep, "ids": ids[held].tolist(), "owner": node[held].tolist(), "vectors": own.tobytes(), "entry": g.entry}
         row |= {"members": [m.astype("<i4").tobytes() for m, _ in g.layers], "links": [x[m].astype("<i4").tobytes() for m, x in g.layers]}
-        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("dims", pa.int32()), ("ids", pa.list_(pa.int64())), ("owner", pa.list_(pa.int32())), ("vectors", pa.binary()), ("members", pa.list_(pa.binary())), ("links", pa.list_(pa.binary())), ("entry", pa.int32())]))
+        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("dims", pa.int32()), ("keep", pa.int32()), ("ids", pa.list_(pa.int64())), ("owner", pa.list_(pa.int32())), ("vectors", pa.binary()), ("members", pa.list_(pa.binary())), ("links", pa.list_(pa.binary())), ("entry", pa.int32())]))
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dims", F.size("embedding"))
     return dealt.groupBy("shard", "dims").applyInArrow(run, INDEX)
@@ -213,7 +215,7 @@ def _load(t: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
 def search(graphs: DataFrame, queries: DataFrame, k: int = 5, wide: int = WIDE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found, by cosine in double precision on the original vectors.
 
-    queries: (vec_id, embedding), usable rows. They are cut into blocks by a hash; each block meets each shard once.
+    k is at most that of the index. queries: (vec_id, embedding), usable rows. They are cut into blocks by a hash; each block meets each shard once.
     """
     queries = usable(queries)
     n_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
@@ -226,9 +228,14 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 5, wide: int = WIDE)
     def run(g: pa.Table, q: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if g.num_rows and q.num_rows:
+            if k >= (held := g["keep"][0].as_py()):
+                raise ValueError(f"{k} nearest asked of an index for {held - 1}")
             graph, own, ids, owner = _load(g)
             names = q["vec_id"].to_numpy()
-            flat = q["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+            flat = np.ascontiguousarray(q["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1))
+            _, node = np.unique(flat.view(f"V{flat.itemsize * flat.shape[1]}").ravel(), return_inverse=True)
+            _, once = np.unique(np.stack([names, node]), axis=1, return_index=True)
+            names, flat = names[once], flat[once]  # distinct queries, by id
             first = np.searchsorted(np.sort(owner), np.arange(len(own) + 1))
             ids = ids[np.argsort(owner, kind="stable")]
             size = np.linalg.norm(own, axis=1)
@@ -240,10 +247,15 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 5, wide: int = WIDE)
                     found = found[found >= 0]
                     exact = (own[found] * x[i]).sum(1) / (size[found] * norm[i])  # row by row: equal vectors, equal sums
                     rows = [(-s, v) for s, f in zip(exact.tolist(), found.tolist(), strict=True) for v in ids[first[f] : first[f + 1]].tolist() if v != names[lo + i]]
-                    out += [(int(names[lo + i]), v, -s) for s, v in sorted(rows)[:k]]
+                    nearest: dict[int, float] = {}
+                    for s, v in sorted(rows):
+                        if len(nearest) < k:
+                            nearest.setdefault(v, -s)
+                    out += [(int(names[lo + i]), v, s) for v, s in nearest.items()]
         return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
 
     found = spread.groupBy("shard", "dims", "block").cogroup(asked.groupBy("shard", "dims", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids with several vectors
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows for each shard
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

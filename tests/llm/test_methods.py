@@ -253,3 +253,20 @@ def test_substring_repeated_rows(spark):
     got = sorted(map(tuple, substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == sorted(substring.brute(sorted(rows, key=lambda r: (r[0], r[1] or ""))))
     assert [r[:3] for r in got if r[0] == 1] == [(1, 50, 0), (1, 50, 50)]
+
+
+def test_hnsw_repeated_rows(spark):
+    """Repeated rows change nothing: five distinct neighbours for each id, equal vectors included; more are found by an index for more."""
+    own = np.random.default_rng(7)
+    x = own.normal(size=(400, 8))
+    x[100:109] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    once, often = (spark.createDataFrame(r, "vec_id long, embedding array<double>") for r in (rows, rows * 2 + rows[3:4] * 6 + rows[100:101] * 6))
+    find = lambda df, k: sorted(map(tuple, hnsw.search(hnsw.index(df, shard_rows=10_000, k=k), df.where("vec_id % 50 = 0 OR vec_id = 3"), k).collect()))
+    got = find(often, 5)
+    assert got == find(once, 5) and [v for q, _, v, _ in got if q == 3] == [100, 101, 102, 103, 104]
+    assert [v for q, _, v, _ in find(often, 8) if q == 100] == [3, *range(101, 108)]
+    with pytest.raises(Exception, match="asked of an index"):
+        hnsw.search(hnsw.index(once), once, 6).collect()
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    assert [(q, r, v) for q, r, v, _ in find(twice, 5) if q == 3] == [(3, 1, 1), (3, 2, 2)]
