@@ -100,11 +100,21 @@ def plan(docs: DataFrame, target_entropy: float | None = 0.97, most_repeats: flo
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: rows of docs with all their columns, as often as the plan takes them. doc_id is taken to be unique; rows without it go."""
-    times = unused(docs.columns, "_copies")
-    turn = unused([*docs.columns, times], "_pass")
-    chosen = plan(docs, **options).where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(times))
-    out = docs.join(chosen, "doc_id").withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    """The mixture: rows of docs with all their columns, as often as the plan takes them.
+
+    Rows of one doc_id are all taken as often as the one of them that is taken most. Rows without doc_id are
+    matched with the plan's by source and number of tokens, in the order of their texts.
+    """
+    times, count, turn = (unused(docs.columns, c) for c in ("_copies", "_tokens", "_pass"))
+    planned = stage(plan(docs, **options), "planned")
+    chosen = planned.where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(times))
+    out = docs.join(chosen, "doc_id").select(*docs.columns, times)
+    place = lambda df, n, by: df.withColumn(turn, F.row_number().over(Window.partitionBy("source", n).orderBy(*by)))
+    rest = place(docs.where("doc_id IS NULL").withColumn(count, token_count()), count, ["text"]).alias("d")
+    theirs = place(planned.where("doc_id IS NULL"), "n_tokens", ["block", "place"]).alias("p")
+    same = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col(f"d.{count}") == F.col("p.n_tokens")) & (F.col(f"d.{turn}") == F.col(f"p.{turn}"))
+    rest = rest.join(theirs, same).where("p.copies > 0").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("p.copies").alias(times))
+    out = out.unionAll(rest).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return out.select(*docs.columns)
 
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, parts, spans, stage, strings
+from .common import U64, parts, spans, stage, strings, unused
 
 BUDGET, SEGMENTS = 4, 5
 EDGES = [round(64 * k / SEGMENTS) for k in range(SEGMENTS + 1)]
@@ -66,18 +67,24 @@ def _hashes(text: bytes) -> list[int]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long): the fingerprint's bits as a signed long. Null and wordless texts have 0."""
+    return printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "fp").select("doc_id", "fp")
+
+
+def printed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with their fingerprint in a column of that name."""
+    where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, offsets = strings(b.column(1))
+            flat, offsets = strings(b.column(where))
             found = []
             for lo, hi in spans(offsets, CHUNK):
                 part = [np.array(_hashes(flat[offsets[i] : offsets[i + 1]].tobytes()), U64) for i in range(lo, hi)]
                 found.append(majority(np.concatenate(part), np.array([len(p) for p in part], np.int64)))
             fp = np.concatenate(found) if found else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _segment(fp: np.ndarray, k: int) -> np.ndarray:
@@ -204,14 +211,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and wordless texts have fingerprint 0 and are linked like any other. Repeated rows
     stay rows. Rows without doc_id are left out; other columns are ignored.
     """
+    return _grouped(docs).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates with the root of each component, which tells components apart whose least doc_id is the same."""
     found = stage(fingerprints(docs), "fingerprints")
     distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     n = parts(distinct.count(), 100_000, 12)
     roots = components(links(distinct, n))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stage(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "names")
-    return found.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = stage(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "names")
+    return found.join(names, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -219,6 +231,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that a smaller doc_id of the same component stands for; of repeated rows with that doc_id one stays."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component the row of least (doc_id, fingerprint), one of those that repeat it. Rows without doc_id all stay."""
+    id_, fp = unused(docs.columns, "_id"), unused(docs.columns, "_fp")
+    least = _grouped(docs).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("least"))
+    keep = least.select(F.col("least.doc_id").alias(id_), F.col("least.fp").alias(fp)).distinct()
+    own = printed(docs.where("doc_id is not null"), fp).withColumn(id_, F.col("doc_id").cast("long"))
+    own = own.join(keep, [id_, fp], "left_semi").dropDuplicates([id_, fp]).select(*docs.columns)
+    return own.unionAll(docs.where("doc_id is null"))

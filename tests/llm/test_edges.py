@@ -173,3 +173,17 @@ def test_fit_takes_one_row_of_a_doc_id(spark, monkeypatch):
     learn = [i for i in (2, 3) if zlib.crc32(str(i).encode()) % 3 != 1]
     (texts, labels), = seen
     assert texts == [""] * len(learn) and sorted(labels) == sorted(i % 2 for i in learn)
+
+
+def test_odd_ids_keep_their_texts(spark):
+    """Rows without doc_id and two different texts under one doc_id are not lost."""
+    a, b = (" ".join(f"{c}{i * i}" for i in range(40)) for c in "ab")
+    df = frame(spark, [(None, a, "s"), (None, "x y", "s"), (None, None, None), (1, a, "s"), (1, b, "s"), (1, b, "s"), (2, a, "s"), (3, b, "t")])
+    kept = simhash.keep_one(df)
+    key = lambda r: tuple(map(str, r))
+    want = [(None, None), (None, "x y"), (None, a), (1, a), (1, b)]
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+    many = {"budget": 3000, "most_repeats": None}
+    planned = mixing.plan(df, **many).where("doc_id IS NULL").collect()
+    mixed = mixing.mix(df, **many).where("doc_id IS NULL").collect()
+    assert len(mixed) == sum(r.copies for r in planned) and {r.text for r in mixed} == {None, "x y", a}
