@@ -270,3 +270,37 @@ def test_hnsw_repeated_rows(spark):
         hnsw.search(hnsw.index(once), once, 6).collect()
     twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0])], "vec_id long, embedding array<double>")
     assert [(q, r, v) for q, r, v, _ in find(twice, 5) if q == 3] == [(3, 1, 1), (3, 2, 2)]
+
+
+def code_points():
+    """Every code point up to U+2FFFF in rows of 64, each with spaces, a letter and a sign around it."""
+    for lo in range(0, 0x30000, 64):
+        if not 0xD800 <= lo < 0xE000:
+            yield "".join(map(chr, range(lo, lo + 64)))
+            yield " ".join(f"a{chr(c)} {chr(c)}b. " for c in range(lo, lo + 64, 7))
+
+
+def test_code_points_as_the_library():
+    from tokenizers import Tokenizer
+
+    from metrikon.llm import bpe
+    from metrikon.llm.queries import vocabulary
+
+    texts = [*code_points(), "don't x's 'll  a\n b \n c\t\td  ", "x <|endoftext|> y<|endoftext|>", "w" * 500 + " " + "é" * 500]
+    library, coder = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), pfor.Encoder(vocabulary("byte_bpe_50k.json"))
+    assert [t for t in texts if np.frombuffer(coder.encode(t), "<u4").tolist() != library.encode(t, add_special_tokens=False).ids] == []
+    library, coder = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), bpe.Bpe(vocabulary("word_bpe_49k.json"))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = list(coder.encode(texts))
+    assert [t for t, w, (ids, _) in zip(texts, want, got, strict=True) if np.frombuffer(ids, "<u4").tolist() != w] == []
+    assert [x for _, x in got] == [library.decode(w, skip_special_tokens=False) for w in want]
+
+
+def test_pfor_order_of_odd_ids(spark):
+    """Rows without doc_id come first, rows of one doc_id lie together, and starts run on over them."""
+    from metrikon.llm.queries import vocabulary
+
+    rows = [(None, "a b"), (None, None), (3, "c"), (3, "d e f"), (3, "c"), (-5, "x y")]
+    got = sorted(pfor.digest(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -5, 3, 3, 3] and got[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and sorted(r.n_tokens for r in got) == [1, 2, 2, 3, 3, 4]
