@@ -44,17 +44,27 @@ def crown(eye: Column, face: Column, factor: Column, mask_top: Column) -> Column
     return clamp(eye - factor * face, mask_top, eye - 1)
 
 
-def capped_move(before: Column, after: Column, feet: Column, share: float = 0.12, lateral: Column | None = None, cap: float | None = None) -> Column:
-    """The corrected head's row if it moves at most a share of the body; in lateral views it rises cap pixels at most."""
-    moved = F.when(F.abs(after - before) <= share * (feet - before), after).otherwise(before)
-    return moved if lateral is None or cap is None else F.when(lateral, F.greatest(moved, before - cap)).otherwise(moved)
-
-
 def ponderal(weight_kg: Column, height_cm: Column) -> Column:
     return ratio(weight_kg, F.pow(height_cm / 100, 3))
 
 
-def square(corners: Column) -> dict[str, Column]:
-    """Mean side and squareness (shortest over longest side) of four corners, structs of x and y."""
+def square(corners: Column, side_cm: float = 10.0) -> dict[str, Column]:
+    """Mean side, squareness (shortest over longest side) and scale in cm a pixel of a marker's four corners, structs of x and y."""
     sides = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: distance(corners[i]["x"], corners[i]["y"], corners[(i + 1) % 4]["x"], corners[(i + 1) % 4]["y"]))
-    return {"side": F.aggregate(sides, F.lit(0.0), lambda a, x: a + x) / 4, "squareness": ratio(F.array_min(sides), F.array_max(sides))}
+    side = F.aggregate(sides, F.lit(0.0), lambda a, x: a + x) / 4
+    return {"side": side, "squareness": ratio(F.array_min(sides), F.array_max(sides)), "scale": ratio(F.lit(side_cm), side)}
+
+
+def circle_scale(diameter_px: Column, diameter_cm: float = 1.4) -> Column:
+    """Scale in cm a pixel of a round marker."""
+    return F.when(diameter_px > 0, diameter_cm / diameter_px)
+
+
+def corrected_head(view: Column, pose: Column, mask: Column, feet: Column, share: float = 0.12, rise_px: float | None = 30.0) -> dict[str, Column]:
+    """Row, source and move of the head: the trimmed mask's if it moves at most a share of the body; in lateral views it rises rise_px at most (without one: as far as it does)."""
+    near = F.abs(mask - pose) <= share * (feet - pose)
+    lateral = view.isin("left", "right")
+    target = mask if rise_px is None else F.when(lateral, F.greatest(mask, pose - rise_px)).otherwise(mask)
+    taken = F.coalesce(near, F.lit(False))
+    source = F.when(~taken, "pose").when(F.lit(rise_px is not None) & lateral, "mask_trim_hair_capped").otherwise("mask_trim_hair")
+    return {"head_y": F.when(taken, target).otherwise(pose), "head_source": source, "head_move_px": F.when(taken, pose - target).otherwise(0.0)}

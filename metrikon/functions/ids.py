@@ -33,6 +33,14 @@ def has_extension(path: Column, extensions: tuple[str, ...]) -> Column:
     return F.lower(path).rlike(r"\.(" + "|".join(extensions) + ")$")
 
 
+def normal_path(path: Column, depth: int = 8) -> Column:
+    """A path without scheme, doubled separators and dots; of parents as many as depth in a row are resolved."""
+    out = F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), r"/+(\./+)*", "/")
+    for _ in range(depth):
+        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
+    return F.regexp_replace(out, r"(?<=.)/\.?$", "")
+
+
 def pseudo_id(prefix: Column, identifier: Column, salt: str, digits: int = 8) -> Column:
     """Prefix and a salted hash; the salt is the caller's secret."""
     return F.concat(prefix, F.lit("_"), F.substring(F.sha2(F.concat(F.lit(salt), identifier), 256), 1, digits))

@@ -1,89 +1,178 @@
 """Stratified nearest-neighbour imputation and its leave-one-value-out validation.
 
-Rows are compared within their stratum only: an equi-join on the stratum, with packed
-vectors. Its cost is the square of a stratum's rows; strata too large for that are to
-be split by the caller, as donors are never sampled here.
+Rows are compared within their stratum only. A stratum is cut into blocks of a bounded
+number of rows; a task compares two blocks in numpy and keeps, for each value asked
+for, its k nearest donors; the blocks' answers are merged. So pairs are neither stored
+nor shuffled, a hot stratum is many tasks, and donors are never sampled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows of a block.
+BLOCK = 1024
 
 
 def zscores(df: DataFrame, strata: list[str], columns: list[str], prefix: str = "z_") -> DataFrame:
     """Standardised columns by stratum (population deviation); null for constant ones."""
-    w = Window.partitionBy(*strata)
-    z = {prefix + c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)) for c in columns}
-    return df.withColumns(z)
+    names = {c: f"_k{i}" for i, c in enumerate(strata)}
+    moments = df.groupBy(*(F.col(c).alias(names[c]) for c in strata)).agg(*(f(F.col(c)).alias(f"_{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    out = df.join(moments, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left")
+    return out.withColumns({prefix + c: (F.col(c) - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0)) for i, c in enumerate(columns)}).select(*df.columns, *(prefix + c for c in columns))
 
 
 def vectors(df: DataFrame, strata: list[str], key: str, columns: list[str]) -> DataFrame:
+    """(strata, key, z, v): standardised and own values as arrays."""
     z = zscores(df, strata, columns)
     return z.select(*strata, key, F.array(*(F.col("z_" + c) for c in columns)).alias("z"), F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
 
 
-def pairs(packed: DataFrame, strata: list[str], key: str) -> DataFrame:
-    """Ordered pairs of a stratum with the sum and number of squared differences over columns both have."""
-    other = packed.select(*strata, F.col(key).alias("donor"), F.col("z").alias("dz"), F.col("v").alias("dv"))
-    terms = F.zip_with("z", "dz", lambda a, b: (a - b) * (a - b))
-    out = packed.join(other, strata).where(F.col(key) != F.col("donor")).withColumn("t", terms)
-    present = F.array_compact("t")
-    return out.select(*strata, key, "donor", "v", "dv", "t", F.aggregate(present, F.lit(0.0), lambda a, x: a + x).alias("s"), F.size(present).alias("m"))
-
-
 def scaled(s: Column, m: Column, d: int) -> Column:
     """Distance over shared columns, scaled up to all d; null without any."""
     return F.when(m > 0, F.sqrt(d / m * s))
 
 
 def nan_distance(df: DataFrame, strata: list[str], key: str, columns: list[str]) -> DataFrame:
-    return pairs(vectors(df, strata, key, columns), strata, key).select(*strata, key, "donor", scaled(F.col("s"), F.col("m"), len(columns)).alias("distance"))
+    """(strata, key, donor, distance) of every ordered pair of a stratum: the whole matrix, which is what it is for; imputation does not need it."""
+    packed = vectors(df, strata, key, columns)
+    other = packed.select(*strata, F.col(key).alias("donor"), F.col("z").alias("dz"))
+    terms = F.array_compact(F.zip_with("z", "dz", lambda a, b: (a - b) * (a - b)))
+    pairs = packed.join(other, strata).where(F.col(key) != F.col("donor")).withColumn("t", terms)
+    return pairs.select(*strata, key, "donor", scaled(F.aggregate("t", F.lit(0.0), lambda a, x: a + x), F.size("t"), len(columns)).alias("distance"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+def _nearest(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, donor) of the k least finite distances of each row; ties go to the earlier donor."""
+    k = min(k, distance.shape[1])
+    edge = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+    row, donor = np.nonzero((distance <= edge) & np.isfinite(distance))
+    order = np.lexsort((donor, distance[row, donor], row))
+    row, donor = row[order], donor[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], donor[place < k]
+
+
+def _donors(df: DataFrame, strata: list[str], key: str, columns: list[str], targets: list[str], k: int, hidden: bool, block: int) -> DataFrame:
+    """(strata, key, column, own, given, distance, donor, others): of each target cell asked for its k nearest donors in each block, and how many the block has.
+
+    Without hidden the missing cells are asked for; with it the observed ones, each hidden from its own row's distances.
+    """
+    packed = vectors(df, strata, key, columns).where(F.col(key).isNotNull() & ~_any_null(strata))
+    names = [f"_s{i}" for i in range(len(strata))]
+    packed = packed.select(*(F.col(c).alias(n) for c, n in zip(strata, names, strict=True)), F.col(key).alias("_key"), "z", "v")
+    sizes = packed.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = packed.join(sizes, names).withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_n")).cast("int"))
+    d, at = len(columns), [columns.index(c) for c in targets]
+    kinds = {f.name: f for f in packed.schema}
+    # one row for each block: its rows by key, their vectors end to end
+    rows = dealt.groupBy(*names, "_block").agg(F.sort_array(F.collect_list(F.struct("_key", "z", "v"))).alias("rows"), F.first("_n").alias("_n"))
+    blocks = rows.select(*names, "_block", "_n", F.col("rows._key").alias("keys"), F.flatten("rows.z").alias("z"), F.flatten("rows.v").alias("v"))
+    turns = blocks.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))  # a block meets each block of its stratum
+    other = blocks.select(*names, F.col("_block").alias("_turn"), F.col("keys").alias("dkeys"), F.col("z").alias("dz"), F.col("v").alias("dv"))
+    both = turns.join(other, [*names, "_turn"]).select(*names, "keys", "z", "v", "dkeys", "dz", "dv")
+    schema = df.select(*strata, F.col(key).alias("key")).schema.add("column", "string").add("own", "double").add("given", "double").add("distance", "double").add("donor", kinds["_key"].dataType).add("others", "long")
+    arrow = to_arrow_schema(schema)
+
+    def compare(b: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+        keys, dkeys = (b.column(c)[i].values for c in ("keys", "dkeys"))
+        z, v, dz, dv = (_matrix(b.column(c).slice(i, 1), d) for c in ("z", "v", "dz", "dv"))
+        s, m = np.zeros((len(z), len(dz))), np.zeros((len(z), len(dz)), np.int32)
+        for c in range(d):
+            t = z[:, c, None] - dz[None, :, c]
+            t *= t
+            here = ~np.isnan(t)
+            s += np.where(here, t, 0.0)
+            m += here
+        # both blocks are sorted by key, so equal keys (the row itself) are found by their places in both
+        where = pc.index_in(keys, dkeys).to_numpy(zero_copy_only=False)
+        twin = np.flatnonzero(~np.isnan(where.astype(float)))
+        same = np.zeros(s.shape, bool)
+        same[twin, where[twin].astype(int)] = True
+        for c, name in zip(at, targets, strict=True):
+            ask = np.flatnonzero(~np.isnan(v[:, c])) if hidden else np.flatnonzero(np.isnan(v[:, c]))
+            give = np.flatnonzero(~np.isnan(dv[:, c]))
+            if not len(ask) or not len(give):
+                continue
+            part, n = s[np.ix_(ask, give)], m[np.ix_(ask, give)]
+            if hidden:
+                t = z[ask, c, None] - dz[None, give, c]
+                t *= t
+                here = ~np.isnan(t)
+                part, n = np.maximum(part - np.where(here, t, 0.0), 0.0), n - here
+            with np.errstate(all="ignore"):
+                distance = np.where((n > 0) & ~same[np.ix_(ask, give)], np.sqrt(d / n * part), np.inf)
+            others = np.isfinite(distance).sum(1)
+            row, donor = _nearest(distance, k)
+            out = [pa.array([b.column(x)[i].as_py()] * len(row), arrow.field(f).type) for x, f in zip(names, strata, strict=True)]
+            out += [keys.take(pa.array(ask[row])), pa.array([name] * len(row)), pa.array(v[ask[row], c], from_pandas=True), pa.array(dv[give[donor], c]), pa.array(distance[row, donor]), dkeys.take(pa.array(give[donor])), pa.array(others[row])]
+            yield pa.RecordBatch.from_arrays(out, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from compare(b, i)
+
+    return both.mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def _any_null(columns: list[str]) -> Column:
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.col(c).isNull()
+    return out
 
 
-def impute(df: DataFrame, strata: list[str], key: str, columns: list[str], targets: list[str], k: int = 3) -> DataFrame:
+def impute(df: DataFrame, strata: list[str], key: str, columns: list[str], targets: list[str], k: int = 3, block: int = BLOCK) -> DataFrame:
     """(strata, key, column, value): for each missing target the median of the k nearest donors' own values; ties by donor.
 
-    Cells without any donor have no row. Only original values donate.
+    Cells without any donor have no row, nor have rows without key or stratum. Only original values donate.
     """
-    d = len(columns)
-    near = pairs(vectors(df, strata, key, columns), strata, key).withColumn("distance", scaled(F.col("s"), F.col("m"), d)).where("distance IS NOT NULL")
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.get("v", F.lit(i)).alias("own"), F.get("dv", F.lit(i)).alias("given")) for i, c in enumerate(columns) if c in targets))
-    long = near.select(*strata, key, "donor", "distance", F.explode(cells).alias("c")).where("c.own IS NULL AND c.given IS NOT NULL")
-    nearest = Window.partitionBy(*strata, key, "c.column").orderBy("distance", "donor")
-    top = long.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k)
-    return top.groupBy(*strata, key, F.col("c.column").alias("column")).agg(F.median("c.given").alias("value"))
+    found = _donors(df, strata, key, columns, targets, k, False, block)
+    nearest = Window.partitionBy(*strata, key, "column").orderBy("distance", "donor")  # k rows for each block at most
+    top = found.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k)
+    return top.groupBy(*strata, key, "column").agg(F.median("given").alias("value"))
 
 
 def complete(df: DataFrame, imputed: DataFrame, strata: list[str], key: str, targets: list[str]) -> DataFrame:
-    """The table with imputed cells filled in and <column>_was_imputed beside them."""
-    wide = imputed.groupBy(key).pivot("column", targets).agg(F.first("value")).select(key, *(F.col(c).alias("_" + c) for c in targets))
-    out = df.join(wide, key, "left")
+    """The table with imputed cells filled in, <column>_was_imputed beside them, and IMPUTED_COLUMNS and N_IMPUTED_VALUES of the row."""
+    keys = [*strata, key]
+    wide = imputed.groupBy(*keys).pivot("column", targets).agg(F.first("value"))
+    wide = wide.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), *(F.col(c).alias("_" + c) for c in targets))
+    out = df.join(wide, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(keys)], "left")
     flags = {f"{c}_was_imputed": F.col(c).isNull() & F.col("_" + c).isNotNull() for c in targets}
-    return out.withColumns(flags).withColumns({c: F.coalesce(c, "_" + c) for c in targets}).select(*df.columns, *flags)
+    names = F.array_compact(F.array(*(F.when(F.col(f), F.lit(c)) for c, f in zip(targets, flags, strict=True))))
+    out = out.withColumns(flags).withColumns({"IMPUTED_COLUMNS": F.array_join(F.array_sort(names), ";"), "N_IMPUTED_VALUES": F.size(names)})
+    kept = [c for c in df.columns if c not in ("IMPUTED_COLUMNS", "N_IMPUTED_VALUES")]
+    return out.withColumns({c: F.coalesce(c, "_" + c) for c in targets}).select(*kept, *flags, "IMPUTED_COLUMNS", "N_IMPUTED_VALUES")
 
 
-def lovo_detail(df: DataFrame, strata: list[str], key: str, columns: list[str], targets: list[str], ks: list[int], least: int = 3) -> DataFrame:
+def lovo_detail(df: DataFrame, strata: list[str], key: str, columns: list[str], targets: list[str], ks: list[int], least: int = 3, block: int = BLOCK) -> DataFrame:
     """(strata, key, column, k, truth, predicted, donors): every observed target predicted from the others, for all k at once.
 
     Hiding a column takes its term from the pair's sum. Columns with fewer than least values in a stratum are skipped.
     """
-    d = len(columns)
-    both = pairs(vectors(df, strata, key, columns), strata, key)
-
-    def cell(i: int, c: str) -> Column:
-        term = F.get("t", F.lit(i))
-        s, m = F.col("s") - F.coalesce(term, F.lit(0.0)), F.col("m") - term.isNotNull().cast("int")
-        return F.struct(F.lit(c).alias("column"), F.get("v", F.lit(i)).alias("own"), F.get("dv", F.lit(i)).alias("given"), scaled(F.greatest(s, F.lit(0.0)), m, d).alias("distance"))
-
-    cells = F.array(*(cell(i, c) for i, c in enumerate(columns) if c in targets))
-    long = both.select(*strata, key, "donor", F.explode(cells).alias("c")).where("c.own IS NOT NULL AND c.given IS NOT NULL AND c.distance IS NOT NULL")
-    nearest = Window.partitionBy(*strata, key, "c.column").orderBy("c.distance", "donor")
-    of = Window.partitionBy(*strata, key, "c.column")
-    top = long.withColumns({"rn": F.row_number().over(nearest), "others": F.count("*").over(of)}).where((F.col("rn") <= max(ks)) & (F.col("others") + 1 >= least))
+    found = _donors(df, strata, key, columns, targets, max(ks), True, block)
+    counts = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().cast("long").alias("n")) for c in targets)))
+    enough = df.select(*strata, counts.alias("c")).groupBy(*strata, F.col("c.column").alias("column")).agg(F.sum("c.n").alias("_n")).where(F.col("_n") >= least)
+    nearest = Window.partitionBy(*strata, key, "column").orderBy("distance", "donor")
+    top = found.join(enough.drop("_n"), [*strata, "column"], "left_semi").withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= max(ks))
     by_k = top.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("rn"))))
     names = F.transform(F.array_sort(F.collect_list(F.struct("rn", "donor"))), lambda r: r["donor"].cast("string"))
-    return by_k.groupBy(*strata, key, F.col("c.column").alias("column"), "k").agg(F.first("c.own").alias("truth"), F.median("c.given").alias("predicted"), F.array_join(names, ";").alias("donors"))
+    return by_k.groupBy(*strata, key, "column", "k").agg(F.first("own").alias("truth"), F.median("given").alias("predicted"), F.array_join(names, ";").alias("donors"))
 
 
 def lovo(detail: DataFrame, strata: list[str]) -> DataFrame:

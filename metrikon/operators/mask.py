@@ -50,6 +50,11 @@ def head(runs: DataFrame, image: str = "image_path", share: float = 0.5, top: fl
     The skull's width is the median of the widest third of the lines in the top part of the body;
     the head begins at the first line at least share of it wide.
     """
+    return head_sweep(runs, [share], image, top).drop("share")
+
+
+def head_sweep(runs: DataFrame, shares: list[float], image: str = "image_path", top: float = 0.12) -> DataFrame:
+    """The same for each of several shares, in one pass: (image, share, head_x, head_y, skull_width)."""
     lines = rows_of(runs, image).withColumn("width", F.col("x1") - F.col("x0") + 1)
     extent = lines.groupBy(image).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
     part = lines.join(extent, image).where(F.col("y") <= F.floor(F.col("top") + top * (F.col("bottom") - F.col("top"))))
@@ -58,8 +63,9 @@ def head(runs: DataFrame, image: str = "image_path", share: float = 0.5, top: fl
     third = F.slice(widths, 1, F.greatest(F.lit(1), F.floor(F.size(widths) / 3).cast("int")))
     n = F.size("third")
     packed = packed.withColumn("third", third).withColumn("skull_width", (F.get("third", ((n - 1) / 2).cast("int")) + F.get("third", (n / 2).cast("int"))) / 2)
-    first = F.get(F.filter("lines", lambda r: r["width"] >= share * F.col("skull_width")), F.lit(0))
-    return packed.withColumn("f", first).select(image, ((F.col("f.x0") + F.col("f.x1")) / 2).alias("head_x"), F.col("f.y").alias("head_y"), "skull_width")
+    first = F.get(F.filter("lines", lambda r: r["width"] >= F.col("share") * F.col("skull_width")), F.lit(0))
+    each = packed.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).withColumn("f", first)
+    return each.select(image, "share", ((F.col("f.x0") + F.col("f.x1")) / 2).alias("head_x"), F.col("f.y").alias("head_y"), "skull_width")
 
 
 def contact(runs: DataFrame, ankles: DataFrame, image: str = "image_path") -> DataFrame:
@@ -122,7 +128,12 @@ def head_and_feet(runs: DataFrame, image: str = "image_path") -> DataFrame:
     )
 
 
-def body_status(df: DataFrame, height_px: str, image_h: str, status: str = "status") -> DataFrame:
-    """Marks bodies that fill too much or too little of their image."""
-    share = F.col(height_px) / F.nullif(F.col(image_h), F.lit(0))
-    return df.withColumn(status, F.when(share > 0.95, "suspect_too_tall").when(share < 0.15, "suspect_too_small").otherwise("ok"))
+def body_status(df: DataFrame, height_px: str, image_h: str, status: str = "landmark_status", segmentation: str = "segmentation_status") -> DataFrame:
+    """The status with warnings of the segmentation, and bodies marked that fill too much or too little of their image.
+
+    Only statuses that begin with ok are looked at; an image without height counts as not filled.
+    """
+    s, seg = F.col(status), F.col(segmentation)
+    warned = F.when((s == "ok") & (seg != "ok"), F.concat(F.lit("ok_with_warning_"), seg)).otherwise(s)
+    share = F.when(F.col(image_h) > 0, F.col(height_px) / F.col(image_h)).otherwise(0.0)
+    return df.withColumn(status, F.when(warned.startswith("ok"), F.when(share > 0.95, "suspect_mask_covers_image").when(share < 0.15, "suspect_mask_too_small").otherwise(warned)).otherwise(warned))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import finite
+
 
 def of_errors(e: Column) -> dict[str, Column]:
     return {"n": F.count(e), "bias": F.avg(e), "mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e))}
@@ -36,7 +38,13 @@ def labels_of(view: Column, groups: dict[str, list[str]], everything: str = "GLO
 
 def metric_matrix(df: DataFrame, methods: dict[str, str], truth: str, view: str, groups: dict[str, list[str]]) -> DataFrame:
     """(grp, method, n, bias, mae, rmse): one unpivot and one aggregation for all methods and groups."""
-    pairs = F.array(*(F.struct(F.lit(m).alias("method"), (F.col(c) - F.col(truth)).alias("error")) for m, c in methods.items()))
+    errors = {m: f"_e{i}" for i, m in enumerate(methods)}
+    return error_matrix(df.withColumns({e: F.col(methods[m]) - F.col(truth) for m, e in errors.items()}), errors, view, groups)
+
+
+def error_matrix(df: DataFrame, methods: dict[str, str], view: str, groups: dict[str, list[str]]) -> DataFrame:
+    """The same from the methods' columns of errors; groups without any error have no row."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("method"), finite(F.col(c)).alias("error")) for m, c in methods.items()))
     long = df.select(labels_of(F.col(view), groups).alias("grps"), F.explode(pairs).alias("p")).where("p.error IS NOT NULL")
     # aggregated by the set of groups first, so that rows are not multiplied before the shuffle
     e = F.col("p.error")
@@ -44,6 +52,12 @@ def metric_matrix(df: DataFrame, methods: dict[str, str], truth: str, view: str,
     return part.select(F.explode("grps").alias("grp"), "method", "n", "s", "a", "q").groupBy("grp", "method").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("bias"), (F.sum("a") / F.sum("n")).alias("mae"), F.sqrt(F.sum("q") / F.sum("n")).alias("rmse"))
 
 
+def whole(matrix: DataFrame, methods: list[str], groups: list[str]) -> DataFrame:
+    """The matrix with a row for each method and group: n is 0 and the metrics are null where there was none."""
+    grid = matrix.sparkSession.createDataFrame([(g, m) for m in methods for g in groups], "grp string, method string")
+    return grid.join(matrix, ["grp", "method"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def best_method(matrix: DataFrame, by: str = "grp", name: str = "method", metric: str = "mae", order: str | None = None) -> DataFrame:
     """The name of least metric; ties go to the least order (by default the name)."""
     key = F.struct(F.col(metric).alias("x"), F.col(order or name).alias("o"), F.col(name).alias("name"))
@@ -90,7 +104,3 @@ def subject_summary(df: DataFrame, subject: str, truth: str, estimate: str) -> D
     """Median truth, mean and median estimate of subjects that have both."""
     t, p = F.col(truth), F.col(estimate)
     return df.where(F.col(subject).isNotNull()).groupBy(subject).agg(F.median(t).alias("truth"), F.avg(p).alias("mean_estimate"), F.median(p).alias("median_estimate"), F.count(p).alias("n")).where("truth IS NOT NULL AND n > 0")
-
-
-def running_mean_of_group(value: str, by: list[str]) -> Column:
-    return F.avg(value).over(Window.partitionBy(*by))

@@ -1,4 +1,8 @@
-"""Quality control: missing, out-of-range and outlying values, row flags and reports."""
+"""Quality control: missing, out-of-range and outlying values, row flags and reports.
+
+Flags are made inside each wide row, so that only the bounds (a row for each site) and the
+reports are aggregated; rows without identifier or with a repeated one are rows like others.
+"""
 
 from __future__ import annotations
 
@@ -7,79 +11,108 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import joined
 
-#: Physiological bounds (fixed values, inclusive): unit in the column's name.
-RANGES = {"AGE": (0.0, 120.0), "HEIGHT_cm": (40.0, 230.0), "WEIGHT_kg": (1.0, 300.0)}
-
-
-def long_form(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """A row for each cell: keys, column, value."""
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))
-    return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
-
-
-def iqr_bounds(cells: DataFrame, site: str, exempt: tuple[str, ...] = ("AGE",), least: int = 5) -> DataFrame:
-    """Tukey fences by site and column with exact quartiles; none under five values or without spread, nor for exempt columns.
-
-    The quartiles are exact and hold the values of one site and column by their counts of distinct values.
+# Physiological bounds, inclusive; the unit is in the column's name.
+RANGES = {
+    "AGE": (1, 100),
+    "HEIGHT_cm": (90, 210),
+    "WEIGHT_kg": (12, 200),
+    "PONDERAL_INDEX_kg_m3": (9, 45),
+    "PER_Skull_cm": (44, 64),
+    "PER_Neck_cm": (20, 55),
+    "THICK_WingedNeck_cm": (8, 41),
+    "DIST_SupScapularAngToC7_AVG_cm": (3, 16),
+    "DIST_SupScapularAngToT10_AVG_cm": (6, 29),
+    "DIST_C7ToT10_cm": (7, 35),
+    "LONG_Arm_AVG_cm": (25, 129),
+    "DIST_UpperArm_AVG_cm": (11, 55),
+    "DIST_Forearm_AVG_cm": (8, 43),
+    "DIST_Hand_AVG_cm": (6, 32),
+    "LONG_Leg_AVG_cm": (28, 144),
+    "DIST_Thigh_AVG_cm": (14, 72),
+    "DIST_LowerLeg_LATERAL_AVG_cm": (14, 72),
+    "DIST_LowerLeg_MEDIAL_AVG_cm": (14, 72),
+    "DIST_Foot_AVG_cm": (5, 26),
+    "PER_Abdominal_cm": (40, 160),
+    "DIST_BetweenSupAntIliacCrest_cm": (11, 56),
+    "PER_Hip_cm": (45, 175),
+    "DIST_SternalEndClavicleToSternalManubrium_AVG_cm": (0.2, 6),
+    "DIST_ManubriumToXiphoidApophysis_cm": (6, 29),
+    "DIST_ManubriumToCentralNavel_cm": (14, 71),
+}
+
+CELLS = "QC_CELLS"
+
+
+def iqr_bounds(df: DataFrame, site: str, columns: list[str], exempt: tuple[str, ...] = ("AGE",), least: int = 5) -> DataFrame:
+    """(site, column, low, high): Tukey fences with exact quartiles; none under five values or without spread, nor for exempt columns.
+
+    One aggregation of the wide table. The quartiles are exact and hold the values of one site and column by their counts of distinct values.
     """
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    out = cells.where(F.col("value").isNotNull() & ~F.col("column").isin(*exempt)).groupBy(site, "column").agg(q.alias("q"), F.count("*").alias("n"))
+    kept = [c for c in columns if c not in exempt]
+    if not kept:
+        return df.select(site, F.lit("").alias("column"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
+    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    out = df.groupBy(site).agg(*(f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(kept) for k, f in (("q", lambda v: F.percentile(v, quartiles)), ("n", F.count))))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q"), F.col(f"n{i}").alias("n")) for i, c in enumerate(kept))))
+    out = out.select(site, cells.alias("c")).select(site, "c.*")
     spread = F.col("q")[1] - F.col("q")[0]
     return out.where((F.col("n") >= least) & (spread != 0)).select(site, "column", (F.col("q")[0] - 1.5 * spread).alias("low"), (F.col("q")[1] + 1.5 * spread).alias("high"))
 
 
-def range_check(ranges: dict[str, tuple[float, float]]) -> Column:
-    """Whether column's value lies out of its inclusive bounds."""
-    tests = [(F.col("column") == c) & ~F.col("value").between(low, high) for c, (low, high) in ranges.items()]
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+def flag(df: DataFrame, site: str, columns: list[str], ranges: dict[str, tuple[float, float]] = RANGES, bounds: DataFrame | None = None) -> DataFrame:
+    """The rows with QC_FLAGS and QC_COLUMNS (sorted ;-joined sets), QC_N_FLAGS (flagged columns) and QC_CELLS, an array of (column, value, flags).
+
+    A missing cell has that flag alone, another up to two. bounds (site, column, low, high) may be given, as for streams.
+    A null site is a site of its own.
+    """
+    bounds = iqr_bounds(df, site, columns) if bounds is None else bounds
+    fences = bounds.groupBy(F.col(site).alias("_site")).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("low", "high").alias("f")))).alias("_fences"))
+    marked = df.join(fences, F.col(site).eqNullSafe(F.col("_site")), "left")  # a row for each site; its size decides how it is joined
 
+    def cell(c: str) -> Column:
+        value, fence = F.col(c).cast("double"), F.col("_fences")[c]
+        missing = value.isNull()
+        low, high = ranges.get(c, (None, None))
+        invalid = F.lit(False) if low is None else ~value.between(F.lit(float(low)), F.lit(float(high)))
+        outlying = (value < fence["low"]) | (value > fence["high"])
+        flags = F.array_compact(F.array(F.when(missing, "missing_values"), F.when(~missing & invalid, "invalid_range"), F.when(~missing & F.coalesce(outlying, F.lit(False)), "outlier")))
+        return F.struct(F.lit(c).alias("column"), value.alias("value"), flags.alias("flags"))
 
-def cell_flags(df: DataFrame, site: str, key: str, columns: list[str], ranges: dict[str, tuple[float, float]], bounds: DataFrame | None = None) -> DataFrame:
-    """(site, key, column, value, flags): a missing cell has that flag alone, another up to two. bounds may be given, as for streams."""
-    cells = long_form(df, [site, key], columns)
-    bounds = iqr_bounds(cells, site) if bounds is None else bounds
-    marked = cells.join(F.broadcast(bounds), [site, "column"], "left")  # a row for each site and column at most
-    missing = F.col("value").isNull()
-    out = F.coalesce((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), F.lit(False))
-    flags = F.array_compact(F.array(F.when(missing, "missing_values"), F.when(~missing & range_check(ranges), "invalid_range"), F.when(~missing & out, "outlier")))
-    return marked.select(site, key, "column", "value", flags.alias("flags"))
+    out = marked.withColumn(CELLS, F.array(*map(cell, columns)))
+    bad = F.filter(CELLS, lambda c: F.size(c["flags"]) > 0)
+    names = F.transform(bad, lambda c: c["column"])
+    rows = {"QC_FLAGS": joined(F.flatten(F.transform(bad, lambda c: c["flags"]))), "QC_COLUMNS": joined(names), "QC_N_FLAGS": F.size(names).cast("long")}
+    return out.withColumns(rows).select(*df.columns, *rows, CELLS)
 
 
-def row_flags(cells: DataFrame, site: str, key: str) -> DataFrame:
-    """(site, key, QC_FLAGS, QC_COLUMNS, QC_N_FLAGS): sorted ;-joined sets, and the number of flagged columns."""
-    columns = F.collect_set(F.when(F.size("flags") > 0, F.col("column")))
-    return cells.groupBy(site, key).agg(joined(F.flatten(F.collect_list("flags"))).alias("QC_FLAGS"), joined(columns).alias("QC_COLUMNS"), F.size(columns).cast("long").alias("QC_N_FLAGS"))
+def cells(flagged: DataFrame, *keep: str) -> DataFrame:
+    """A row for each cell: the kept columns, column, value and its flags."""
+    return flagged.select(*keep, F.explode(CELLS).alias("c")).select(*keep, "c.*")
 
 
 def status(pct: Column) -> Column:
     return F.when(pct == 0, "complete").when(pct <= 10, "low_missing").when(pct <= 25, "moderate_missing").otherwise("high_missing")
 
 
-def report(cells: DataFrame, site: str, key: str, mode: str = "row_level") -> DataFrame:
-    """Counts and shares by site and column.
+def report(flagged: DataFrame, site: str, mode: str = "row_level") -> DataFrame:
+    """Counts and shares by site and column, one aggregation.
 
     row_level counts a flagged cell under every flag of its row, as published reports do; cell_level under its own.
     """
-    own = cells
-    if mode == "row_level":
-        rows = cells.groupBy(site, key).agg(F.array_distinct(F.flatten(F.collect_list("flags"))).alias("row"))
-        own = cells.join(rows, [site, key]).withColumn("flags", F.when(F.size("flags") > 0, F.col("row")).otherwise(F.col("flags")))
-    elif mode != "cell_level":
+    if mode not in ("row_level", "cell_level"):
         raise ValueError(mode)
+    own = cells(flagged, site, "QC_FLAGS")
+    if mode == "row_level":
+        own = own.withColumn("flags", F.when(F.size("flags") > 0, F.split("QC_FLAGS", ";")).otherwise(F.col("flags")))
     has = lambda f: F.sum(F.array_contains("flags", f).cast("long"))
-    n = F.count("*")
-    out = own.groupBy(site, "column").agg(n.alias("n_rows"), F.sum(F.col("value").isNull().cast("long")).alias("n_missing"), has("invalid_range").alias("n_invalid_range"), has("outlier").alias("n_outliers"))
+    out = own.groupBy(site, "column").agg(F.count("*").alias("n_rows"), F.sum(F.col("value").isNull().cast("long")).alias("n_missing"), has("invalid_range").alias("n_invalid_range"), has("outlier").alias("n_outliers"))
     pct = lambda c: 100 * F.col(c) / F.col("n_rows")
     return out.withColumns({"missing_pct": F.bround(pct("n_missing"), 2), "invalid_range_pct": F.bround(pct("n_invalid_range"), 2), "outlier_pct": F.bround(pct("n_outliers"), 2), "column_status": status(pct("n_missing"))})
 
 
-def flagged_values(cells: DataFrame, site: str, key: str) -> DataFrame:
-    """A row for each flagged cell with its row's flags."""
-    rows = row_flags(cells, site, key).select(site, key, "QC_FLAGS")
-    return cells.where(F.size("flags") > 0).join(rows, [site, key]).select(site, key, "column", "value", "QC_FLAGS")
+def flagged_values(flagged: DataFrame, *keys: str) -> DataFrame:
+    """A row for each flagged cell with its row's keys and flags."""
+    return cells(flagged, *keys, "QC_FLAGS").where(F.size("flags") > 0).select(*keys, "column", "value", "QC_FLAGS")
 
 
 def pass_through(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, nulls
@@ -54,7 +54,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 SALT = "a salt for tests"
 RANGES = {"balance": (-900.0, 9900.0), "AGE": (0.0, 23.0)}
 MEASURES = ["balance", "spend", "AGE"]
-CUST = """cust AS (SELECT c_mktsegment AS site, CAST(c_custkey AS VARCHAR) AS id,
+CUST = """cust AS (SELECT c_custkey AS rid, CASE WHEN c_custkey % 23 <> 0 THEN c_mktsegment END AS site, CASE WHEN c_custkey % 19 <> 0 THEN CAST(c_custkey // 2 AS VARCHAR) END AS id,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_acctbal END AS balance,
   CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 97 = 0 THEN c_acctbal * 20 ELSE c_acctbal / 2 + c_nationkey END AS spend,
   CAST(c_nationkey AS DOUBLE) AS "AGE" FROM customer)"""
@@ -63,7 +63,7 @@ CUST = """cust AS (SELECT c_mktsegment AS site, CAST(c_custkey AS VARCHAR) AS id
 def customers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     spend = F.when(k % 17 == 0, None).when(k % 97 == 0, F.col("c_acctbal") * 20).otherwise(F.col("c_acctbal") / 2 + F.col("c_nationkey"))
-    return table(spark, d, "customer").select(F.col("c_mktsegment").alias("site"), k.cast("string").alias("id"), F.when(k % 11 != 0, F.col("c_acctbal")).alias("balance"), spend.alias("spend"), F.col("c_nationkey").cast("double").alias("AGE"))
+    return table(spark, d, "customer").select(F.when(k % 23 != 0, F.col("c_mktsegment")).alias("site"), F.when(k % 19 != 0, F.floor(k / 2).cast("string")).alias("id"), F.when(k % 11 != 0, F.col("c_acctbal")).alias("balance"), spend.alias("spend"), F.col("c_nationkey").cast("double").alias("AGE"))
 
 
 EST = """est AS (SELECT o_orderkey, o_custkey AS subject, o_orderpriority AS view, o_totalprice AS truth, net, gross
@@ -77,16 +77,29 @@ def estimates(spark: SparkSession, d: str) -> DataFrame:
     return o.join(sums, o.o_orderkey == sums.l_orderkey, "left").drop("l_orderkey")
 
 
+GAPS = EST + """, gaps AS (SELECT o_orderkey, CASE WHEN o_orderkey % 31 <> 0 THEN view END AS view, CASE WHEN o_orderkey % 29 <> 0 THEN truth END AS truth, net FROM est)"""
+
+
+def gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates some of which lack the view or the truth."""
+    k = F.col("o_orderkey")
+    return estimates(spark, d).withColumns({"view": F.when(k % 31 != 0, F.col("view")), "truth": F.when(k % 29 != 0, F.col("truth"))})
+
+
 GROUPS = {"FRONT+BACK": ["1-URGENT", "2-HIGH"], "LEFT+RIGHT": ["3-MEDIUM", "5-LOW"]}
-IMG = """img AS (SELECT event_id, user_id AS subject, CASE event_id % 5 WHEN 0 THEN 'front' WHEN 1 THEN 'back' WHEN 2 THEN 'left' WHEN 3 THEN 'right' ELSE 'top' END AS view,
-  CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS y, CASE WHEN event_id % 7 = 0 THEN FALSE ELSE value BETWEEN 1 AND 150 END AS ok FROM events)"""
+IMG = """img AS (SELECT *, coalesce(status = 'ok' AND h > 40 AND h < 230, FALSE) AS ok FROM (SELECT event_id, user_id AS subject, CASE event_id % 5 WHEN 0 THEN 'front' WHEN 1 THEN 'back' WHEN 2 THEN 'left' WHEN 3 THEN 'right' ELSE 'top' END AS view,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS y, CASE WHEN event_id % 11 = 0 THEN 'no_marker' ELSE 'ok' END AS status, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value + 39 END AS h FROM events))"""
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     e, i = table(spark, d, "events"), F.col("event_id")
     view = F.when(i % 5 == 0, "front").when(i % 5 == 1, "back").when(i % 5 == 2, "left").when(i % 5 == 3, "right").otherwise("top")
     y = F.when(i % 7 != 0, F.col("value"))
-    return e.select(i, F.col("user_id").alias("subject"), view.alias("view"), y.alias("y"), F.coalesce(y.between(1, 150), F.lit(False)).alias("ok"))
+    return e.select(i, F.col("user_id").alias("subject"), view.alias("view"), y.alias("y"), F.when(i % 11 == 0, "no_marker").otherwise("ok").alias("status"), (y + 39).alias("h"))
+
+
+def donor(views: tuple[str, ...] = horizon.FRONT_BACK) -> Column:
+    return horizon.valid_donor(F.col("view"), views, F.col("status"), F.col("y"), F.col("h"))
 
 
 DIMS = [f"e{i}" for i in range(1, 9)]
@@ -170,58 +183,58 @@ def semi_subjects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_subjects(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
 
 
 # ---- quality control ------------------------------------------------------------
 
-CELLS = CUST + """, cells AS (SELECT site, id, 'balance' AS "column", balance AS value FROM cust UNION ALL SELECT site, id, 'spend', spend FROM cust UNION ALL SELECT site, id, 'AGE', "AGE" FROM cust),
+CELLS = CUST + """, cells AS (SELECT rid, site, id, 'balance' AS "column", balance AS value FROM cust UNION ALL SELECT rid, site, id, 'spend', spend FROM cust UNION ALL SELECT rid, site, id, 'AGE', "AGE" FROM cust),
 q AS (SELECT site, "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM cells WHERE value IS NOT NULL AND "column" <> 'AGE' GROUP BY 1, 2),
 bounds AS (SELECT site, "column", q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q WHERE n >= 5 AND q3 <> q1),
-marked AS (SELECT c.site, c.id, c."column", c.value, c.value IS NULL AS miss,
+marked AS (SELECT c.rid, c.site, c.id, c."column", c.value, c.value IS NULL AS miss,
   coalesce((c."column" = 'balance' AND NOT c.value BETWEEN -900 AND 9900) OR (c."column" = 'AGE' AND NOT c.value BETWEEN 0 AND 23), FALSE) AS inv,
-  coalesce(c.value < low OR c.value > high, FALSE) AS outl FROM cells c LEFT JOIN bounds b ON b.site = c.site AND b."column" = c."column"),
-rowf AS (SELECT site, id, concat_ws(';', CASE WHEN bool_or(inv) THEN 'invalid_range' END, CASE WHEN bool_or(miss) THEN 'missing_values' END, CASE WHEN bool_or(outl) THEN 'outlier' END) AS "QC_FLAGS",
-  coalesce(string_agg("column", ';' ORDER BY "column") FILTER (miss OR inv OR outl), '') AS "QC_COLUMNS", count(*) FILTER (miss OR inv OR outl) AS "QC_N_FLAGS", bool_or(inv) AS rinv, bool_or(outl) AS routl FROM marked GROUP BY 1, 2)"""
+  coalesce(c.value < low OR c.value > high, FALSE) AS outl FROM cells c LEFT JOIN bounds b ON b.site IS NOT DISTINCT FROM c.site AND b."column" = c."column"),
+rowf AS (SELECT rid, any_value(site) AS site, any_value(id) AS id, concat_ws(';', CASE WHEN bool_or(inv) THEN 'invalid_range' END, CASE WHEN bool_or(miss) THEN 'missing_values' END, CASE WHEN bool_or(outl) THEN 'outlier' END) AS "QC_FLAGS",
+  coalesce(string_agg("column", ';' ORDER BY "column") FILTER (miss OR inv OR outl), '') AS "QC_COLUMNS", count(*) FILTER (miss OR inv OR outl) AS "QC_N_FLAGS", bool_or(inv) AS rinv, bool_or(outl) AS routl FROM marked GROUP BY 1)"""
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    return qc.cell_flags(customers(spark, d), "site", "id", MEASURES, RANGES)
+def flagged(spark: SparkSession, d: str) -> DataFrame:
+    return qc.flag(customers(spark, d), "site", MEASURES, RANGES)
 
 
 @query(f"""WITH {CELLS} SELECT site, "column", round(low, 6) AS low, round(high, 6) AS high FROM bounds""")
 def qc_iqr_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(qc.iqr_bounds(qc.long_form(customers(spark, d), ["site", "id"], MEASURES), "site"))
+    return tidy(qc.iqr_bounds(customers(spark, d), "site", MEASURES))
 
 
 @query(f"""WITH {CELLS} SELECT site, id, "QC_FLAGS", "QC_COLUMNS", "QC_N_FLAGS" FROM rowf""")
 def qc_flags(spark: SparkSession, d: str) -> DataFrame:
-    return qc.row_flags(cells(spark, d), "site", "id")
+    return flagged(spark, d).select("site", "id", "QC_FLAGS", "QC_COLUMNS", "QC_N_FLAGS")
 
 
-def _report(inv: str, outl: str) -> str:
-    return f"""WITH {CELLS}, r AS (SELECT m.site, m."column", count(*) AS n_rows, count(*) FILTER (miss) AS n_missing, count(*) FILTER ({inv}) AS n_invalid_range, count(*) FILTER ({outl}) AS n_outliers
-FROM marked m JOIN rowf USING (site, id) GROUP BY 1, 2)
+def _report(inv: str, outl: str, cells: str = "") -> str:
+    return f"""WITH {cells or CELLS}, r AS (SELECT m.site, m."column", count(*) AS n_rows, count(*) FILTER (miss) AS n_missing, count(*) FILTER ({inv}) AS n_invalid_range, count(*) FILTER ({outl}) AS n_outliers
+FROM marked m JOIN rowf USING (rid) GROUP BY 1, 2)
 SELECT *, round_even(100 * n_missing / n_rows, 2) AS missing_pct, round_even(100 * n_invalid_range / n_rows, 2) AS invalid_range_pct, round_even(100 * n_outliers / n_rows, 2) AS outlier_pct,
 CASE WHEN n_missing = 0 THEN 'complete' WHEN 100 * n_missing / n_rows <= 10 THEN 'low_missing' WHEN 100 * n_missing / n_rows <= 25 THEN 'moderate_missing' ELSE 'high_missing' END AS column_status FROM r"""
 
 
 @query(_report("(miss OR inv OR outl) AND rinv", "(miss OR inv OR outl) AND routl"))
 def qc_report_row_level(spark: SparkSession, d: str) -> DataFrame:
-    return qc.report(cells(spark, d), "site", "id")
+    return qc.report(flagged(spark, d), "site")
 
 
 @query(_report("inv", "outl"))
 def qc_report_cell_level(spark: SparkSession, d: str) -> DataFrame:
-    return qc.report(cells(spark, d), "site", "id", "cell_level")
+    return qc.report(flagged(spark, d), "site", "cell_level")
 
 
-@query(f"""WITH {CELLS} SELECT m.site, m.id, "column", round(value, 6) AS value, "QC_FLAGS" FROM marked m JOIN rowf USING (site, id) WHERE miss OR inv OR outl""")
+@query(f"""WITH {CELLS} SELECT m.site, m.id, "column", round(value, 6) AS value, "QC_FLAGS" FROM marked m JOIN rowf USING (rid) WHERE miss OR inv OR outl""")
 def qc_flagged_values(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(qc.flagged_values(cells(spark, d), "site", "id"))
+    return tidy(qc.flagged_values(flagged(spark, d), "site", "id"))
 
 
 @query(f"""WITH {CUST} SELECT site, id, round(balance, 6) AS balance, '' AS "IMPUTED_COLUMNS", 0::BIGINT AS "N_IMPUTED_VALUES" FROM cust""")
@@ -293,9 +306,9 @@ def pooled_metrics(spark: SparkSession, d: str) -> DataFrame:
     return tidy(metrics.pooled(matrix(spark, d).where(F.col("grp").like("_-%")), ["method"]))
 
 
-@query(f"WITH {IMG} SELECT view, ok, count(*) AS n FROM img GROUP BY 1, 2")
+@query(f"WITH {IMG} SELECT view, status, count(*) AS n FROM img GROUP BY 1, 2")
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.value_counts(images(spark, d), "view", "ok")
+    return metrics.value_counts(images(spark, d), "view", "status")
 
 
 @query(f"WITH {EST} SELECT subject, round(median(truth), 6) AS truth, round(avg(net), 6) AS mean_estimate, round(median(net), 6) AS median_estimate, count(net) AS n FROM est GROUP BY 1 HAVING count(net) > 0")
@@ -355,12 +368,12 @@ def nearest_2d(spark: SparkSession, d: str) -> DataFrame:
     return tidy(nearest.nearest(feet(spark, d), references(spark, d), "l_orderkey", dist, "ref_no", ["ref_no", "scale"]).drop("fy", "fx"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS p_partkey, avg(l_tax) AS v FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1), b AS (SELECT p_brand, avg(p_retailprice) AS v FROM part WHERE p_size > 25 GROUP BY 1), t AS (SELECT p_type, avg(p_retailprice) AS v FROM part GROUP BY 1)
+@query("""WITH a AS (SELECT l_partkey AS p_partkey, avg(l_tax) AS v FROM lineitem WHERE l_quantity >= 50 GROUP BY 1), b AS (SELECT p_brand, avg(p_retailprice) AS v FROM part WHERE p_size > 25 GROUP BY 1), t AS (SELECT p_type, avg(p_retailprice) AS v FROM part GROUP BY 1)
 SELECT p.p_partkey, round(coalesce(a.v, CASE WHEN p.p_size > 10 THEN b.v END, t.v), 6) AS v, CASE WHEN a.v IS NOT NULL THEN 'part' WHEN p.p_size > 10 AND b.v IS NOT NULL THEN 'brand' WHEN t.v IS NOT NULL THEN 'type' ELSE 'none' END AS level
 FROM part p LEFT JOIN a USING (p_partkey) LEFT JOIN b USING (p_brand) LEFT JOIN t USING (p_type)""")
 def cascading_lookup(spark: SparkSession, d: str) -> DataFrame:
     p, li = table(spark, d, "part"), table(spark, d, "lineitem")
-    a = li.where(F.col("l_partkey") % 3 == 0).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_tax").alias("v"))
+    a = li.where("l_quantity >= 50").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_tax").alias("v"))
     b = p.where("p_size > 25").groupBy(F.col("p_brand").alias("brand")).agg(F.avg("p_retailprice").alias("v"))
     t = p.groupBy("p_type").agg(F.avg("p_retailprice").alias("v"))
     rows = p.select("p_partkey", "p_type", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("brand"))
@@ -375,24 +388,24 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- calibration and sweeps -----------------------------------------------------
 
-LOO = EST + """, s AS (SELECT view, count(*) AS n, avg(net) AS mx, avg(truth) AS my, var_pop(net) AS vx, covar_pop(truth, net) AS cxy FROM est WHERE net IS NOT NULL GROUP BY 1),
-loo AS (SELECT o_orderkey, view, truth, net, CASE WHEN net IS NULL OR n < 8 THEN net ELSE my - (truth - my) / (n - 1) + (n * cxy - n / (n - 1) * (net - mx) * (truth - my)) / (n * vx - n / (n - 1) * (net - mx) * (net - mx)) * ((net - mx) + (net - mx) / (n - 1)) END AS corrected
-FROM (SELECT o_orderkey, view, truth, net, CAST(n AS DOUBLE) AS n, mx, my, vx, cxy FROM est LEFT JOIN s USING (view)))"""
+LOO = GAPS + """, s AS (SELECT view, count(*) AS n, avg(net) AS mx, avg(truth) AS my, var_pop(net) AS vx, covar_pop(truth, net) AS cxy FROM gaps WHERE net IS NOT NULL AND truth IS NOT NULL GROUP BY 1),
+loo AS (SELECT o_orderkey, view, truth, net, CASE WHEN net IS NULL OR truth IS NULL OR n IS NULL THEN NULL WHEN n < 8 THEN net ELSE my - (truth - my) / (n - 1) + (n * cxy - n / (n - 1) * (net - mx) * (truth - my)) / (n * vx - n / (n - 1) * (net - mx) * (net - mx)) * ((net - mx) + (net - mx) / (n - 1)) END AS corrected
+FROM (SELECT o_orderkey, gaps.view, truth, net, CAST(n AS DOUBLE) AS n, mx, my, vx, cxy FROM gaps LEFT JOIN s ON s.view = gaps.view))"""
 
 
-@query(f"WITH {LOO} SELECT o_orderkey, round(corrected, 4) AS corrected FROM loo")
+@query(f"WITH {LOO} SELECT o_orderkey, view, round(corrected, 4) AS corrected FROM loo")
 def loo_linear_calibration(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(calibrate.leave_one_out(estimates(spark, d), "net", "truth", ["view"]).select("o_orderkey", "corrected"), 4)
+    return tidy(calibrate.leave_one_out(gaps(spark, d), "net", "truth", ["view"]).select("o_orderkey", "view", "corrected"), 4)
 
 
 @query(f"""WITH {LOO} SELECT coalesce(view, 'GLOBAL') AS view, count(*) AS n, round(avg(net - truth), 4) AS bias_before, round(avg(abs(net - truth)), 4) AS mae_before, round(sqrt(avg((net - truth) * (net - truth))), 4) AS rmse_before,
-round(avg(corrected - truth), 4) AS bias_after, round(avg(abs(corrected - truth)), 4) AS mae_after, round(sqrt(avg((corrected - truth) * (corrected - truth))), 4) AS rmse_after FROM loo WHERE net IS NOT NULL GROUP BY GROUPING SETS ((view), ())""")
+round(avg(corrected - truth), 4) AS bias_after, round(avg(abs(corrected - truth)), 4) AS mae_after, round(sqrt(avg((corrected - truth) * (corrected - truth))), 4) AS rmse_after FROM loo WHERE corrected IS NOT NULL GROUP BY GROUPING SETS ((view), ())""")
 def calibration_before_after(spark: SparkSession, d: str) -> DataFrame:
-    out = calibrate.leave_one_out(estimates(spark, d), "net", "truth", ["view"])
+    out = calibrate.leave_one_out(gaps(spark, d), "net", "truth", ["view"])
     return tidy(calibrate.before_after(out, "truth", "net", "corrected", "view"), 4)
 
 
-FACTORS = [round(0.6 + 0.05 * i, 2) for i in range(29)]
+FACTORS = calibrate.FACTORS
 SWEEP = EST + f""", sw AS (SELECT factor, {ERR} FROM (SELECT factor, net * factor - truth AS e FROM est, (SELECT CAST(unnest([{", ".join(map(str, FACTORS))}]) AS DOUBLE) AS factor)) GROUP BY 1)"""
 
 
@@ -417,39 +430,36 @@ LOSO = IMG + f""", fb AS (SELECT subject, y FROM img WHERE {FB}), la AS (SELECT
 gfb AS (SELECT s.subject, median(CASE WHEN fb.subject <> s.subject THEN fb.y END) AS v FROM subj s, fb GROUP BY 1), gl AS (SELECT s.subject, median(CASE WHEN la.subject <> s.subject THEN la.y END) AS v FROM subj s, la GROUP BY 1),
 sfb AS (SELECT subject, median(y) AS v FROM fb GROUP BY 1), sl AS (SELECT subject, median(y) AS v FROM la GROUP BY 1)"""
 HIER = LOSO + """, c AS (SELECT img.event_id, img.view, CASE WHEN ok THEN y END AS own, sfb.v AS sfb, sl.v AS sl, gfb.v AS gfb, gl.v AS gl FROM img LEFT JOIN sfb USING (subject) LEFT JOIN sl USING (subject) LEFT JOIN gfb USING (subject) LEFT JOIN gl USING (subject)),
-hier AS (SELECT event_id, view, CASE WHEN view IN ('front', 'back') THEN CASE WHEN sfb IS NOT NULL THEN {'y': sfb, 's': 'subject_front_back', 'r': 'high'} WHEN own IS NOT NULL THEN {'y': own, 's': 'own_cube', 'r': 'medium'} WHEN gfb IS NOT NULL THEN {'y': gfb, 's': 'global_front_back_loo', 'r': 'low'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_loo', 'r': 'very_low'} ELSE {'y': NULL, 's': 'none', 'r': 'unavailable'} END
-WHEN view IN ('left', 'right') THEN CASE WHEN own IS NOT NULL THEN {'y': own, 's': 'own_cube', 'r': 'high'} WHEN sl IS NOT NULL THEN {'y': sl, 's': 'subject_lateral', 'r': 'medium'} WHEN coalesce(sfb, gfb) IS NOT NULL THEN {'y': coalesce(sfb, gfb), 's': 'subject_front_back_lateral_fallback', 'r': 'medium'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_loo', 'r': 'low'} ELSE {'y': NULL, 's': 'none', 'r': 'unavailable'} END
-ELSE CASE WHEN own IS NOT NULL THEN {'y': own, 's': 'own_cube', 'r': 'medium'} WHEN coalesce(sfb, gfb) IS NOT NULL THEN {'y': coalesce(sfb, gfb), 's': 'shared', 'r': 'low'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_loo', 'r': 'very_low'} ELSE {'y': NULL, 's': 'none', 'r': 'unavailable'} END END AS p FROM c)"""
-
-
-def donors(df: DataFrame) -> DataFrame:
-    return df.where(F.col("view").isin(*horizon.FRONT_BACK) & F.col("ok"))
+hier AS (SELECT event_id, view, coalesce(sfb, gfb) AS shared, CASE WHEN sfb IS NOT NULL THEN 'subject_front_back' ELSE 'global_front_back_fallback_loo' END AS shared_source, gfb, gl, CASE WHEN view IN ('front', 'back') THEN CASE WHEN sfb IS NOT NULL THEN {'y': sfb, 's': 'subject_front_back', 'r': 'high'} WHEN own IS NOT NULL THEN {'y': own, 's': 'per_image_cube_front_back_fallback', 'r': 'medium'} WHEN gfb IS NOT NULL THEN {'y': gfb, 's': 'global_front_back_fallback_loo', 'r': 'low'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_last_resort_loo', 'r': 'very_low'} ELSE {'y': NULL, 's': 'no_valid_horizon', 'r': 'unavailable'} END
+WHEN view IN ('left', 'right') THEN CASE WHEN own IS NOT NULL THEN {'y': own, 's': 'per_image_cube_lateral', 'r': 'high'} WHEN sl IS NOT NULL THEN {'y': sl, 's': 'paired_lateral_subject_fallback', 'r': 'medium'} WHEN coalesce(sfb, gfb) IS NOT NULL THEN {'y': coalesce(sfb, gfb), 's': 'subject_front_back_lateral_fallback', 'r': 'medium'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_fallback_loo', 'r': 'low'} ELSE {'y': NULL, 's': 'no_valid_horizon', 'r': 'unavailable'} END
+ELSE CASE WHEN own IS NOT NULL THEN {'y': own, 's': 'per_image_cube_unknown_view', 'r': 'medium'} WHEN coalesce(sfb, gfb) IS NOT NULL THEN {'y': coalesce(sfb, gfb), 's': 'shared_unknown_view_fallback', 'r': 'low'} WHEN gl IS NOT NULL THEN {'y': gl, 's': 'global_lateral_unknown_view_fallback_loo', 'r': 'very_low'} ELSE {'y': NULL, 's': 'no_valid_horizon', 'r': 'unavailable'} END END AS p FROM c)"""
 
 
 @query(f"""WITH {IMG}, own AS (SELECT subject, median(y) AS v FROM img WHERE {FB} GROUP BY 1), g AS (SELECT median(y) AS v FROM img WHERE {FB})
 SELECT event_id, round(coalesce(own.v, g.v), 6) AS shared, CASE WHEN own.v IS NOT NULL THEN 'subject' WHEN g.v IS NOT NULL THEN 'global' END AS shared_source FROM img LEFT JOIN own USING (subject), g""")
 def shared_reference(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(horizon.shared(images(spark, d), "subject", "y", F.col("view").isin(*horizon.FRONT_BACK) & F.col("ok")).select("event_id", "shared", "shared_source"))
+    return tidy(horizon.shared(images(spark, d), "subject", "y", donor()).select("event_id", "shared", "shared_source"))
 
 
 @query(f"WITH {LOSO} SELECT subject, round(v, 6) AS loso FROM gfb")
 def loso_median(spark: SparkSession, d: str) -> DataFrame:
     i = images(spark, d)
-    return tidy(horizon.loso_median(donors(i), i, "subject", "y"))
+    return tidy(horizon.loso_median(i.where(donor()), i, "subject", "y"))
 
 
 def corrected(spark: SparkSession, d: str) -> DataFrame:
-    return horizon.correct(images(spark, d), "subject", "view", "y", F.col("ok"))
+    return horizon.correct(images(spark, d), "subject", "view", "y", "status", "h")
 
 
-@query(f"WITH {HIER} SELECT event_id, round(p.y, 6) AS horizon_y, p.s AS source, p.r AS reliability FROM hier")
+@query(f"""WITH {HIER} SELECT event_id, round(shared, 6) AS y_horizon_shared, shared_source AS horizon_shared_source, round(gfb, 6) AS y_global_front_back_loo, round(gl, 6) AS y_global_lateral_loo,
+round(p.y, 6) AS y_horizon_corrected, p.s AS horizon_corrected_source, p.r AS height_reliability FROM hier""")
 def horizon_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(corrected(spark, d).select("event_id", "horizon_y", "source", "reliability"))
+    return tidy(corrected(spark, d).drop("subject", "view", "y", "status", "h"))
 
 
-@query(f"WITH {HIER} SELECT view, p.s AS source, p.r AS reliability, count(*) AS n FROM hier GROUP BY 1, 2, 3")
+@query(f"WITH {HIER} SELECT view, p.s AS horizon_corrected_source, p.r AS height_reliability, count(*) AS n FROM hier GROUP BY 1, 2, 3")
 def horizon_sources(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.value_counts(corrected(spark, d), "view", "source", "reliability")
+    return metrics.value_counts(corrected(spark, d), "view", "horizon_corrected_source", "height_reliability")
 
 
 HEIGHTS = "g AS (SELECT l_orderkey, l_linenumber, 100 + l_quantity AS feet, l_discount * 1000 AS head, CAST(l_linenumber AS DOUBLE) * 25 AS hor, l_tax * 1000 AS cam, CAST(l_suppkey % 50 + 110 AS DOUBLE) AS mask FROM lineitem)"
@@ -486,12 +496,15 @@ def foot_variants(spark: SparkSession, d: str) -> DataFrame:
     return tidy(p.select("l_orderkey", "l_linenumber", "f.foot", geometry.height(c("cam"), c("f.y"), c("head"), c("hor"), "b").alias("h")))
 
 
-@query(f"""WITH {HEIGHTS} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN hor - head > 0 THEN feet - cam * (feet - head) / (hor - head) END, 6) AS y, round(least(greatest(feet - 1.2 * cam, head), feet - 1), 6) AS crown, round(CASE WHEN abs(mask - head) <= 0.12 * (feet - head) THEN mask ELSE head END, 6) AS moved,
+@query(f"""WITH {HEIGHTS} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(CASE WHEN hor - head > 0 THEN feet - cam * (feet - head) / (hor - head) END, 6) AS y, round(least(greatest(feet - 1.2 * cam, head), feet - 1), 6) AS crown, round(CASE WHEN abs(mask - head) <= 0.12 * (feet - head) THEN mask ELSE head END, 6) AS moved, CASE WHEN abs(mask - head) <= 0.12 * (feet - head) THEN 'mask_trim_hair' ELSE 'pose' END AS source,
+round(CASE WHEN abs(mask - head) <= 0.3 * (feet - head) THEN CASE WHEN l_linenumber % 2 = 0 THEN greatest(mask, head - 5) ELSE mask END ELSE head END, 6) AS capped, CASE WHEN abs(mask - head) > 0.3 * (feet - head) THEN 'pose' WHEN l_linenumber % 2 = 0 THEN 'mask_trim_hair_capped' ELSE 'mask_trim_hair' END AS capped_source,
 round(1 - abs(abs(degrees(atan2(mask - feet, hor - head))) % 180 - 90) / 90, 6) AS upright FROM g""")
 def landmarks(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     p = poses(spark, d)
-    return tidy(p.select("l_orderkey", "l_linenumber", geometry.horizon(c("feet"), c("head"), c("cam"), c("hor") - c("head")).alias("y"), geometry.crown(c("feet"), c("cam"), F.lit(1.2), c("head")).alias("crown"), geometry.capped_move(c("head"), c("mask"), c("feet")).alias("moved"), geometry.verticality(c("head"), c("feet"), c("hor"), c("mask")).alias("upright")))
+    free = geometry.corrected_head(F.lit("left"), c("head"), c("mask"), c("feet"), rise_px=None)
+    capped = geometry.corrected_head(F.when(c("l_linenumber") % 2 == 0, "left").otherwise("front"), c("head"), c("mask"), c("feet"), 0.3, 5.0)
+    return tidy(p.select("l_orderkey", "l_linenumber", geometry.horizon(c("feet"), c("head"), c("cam"), c("hor") - c("head")).alias("y"), geometry.crown(c("feet"), c("cam"), F.lit(1.2), c("head")).alias("crown"), free["head_y"].alias("moved"), free["head_source"].alias("source"), capped["head_y"].alias("capped"), capped["head_source"].alias("capped_source"), geometry.verticality(c("head"), c("feet"), c("hor"), c("mask")).alias("upright")))
 
 
 # ---- fusion ---------------------------------------------------------------------
@@ -503,10 +516,13 @@ def subject_fusion(spark: SparkSession, d: str) -> DataFrame:
     return tidy(fuse.subjects(images(spark, d), "subject", "view", "y"))
 
 
-@query("""SELECT c_nationkey::BIGINT AS c_nationkey, round(median(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 6) AS "1-URGENT", round(median(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 6) AS "5-LOW" FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT c_nationkey::BIGINT AS c_nationkey, " + ", ".join(f"""round(median(o_totalprice) FILTER (o_orderpriority = '{p}'), 6) AS "{p}\"""" for p in PRIORITIES) + " FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def pivot_median(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return tidy(fuse.pivot_median(o, "c_nationkey", "o_orderpriority", ["1-URGENT", "5-LOW"], "o_totalprice"))
+    return tidy(fuse.pivot_median(o, "c_nationkey", "o_orderpriority", PRIORITIES, "o_totalprice"))
 
 
 CHAIN = """s AS (SELECT vec_id, list_filter(list_transform(embedding[1:4], lambda x: abs(CAST(x AS DOUBLE)) * 4), lambda c: c >= 0.25) AS l, list_filter(list_transform(embedding[5:8], lambda x: abs(CAST(x AS DOUBLE)) * 4), lambda c: c >= 0.25) AS r FROM embeddings),
@@ -640,16 +656,24 @@ def knn_impute(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {IMP}, w AS (SELECT vec_id, max(value) FILTER ("column" = 'e4') AS i4, max(value) FILTER ("column" = 'e5') AS i5, max(value) FILTER ("column" = 'e6') AS i6 FROM imp GROUP BY 1)
-SELECT vec_id, round(coalesce(e4, i4), 6) AS e4, round(coalesce(e5, i5), 6) AS e5, round(coalesce(e6, i6), 6) AS e6, e4 IS NULL AND i4 IS NOT NULL AS e4_was_imputed, e5 IS NULL AND i5 IS NOT NULL AS e5_was_imputed, e6 IS NULL AND i6 IS NOT NULL AS e6_was_imputed FROM vec LEFT JOIN w USING (vec_id)""")
+SELECT vec_id, round(coalesce(e4, i4), 6) AS e4, round(coalesce(e5, i5), 6) AS e5, round(coalesce(e6, i6), 6) AS e6, e4 IS NULL AND i4 IS NOT NULL AS e4_was_imputed, e5 IS NULL AND i5 IS NOT NULL AS e5_was_imputed, e6 IS NULL AND i6 IS NOT NULL AS e6_was_imputed,
+concat_ws(';', CASE WHEN e4 IS NULL AND i4 IS NOT NULL THEN 'e4' END, CASE WHEN e5 IS NULL AND i5 IS NOT NULL THEN 'e5' END, CASE WHEN e6 IS NULL AND i6 IS NOT NULL THEN 'e6' END) AS "IMPUTED_COLUMNS", ((e4 IS NULL AND i4 IS NOT NULL)::INT + (e5 IS NULL AND i5 IS NOT NULL)::INT + (e6 IS NULL AND i6 IS NOT NULL)::INT)::BIGINT AS "N_IMPUTED_VALUES" FROM vec LEFT JOIN w USING (vec_id)""")
 def knn_complete(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS), ["label"], "vec_id", TARGETS)
-    return tidy(out.select("vec_id", *TARGETS, *(f"{c}_was_imputed" for c in TARGETS)))
+    return tidy(out.select("vec_id", *TARGETS, *(f"{c}_was_imputed" for c in TARGETS), "IMPUTED_COLUMNS", "N_IMPUTED_VALUES"))
+
+
+@query(f"WITH {IMP} SELECT count(*) AS n FROM imp")
+def imputed_total(spark: SparkSession, d: str) -> DataFrame:
+    v = vectors(spark, d)
+    out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS), ["label"], "vec_id", TARGETS)
+    return tidy(out.agg(F.sum("N_IMPUTED_VALUES").alias("n")))
 
 
-KS = [1, 3, 5]
-DET = PAIRS + ", det AS (" + " UNION ALL ".join(f"""SELECT label, vec_id, 'e{i}' AS "column", v{i} AS own, d{i} AS given, donor, row_number() OVER w AS rn, count(*) OVER (PARTITION BY label, vec_id) AS others FROM (SELECT *, sqrt(8.0 / (m - (t{i} IS NOT NULL)::INT) * greatest(s - coalesce(t{i}, 0), 0)) AS dist FROM ps WHERE v{i} IS NOT NULL AND d{i} IS NOT NULL AND m - (t{i} IS NOT NULL)::INT > 0) WINDOW w AS (PARTITION BY label, vec_id ORDER BY dist, donor)""" for i in (4, 5, 6)) + f"""),
-lv AS (SELECT label, vec_id, "column", k, first(own) AS truth, median(given) AS predicted, string_agg(CAST(donor AS VARCHAR), ';' ORDER BY rn) AS donors FROM det JOIN (SELECT unnest({KS}) AS k) ON rn <= k WHERE others + 1 >= 3 GROUP BY 1, 2, 3, 4)"""
+KS = [1, 3, 5, 7, 9]
+DET = PAIRS + ", det AS (" + " UNION ALL ".join(f"""SELECT label, vec_id, 'e{i}' AS "column", v{i} AS own, d{i} AS given, donor, row_number() OVER w AS rn, (SELECT count(e{i}) FROM vec WHERE vec.label = x.label) AS observed FROM (SELECT *, sqrt(8.0 / (m - (t{i} IS NOT NULL)::INT) * greatest(s - coalesce(t{i}, 0), 0)) AS dist FROM ps WHERE v{i} IS NOT NULL AND d{i} IS NOT NULL AND m - (t{i} IS NOT NULL)::INT > 0) x WINDOW w AS (PARTITION BY label, vec_id ORDER BY dist, donor)""" for i in (4, 5, 6)) + f"""),
+lv AS (SELECT label, vec_id, "column", k, first(own) AS truth, median(given) AS predicted, string_agg(CAST(donor AS VARCHAR), ';' ORDER BY rn) AS donors FROM det JOIN (SELECT unnest({KS}) AS k) ON rn <= k WHERE observed >= 3 GROUP BY 1, 2, 3, 4)"""
 
 
 @query(f"""WITH {DET} SELECT label::BIGINT AS label, vec_id, "column", k::BIGINT AS k, round(truth, 6) AS truth, round(predicted, 6) AS predicted, donors FROM lv""")
@@ -676,7 +700,17 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return tidy(knn.correlations(table(spark, d, "lineitem"), NUMERIC))
 
 
-@query("""SELECT 'l_quantity' AS "column" UNION ALL SELECT 'l_extendedprice' FROM (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) WHERE NOT r > 0.6 UNION ALL SELECT 'l_discount' UNION ALL SELECT 'l_tax'""")
+def _greedy(limit: float) -> str:
+    """Column j stays unless it is redundant with an earlier one that stays."""
+    near = {(a, b): f"coalesce(abs(corr({a}, {b})) > {limit}, FALSE) AS r{i}_{j}" for j, b in enumerate(NUMERIC) for i, a in enumerate(NUMERIC[:j])}
+    out = f"SELECT {', '.join(near.values())} FROM lineitem"
+    for j in range(len(NUMERIC)):
+        test = " OR ".join(f"(k{i} AND r{i}_{j})" for i in range(j)) or "FALSE"
+        out = f"SELECT *, NOT ({test}) AS k{j} FROM ({out})"
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column" FROM ({out}) WHERE k{j}""" for j, c in enumerate(NUMERIC))
+
+
+@query(_greedy(0.6))
 def corr_greedy(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in knn.not_redundant(table(spark, d, "lineitem"), NUMERIC, 0.6)], "column string")
 
@@ -684,14 +718,14 @@ def corr_greedy(spark: SparkSession, d: str) -> DataFrame:
 # ---- comparison and cross-validation --------------------------------------------
 
 
-@query(f"""WITH {EST}, a AS (SELECT o_orderkey, net FROM est WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, gross FROM est WHERE o_orderkey % 4 <> 0), c AS (SELECT o_orderkey, truth FROM est WHERE o_orderkey % 5 <> 0)
-SELECT coalesce(a.o_orderkey, b.o_orderkey, c.o_orderkey) AS o_orderkey, round(net, 6) AS e1_net, round(gross, 6) AS e2_gross, round(truth, 6) AS e3_truth, round(truth / nullif(net, 0), 6) AS scale
-FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey FULL JOIN c ON c.o_orderkey = coalesce(a.o_orderkey, b.o_orderkey)""")
+@query("""WITH a AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), o AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus <> 'P')
+SELECT coalesce(a.k, r.k, o.k) AS o_orderkey, round(a.v, 6) AS e1_v, round(r.v, 6) AS e2_v, round(o.v, 6) AS e3_v, round(o.v / nullif(a.v, 0), 6) AS scale FROM a FULL JOIN r ON a.k = r.k FULL JOIN o ON o.k = coalesce(a.k, r.k)""")
 def compare_outer_join(spark: SparkSession, d: str) -> DataFrame:
-    e = estimates(spark, d)
-    part = lambda k, c: e.where(F.col("o_orderkey") % k != 0).select("o_orderkey", c)
-    out = compare.outer({"e1": part(3, "net"), "e2": part(4, "gross"), "e3": part(5, "truth")}, "o_orderkey")
-    return tidy(out.withColumn("scale", compare.equivalent_scale(F.col("e3_truth"), F.col("e1_net"))))
+    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    part = lambda flag: li.where(F.col("l_returnflag") == flag).groupBy("o_orderkey").agg(F.sum("l_extendedprice").alias("v"))
+    o = table(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    out = compare.outer({"e1": part("A"), "e2": part("R"), "e3": o}, "o_orderkey")
+    return tidy(out.withColumn("scale", compare.equivalent_scale(F.col("e3_v"), F.col("e1_v"))))
 
 
 @query(f"""WITH {MATRIX} SELECT method, round_even(max(mae) FILTER (grp = 'FRONT+BACK'), 4) AS "FRONT+BACK", round_even(max(mae) FILTER (grp = 'LEFT+RIGHT'), 4) AS "LEFT+RIGHT", round_even(max(mae) FILTER (grp = 'GLOBAL'), 4) AS "GLOBAL" FROM m GROUP BY 1""")
@@ -714,6 +748,14 @@ def ridge_cv(spark: SparkSession, d: str) -> DataFrame:
     return tidy(crossval.nested(cohort(spark, d), "subject", "y", ["a", "b", "c"]))
 
 
-@query()
+RIDGE = """co AS (SELECT s_acctbal / 100 + s_nationkey AS y, s_acctbal AS a, CASE WHEN s_suppkey % 9 <> 0 THEN s_nationkey::DOUBLE END AS b, (s_suppkey % 7)::DOUBLE AS c FROM supplier),
+f AS (SELECT y, a, coalesce(b, (SELECT median(b) FROM co)) AS b, c FROM co),
+m AS (SELECT count(*)::DOUBLE AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy FROM f),
+g AS (SELECT *, n + 1 AS dd, n * ab / (sa * sb) AS p, n * ac / (sa * sc) AS q, n * bc / (sb * sc) AS r, n * ay / sa AS u, n * by_ / sb AS v, n * cy / sc AS w FROM m),
+x AS (SELECT *, dd * (dd * dd - r * r) - p * (p * dd - r * q) + q * (p * r - dd * q) AS det FROM g),
+k AS (SELECT *, (u * (dd * dd - r * r) - p * (v * dd - r * w) + q * (v * r - dd * w)) / det AS ka, (dd * (v * dd - r * w) - u * (p * dd - r * q) + q * (p * w - v * q)) / det AS kb, (dd * (dd * w - r * v) - p * (p * w - q * v) + u * (p * r - q * dd)) / det AS kc FROM x)"""
+
+
+@query(f"WITH {RIDGE}, l AS (SELECT *, my - ka * ma / sa - kb * mb / sb - kc * mc / sc AS i FROM k) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, 1.0::DOUBLE AS alpha, round(k{c}, 6) AS coefficient_standardised, round(k{c} / s{c}, 6) AS coefficient_original_units, round(i, 6) AS intercept_original_units FROM l" for c in "abc"))
 def ridge_coefficients(spark: SparkSession, d: str) -> DataFrame:
     return tidy(crossval.coefficients(cohort(spark, d), "subject", "y", ["a", "b", "c"], 1.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import has_extension, subject_of, view_of
@@ -12,16 +12,26 @@ from ..functions.ids import has_extension, subject_of, view_of
 IMAGES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
 
 
-def two_row_header(spark: SparkSession, path: str) -> DataFrame:
+def two_row_header(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """A CSV whose first line holds bands and whose second holds names; all columns are text, names trimmed.
 
-    Only the two header lines come to the driver. Lines equal to a header line are not data.
+    The two header lines of one file come to the driver; rows equal to the names or the bands, as every file of a folder
+    has them, are not data. With quoted line breaks in cells, lines is false and a file is read by one task.
     """
-    lines = spark.read.text(path)
-    band, names = (r[0] for r in lines.limit(2).collect())
-    schema = ", ".join(f"`{c}` string" for c in _cells(names))
-    rows = lines.where(~F.col("value").isin(band, names) & (F.trim("value") != ""))
-    return rows.select(F.from_csv("value", schema).alias("r")).select("r.*")
+    band, names = _header(spark, path)
+    rows = spark.read.csv(path, schema=", ".join(f"_c{i} string" for i in range(len(names))), multiLine=not lines, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+
+    def is_(cells: list[str]) -> Column:
+        out = F.lit(True)
+        for i in range(len(names)):
+            out = out & (F.coalesce(F.col(f"_c{i}"), F.lit("")) == (cells[i] if i < len(cells) else ""))
+        return out
+
+    return rows.where(~is_(band) & ~is_(names)).toDF(*names)
+
+
+def _header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    return tuple(_cells(r[0]) for r in spark.read.text(path).limit(2).collect())
 
 
 def _cells(line: str) -> list[str]:
@@ -30,7 +40,7 @@ def _cells(line: str) -> list[str]:
 
 def bands(spark: SparkSession, path: str) -> dict[str, str]:
     """The band of each column, carried on to the right."""
-    first, second = (_cells(r[0]) for r in spark.read.text(path).limit(2).collect())
+    first, second = _header(spark, path)
     out, last = {}, ""
     for b, n in zip(first, second, strict=False):
         last = b or last
@@ -84,5 +94,5 @@ def store(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def store_csv(df: DataFrame, path: str) -> None:
-    """A report as one CSV; an empty one keeps its header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A report, a table of some rows, as one CSV; an empty one keeps its header."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
