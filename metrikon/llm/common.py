@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, shared_dir, stage
+
+__all__ = ["U64", "fresh_path", "mix", "parts", "release", "rolling", "shared_dir", "spans", "stage", "strings", "table", "text_bytes", "unused", "word_hashes", "words"]
+
 U64 = np.uint64
 
 # Bytes that separate words: space and \x09-\x0D.
@@ -25,38 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is set here only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        path = found or "file://" + tempfile.mkdtemp(prefix="metrikon-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more, now that their result is stored."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of a text column, one scan and one long."""
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

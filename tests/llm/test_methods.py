@@ -247,12 +247,22 @@ def test_other_formats_are_found():
 
 
 def test_substring_repeated_rows(spark):
-    """Of rows with one doc_id each loses only what an earlier row holds."""
+    """Of rows with one doc_id, or none, each loses only what an earlier row holds."""
     a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 50), ("b", 30)))
-    rows = [(1, a), (1, a), (2, b), (2, "x y"), (2, b + " " + a), (2, None), (3, "z " + a), (3, "z " + a), (4, b)]
+    rows = [(1, a), (1, a), (2, b), (2, "x y"), (2, b + " " + a), (2, None), (3, "z " + a), (3, "z " + a), (4, b), (None, a), (None, "q " + b), (None, None), (5, " ".join(f"c{i}" for i in range(25))), (None, " ".join(f"c{i}" for i in range(25)))]
+    key = lambda r: tuple(map(str, r))
+    got = sorted(map(tuple, substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=key)
+    assert got == sorted(substring.brute(rows), key=key)
+    assert [r[:3] for r in got if r[0] == 1] == [(1, 50, 0), (1, 50, 50)] and sum(r[1] - r[2] for r in got if r[0] is None) == 1
+
+
+def test_substring_words_that_polynomials_confuse(spark):
+    """Two words that any polynomial hash modulo 2^64 takes for one."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    words = [t, t.translate(str.maketrans("ab", "ba"))]
+    rows = [(k, " ".join(["w"] * 3 + [words[k]] + [f"v{i}" for i in range(16)])) for k in (0, 1)]
     got = sorted(map(tuple, substring.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == sorted(substring.brute(sorted(rows, key=lambda r: (r[0], r[1] or ""))))
-    assert [r[:3] for r in got if r[0] == 1] == [(1, 50, 0), (1, 50, 50)]
+    assert got == sorted(substring.brute(rows)) and all(r[2] == 0 for r in got)
 
 
 def test_hnsw_repeated_rows(spark):
