@@ -1,9 +1,10 @@
 """Nearest neighbours by a navigable small-world graph for each shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard builds a layered graph
-in numpy, nodes inserted in growing batches, and stores it as flat neighbour arrays
-(layer after layer, a fixed number of slots for each node, -1 for none). Queries
-search every shard's graph in blocks, and shard results are merged. Equal vectors
+Vectors are dealt to shards by a hash of their id; shards grow with the table up to a
+bound of memory. Each shard builds a layered graph in numpy, nodes inserted in growing
+batches, and stores it as flat neighbour arrays (layer after layer, a fixed number of
+slots for each node, -1 for none). Queries are packed into blocks; a shard's graph is
+sent to one task once and all blocks pass by it, and shard results are merged. Equal vectors
 are one node of a shard that keeps its smallest distinct ids, one more than an answer
 holds. Repeated rows count once, as rows of the index and as queries; an id with
 several vectors is as near as its nearest one.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-SLOTS, WIDE, SHARD_ROWS, BLOCK_QUERIES = 16, 64, 8192, 4096
+SLOTS, WIDE, BLOCK_QUERIES = 16, 64, 2048
+#: A shard holds so many rows at least and at most; between, there are two shards for each core.
+LEAST_ROWS, MOST_ROWS = 4096, 1 << 17
 
 
 @dataclass
@@ -162,35 +165,62 @@ def _layer(vectors: np.ndarray, members: np.ndarray, slots: int, wide: int) -> n
 INDEX = "shard int, dims int, keep int, ids array<long>, owner array<int>, vectors binary, members array<binary>, links array<binary>, entry int"
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 5, slots: int = SLOTS, wide: int = WIDE) -> DataFrame:
+def _flat(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dims))
+
+
+def _node(t: pa.Table, keep: int, slots: int, wide: int) -> dict:
+    """The index row of one shard."""
+    dims = t["dims"][0].as_py()
+    t = t.sort_by("vec_id")
+    ids, flat = t["vec_id"].to_numpy(), _flat(t["embedding"], dims)
+    _, first, node = np.unique(flat.view(f"V{8 * dims}").ravel(), return_index=True, return_inverse=True)
+    once = np.concatenate([[True], (np.diff(ids[o := np.lexsort((ids, node))]) != 0) | (np.diff(node[o]) != 0)])
+    ids, node = ids[o][once], node[o][once]  # by node, distinct ids in order
+    place = np.arange(len(node)) - np.repeat(np.cumsum(c := np.bincount(node)) - c, c)
+    held = place < keep
+    own = flat[first]
+    g = build((own / np.linalg.norm(own, axis=1, keepdims=True)).astype(np.float32), slots, wide)
+    row = {"shard": t["shard"][0].as_py(), "dims": dims, "keep": keep, "ids": ids[held].tolist(), "owner": node[held].tolist(), "vectors": own.tobytes(), "entry": g.entry}
+    return row | {"members": [m.astype("<i4").tobytes() for m, _ in g.layers], "links": [x[m].astype("<i4").tobytes() for m, x in g.layers]}
+
+
+def index(vectors: DataFrame, shard_rows: int | None = None, k: int = 5, slots: int = SLOTS, wide: int = WIDE) -> DataFrame:
     """One row for each shard: ids by node (owner), original vectors of the nodes in double precision, flat neighbour arrays.
 
     vectors: (vec_id, embedding). Null, zero and non-finite vectors and null ids take no part; k is the most that a
-    search may ask for, so a node of equal vectors holds k + 1 ids, the asking one among them. Repeated rows lie in one shard. Vectors of other lengths than a shard's most frequent one are shards of their own.
+    search may ask for, so a node of equal vectors holds k + 1 ids, the asking one among them. Repeated rows lie in one shard
+    and count once. Vectors of another length than others of their shard are a graph of their own. No rows, no shards.
     """
     rows, keep = usable(vectors), k + 1
     n = rows.count()
+    if shard_rows is None:
+        shard_rows = min(max(n // (2 * vectors.sparkSession.sparkContext.defaultParallelism), LEAST_ROWS), MOST_ROWS)
     shards = max(1, math.ceil(n / shard_rows))
-
-    def run(t: pa.Table) -> pa.Table:
-        dims = t["dims"][0].as_py()
-        flat = np.frombuffer(t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes(), "<f8").reshape(-1, dims)
-        ids = t["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, flat = ids[order], np.ascontiguousarray(flat[order])
-        _, first, node = np.unique(flat.view(f"V{8 * dims}").ravel(), return_index=True, return_inverse=True)
-        once = np.concatenate([[True], (np.diff(ids[o := np.lexsort((ids, node))]) != 0) | (np.diff(node[o]) != 0)])
-        ids, node = ids[o][once], node[o][once]  # by node, distinct ids in order
-        place = np.arange(len(node)) - np.repeat(np.cumsum(c := np.bincount(node)) - c, c)
-        held = place < keep
-        own = flat[first]
-        g = build((own / np.linalg.norm(own, axis=1, keepdims=True)).astype(np.float32), slots, wide)
-        row = {"shard": t["shard"][0].as_py(), "dims": dims, "keep": keep, "ids": ids[held].tolist(), "owner": node[held].tolist(), "vectors": own.tobytes(), "entry": g.entry}
-        row |= {"members": [m.astype("<i4").tobytes() for m, _ in g.layers], "links": [x[m].astype("<i4").tobytes() for m, x in g.layers]}
-        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("dims", pa.int32()), ("keep", pa.int32()), ("ids", pa.list_(pa.int64())), ("owner", pa.list_(pa.int32())), ("vectors", pa.binary()), ("members", pa.list_(pa.binary())), ("links", pa.list_(pa.binary())), ("entry", pa.int32())]))
+    arrow = pa.schema([("shard", pa.int32()), ("dims", pa.int32()), ("keep", pa.int32()), ("ids", pa.list_(pa.int64())), ("owner", pa.list_(pa.int32())), ("vectors", pa.binary()), ("members", pa.list_(pa.binary())), ("links", pa.list_(pa.binary())), ("entry", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of one shard and length, which follow each other
+
+        def whole() -> pa.RecordBatch:
+            row = _node(pa.Table.from_batches(held), keep, slots, wide)
+            held.clear()
+            return pa.RecordBatch.from_pylist([row], arrow)
+
+        for b in batches:
+            shard, dims = b.column("shard").to_numpy(), b.column("dims").to_numpy()
+            turns = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(dims) != 0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(turns, turns[1:], strict=False):
+                if held and lo < hi and (held[0].column("shard")[0].as_py(), held[0].column("dims")[0].as_py()) != (int(shard[lo]), int(dims[lo])):
+                    yield whole()
+                if lo < hi:
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield whole()
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("dims", F.size("embedding"))
-    return dealt.groupBy("shard", "dims").applyInArrow(run, INDEX)
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dims").mapInArrow(run, INDEX)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -199,62 +229,80 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def _load(t: pa.Table) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    r = t.to_pylist()[0]
-    own = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dims"])
-    layers = []
-    for m, x in zip(r["members"], r["links"], strict=True):
-        m = np.frombuffer(m, "<i4")
-        links = np.full((len(own), len(x) // 4 // len(m)), -1)
-        links[m] = np.frombuffer(x, "<i4").reshape(len(m), -1)
-        layers.append((m, links))
-    unit = (own / np.linalg.norm(own, axis=1, keepdims=True)).astype(np.float32)
-    return Graph(unit, layers, r["entry"]), own, np.array(r["ids"]), np.array(r["owner"])
+class _Shard:
+    """One shard's index row, ready to be asked."""
+
+    def __init__(self, r: dict):
+        own = np.frombuffer(r["vectors"], "<f8").reshape(-1, r["dims"])
+        layers = []
+        for m, x in zip(r["members"], r["links"], strict=True):
+            m = np.frombuffer(m, "<i4")
+            links = np.full((len(own), len(x) // 4 // len(m)), -1)
+            links[m] = np.frombuffer(x, "<i4").reshape(len(m), -1)
+            layers.append((m, links))
+        self.key, self.held, self.own, self.size = (r["shard"], r["dims"]), r["keep"] - 1, own, np.linalg.norm(own, axis=1)
+        self.graph = Graph((own / self.size[:, None]).astype(np.float32), layers, r["entry"])
+        owner = np.array(r["owner"])
+        self.first = np.searchsorted(np.sort(owner), np.arange(len(own) + 1))
+        self.ids = np.array(r["ids"])[np.argsort(owner, kind="stable")]
+
+    def nearest(self, names: np.ndarray, flat: np.ndarray, k: int, wide: int) -> Iterator[tuple[int, int, float]]:
+        if k > self.held:
+            raise ValueError(f"{k} nearest asked of an index for {self.held}")
+        _, node = np.unique(flat.view(f"V{8 * flat.shape[1]}").ravel(), return_inverse=True)
+        _, once = np.unique(np.stack([names, node]), axis=1, return_index=True)
+        names, flat = names[once], flat[once]  # distinct queries, by id
+        for lo in range(0, len(names), 256):
+            x = flat[lo : lo + 256]
+            norm = np.linalg.norm(x, axis=1)
+            near, _ = self.graph.search((x / norm[:, None]).astype(np.float32), max(wide, k + 1))
+            for i, found in enumerate(near):
+                found = found[found >= 0]
+                exact = (self.own[found] * x[i]).sum(1) / (self.size[found] * norm[i])  # row by row: equal vectors, equal sums
+                rows = [(-s, v) for s, f in zip(exact.tolist(), found.tolist(), strict=True) for v in self.ids[self.first[f] : self.first[f + 1]].tolist() if v != names[lo + i]]
+                best: dict[int, float] = {}
+                for s, v in sorted(rows):
+                    if len(best) < k:
+                        best.setdefault(v, -s)
+                yield from ((int(names[lo + i]), v, s) for v, s in best.items())
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    """A block of queries as one row."""
+    dims = t["dims"][0].as_py()
+    row = {"dims": dims, "turn": t["turn"][0].as_py(), "names": t["vec_id"].to_numpy().astype("<i8").tobytes(), "asked": _flat(t["embedding"], dims).tobytes()}
+    return pa.Table.from_pylist([row], pa.schema([("dims", pa.int32()), ("turn", pa.int32()), ("names", pa.binary()), ("asked", pa.binary())]))
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 5, wide: int = WIDE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found, by cosine in double precision on the original vectors.
 
-    k is at most that of the index. queries: (vec_id, embedding), usable rows. They are cut into blocks by a hash; each block meets each shard once.
+    k is at most that of the index; graphs is best a stored one. queries: (vec_id, embedding), of which usable rows count, repeated ones
+    once; an id with several vectors has the best answers of all. Fewer candidates than k give fewer rows; a query without
+    candidates of its length has none. Each shard's graph goes to one task once, where the blocks of queries pass by.
     """
     queries = usable(queries)
     n_blocks = max(1, math.ceil(queries.count() / BLOCK_QUERIES))
-    places = graphs.select(F.col("shard").alias("place"), F.col("dims").alias("wide"))
-    asked = queries.withColumn("dims", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    asked = asked.join(places, F.col("dims") == F.col("wide"))  # each query goes to every shard: that is the search
-    asked = asked.select("vec_id", "embedding", "dims", "block", F.col("place").alias("shard"))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def run(g: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if g.num_rows and q.num_rows:
-            if k >= (held := g["keep"][0].as_py()):
-                raise ValueError(f"{k} nearest asked of an index for {held - 1}")
-            graph, own, ids, owner = _load(g)
-            names = q["vec_id"].to_numpy()
-            flat = np.ascontiguousarray(q["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1))
-            _, node = np.unique(flat.view(f"V{flat.itemsize * flat.shape[1]}").ravel(), return_inverse=True)
-            _, once = np.unique(np.stack([names, node]), axis=1, return_index=True)
-            names, flat = names[once], flat[once]  # distinct queries, by id
-            first = np.searchsorted(np.sort(owner), np.arange(len(own) + 1))
-            ids = ids[np.argsort(owner, kind="stable")]
-            size = np.linalg.norm(own, axis=1)
-            for lo in range(0, len(names), 256):
-                x = flat[lo : lo + 256]
-                norm = np.linalg.norm(x, axis=1)
-                near, _ = graph.search((x / norm[:, None]).astype(np.float32), max(wide, k + 1))
-                for i, found in enumerate(near):
-                    found = found[found >= 0]
-                    exact = (own[found] * x[i]).sum(1) / (size[found] * norm[i])  # row by row: equal vectors, equal sums
-                    rows = [(-s, v) for s, f in zip(exact.tolist(), found.tolist(), strict=True) for v in ids[first[f] : first[f + 1]].tolist() if v != names[lo + i]]
-                    nearest: dict[int, float] = {}
-                    for s, v in sorted(rows):
-                        if len(nearest) < k:
-                            nearest.setdefault(v, -s)
-                    out += [(int(names[lo + i]), v, s) for v, s in nearest.items()]
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
-
-    found = spread.groupBy("shard", "dims", "block").cogroup(asked.groupBy("shard", "dims", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    shards = (graphs.agg(F.max("shard")).first()[0] or 0) + 1
+    asked = queries.withColumn("dims", F.size("embedding")).withColumn("turn", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    blocks = asked.groupBy("dims", "turn").applyInArrow(_packed, "dims int, turn int, names binary, asked binary")
+    to_all = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))  # a stated set of queries, in blocks, against every shard
+    line = graphs.withColumn("turn", F.lit(-1)).unionByName(to_all, allowMissingColumns=True)
+    line = line.repartitionById(shards, "shard").sortWithinPartitions("shard", "dims", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if r["turn"] < 0:
+                    shard = _Shard(r)
+                elif shard is not None and shard.key == (r["shard"], r["dims"]):
+                    names = np.frombuffer(r["names"], "<i8")
+                    out = list(shard.nearest(names, np.frombuffer(r["asked"], "<f8").reshape(len(names), -1), k, wide))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    found = line.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # ids with several vectors
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows for each shard
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

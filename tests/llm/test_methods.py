@@ -314,3 +314,12 @@ def test_pfor_order_of_odd_ids(spark):
     got = sorted(pfor.digest(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("byte_bpe_50k.json")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, None, -5, 3, 3, 3] and got[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and sorted(r.n_tokens for r in got) == [1, 2, 2, 3, 3, 4]
+
+
+def test_hnsw_empty_and_clashing(spark):
+    """No vectors, none usable, fewer candidates than asked for, lengths without company, columns named like the operator's own."""
+    kind = "vec_id long, embedding array<float>, shard string, dims string, turn string, rank string, score string, label int"
+    rows = lambda *r: spark.createDataFrame([(i, v, "s", "d", "t", "r", "x", 1) for i, v in r], kind)
+    assert hnsw.digest(rows()).collect() == [] and hnsw.digest(rows((50, None), (None, [1.0]), (100, []))).collect() == []
+    got = hnsw.digest(rows((0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [0.0, 1.0]), (100, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (7, [2.0]))).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 50, 1.0), (0, 2, 3, 0.0), (50, 1, 0, 1.0), (50, 2, 3, 0.0)]
