@@ -3,9 +3,11 @@
 Arrivals are appended as small shards in folders of their own. A compaction takes
 runs whose sizes lie in one tier (sizes within a factor of each other), merges each
 full tier into files of the target size, and commits the next manifest. A manifest
-is a JSON file named by its version: it is written aside and renamed to its name,
-which fails if another writer has taken that version; readers see the old list or
-the new one. Shards are never changed, and those that no manifest names can go.
+is a JSON file named by its version: it is written aside whole and then gets its name
+in one step that fails if another writer has taken it: a hard link on local disks, a
+rename elsewhere, which a Hadoop file system refuses if the name exists. (Object stores
+whose rename replaces need a table format with its own commit service.) Readers see the
+old list or the new one. Shards are never changed, and those that no manifest names can go.
 
 Only DataFrame operations move rows. The manifest lists runs, not rows.
 """
@@ -14,6 +16,8 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -70,12 +74,23 @@ class ShardStore:
         out = self._fs.create(aside, False)
         out.write(json.dumps({"version": base + 1, "runs": [asdict(r) for r in runs]}).encode())
         out.close()
-        # rename() replaces on some file systems, so the name is looked at first; rename itself is atomic
-        if self._fs.exists(name) or not self._fs.rename(aside, name):
+        if not self._publish(aside, name):
             self._fs.delete(aside, False)
             raise Conflict(name.toString())
         return base + 1
 
+    def _publish(self, aside, name) -> bool:
+        """Gives a file its name, or says that the name is taken."""
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(name) and self._fs.rename(aside, name)
+        local = lambda p: self._fs.makeQualified(p).toUri().getPath()
+        try:
+            os.link(local(aside), local(name))  # a rename would replace
+        except FileExistsError:
+            return False
+        self._fs.delete(aside, False)
+        return True
+
     def _measure(self, path: str, level: int) -> Run:
         files = [s for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().startswith("part-")]
         return Run(path, sum(s.getLen() for s in files), len(files), level)
@@ -109,14 +124,14 @@ class ShardStore:
                 tiers.setdefault(self.tier(r), []).append(r)
         return [sorted(g, key=lambda r: r.path) for _, g in sorted(tiers.items()) if len(g) >= self.fanout]
 
-    def compact(self, rounds: int = 8) -> int:
-        """Merges until no tier is full, a version for each round; returns the last version."""
-        for _ in range(rounds):
+    def compact(self) -> int:
+        """Merges until no tier is full, a version for each round; returns the last version. Each round leaves fewer runs."""
+        while True:
             base = self.version()
             runs = self.runs(base)
             groups = self.due(runs)
             if not groups:
-                break
+                return base
             merged = []
             for group in groups:
                 path = f"{self.path}/data/{uuid.uuid4().hex}"
@@ -125,15 +140,30 @@ class ShardStore:
                 merged.append(self._measure(path, 1 + max(r.level for r in group)))
             gone = {r.path for g in groups for r in g}
             self.commit([*(r for r in runs if r.path not in gone), *merged], base)
-        return self.version()
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes runs that none of the last keep versions names."""
-        last = self.version()
-        live = {r.path for v in range(max(1, last - keep + 1), last + 1) for r in self.runs(v)}
-        dead = {r.path for v in range(1, last + 1) for r in self.runs(v)} - live
-        for path in dead:
-            self._fs.delete(self._path(path), True)
+    def vacuum(self, keep: int = 1, grace: float = 3600.0) -> None:
+        """Deletes what none of the last keep versions names: older manifests, their runs, and data of commits that failed.
+
+        Data younger than grace seconds may belong to a commit under way and stay.
+        """
+        last, before = self.version(), (time.time() - grace) * 1000
+        kept = range(max(1, last - keep + 1), last + 1)
+        live = {self._path(r.path).toUri().getPath() for v in kept for r in self.runs(v)}
+        for s in self._fs.listStatus(self._path(f"{self.path}/manifests")):
+            name = s.getPath().getName()
+            if (name.startswith("v") and int(name[1:9]) < kept.start) or (not name.startswith("v") and s.getModificationTime() < before):
+                self._fs.delete(s.getPath(), False)
+        if not self._fs.exists(self._path(f"{self.path}/data")):
+            return
+        for folder in self._fs.listStatus(self._path(f"{self.path}/data")):
+            own = folder.getPath().toUri().getPath()
+            inside = {p for p in live if p == own or p.startswith(own + "/")}
+            if not inside and folder.getModificationTime() <= before:
+                self._fs.delete(folder.getPath(), True)
+            elif inside and own not in inside:  # one folder of many arrivals
+                for part in self._fs.listStatus(folder.getPath()):
+                    if part.isDirectory() and part.getPath().toUri().getPath() not in inside:
+                        self._fs.delete(part.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; no rows if nothing was committed."""
@@ -158,7 +188,7 @@ def compacted(docs: DataFrame, arrivals: int = ARRIVALS, **options) -> tuple[Sha
     name = unused(docs.columns, "_arrival")
     store.append_split(docs.withColumn(name, F.when(slot < arrivals, slot).otherwise((slot - arrivals) * 2)), name)
     store.compact()
-    store.vacuum()
+    store.vacuum(grace=0)  # a store of its own: nobody else writes
     return store, store.read()
 
 

@@ -140,6 +140,45 @@ def test_store(spark, tmp_path):
         store.commit([], old)
     store.vacuum()
     assert store.read().count() == 50
+    old = store.version()
+    lost = store._measure(_written(store, df(90)), 0)  # a commit that failed leaves data behind
+    store.append(df(50))
+    store.vacuum(grace=0)
+    assert store.read().count() == 60 and not (tmp_path / "t/data" / lost.path.rsplit("/", 1)[1]).exists()
+    assert sorted(p.name for p in (tmp_path / "t/manifests").glob("v*")) == [f"v{old + 1:08d}.json"]
+
+
+def _written(store, df):
+    path = f"{store.path}/data/{'f' * 32}"
+    df.write.parquet(path)
+    return path
+
+
+def test_two_writers(spark, tmp_path):
+    """Of writers that race for a version one has it and the others are told."""
+    import concurrent.futures
+
+    stores = [compaction.ShardStore(spark, f"file://{tmp_path}/t", spark.range(0).schema) for _ in range(8)]
+    for base in range(5):
+        def claim(k, base=base):
+            try:
+                return stores[k].commit([compaction.Run(f"by{k}", 1, 1, 0)], base)
+            except compaction.Conflict:
+                return None
+
+        with concurrent.futures.ThreadPoolExecutor(8) as pool:
+            got = list(pool.map(claim, range(8)))
+        won = [k for k, v in enumerate(got) if v is not None]
+        assert len(won) == 1 and got[won[0]] == base + 1 == stores[0].version() and [r.path for r in stores[1].runs()] == [f"by{won[0]}"]
+
+
+def test_many_rounds(spark, tmp_path):
+    """Merging goes on until no tier is full, however many rounds that takes."""
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/t", spark.range(0).schema, fanout=2, smallest=1)
+    for k in range(12):
+        store.append(spark.range(k * 3, k * 3 + 3))
+    store.compact()
+    assert store.due(store.runs()) == [] and store.read().count() == 36
 
 
 def test_surrogates():
