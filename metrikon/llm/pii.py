@@ -6,11 +6,13 @@ a value goes to the next on the ring that is of its class (a valid checksum stay
 valid, a public address public). So equal entities get equal surrogates anywhere
 (coreference), different ones differ, and none stays as it is unless it is alone in
 its class. Names go word by word, wherever a word stands, so that mentions of one
-person keep their common words; words keep script, case and the pattern of vowels.
+person keep their common words; words keep script, case and, where tables say so, the pattern of vowels.
+Names are found after a title, and again, whole or by a word, anywhere in the same text.
 Listed given names go to listed ones of their gender; another given name after a
 title that states a gender gets a listed one of that gender before its own surrogate,
-with a hyphen, so that it is linked to mentions without gender. A distributed check confirms
-that no two values share a surrogate, and draws another tweak of the key if any do.
+with a hyphen, so that it is linked to mentions without gender. Texts are rewritten and stored once; a
+distributed check over the stored entities confirms that no two values share a surrogate, and
+texts are rewritten under another tweak of the key if any do.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ import functools
 import hashlib
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import stage, unused
 
 GIVEN = {
     ("f", "latin"): "Alice Amelia Astrid Beatriz Carla Chloe Clara Diana Elena Elise Emma Frieda Greta Hanna Helena Ines Irene Julia Karin Laura Lena Lucia Maria Marta Nadia Nina Olivia Paula Rosa Sara Silvia Sofia Tanja Ursula Vera".split(),
@@ -115,6 +121,14 @@ def digits(text: str, keep: int, key: bytes, tweak: bytes, same: Callable[[str],
     return put(move(x, 10 ** len(at), key, tweak + shape.encode(), same and (lambda v: same(put(v))))) if at else text
 
 
+@functools.lru_cache(1 << 16)
+def family(c: str) -> str:
+    """Letters of a script without table that stand for each other: those of the same category among the 64 code points around; empty if c is alone."""
+    kind, base = unicodedata.category(c), ord(c) & ~63
+    own = [x for x in map(chr, range(base, base + 64)) if unicodedata.category(x) == kind and x.lower() not in CLASS] if kind[0] == "L" else []
+    return "".join(own) if c in own and len(own) > 1 else ""
+
+
 def letters(text: str, key: bytes, tweak: bytes, same: Callable[[str], bool] | None = None) -> str:
     """Rewrites letters by letters of their kind (script, case, vowel or not) and digits by digits; long texts by pieces, without a class."""
     if len(text) > PIECE:
@@ -126,6 +140,8 @@ def letters(text: str, key: bytes, tweak: bytes, same: Callable[[str], bool] | N
             kind, m = "0123456789", "\0d"
         elif k is not None and (low or c.lower().upper() == c):
             kind, m = LETTERS[k] if low else [u for x in LETTERS[k] if len(u := x.upper()) == 1], f"\0{k}{low:d}"
+        elif c > "\x7f" and (kind := family(c)):
+            m = f"\0f{kind[0]}"
         else:
             kind, m = None, c
         shape.append(kind)
@@ -258,7 +274,7 @@ def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
         words = [m for m in TOKEN.finditer(name) if m[0] not in PARTICLES]
         out, at = [], 0
         for m in words:
-            own = gender if m is words[0] and len(words) > 1 else ""  # alone it is a surname
+            own = gender.lower() if m is words[0] and (len(words) > 1 or gender.isupper()) else ""  # alone it is a surname, unless known as a given name
             out += [name[at : m.start()], named(m[0], own, key, tweak) if len(m[0]) > 1 else letters(m[0], key, tweak + b"i")]
             at = m.end()
         return "".join([*out, name[at:]])
@@ -275,8 +291,34 @@ def check_iban(text: str) -> str:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the entities, left to right; of overlapping ones the earlier kind of PATTERNS stays.
 
-    A name's value carries the gender its title states.
+    A name's value carries the gender its title states, in capitals if the name is a given name alone.
     """
+    out = _titled(text)
+    return _again(text, out) if any(kind == "name" for _, _, kind, _ in out) else out
+
+
+def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Adds the words of the names found wherever else they stand in the text, each with the gender under which it was a given name."""
+    known: dict[str, str] = {}
+    for _, _, kind, value in found:
+        if kind == "name":
+            gender, _, name = value.rpartition("\0")
+            words = [w for w in TOKEN.findall(name) if w not in PARTICLES]
+            for k, w in enumerate(words):
+                if len(w) > 1:
+                    known[w] = known.get(w) or (gender if k == 0 and len(words) > 1 else "")
+    out, at = [], 0
+    for m in TOKEN.finditer(text):
+        if m[0] in known:
+            while at < len(found) and found[at][1] <= m.start():
+                at += 1
+            if at == len(found) or m.end() <= found[at][0]:
+                out.append((m.start(), m.end(), "name", f"{known[m[0]].upper()}\0{m[0]}"))
+    return sorted(found + out) if out else found
+
+
+def _titled(text: str) -> list[tuple[int, int, str, str]]:
+    """The entities that their own form or a title shows."""
     digit, out, starts = any_digit(text) is not None, [], []
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text or kind not in ("email", "name", "secret") and not digit:
@@ -395,40 +437,61 @@ def entities(docs: DataFrame, key: bytes, nonce: int = 0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, start int, end int, value string, surrogate string")
 
 
-def bare(column: str) -> F.Column:
-    return F.element_at(F.split(column, "\0"), -1)
+def mark(kind: str, value: str, key: bytes) -> int:
+    """A keyed hash that stands for a value where values are compared, so that none is stored."""
+    bare = value.rpartition("\0")[2]
+    return int.from_bytes(hashlib.blake2b(f"{kind}\0{bare}".encode("utf-8", "surrogatepass"), key=key, digest_size=8).digest(), "big", signed=True)
+
+
+MARKS = pa.list_(pa.struct([("kind", pa.string()), ("mark", pa.int64()), ("surrogate", pa.string())]))
+MARKS_SQL = "array<struct<kind:string,mark:bigint,surrogate:string>>"
+
+
+def marks(found: list[tuple[int, int, str, str, str]], key: bytes) -> list[dict]:
+    return [{"kind": k, "mark": mark(k, v, key), "surrogate": n} for k, v, n in {(k, v, n) for _, _, k, v, n in found}]
+
 
+def settled(make: Callable[[int], DataFrame], column: str) -> DataFrame:
+    """What make(tweak) gives for the least tweak under which no two values of a kind share a surrogate, stored.
 
-def nonce_for(docs: DataFrame, key: bytes) -> int:
-    """The least tweak under which no two values of a kind share a surrogate: the bijections give that for the first, this confirms it."""
+    column holds the marks of each row's entities. The bijections give that for the first tweak, this confirms it.
+    """
     for nonce in range(TRIES):
-        distinct = entities(docs, key, nonce).select("kind", bare("value").alias("value"), "surrogate").distinct()
-        if distinct.groupBy("kind", "surrogate").count().where("count > 1").isEmpty():
-            return nonce
+        out = stage(make(nonce), "surrogates")
+        pairs = out.select(F.explode(column).alias("m")).groupBy("m.kind", "m.surrogate").agg(F.min("m.mark").alias("low"), F.max("m.mark").alias("high"))
+        if pairs.where("low <> high").isEmpty():
+            return out.drop(column)
     raise RuntimeError(f"surrogates collide under {TRIES} tweaks")
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
-    """The rows with all their columns, entities of text replaced. Null texts stay null, texts without entities as they are."""
-    nonce, where = nonce_for(docs, key), docs.columns.index("text")
+    """The rows with all their columns, entities of text replaced. Null and empty texts and those without entities stay as they are; so do repeated rows and null ids."""
+    where, name = docs.columns.index("text"), unused(docs.columns, "_marks")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(MARKS_SQL))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = pa.array([None if t is None else replace(t, key, nonce)[0] for t in (x.as_py() for x in b.column(where))], b.schema.field(where).type)
-            yield pa.RecordBatch.from_arrays([new if k == where else c for k, c in enumerate(b.columns)], schema=b.schema)
+    def make(nonce: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                both = [(None, []) if t is None else replace(t, key, nonce) for t in (x.as_py() for x in b.column(where))]
+                new = pa.array([t for t, _ in both], b.schema.field(where).type)
+                yield pa.RecordBatch.from_arrays([*(new if k == where else c for k, c in enumerate(b.columns)), pa.array([marks(f, key) for _, f in both], MARKS)], names=[*b.schema.names, name])
+
+        return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return settled(make, name)
 
 
 def digest(docs: DataFrame, key: bytes) -> DataFrame:
-    """(doc_id, n_entities, kinds, text_sha256, text): whole rewritten texts' digests with their entities by kind."""
-    nonce = nonce_for(docs, key)
+    """(doc_id, n_entities, text_sha256, entities, text): whole rewritten texts, their digests, and their entities by kind. A null text counts as empty."""
     pair = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("surrogate", pa.string())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [replace(t.as_py() or "", key, nonce) for t in b.column(1)]
-            arrays = [b.column(0), pa.array([len(f) for _, f in both], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in both]), pa.array([[{"kind": k, "start": s, "surrogate": n} for s, _, k, _, n in f] for _, f in both], pair), pa.array([t for t, _ in both], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_entities", "text_sha256", "entities", "text"])
+    def make(nonce: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                both = [replace(t.as_py() or "", key, nonce) for t in b.column(1)]
+                arrays = [b.column(0), pa.array([len(f) for _, f in both], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in both], pa.string()), pa.array([[{"kind": k, "start": s, "surrogate": n} for s, _, k, _, n in f] for _, f in both], pair), pa.array([t for t, _ in both], pa.string()), pa.array([marks(f, key) for _, f in both], MARKS)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_entities", "text_sha256", "entities", "text", "marks"])
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_entities long, text_sha256 string, entities array<struct<kind:string,start:int,surrogate:string>>, text string, marks {MARKS_SQL}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_entities long, text_sha256 string, entities array<struct<kind:string,start:int,surrogate:string>>, text string")
+    return settled(make, "marks")

@@ -67,7 +67,7 @@ def _hashes(text: bytes) -> list[int]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long): the fingerprint's bits as a signed long. Null and wordless texts have 0."""
-    return printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), "fp").select("doc_id", "fp")
+    return printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "fp").select("doc_id", "fp")
 
 
 def printed(docs: DataFrame, name: str) -> DataFrame:
@@ -180,28 +180,51 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return keyed.repartition(n, "part").mapInArrow(run, "a long, b long").distinct()
 
 
+#: A key with more than one HOT-th of all rows is split off, so fewer than HOT keys are.
+HOT, FEW = 500, 200
+
+
+def split_join(rows: DataFrame, dim: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with dim, which is unique in key; counts: (key, n), the rows of each key.
+
+    Keys with more than 1 / HOT of the rows, fewer than HOT by that, meet their row of dim where their rows lie; the
+    others are shuffled. So no task gets a whole hot key.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(total / HOT, FEW)).select(key)
+    if hot.isEmpty():
+        return rows.join(dim, key, how)
+    few = F.broadcast(dim.join(F.broadcast(hot), key, "left_semi"))
+    own, rest = (rows.join(F.broadcast(hot), key, kind) for kind in ("left_semi", "left_anti"))
+    return own.join(few, key, how).unionByName(rest.join(dim, key, how))
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of the edges: equal roots, one component.
 
     Each round every node joins the neighbour (or itself) of least keyed hash and edges
     are renamed; the keys change with the round, so paths shrink by a constant factor.
-    Rounds end when no edge is left. Only counts come to the driver.
+    Rounds end when no edge is left. Only counts come to the driver; the hub of a large
+    component is renamed where its edges lie.
     """
     edges, steps, turn = stage(edges.where("a <> b"), label), [], 0
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        least = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", rank("a")).getField("v").alias("up"))
-        least = stage(least.select("node", "up"), label)
+        least = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("m", rank("a")).getField("v").alias("up"), "n")
+        least = stage(least.select("node", "up", "n"), label)
         steps.append(least)
         up = lambda c: least.select(F.col("node").alias(c), F.col("up").alias("to_" + c))  # noqa: B023, E731
-        edges = edges.join(up("a"), "a").join(up("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct()
+        links_ = lambda c: least.select(F.col("node").alias(c), "n")  # noqa: B023, E731
+        edges = split_join(split_join(edges, up("a"), "a", links_("a")), up("b"), "b", links_("b")).select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct()
         edges, turn = stage(edges, label), turn + 1
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].select("node", F.col("up").alias("root"))
     for step in steps[1:]:
-        out = out.join(step.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        counts = out.groupBy("root").agg(F.count("*").alias("n"))
+        out = split_join(out, step.select(F.col("node").alias("root"), "up"), "root", counts, "left")
+        out = stage(out.select("node", F.coalesce("up", "root").alias("root")), label)
     return out
 
 
@@ -209,7 +232,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable, itself included.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Repeated rows
-    stay rows. Rows without doc_id are left out; other columns are ignored.
+    stay rows. Rows without doc_id link others and have the component's smallest doc_id, null if no
+    row of it has any; other columns are ignored. No rows, no components.
     """
     return _grouped(docs).select("doc_id", "fp", "component_id")
 
@@ -221,9 +245,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     n = parts(distinct.count(), 100_000, 12)
     roots = components(links(distinct, n))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stage(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "names")
-    return found.join(names, "fp").select("doc_id", "fp", "root", "component_id")
+    least = stage(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    named = split_join(named.select("fp", "root"), least.drop("n"), "root", least.select("root", "n"))
+    names = stage(named.select("fp", "root", "component_id"), "names")
+    return split_join(found, names, "fp", distinct.select("fp", "n")).select("doc_id", "fp", "root", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -233,7 +258,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component the row of least (doc_id, fingerprint), one of those that repeat it. Rows without doc_id all stay."""
     id_, fp = unused(docs.columns, "_id"), unused(docs.columns, "_fp")
-    least = _grouped(docs).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("least"))
+    least = _grouped(docs.where("doc_id is not null")).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("least"))
     keep = least.select(F.col("least.doc_id").alias(id_), F.col("least.fp").alias(fp)).distinct()
     own = printed(docs.where("doc_id is not null"), fp).withColumn(id_, F.col("doc_id").cast("long"))
     own = own.join(keep, [id_, fp], "left_semi").dropDuplicates([id_, fp]).select(*docs.columns)
