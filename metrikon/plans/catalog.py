@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, ids, nulls
 from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
 from ..sources import tables
+from . import sites, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -759,3 +760,241 @@ k AS (SELECT *, (u * (dd * dd - r * r) - p * (v * dd - r * w) + q * (v * r - dd
 @query(f"WITH {RIDGE}, l AS (SELECT *, my - ka * ma / sa - kb * mb / sb - kc * mc / sc AS i FROM k) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, 1.0::DOUBLE AS alpha, round(k{c}, 6) AS coefficient_standardised, round(k{c} / s{c}, 6) AS coefficient_original_units, round(i, 6) AS intercept_original_units FROM l" for c in "abc"))
 def ridge_coefficients(spark: SparkSession, d: str) -> DataFrame:
     return tidy(crossval.coefficients(cohort(spark, d), "subject", "y", ["a", "b", "c"], 1.0))
+
+
+# ---- tracks ---------------------------------------------------------------------
+
+RAW = {"CO": ("customer", "c_custkey"), "ES": ("supplier", "s_suppkey"), "BR": ("part", "p_partkey")}
+
+
+def _raw_names(site: str) -> list[str]:
+    """The numeric columns of a site's raw table, in the order of the canonical ones."""
+    m = sites.SITES[site]
+    return [n for c in sites.COLUMNS[2:] for n in (m.means.get(c) or ((m.columns[c],) if c in m.columns else ()))]
+
+
+def raw_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Three sites' tables as text, with blank cells and words among the numbers."""
+    out = {}
+    for site, (t, key) in RAW.items():
+        k, m = F.col(key), sites.SITES[site]
+        cells = [F.when((k * 7 + i) % 13 == 0, F.when(k % 2 == 0, " ").otherwise("n/a")).otherwise(((k * (2 * i + 3)) % 1000 / F.lit(5.0) + i).cast("string")).alias(n) for i, n in enumerate(_raw_names(site))]
+        out[site] = table(spark, d, t).select(k.cast("string").alias(m.columns["ID"]), F.when(k % 3 == 0, "ST").otherwise("CN").alias(m.columns["TYPE"]), *cells)
+    return out
+
+
+def _canonical_sql() -> str:
+    parts = []
+    for site, (t, key) in RAW.items():
+        m, names = sites.SITES[site], _raw_names(site)
+        value = {n: f"(CASE WHEN ({key} * 7 + {i}) % 13 <> 0 THEN ({key} * {2 * i + 3}) % 1000 / 5.0::DOUBLE + {i} END)" for i, n in enumerate(names)}
+        cells = {}
+        for c in sites.COLUMNS[2:]:
+            if c in m.means:
+                a, b = (value[n] for n in m.means[c])
+                cells[c] = f"(coalesce({a}, 0) + coalesce({b}, 0)) / nullif(({a} IS NOT NULL)::INT + ({b} IS NOT NULL)::INT, 0)"
+            elif c in m.columns:
+                cells[c] = value[m.columns[c]] + (f" * {m.factors[c]}::DOUBLE" if c in m.factors else "")
+        cells["PONDERAL_INDEX_kg_m3"] = f"CASE WHEN abs({cells['HEIGHT_cm']}) > 0 THEN {cells['WEIGHT_kg']} / pow({cells['HEIGHT_cm']} / 100, 3) END"
+        parts.append(f"""SELECT '{site}' AS site, {key}::VARCHAR AS "ID", CASE WHEN {key} % 3 = 0 THEN 'ST' ELSE 'CN' END AS "TYPE", """ + ", ".join(f'{cells[c]} AS "{c}"' for c in sites.COLUMNS[2:]) + f" FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+#: Cells, bounds and row flags of the canonical table, as CELLS has them for customers.
+TRACK = "canon AS (SELECT row_number() OVER () AS rid, * FROM (" + _canonical_sql() + """)),
+cells AS (SELECT rid, site, "ID" AS id, "TYPE" AS kind, """ + ", ".join(f'"{c}"' for c in sites.COLUMNS[2:]) + """ FROM canon),
+long AS (""" + " UNION ALL ".join(f"""SELECT rid, site, id, kind, '{c}' AS "column", "{c}" AS value, {low}::DOUBLE AS lowest, {high}::DOUBLE AS highest FROM cells""" for c, (low, high) in qc.RANGES.items()) + """),
+q AS (SELECT site, "column", quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM long WHERE value IS NOT NULL AND "column" <> 'AGE' GROUP BY 1, 2),
+bounds AS (SELECT site, "column", q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q WHERE n >= 5 AND q3 <> q1),
+marked AS (SELECT l.*, value IS NULL AS miss, coalesce(NOT value BETWEEN lowest AND highest, FALSE) AS inv, coalesce(value < low OR value > high, FALSE) AS outl FROM long l LEFT JOIN bounds b ON b.site = l.site AND b."column" = l."column"),
+rowf AS (SELECT rid, concat_ws(';', CASE WHEN bool_or(inv) THEN 'invalid_range' END, CASE WHEN bool_or(miss) THEN 'missing_values' END, CASE WHEN bool_or(outl) THEN 'outlier' END) AS "QC_FLAGS",
+  coalesce(string_agg("column", ';' ORDER BY "column") FILTER (miss OR inv OR outl), '') AS "QC_COLUMNS", count(*) FILTER (miss OR inv OR outl) AS "QC_N_FLAGS", bool_or(inv) AS rinv, bool_or(outl) AS routl FROM marked GROUP BY 1)"""
+PSEUDONYM = f"concat(site, '_', left(sha256(concat('{SALT}', id)), 8))"
+
+
+@query(f"""WITH {TRACK} SELECT {PSEUDONYM} AS "PSEUDO_ID", site, kind AS "TYPE", """ + ", ".join(f'round("{c}", 6) AS "{c}"' for c in sites.COLUMNS[2:]) + """, "QC_FLAGS", "QC_COLUMNS", "QC_N_FLAGS", '' AS "IMPUTED_COLUMNS", 0::BIGINT AS "N_IMPUTED_VALUES" FROM cells JOIN rowf USING (rid)""")
+def tabular_preprocessed(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(tracks.tabular(raw_tables(spark, d), SALT)["preprocessed"])
+
+
+@query(_report("(miss OR inv OR outl) AND rinv", "(miss OR inv OR outl) AND routl", TRACK))
+def tabular_report(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.tabular(raw_tables(spark, d), SALT)["report"]
+
+
+@query(f"""WITH {TRACK} SELECT site, {PSEUDONYM} AS subject_id, kind AS "TYPE", "column", round(value, 6) AS value, "QC_FLAGS" FROM marked JOIN rowf USING (rid) WHERE miss OR inv OR outl""")
+def tabular_flagged(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(tracks.tabular(raw_tables(spark, d), SALT)["flagged"])
+
+
+@query(f"""WITH {TRACK} SELECT DISTINCT site, id AS "ID", {PSEUDONYM} AS "PSEUDO_ID" FROM cells""")
+def tabular_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.tabular(raw_tables(spark, d), SALT)["mapping"]
+
+
+# Orders stand for images, their lines for reference markers, customers for subjects.
+EXP1 = """im AS (SELECT o_orderkey AS k, 'img/' || o_orderkey AS image_path, CASE WHEN o_custkey % 2 = 0 THEN 'CO' ELSE 'BR' END AS site, o_custkey::VARCHAR AS subject_id, ['front', 'back', 'left', 'right'][1 + o_orderkey % 4] AS view, 100.0::DOUBLE AS image_width,
+  CASE o_orderkey % 10 WHEN 0 THEN 'invalid_height_px' WHEN 1 THEN 'ok_with_warning_small' ELSE 'ok' END AS landmark_status, CASE WHEN o_orderkey % 10 <> 0 THEN 200.0::DOUBLE + o_orderkey % 50 END AS height_px, (o_orderkey % 100)::DOUBLE AS fx, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 50 + 0.5::DOUBLE END AS fy FROM orders),
+cal AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'no_marker_detected' ELSE 'ok' END AS cs, CASE WHEN o_orderkey % 19 <> 0 THEN 0.5::DOUBLE + o_custkey % 7 * 0.05::DOUBLE END AS s FROM orders),
+rf AS (SELECT l_orderkey AS k, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS i, l_discount * 1000 AS x, CASE WHEN l_linenumber % 7 <> 6 THEN l_quantity END AS y, l_extendedprice / l_quantity / 3700::DOUBLE AS s, l_tax AS q FROM lineitem),
+el AS (SELECT im.*, cal.s AS med, 150 + c_nationkey::DOUBLE AS truth FROM im JOIN cal USING (k) LEFT JOIN customer ON c_custkey::VARCHAR = subject_id WHERE cs <> 'no_marker_detected' AND cal.s IS NOT NULL),
+pk AS (SELECT k, arg_min({'s': s, 'i': i, 'b': -q}, {'b': -q, 'i': i}) AS best, arg_min({'s': s, 'i': i, 'b': d2}, {'b': d2, 'i': i}) FILTER (d2 IS NOT NULL) AS feet, arg_min({'s': s, 'i': i, 'b': d1}, {'b': d1, 'i': i}) FILTER (d1 IS NOT NULL) AS line
+  FROM (SELECT rf.*, sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) AS d2, abs(y - fy) AS d1 FROM rf JOIN el USING (k)) GROUP BY 1),
+hf AS (SELECT k, x < 50 AS half, arg_max(s, {'a': q, 'b': -i}) AS s FROM rf GROUP BY 1, 2), pv AS (SELECT k, CASE WHEN count(*) = 2 THEN max(s) / nullif(min(s), 0) END AS ratio FROM hf GROUP BY 1),
+e1 AS (SELECT k, image_path, site, subject_id, view, truth, height_px, med, best.s AS sb, best.i AS ib, feet.s AS sf, feet.i AS if_, feet.b AS bf, line.s AS sl, line.i AS il, line.b AS bl, ratio, coalesce(ratio > 1.35, FALSE) AS tilted,
+  CASE WHEN landmark_status LIKE 'ok%' THEN 'ok' ELSE 'landmark_failed_' || landmark_status END AS status, height_px * med AS h1, height_px * best.s AS h2, height_px * feet.s AS h3, height_px * line.s AS h4 FROM el LEFT JOIN pk USING (k) LEFT JOIN pv USING (k))"""
+
+
+def experiment(spark: SparkSession, d: str) -> DataFrame:
+    c, o = F.col, table(spark, d, "orders")
+    k, who = c("o_orderkey"), c("o_custkey")
+    path = lambda x: F.concat(F.lit("img/"), x.cast("string")).alias("image_path")
+    view = F.array(*map(F.lit, tracks.VIEWS))[(k % 4).cast("int")]
+    status = F.when(k % 10 == 0, "invalid_height_px").when(k % 10 == 1, "ok_with_warning_small").otherwise("ok")
+    im = o.select(path(k), F.when(who % 2 == 0, "CO").otherwise("BR").alias("site"), who.alias("subject_id"), view.alias("view"), F.lit(100.0).alias("image_width"), status.alias("landmark_status"), F.when(k % 10 != 0, 200.0 + k % 50).alias("height_px"), (k % 100).cast("double").alias("feet_x_px"), F.when(k % 13 != 0, who % 50 + F.lit(0.5)).alias("feet_y_px"))
+    cal = o.select(path(k), F.lit(1).alias("row_order"), F.when(k % 17 == 0, "no_marker_detected").otherwise("ok").alias("calibration_status"), F.when(k % 19 != 0, F.lit(0.5) + who % 7 * F.lit(0.05)).alias("scale_cm_per_pixel"))
+    second = cal.withColumns({"row_order": F.lit(2), "scale_cm_per_pixel": F.lit(9.0)})  # later rows do not count
+    i = c("l_linenumber")
+    refs = table(spark, d, "lineitem").select(path(c("l_orderkey")), (c("l_partkey") * 1000000 + c("l_suppkey") * 10 + i).alias("reference_index"), (c("l_discount") * 1000).alias("center_x_px"), F.when(i % 7 != 6, c("l_quantity")).alias("center_y_px"), (c("l_extendedprice") / c("l_quantity") / F.lit(3700.0)).alias("reference_scale_cm_per_pixel"), c("l_tax").alias("detection_quality"))
+    manual = table(spark, d, "customer").select(c("c_custkey").alias("ID"), (150 + c("c_nationkey")).alias("HEIGHT_cm"), F.lit(0).alias("row_order"))
+    return tracks.experiment_1(im, cal.union(second), refs, manual)
+
+
+@query(f"""WITH {EXP1} SELECT image_path, site, subject_id, view, round(truth, 6) AS height_manual_cm, round(height_px, 6) AS height_px, round(med, 6) AS scale_median_all, round(sb, 6) AS scale_best_quality, ib::BIGINT AS best_quality_reference_index, round(sf, 6) AS scale_closest_feet, if_::BIGINT AS closest_feet_reference_index, round(bf, 6) AS closest_feet_distance_px,
+round(sl, 6) AS scale_ground_line, il::BIGINT AS ground_line_reference_index, round(bl, 6) AS ground_line_delta_y_px, round(ratio, 6) AS cube_scale_ratio, tilted AS perspective_flag, status, round(h1, 6) AS height_cm_median_scale, round(h2, 6) AS height_cm_best_quality_scale, round(h3, 6) AS height_cm_closest_feet_scale, round(h4, 6) AS height_cm_ground_line_scale,
+round(h1 - truth, 6) AS error_cm_median_scale, round(h2 - truth, 6) AS error_cm_best_quality_scale, round(h3 - truth, 6) AS error_cm_closest_feet_scale, round(h4 - truth, 6) AS error_cm_ground_line_scale FROM e1""")
+def experiment_1(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(experiment(spark, d))
+
+
+LATERAL_SCALE = """im AS (SELECT o_orderkey, '/d/' || o_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'Right'][1 + o_orderkey % 2] AS v, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 60)::DOUBLE END AS fy FROM orders),
+rf AS (SELECT l_orderkey AS i, '/d/' || l_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'right'][1 + l_orderkey % 2] AS v, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS y, CASE WHEN l_partkey % 3 <> 0 THEN (l_partkey % 40)::DOUBLE / 100 END AS sc, l_linenumber AS n, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'),
+cl AS (SELECT '/d/' || o_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'right'][1 + o_orderkey % 2] AS v, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1000000 END AS sc FROM orders WHERE o_orderstatus <> 'O'),
+ji AS (SELECT o_orderkey, '/d/' || o_orderkey || '.jpg' AS p, s, lower(v) AS v, fy FROM im),
+mr AS (SELECT o_orderkey, rf.p = ji.p AS ex, sc, abs(y - fy) AS g, n, i, l_suppkey FROM ji JOIN rf ON rf.s = ji.s AND rf.v = ji.v), ur AS (SELECT m.* FROM mr m JOIN (SELECT o_orderkey, bool_or(ex) AS own FROM mr GROUP BY 1) USING (o_orderkey) WHERE ex OR NOT own),
+rr AS (SELECT o_orderkey, arg_min(sc, {'g': g, 'n': i * 100 + n, 's': sc}) FILTER (g IS NOT NULL AND sc IS NOT NULL) AS near, median(sc) AS mid FROM ur GROUP BY 1),
+mc AS (SELECT o_orderkey, cl.p = ji.p AS ex, sc FROM ji JOIN cl ON cl.s = ji.s AND cl.v = ji.v), rc AS (SELECT o_orderkey, median(sc) AS cal FROM mc JOIN (SELECT o_orderkey, bool_or(ex) AS own FROM mc GROUP BY 1) USING (o_orderkey) WHERE ex OR NOT own GROUP BY 1)"""
+
+
+@query(f"""WITH {LATERAL_SCALE} SELECT o_orderkey, round(CASE WHEN coalesce(near, mid) > 0 THEN coalesce(near, mid) ELSE cal END, 6) AS scale, CASE WHEN coalesce(near, mid) > 0 THEN CASE WHEN near IS NOT NULL THEN 'closest_reference_to_feet' ELSE 'median_reference_scale' END WHEN cal IS NOT NULL THEN 'image_calibration_scale' ELSE 'no_valid_calibration_scale' END AS scale_source
+FROM ji LEFT JOIN rr USING (o_orderkey) LEFT JOIN rc USING (o_orderkey)""")
+def lateral_scale(spark: SparkSession, d: str) -> DataFrame:
+    c, o = F.col, table(spark, d, "orders")
+    path = lambda k, head: F.concat(F.lit(head), k.cast("string"), F.lit(".jpg")).alias("image_path")
+    view = lambda k, names: F.array(*map(F.lit, names))[(k % 2).cast("int")].alias("view")
+    k = c("o_orderkey")
+    who = c("o_custkey").alias("subject_id")
+    im = o.select(path(k, "file:/d//a/../"), k, who, view(k, ("left", "Right")), F.when(k % 5 != 0, (k % 60).cast("double")).alias("feet_y"))
+    li = table(spark, d, "lineitem").join(o.where("o_orderstatus = 'F'"), c("l_orderkey") == k)
+    refs = li.select(path(c("l_orderkey"), "/d/"), who, view(c("l_orderkey"), ("left", "right")), F.when(c("l_linenumber") % 4 != 0, c("l_quantity")).alias("center_y_px"), F.when(c("l_partkey") % 3 != 0, (c("l_partkey") % 40).cast("double") / 100).alias("reference_scale_cm_per_pixel"), (c("l_orderkey") * 100 + c("l_linenumber")).alias("reference_index"))
+    cal = o.where("o_orderstatus <> 'O'").select(path(k, "/d/"), who, view(k, ("left", "right")), F.when(k % 3 == 0, c("o_totalprice") / 1000000).alias("scale_cm_per_pixel"))
+    return tidy(nearest.lateral_scale(im, refs, cal).select("o_orderkey", "scale", "scale_source"))
+
+
+LOO1 = EXP1 + """, ls AS (SELECT view, count(*)::DOUBLE AS n, avg(h4) AS mx, avg(truth) AS my, var_pop(h4) AS vx, covar_pop(truth, h4) AS cxy FROM e1 WHERE h4 IS NOT NULL AND truth IS NOT NULL GROUP BY 1),
+e2 AS (SELECT e1.*, CASE WHEN h4 IS NOT NULL AND truth IS NOT NULL THEN CASE WHEN n < 8 THEN h4 ELSE my - (truth - my) / (n - 1) + (n * cxy - n / (n - 1) * (h4 - mx) * (truth - my)) / (n * vx - n / (n - 1) * (h4 - mx) * (h4 - mx)) * ((h4 - mx) + (h4 - mx) / (n - 1)) END END AS h5 FROM e1 LEFT JOIN ls USING (view))"""
+COMPARISON = LOO1 + """, hz AS (SELECT 'img/' || o_orderkey AS image_path, (o_orderkey % 7)::DOUBLE AS px, 140::DOUBLE + o_orderkey % 50 AS h, (o_orderkey % 17 - 8)::DOUBLE AS ec, CASE WHEN o_orderkey % 6 <> 0 THEN (o_orderkey % 23 - 11)::DOUBLE END AS es, (o_orderkey % 5)::DOUBLE AS ef FROM orders WHERE o_orderstatus <> 'O'),
+hc AS (SELECT 'img/' || o_orderkey AS image_path, 150::DOUBLE + o_orderkey % 40 AS h, (o_orderkey % 9)::DOUBLE AS px, (o_orderkey % 31 - 15)::DOUBLE AS e, ['subject_front_back', 'per_image_cube_lateral'][1 + o_orderkey % 2] AS src, 'high' AS rel FROM orders WHERE o_orderstatus <> 'F'),
+wide AS (SELECT coalesce(e.image_path, hz.image_path, hc.image_path) AS image_path, e.site, e.subject_id, e.view, e.truth, h1 - truth AS a1, h2 - truth AS a2, h3 - truth AS a3, h4 - truth AS a4, h5 - truth AS a5, hz.ec AS a6, hz.es AS a7, hz.ef AS a8, NULL::DOUBLE AS a9, hc.e AS a10, hz.h / nullif(hz.px, 0) AS hs, hc.h / nullif(hc.px, 0) AS cs, src, rel
+  FROM e2 e FULL JOIN hz ON hz.image_path = e.image_path FULL JOIN hc ON hc.image_path = coalesce(e.image_path, hz.image_path))"""
+_TEN = ", ".join(f"('{m}', 'a{i}')" for i, m in enumerate(tracks.METHODS, 1))
+TENS = COMPARISON + f""", lg AS (UNPIVOT (SELECT view, a1, a2, a3, a4, a5, a6, a7, a8, a9, a10 FROM wide) ON a1, a2, a3, a4, a5, a6, a7, a8, a9, a10 INTO NAME col VALUE e),
+gr AS (SELECT col, e, unnest(list_filter([view, CASE WHEN view IN ('front', 'back') THEN 'FRONT+BACK' END, CASE WHEN view IN ('left', 'right') THEN 'LEFT+RIGHT' END, 'GLOBAL'], lambda x: x IS NOT NULL)) AS grp FROM lg WHERE e IS NOT NULL),
+ag AS (SELECT col, grp, count(*) AS n, avg(e) AS bias, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM gr GROUP BY 1, 2),
+mx AS (SELECT method, grp, coalesce(n, 0)::BIGINT AS n, bias, mae, rmse FROM (SELECT * FROM (VALUES {_TEN}) AS v(method, col), (SELECT unnest(['front', 'back', 'left', 'right', 'FRONT+BACK', 'LEFT+RIGHT', 'GLOBAL']) AS grp)) LEFT JOIN ag USING (col, grp))"""
+
+
+def comparison(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    c, o = F.col, table(spark, d, "orders")
+    k = c("o_orderkey")
+    path = F.concat(F.lit("img/"), k.cast("string")).alias("image_path")
+    number = lambda x, name: x.cast("double").alias(name)
+    hz = o.where("o_orderstatus <> 'O'").select(path, number(k % 7, "height_px"), number(140 + k % 50, "H_horizon_cube"), number(k % 17 - 8, "error_horizon_cube"), F.when(k % 6 != 0, (k % 23 - 11).cast("double")).alias("error_horizon_shared"), number(k % 5, "error_feet_single"))
+    source = F.when(k % 2 == 0, "subject_front_back").otherwise("per_image_cube_lateral").alias("horizon_corrected_source")
+    hc = o.where("o_orderstatus <> 'F'").select(path, number(150 + k % 40, "H_horizon_corrected"), number(k % 9, "height_px"), number(k % 31 - 15, "error_horizon_corrected"), source, F.lit("high").alias("height_reliability"))
+    return tracks.compare_methods(tracks.corrected_scale(experiment(spark, d)), hz, hc)
+
+
+@query(f"WITH {COMPARISON} SELECT image_path, site, subject_id, view, round(truth, 6) AS height_manual_cm, NULL::DOUBLE AS e1_scale_median_cmpx, round(a1, 6) AS e1_err_median, round(a5, 4) AS e1_err_groundline_corr, round(hs, 6) AS hz_scale_cube_cmpx, a7 AS hz_err_shared, a9 AS hz_err_feet_mask, round(cs, 6) AS hzc_scale_equivalent_cmpx, src AS hzc_horizon_source FROM wide")
+def comparison_wide(spark: SparkSession, d: str) -> DataFrame:
+    w = comparison(spark, d)["wide"].select("image_path", "site", "subject_id", "view", "height_manual_cm", "e1_scale_median_cmpx", "e1_err_median", F.round("e1_err_groundline_corr", 4).alias("e1_err_groundline_corr"), "hz_scale_cube_cmpx", "hz_err_shared", "hz_err_feet_mask", "hzc_scale_equivalent_cmpx", "hzc_horizon_source")
+    return tidy(w)
+
+
+@query(f"WITH {TENS} SELECT method, grp, n, round(bias, 4) AS bias, round(mae, 4) AS mae, round(rmse, 4) AS rmse FROM mx")
+def comparison_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(comparison(spark, d)["matrix"], 4)
+
+
+@query(f"WITH {TENS} SELECT grp, arg_min(method, {{'a': mae, 'b': method}}) AS method, round(min(mae), 4) AS mae FROM mx WHERE mae IS NOT NULL GROUP BY 1")
+def comparison_best(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(comparison(spark, d)["best"], 4)
+
+
+@query(f"WITH {COMPARISON} SELECT view, src AS hzc_horizon_source, rel AS hzc_reliability, count(*) AS n FROM wide GROUP BY 1, 2, 3")
+def comparison_sources(spark: SparkSession, d: str) -> DataFrame:
+    return comparison(spark, d)["sources"]
+
+
+POSED = """po AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 8 <> 0 THEN 400::DOUBLE + o_orderkey % 9 END AS fy, 90::DOUBLE + o_custkey % 20 AS hy, 80::DOUBLE + o_custkey % 17 AS hm, CASE WHEN o_orderkey % 12 <> 0 THEN 110::DOUBLE + o_orderkey % 13 END AS ey, 10::DOUBLE + o_orderkey % 15 AS fs, ['interocular', 'eye_nose', 'none'][1 + o_orderkey % 3] AS mode, 0.5::DOUBLE + o_custkey % 5 / 100::DOUBLE AS sc, CASE WHEN o_orderkey % 21 <> 0 THEN 165::DOUBLE END AS truth FROM orders)"""
+
+
+@query(f"""WITH {POSED}, ev AS (SELECT factor, (fy - CASE WHEN mode = 'interocular' THEN CASE WHEN ey IS NOT NULL THEN least(greatest(ey - factor * fs, hm), ey - 1) END ELSE hy END) * sc - truth AS e FROM po, (SELECT CAST(unnest([{", ".join(map(str, FACTORS))}]) AS DOUBLE) AS factor) WHERE fy IS NOT NULL AND truth IS NOT NULL)
+SELECT factor, {ERR} FROM ev GROUP BY 1""")
+def crown_sweep(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    k, who = c("o_orderkey"), c("o_custkey")
+    mode = F.when(k % 3 == 0, "interocular").when(k % 3 == 1, "eye_nose").otherwise("none")
+    posed = table(spark, d, "orders").select(
+        F.when(k % 8 != 0, (400 + k % 9).cast("double")).alias("feet_y_px"), (90 + who % 20).cast("double").alias("head_y_px"), (80 + who % 17).cast("double").alias("head_y_mask"), F.when(k % 12 != 0, (110 + k % 13).cast("double")).alias("pose_eye_y"),
+        (10 + k % 15).cast("double").alias("pose_face_scale"), mode.alias("pose_face_mode"), (0.5 + who % 5 / F.lit(100.0)).alias("scale_closest_feet"), F.when(k % 21 != 0, F.lit(165.0)).alias("height_manual_cm"),
+    )
+    return tidy(calibrate.crown_sweep(posed))
+
+
+SHARES = (0.45, 0.50, 0.55, 0.60)
+WIDTHS = f"""runs AS (SELECT l_orderkey AS img, l_linenumber AS y, 40 AS x0, 40 + CAST(l_quantity AS BIGINT) AS x1 FROM lineitem UNION ALL SELECT o_orderkey, 100, 40, 60 FROM orders),
+ext AS (SELECT img, min(y) AS y_min, max(y) AS y_max FROM runs GROUP BY 1), wide AS (SELECT img, y, max(x1) - min(x0) + 1 AS w FROM runs GROUP BY 1, 2),
+hd AS (SELECT w.*, row_number() OVER (PARTITION BY img ORDER BY w DESC) AS r, count(*) OVER (PARTITION BY img) AS n FROM wide w JOIN ext e USING (img) WHERE y <= floor(y_min + 0.12::DOUBLE * (y_max - y_min))),
+sk AS (SELECT img, median(w) AS sw FROM hd WHERE r <= greatest(1, n // 3) GROUP BY 1), sh AS (SELECT CAST(unnest({list(SHARES)}) AS DOUBLE) AS share),
+tops AS (SELECT img, share, min(y)::DOUBLE AS mh FROM hd JOIN sk USING (img), sh WHERE w >= share * sw GROUP BY 1, 2),
+po AS (SELECT o_orderkey AS img, o_custkey % 97 AS s, ['front', 'back', 'left', 'right'][1 + o_orderkey % 4] AS view, CASE WHEN o_orderkey % 11 = 0 THEN 'no_cube' ELSE 'ok' END AS st, 60::DOUBLE + o_orderkey % 40 AS cam, 100::DOUBLE + o_orderkey % 10 AS fe, 5::DOUBLE + o_orderkey % 6 AS hp, CASE WHEN o_orderkey % 13 <> 0 THEN 10::DOUBLE + o_custkey * 7 % 300 / 10::DOUBLE END AS ho FROM orders),
+hw AS (SELECT share, po.*, CASE WHEN abs(mh - hp) <= 0.12::DOUBLE * (fe - hp) THEN mh ELSE hp END AS he FROM po CROSS JOIN sh LEFT JOIN tops USING (img, share)),
+cu AS (SELECT *, coalesce(st = 'ok' AND h > 40 AND h < 230, FALSE) AS ok FROM (SELECT *, CASE WHEN fe - he > 0 AND abs(fe - ho) > 1e-6 THEN cam * ((fe - he) / (fe - ho)) END AS h FROM hw)),
+fb AS (SELECT share, s, ho FROM cu WHERE ok AND view IN ('front', 'back')), la AS (SELECT share, s, ho FROM cu WHERE ok AND view IN ('left', 'right')), su AS (SELECT DISTINCT share, s FROM cu),
+gf AS (SELECT su.share, su.s, median(CASE WHEN fb.s <> su.s THEN ho END) AS v FROM su JOIN fb ON fb.share = su.share GROUP BY 1, 2), gl AS (SELECT su.share, su.s, median(CASE WHEN la.s <> su.s THEN ho END) AS v FROM su JOIN la ON la.share = su.share GROUP BY 1, 2),
+sf AS (SELECT share, s, median(ho) AS v FROM fb GROUP BY 1, 2), sl AS (SELECT share, s, median(ho) AS v FROM la GROUP BY 1, 2),
+pk AS (SELECT cu.*, CASE WHEN view IN ('front', 'back') THEN coalesce(sf.v, CASE WHEN ok THEN ho END, gf.v, gl.v) ELSE coalesce(CASE WHEN ok THEN ho END, sl.v, sf.v, gf.v, gl.v) END AS y FROM cu LEFT JOIN sf USING (share, s) LEFT JOIN sl USING (share, s) LEFT JOIN gf USING (share, s) LEFT JOIN gl USING (share, s)),
+er AS (SELECT share, view, CASE WHEN fe - he > 0 AND abs(fe - y) > 1e-6 THEN cam * ((fe - he) / (fe - y)) END - 170 AS e FROM pk),
+sw AS (SELECT share, count(e) FILTER (view IN ('front', 'back')) AS n_fb, avg(abs(e)) FILTER (view IN ('front', 'back')) AS f, avg(abs(e)) FILTER (view = 'left') AS l, avg(abs(e)) FILTER (view = 'right') AS r FROM er GROUP BY 1)"""
+
+
+@query(f"WITH {WIDTHS} SELECT share, n_fb, round(f, 6) AS mae_front_back, round(l, 6) AS mae_left, round(r, 6) AS mae_right, share = (SELECT arg_min(share, {{'f': f, 's': share}}) FROM sw) AS best FROM sw")
+def head_width_sweep(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    k, who = c("o_orderkey"), c("o_custkey")
+    im = table(spark, d, "orders").select(
+        k.alias("img"), (who % 97).alias("subject_id"), F.array(*map(F.lit, tracks.VIEWS))[(k % 4).cast("int")].alias("view"), F.when(k % 11 == 0, "no_cube").otherwise("ok").alias("status"), (60 + k % 40).cast("double").alias("camera_cm"),
+        (100 + k % 10).cast("double").alias("y_feet"), (5 + k % 6).cast("double").alias("y_head"), F.when(k % 13 != 0, 10 + who * 7 % 300 / F.lit(10.0)).alias("y_horizon_cube"), F.lit(170.0).alias("height_manual_cm"),
+    )
+    lines = table(spark, d, "lineitem").select(c("l_orderkey").alias("img"), c("l_linenumber").alias("y"), F.lit(40).alias("x0"), (40 + c("l_quantity").cast("int")).alias("x1"))
+    feet = table(spark, d, "orders").select(k.alias("img"), F.lit(100).alias("y"), F.lit(40).alias("x0"), F.lit(60).alias("x1"))
+    return tidy(tracks.head_width_sweep(lines.union(feet), im, SHARES, "img"))
+
+
+@query("""WITH q AS (SELECT vec_id, list_transform(range(1, 5), lambda i: sqrt(pow(embedding[2 * i - 1]::DOUBLE - embedding[2 * (i % 4) + 1]::DOUBLE, 2) + pow(embedding[2 * i]::DOUBLE - embedding[2 * (i % 4) + 2]::DOUBLE, 2))) AS s, embedding[9]::DOUBLE AS c FROM embeddings)
+SELECT vec_id, round(list_avg(s), 6) AS side, round(list_min(s) / nullif(list_max(s), 0), 6) AS squareness, round(10 / nullif(list_avg(s), 0), 6) AS scale, round(CASE WHEN c > 0 THEN 1.4::DOUBLE / c END, 6) AS circle FROM q""")
+def marker_scales(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    corner = lambda i: F.struct(F.col("embedding")[2 * i].cast("double").alias("x"), F.col("embedding")[2 * i + 1].cast("double").alias("y"))
+    marked = e.select("vec_id", F.array(*(corner(i) for i in range(4))).alias("corners"), F.col("embedding")[8].cast("double").alias("diameter"))
+    return tidy(marked.select("vec_id", *(v.alias(n) for n, v in geometry.square(F.col("corners")).items()), geometry.circle_scale(F.col("diameter")).alias("circle")))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS h, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE 52::DOUBLE END AS img, CASE l_linenumber % 3 WHEN 0 THEN 'invalid_height_px' ELSE 'ok' END AS st, CASE l_suppkey % 2 WHEN 0 THEN 'ok' ELSE 'small_mask' END AS seg FROM lineitem),
+w AS (SELECT *, CASE WHEN st = 'ok' AND seg <> 'ok' THEN 'ok_with_warning_' || seg ELSE st END AS ws, CASE WHEN img > 0 THEN h / img ELSE 0 END AS f FROM b)
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN ws LIKE 'ok%' AND f > 0.95 THEN 'suspect_mask_covers_image' WHEN ws LIKE 'ok%' AND f < 0.15 THEN 'suspect_mask_too_small' ELSE ws END AS landmark_status FROM w""")
+def body_status(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("l_linenumber")
+    li = table(spark, d, "lineitem").select("l_orderkey", i, F.col("l_quantity").alias("h"), F.when(i % 5 == 0, 0.0).otherwise(52.0).alias("img_h"), F.when(i % 3 == 0, "invalid_height_px").otherwise("ok").alias("landmark_status"), F.when(F.col("l_suppkey") % 2 == 0, "ok").otherwise("small_mask").alias("segmentation_status"))
+    return tidy(mask.body_status(li, "h", "img_h").select("l_orderkey", "l_linenumber", "landmark_status"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrikon.functions import geometry, ids, nulls
-from metrikon.operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
+from metrikon.operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc, ranks
+from metrikon.plans import sites, tracks
 from metrikon.sources import tables
 from metrikon.streaming import flags
 
@@ -40,12 +41,31 @@ def test_pseudonyms(spark):
 def test_qc(spark):
     rows = [("A", str(i), float(i), 50.0) for i in range(1, 9)] + [("A", "x", 100.0, 500.0), ("A", "y", None, 60.0), ("B", "z", 1.0, 1.0)]
     df = spark.createDataFrame(rows, "site string, id string, v double, AGE double")
-    cells = qc.cell_flags(df, "site", "id", ["v", "AGE"], {"v": (0.0, 90.0), "AGE": (0.0, 120.0)})
-    got = {r.id: (r.QC_FLAGS, r.QC_COLUMNS, r.QC_N_FLAGS) for r in qc.row_flags(cells, "site", "id").collect()}
+    flagged = qc.flag(df, "site", ["v", "AGE"], {"v": (0.0, 90.0), "AGE": (0.0, 120.0)})
+    got = {r.id: (r.QC_FLAGS, r.QC_COLUMNS, r.QC_N_FLAGS) for r in flagged.collect()}
     assert got["x"] == ("invalid_range;outlier", "AGE;v", 2) and got["y"] == ("missing_values", "v", 1) and got["1"] == ("", "", 0)
-    count = lambda mode: {(r.site, r.column): (r.n_missing, r.n_invalid_range, r.n_outliers) for r in qc.report(cells, "site", "id", mode).collect()}
+    count = lambda mode: {(r.site, r.column): (r.n_missing, r.n_invalid_range, r.n_outliers) for r in qc.report(flagged, "site", mode).collect()}
     assert count("cell_level")["A", "AGE"] == (0, 1, 0) and count("row_level")["A", "AGE"] == (0, 1, 1)
-    assert {r.id for r in qc.flagged_values(cells, "site", "id").collect()} == {"x", "y"}
+    assert {r.id for r in qc.flagged_values(flagged, "site", "id").collect()} == {"x", "y"}
+
+
+def test_qc_without_or_with_repeated_ids(spark):
+    """Rows without site or identifier and rows that repeat one count as rows."""
+    rows = [(None, None, 1.0), (None, None, None), ("A", None, None), ("A", "1", 500.0), ("A", "1", 2.0)]
+    flagged = qc.flag(spark.createDataFrame(rows, "site string, id string, v double"), "site", ["v"], {"v": (0.0, 90.0)})
+    for mode in ("row_level", "cell_level"):
+        assert {r.site: (r.n_rows, r.n_missing, r.n_invalid_range) for r in qc.report(flagged, "site", mode).collect()} == {None: (2, 1, 0), "A": (3, 1, 1)}
+    assert sorted(map(str, [tuple(r) for r in qc.flagged_values(flagged, "site", "id").collect()])) == sorted(map(str, [(None, None, "v", None, "missing_values"), ("A", None, "v", None, "missing_values"), ("A", "1", "v", 500.0, "invalid_range")]))
+    none = spark.createDataFrame([], "site string, id string, v double")
+    assert qc.report(qc.flag(none, "site", ["v"]), "site").count() == 0
+
+
+def test_ranges_are_inclusive(spark):
+    assert len(qc.RANGES) == 25
+    for c, (low, high) in qc.RANGES.items():
+        df = spark.createDataFrame([(1, float(low)), (2, float(high)), (3, low - 0.01), (4, high + 0.01)], f"id int, `{c}` double").withColumn("site", F.lit("A"))
+        bounds = spark.createDataFrame([], "site string, column string, low double, high double")
+        assert {r.id for r in qc.flag(df, "site", [c], bounds=bounds).where("QC_FLAGS = 'invalid_range'").collect()} == {3, 4}
 
 
 def test_metrics(spark):
@@ -72,9 +92,10 @@ def test_nearest(spark):
 def test_leave_one_out(spark, n):
     rng = np.random.default_rng(n)
     x, y = rng.normal(100, 10, n), rng.normal(50, 5, n)
-    df = spark.createDataFrame([(i, "g", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(99, "g", None, 1.0)], "i int, g string, x double, y double")
+    df = spark.createDataFrame([(i, "g", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))] + [(99, "g", None, 1.0), (98, "g", 3.0, None), (97, None, 3.0, 4.0)], "i int, g string, x double, y double")
     got = {r.i: r.corrected for r in calibrate.leave_one_out(df, "x", "y", ["g"]).collect()}
-    assert got[99] is None
+    assert [got[i] for i in (99, 98, 97)] == [None] * 3 and len(got) == n + 3
+    assert {r.i for r in calibrate.leave_one_out(df, "x", "y", []).where("corrected IS NULL").collect()} == {98, 99}
     for j in range(n):
         keep = np.arange(n) != j
         want = np.polyval(np.polyfit(x[keep], y[keep], 1), x[j]) if n >= 8 else x[j]
@@ -92,6 +113,19 @@ def test_loso(spark):
     assert one(horizon.loso_median(alone, alone, "s", "v"))["loso"] is None
 
 
+def test_loso_kinds_and_hot_subject(spark):
+    """Two kinds of donor in one pass, a subject with most of the rows, a value that most rows have."""
+    rng = np.random.default_rng(1)
+    rows = [(k, 1 if rng.random() < 0.6 else int(rng.integers(2, 30)), 7.0 if rng.random() < 0.4 else float(rng.integers(0, 1000))) for k in ("a", "b") for _ in range(700)] + [("c", 1, 5.0)]
+    df = spark.createDataFrame(rows, "kind string, s int, v double")
+    got = {(r.kind, r.s): r.loso for r in horizon.loso_medians(df, df, "s", "v", "kind").collect()}
+    subjects = {t for _, t, _ in rows}
+    assert len(got) == 3 * len(subjects)
+    for (k, s), m in got.items():
+        rest = [v for q, t, v in rows if q == k and t != s]
+        assert m == (np.median(rest) if rest else None)
+
+
 def test_heights(spark):
     df = spark.createDataFrame([(100.0, 200.0, 50.0, 150.0), (100.0, 200.0, 50.0, 200.0), (100.0, 100.0, 50.0, 150.0)], "cam double, feet double, head double, hor double")
     c = F.col
@@ -100,10 +134,24 @@ def test_heights(spark):
 
 
 def test_hierarchy_keeps_value_and_label(spark):
-    df = spark.createDataFrame([(1, "front", 10.0, True), (1, "left", None, False), (2, "left", 5.0, True), (2, "front", None, False), (3, "top", None, False)], "s int, view string, y double, ok boolean")
-    got = {(r.s, r.view): (r.horizon_y, r.source, r.reliability) for r in horizon.correct(df, "s", "view", "y", F.col("ok")).collect()}
-    assert got[1, "front"] == (10.0, "subject_front_back", "high") and got[2, "front"] == (10.0, "global_front_back_loo", "low")
-    assert got[1, "left"] == (10.0, "subject_front_back_lateral_fallback", "medium") and got[3, "top"] == (10.0, "shared", "low")
+    rows = [(1, "front", 10.0, "ok", 170.0), (1, "left", None, "ok", None), (2, "left", 5.0, "ok", 170.0), (2, "front", None, "no_cube", None), (3, "top", None, "ok", None), (4, "right", 6.0, "ok", 300.0), (4, "back", 4.0, "no_cube", 170.0), (4, "left", float("nan"), "ok", 170.0)]
+    df = spark.createDataFrame(rows, "s int, view string, y double, status string, h double")
+    got = {(r.s, r.view): (r.y_horizon_corrected, r.horizon_corrected_source, r.height_reliability) for r in horizon.correct(df, "s", "view", "y", "status", "h").collect()}
+    assert got[1, "front"] == (10.0, "subject_front_back", "high") and got[2, "front"] == (10.0, "global_front_back_fallback_loo", "low")
+    assert got[1, "left"] == (10.0, "subject_front_back_lateral_fallback", "medium") and got[3, "top"] == (10.0, "shared_unknown_view_fallback", "low")
+    assert got[2, "left"] == (5.0, "per_image_cube_lateral", "high") and got[4, "right"] == got[4, "left"] == (10.0, "subject_front_back_lateral_fallback", "medium")
+    alone = spark.createDataFrame(rows[2:5], df.schema)
+    got = {(r.s, r.view): (r.y_horizon_corrected, r.horizon_corrected_source, r.y_horizon_shared, r.horizon_shared_source) for r in horizon.correct(alone, "s", "view", "y", "status", "h").collect()}
+    assert got[2, "front"] == (None, "no_valid_horizon", None, "global_front_back_fallback_loo") and got[3, "top"][:2] == (5.0, "global_lateral_unknown_view_fallback_loo")
+
+
+def test_moved_heads(spark):
+    c = F.col
+    df = spark.createDataFrame([("front", 100.0, 95.0), ("left", 100.0, 60.0), ("left", 100.0, 95.0), ("front", 100.0, 20.0), ("back", 100.0, None)], "view string, pose double, mask double")
+    moved = geometry.corrected_head(c("view"), c("pose"), c("mask"), F.lit(500.0))
+    assert [tuple(r) for r in df.select(*(v.alias(n) for n, v in moved.items())).collect()] == [(95.0, "mask_trim_hair", 5.0), (70.0, "mask_trim_hair_capped", 30.0), (95.0, "mask_trim_hair_capped", 5.0), (100.0, "pose", 0.0), (100.0, "pose", 0.0)]
+    free = geometry.corrected_head(c("view"), c("pose"), c("mask"), F.lit(500.0), rise_px=None)
+    assert [r[0] for r in df.select(free["head_y"]).collect()] == [95.0, 60.0, 95.0, 100.0, 100.0]
 
 
 def test_fusion(spark):
@@ -152,8 +200,18 @@ def test_knn(spark):
     df = spark.createDataFrame(rows, "id int, g string, a double, b double")
     got = {r.id: r.value for r in knn.impute(df, ["g"], "id", ["a", "b"], ["b"], 2).collect()}
     assert got == {1: 15.0}
-    full = knn.complete(df, knn.impute(df, ["g"], "id", ["a", "b"], ["b"], 2), ["g"], "id", ["b"])
-    assert {r.id: (r.b, r.b_was_imputed) for r in full.collect()}[5] == (None, False)
+    full = {r.id: r for r in knn.complete(df, knn.impute(df, ["g"], "id", ["a", "b"], ["b"], 2), ["g"], "id", ["b"]).collect()}
+    assert (full[5].b, full[5].b_was_imputed, full[5].N_IMPUTED_VALUES) == (None, False, 0) and (full[1].b, full[1].IMPUTED_COLUMNS, full[1].N_IMPUTED_VALUES) == (15.0, "b", 1)
+    # one id in two strata keeps to its own
+    twin = spark.createDataFrame([(1, g, 1.0, None) for g in "st"] + [(k, "s", 1.0 + k, 10.0 * k) for k in (2, 3)] + [(k, "t", 1.0 + k, 100.0 * k) for k in (2, 3)] + [(9, None, 1.0, None), (None, "s", 1.0, 5.0)], df.schema)
+    found = knn.impute(twin, ["g"], "id", ["a", "b"], ["b"], 2)
+    assert {(r.g, r.id): r.b for r in knn.complete(twin, found, ["g"], "id", ["b"]).where("id = 1").collect()} == {("s", 1): 25.0, ("t", 1): 250.0}
+    # blocks of any size give the same
+    rng = np.random.default_rng(2)
+    many = spark.createDataFrame([(i, "s", *(None if rng.random() < 0.3 else float(rng.integers(0, 6)) for _ in range(3))) for i in range(80)], "id int, g string, a double, b double, c double")
+    args = (["g"], "id", ["a", "b", "c"], ["b", "c"])
+    order = lambda d: sorted(map(tuple, d.collect()))
+    assert order(knn.impute(many, *args, 3, 7)) == order(knn.impute(many, *args, 3)) and order(knn.lovo_detail(many, *args, [1, 3], 3, 9)) == order(knn.lovo_detail(many, *args, [1, 3]))
     same = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7)) for i in range(20)], "a double, b double, c double")
     assert knn.not_redundant(same, ["a", "b", "c"]) == ["a", "c"]
 
@@ -162,13 +220,43 @@ def test_folds_and_ridge(spark):
     f = crossval.folds(12, 5)
     assert sorted(np.bincount(f).tolist()) == [2, 2, 2, 3, 3]
     rng = np.random.default_rng(3)
-    rows = [(i, *map(float, rng.normal(size=3))) for i in range(12)]
-    df = spark.createDataFrame(rows, "s int, a double, b double, y double")
-    got = crossval.nested(df, "s", "y", ["a", "b"]).collect()
-    assert sorted(r.s for r in got) == list(range(12)) and {r.s: r.cv_fold for r in got} == dict(enumerate(f.tolist()))
-    c = {r.feature: r.coefficient for r in crossval.coefficients(df, "s", "y", ["a", "b"], 0.0).collect()}
+    rows = [(f"s{i:02d}", *map(float, rng.normal(size=3)), None if i % 6 == 4 else float(rng.normal())) for i in range(17)]
+    df = spark.createDataFrame(rows, "s string, a double, b double, y double, c double")
+    got = {r.s: r for r in crossval.nested(df, "s", "y", ["a", "b", "c"], "b").collect()}
+    want = plain_nested(np.array([[np.nan if v is None else v for v in (r[1], r[2], r[4])] for r in rows], float), np.array([r[3] for r in rows]))
+    assert {s: r.cv_fold for s, r in got.items()} == {r.s: r.cv_fold for r in crossval.kfold(df.select("s"), "s").collect()}
+    for r, w in zip(rows, want, strict=True):
+        g = got[r[0]]
+        assert (g.cv_fold, g.ridge_alpha) == w[:2] and np.allclose([g.mean_model, g.raw_model, g.ols_model, g.ridge_model], w[2:])
+    assert crossval.median_alpha(spark.createDataFrame(list(got.values()))) == np.median([w[1] for w in want])
+    c = {r.feature: r for r in crossval.coefficients(df, "s", "y", ["a", "b"], 0.0).collect()}
     want = np.linalg.lstsq(np.array([[r[1], r[2], 1] for r in rows]), np.array([r[3] for r in rows]), rcond=None)[0]
-    assert np.allclose([c["a"], c["b"], c["intercept"]], want)
+    assert np.allclose([c["a"].coefficient_original_units, c["b"].coefficient_original_units, c["a"].intercept_original_units], want)
+    for n in (0, 1, 2, 3):
+        few = crossval.nested(df.limit(n), "s", "y", ["a", "b", "c"]).collect()
+        assert len(few) == n and all(r.ridge_alpha == (None if n == 1 else 1.0) for r in few if n < 3)
+
+
+def plain_nested(x, y):
+    """Folds, median fill, standardising and ridge, written out."""
+    def fit(x, y, alpha):
+        med = np.nanmedian(x, 0)
+        x = np.where(np.isnan(x), med, x)
+        mu, sd = x.mean(0), x.std(0)
+        z = (x - mu) / np.where(sd == 0, 1, sd)
+        coef = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+        return lambda q: (np.where(np.isnan(q), med, q) - mu) / np.where(sd == 0, 1, sd) @ coef + y.mean()
+
+    outer, out = crossval.folds(len(y), 5), {}
+    for f in range(5):
+        tr, te = outer != f, np.flatnonzero(outer == f)
+        inner = crossval.folds(int(tr.sum()), 4)
+        score = [np.mean([np.abs(fit(x[tr][inner != g], y[tr][inner != g], a)(x[tr][inner == g]) - y[tr][inner == g]).mean() for g in range(4)]) for a in crossval.ALPHAS]
+        alpha = crossval.ALPHAS[int(np.argmin(score))]
+        ols, ridge = fit(x[tr][:, [1]], y[tr], 0.0), fit(x[tr], y[tr], alpha)
+        for i in te:
+            out[i] = (f, alpha, y[tr].mean(), x[i, 1], ols(x[[i]][:, [1]])[0], ridge(x[[i]])[0])
+    return [out[i] for i in range(len(y))]
 
 
 def test_compare(spark):
@@ -176,6 +264,7 @@ def test_compare(spark):
     assert compare.outer({"a": a, "b": b}, "k").count() == 2
     with pytest.raises(Exception, match="duplicate key"):
         compare.outer({"a": a.union(a), "b": b}, "k").collect()
+    assert compare.ids_first(a.withColumn("id", F.lit(1)), ["id", "gone"]).columns == ["id", "k", "v"]
 
 
 def test_harmonise(spark):
@@ -190,11 +279,17 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text(",,GENERAL,\nID,TYPE, AGE ,H\na,ST,3,x\n")
     got = tables.two_row_header(spark, str(tmp_path / "t.csv"))
     assert got.columns == ["ID", "TYPE", "AGE", "H"] and [tuple(r) for r in got.collect()] == [("a", "ST", "3", "x")]
+    assert tables.bands(spark, str(tmp_path / "t.csv")) == {"ID": "", "TYPE": "", "AGE": "GENERAL", "H": "GENERAL"}
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many/a.csv").write_text(',,GENERAL,\nID,TYPE, AGE ,H\na,ST,3,"x, ""y""\nz"\n')
+    (tmp_path / "many/b.csv").write_text(",,GENERAL,\nID,TYPE, AGE ,H\nb,,4,\n")
+    assert sorted((tuple(r) for r in tables.two_row_header(spark, str(tmp_path / "many"), lines=False).collect()), key=str) == [("a", "ST", "3", 'x, "y"\nz'), ("b", None, "4", None)]
     for n in ("s1_front.jpg", "s1_left_markers.PNG", "readme.txt", "noview.jpg"):
         (tmp_path / n).write_bytes(b"x")
     assets = tables.image_assets(spark, str(tmp_path), "ES")
     assert sorted((r.subject_id, r.view, r.has_markers) for r in assets.collect()) == [("s1", "front", False), ("s1", "left", True)]
     assert tables.eligible(assets).count() == 1
+    assert [r.view for r in tables.first_images(assets, 1).collect()] == ["front"] and tables.first_images(assets, 9).count() == 2
     with pytest.raises(FileNotFoundError, match="nothing"):
         tables.require(spark, [str(tmp_path), str(tmp_path / "nothing")])
 
@@ -208,3 +303,49 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.id for r in spark.sql("SELECT id FROM flagged").collect()] == ["x"]
+
+
+def test_sinks(spark, tmp_path):
+    """Stores are replaced, by site in folders; an empty report keeps its header."""
+    df = spark.createDataFrame([("A", 1), ("B", 2)], "site string, v int")
+    for _ in range(2):
+        tables.store(df, str(tmp_path / "t"), ["site"])
+    assert sorted(p.name for p in (tmp_path / "t").glob("site=*")) == ["site=A", "site=B"] and spark.read.parquet(str(tmp_path / "t")).count() == 2
+    tables.store(df.limit(1), str(tmp_path / "u"))
+    assert spark.read.parquet(str(tmp_path / "u")).count() == 1
+    for rows, lines in ((df, 3), (df.limit(0), 1)):
+        tables.store_csv(rows, str(tmp_path / "c"))
+        files = list((tmp_path / "c").glob("*.csv"))
+        assert len(files) == 1 and len(files[0].read_text().splitlines()) == lines and files[0].read_text().startswith("site,v")
+
+
+def test_paths_and_dictionary(spark):
+    df = spark.createDataFrame([("file:///a//b/./c.jpg",), ("/a/x/y/../../b/c.jpg",), ("/a/b/c.jpg",), ("/",), (None,)], "p string")
+    assert [r[0] for r in df.select(ids.normal_path(F.col("p"))).collect()] == ["/a/b/c.jpg"] * 3 + ["/", None]
+    d = {r.column: r for r in sites.dictionary(spark).collect()}
+    assert len(d) == 27 and d["AGE"].unit == "years" and d["PONDERAL_INDEX_kg_m3"].unit == "kg_m3" and d["LONG_Arm_AVG_cm"].averaged and d["PER_Hip_cm"].high == 175.0
+    assert d["HEIGHT_cm"].sources == {"CO": ["HEIGHT_cm"], "BR": ["HEIGHT_cm"], "ES": ["Altura_m"]} and len(d["DIST_Thigh_AVG_cm"].sources["ES"]) == 2
+
+
+def test_running_totals(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(v), int(w)) for v, w in zip(rng.integers(0, 50, 300), rng.integers(1, 9, 300), strict=True)]
+    got = ranks.running(spark.createDataFrame(rows, "v int, w int"), ["v", "w"], "w").orderBy("v", "upto").collect()
+    total = 0
+    for (v, w), r in zip(sorted(rows), sorted(got, key=lambda r: (r.v, r.w, r.upto)), strict=True):
+        total += w
+        assert (r.v, r.w, r.upto) == (v, w, total)
+    assert [r.upto for r in ranks.running(spark.createDataFrame([("b",), ("a",)], "k string"), ["k"]).orderBy("k").collect()] == [1, 2]
+
+
+def test_experiment_1_edges(spark):
+    """Images without calibration, marker, scale, references, feet or manual height."""
+    im = spark.createDataFrame([(p, "CO", 7, "front", 100.0, s, h, 50.0, f) for p, s, h, f in (("a", "ok", 100.0, 10.0), ("b", "none", None, None), ("c", "ok", 50.0, 5.0), ("d", "ok", 1.0, 1.0), ("e", "ok_with_warning_x", 10.0, 2.0))], "image_path string, site string, subject_id int, view string, image_width double, landmark_status string, height_px double, feet_x_px double, feet_y_px double")
+    cal = spark.createDataFrame([("a", 1, "ok", 0.5), ("a", 2, "ok", 9.0), ("b", 1, "low", 0.5), ("c", 1, "no_marker_detected", 0.5), ("d", 1, "ok", None), ("e", 1, "ok", 2.0)], "image_path string, row_order int, calibration_status string, scale_cm_per_pixel double")
+    refs = spark.createDataFrame([("a", 0, 40.0, 12.0, 0.4, 0.5), ("a", 1, 60.0, 8.0, 0.6, 0.9), ("b", 0, 1.0, 1.0, 0.7, None)], "image_path string, reference_index int, center_x_px double, center_y_px double, reference_scale_cm_per_pixel double, detection_quality double")
+    manual = spark.createDataFrame([("8", 100.0, 1)], "ID string, HEIGHT_cm double, row_order int")
+    got = {r.image_path: r for r in tracks.experiment_1(im, cal, refs, manual).collect()}
+    assert set(got) == {"a", "b", "e"} and got["b"].status == "landmark_failed_none" and got["e"].status == "ok" and got["a"].height_manual_cm is None and got["a"].error_cm_median_scale is None
+    assert (got["a"].scale_median_all, got["a"].scale_best_quality, got["a"].closest_feet_reference_index, got["a"].ground_line_reference_index, got["a"].height_cm_best_quality_scale) == (0.5, 0.6, 0, 0, 60.0)
+    assert got["b"].scale_best_quality is None and got["b"].scale_ground_line is None and got["e"].height_cm_median_scale == 20.0
+    assert got["a"].perspective_flag and not got["e"].perspective_flag

@@ -19,7 +19,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["qc_flags", "method_matrix", "loo_linear_calibration", "horizon_hierarchy", "knn_impute", "compare_outer_join", "skeletal_features", "lateral_diagnostic", "mask_feet", "mask_head", "mask_contact", "mask_support", "mask_head_and_feet", "image_manifest"])
+@pytest.mark.parametrize("name", ["qc_flags", "method_matrix", "loo_linear_calibration", "horizon_hierarchy", "knn_impute", "compare_outer_join", "skeletal_features", "lateral_diagnostic", "mask_feet", "mask_head", "mask_contact", "mask_support", "mask_head_and_feet", "image_manifest", "qc_report_row_level", "tabular_report", "experiment_1", "lateral_scale", "crown_sweep", "head_width_sweep", "comparison_matrix", "ridge_coefficients"])
 def test_against_sql(spark, name):
     import duckdb
 
