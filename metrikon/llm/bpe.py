@@ -113,7 +113,7 @@ class Bpe:
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text, special tokens among them."""
-        if self.cut is not None and "<|" in text:
+        if any(t in text for t in self.special):
             out = []
             for k, part in enumerate(self.cut.split(text)):
                 out += [part] if k % 2 else self.pieces_of(part)

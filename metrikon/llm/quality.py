@@ -1,9 +1,12 @@
 """Quality classifier by supervised subword embeddings.
 
-Hashed words, word pairs and byte n-grams have learned vectors; a document is the mean
-of its features' vectors under a softmax, trained by stochastic gradient descent in
-numpy. As the output is linear in the mean, the trained vectors fold into one number
-for each bucket, and scoring whole texts is one gather and sum for each feature.
+Hashed words, pairs of neighbouring words and character n-grams of words (their borders
+marked) have learned vectors; a document is the mean of its features' vectors under a
+softmax, trained by stochastic gradient descent in numpy. A pair's hash is the exclusive
+or of its words', so pairs have no order and any word twice in a row is one feature,
+whose vector is learned like all others. As the output is linear in the mean, the trained
+vectors fold into one number for each bucket, and scoring whole texts is one gather and
+sum for each feature.
 """
 
 from __future__ import annotations
@@ -14,44 +17,53 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, rolling, spans, strings, word_hashes, words
+from .common import U64, mix, spans, strings, word_hashes, words
 
 BITS, DIMS, GRAMS = 18, 8, (3, 4)
-#: The bound of the training sample: so many labelled rows, those of least hash of doc_id.
-SAMPLE = 2500
+#: The bounds of the training sample: so many labelled rows, those of least hash of doc_id, and so many bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 2500, 64 << 20
 EPOCHS, RATE = 4, 0.25
 CHUNK = 1 << 20
 
 
+def gram_key(codes: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of the n-gram that begins at each place."""
+    m = max(len(codes) - n + 1, 0)
+    key = np.full(m, n, np.uint32)
+    for k in range(n):
+        key = key * np.uint32(0x01000193) ^ codes[k : k + m]
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+
+
+def characters(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all rows, each row after a zero, with a zero at the end; white space is zero too. And where each row's zero is (n + 1 long)."""
+    codes = np.frombuffer(flat.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])[offsets]
+    codes = np.where((codes == 32) | ((codes >= 9) & (codes <= 13)), np.uint32(0), codes)
+    return np.insert(codes, before, np.uint32(0)), before + np.arange(len(offsets))
+
+
 def features(flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Families of (bucket of each feature, for each row the number of features before it, n + 1 long)."""
-    mask = np.uint32((1 << BITS) - 1)
     starts, _, first = words(flat, offsets)
     h = word_hashes(flat, starts, 51)
     yield (h >> U64(64 - BITS)).astype(np.uint32), first
-    pair = rolling(h, 2, 52)
-    pair[h[1:] == h[:-1]] = U64(0x5DEECE66D0000000)  # any word twice in a row is one feature
-    inner = np.ones(len(pair), bool)
-    inner[(e := first[1:-1] - 1)[(e >= 0) & (e < len(pair))]] = False
-    yield (pair[inner] >> U64(64 - BITS)).astype(np.uint32), np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - 1, 0))])
-    code = flat.astype(np.uint32)
+    inner = np.ones(max(len(h) - 1, 0), bool)
+    inner[(e := first[1:-1] - 1)[(e >= 0) & (e < len(inner))]] = False
+    pair = mix((h[1:] ^ h[:-1])[inner])
+    yield (pair >> U64(64 - BITS)).astype(np.uint32), np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - 1, 0))])
+    codes, begin = characters(flat, offsets)
+    inside = codes != 0
     for n in GRAMS:
-        m = max(len(flat) - n + 1, 0)
-        key = np.full(m, n, np.uint32)
-        for k in range(n):
-            key = key * np.uint32(0x01000193) ^ code[k : k + m]
-        key = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS) & mask
-        inner = np.ones(m, bool)
-        for k in range(1, n):  # n-grams that cross into the next row
-            inner[(e := offsets[1:-1] - k)[(e >= 0) & (e < m)]] = False
-        sizes = np.diff(offsets)
-        if (sizes < n).any():  # rows shorter than n: recount by the row in which an n-gram begins
-            row = np.repeat(np.arange(len(sizes)), sizes)[:m]
-            inner &= np.arange(m) + n <= offsets[row + 1]
-        yield key[inner], np.concatenate([[0], np.cumsum(np.maximum(sizes - n + 1, 0))])
+        key = gram_key(codes, n)
+        whole = np.ones(len(key), bool)  # a border may stand at either end alone
+        for k in range(1, n - 1):
+            whole &= inside[k : k + len(key)]
+        before = np.concatenate([[0], np.cumsum(whole)])
+        yield key[whole], before[np.minimum(begin, len(key))]
 
 
 @dataclass
@@ -71,6 +83,27 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and the share of its features in each."""
+    flat = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    ids, counts = np.unique(np.concatenate([b for b, _ in features(flat, np.array([0, len(flat)]))]), return_counts=True)
+    return ids, (counts / max(1, counts.sum())).astype(np.float32)
+
+
+def descend(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, ids: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
+    """One step of gradient descent on the log loss of one document, in place."""
+    hidden = share @ vectors[ids]
+    logits = out @ hidden + bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    p[label] -= 1
+    back = p @ out
+    out -= np.float32(rate) * np.outer(p, hidden)
+    bias -= np.float32(0.1 * rate) * p
+    # normalised step: the mean vector moves by the rate times its gradient, however many features share it
+    vectors[ids] -= np.float32(rate / max(float(share @ share), 1e-6)) * np.outer(share, back)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Learns vectors and the softmax layer. One class alone gives its share, smoothed, for any text."""
     y = np.array(labels, np.int64)
@@ -78,12 +111,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     model = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     if len(set(labels)) < 2:
         return model
-    bags = []
-    for text in texts:
-        flat = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        all_ = [b for b, _ in features(flat, np.array([0, len(flat)]))]
-        ids, counts = np.unique(np.concatenate(all_), return_counts=True)
-        bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+    bags = [bag(text) for text in texts]
     rng = np.random.default_rng(seed)
     vectors = (rng.random((1 << BITS, DIMS), np.float32) - 0.5) / DIMS
     out, bias = np.zeros((2, DIMS), np.float32), np.zeros(2, np.float32)
@@ -92,19 +120,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     step, steps = 0, EPOCHS * len(y)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)):
-            ids, share_ = bags[i]
-            rate = RATE * (1 - step / steps) * weight[y[i]]
+            descend(vectors, out, bias, *bags[i], y[i], RATE * (1 - step / steps) * weight[y[i]])
             step += 1
-            hidden = share_ @ vectors[ids]
-            logits = out @ hidden + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = p @ out
-            out -= np.float32(rate) * np.outer(p, hidden)
-            bias -= np.float32(0.1 * rate) * p
-            # normalised step: the mean vector moves by the rate times its gradient, however many features share it
-            vectors[ids] -= np.float32(rate / max(float(share_ @ share_), 1e-6)) * np.outer(share_, back)
     model.weights = (vectors @ (out[1] - out[0])).astype(np.float32)
     model.bias = float(bias[1] - bias[0])
     return model
@@ -114,13 +131,18 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` labelled rows that are not held out, one text (the least) of each doc_id. Null labels and texts of unlabelled rows take no part."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learns from at most ``sample`` labelled rows that are not held out, one text (the least) of each doc_id, as many as fit in ``sample_bytes``.
+
+    Null labels and texts of unlabelled rows take no part.
+    """
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     wanted = wanted.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most, so they can be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
-    rows = rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    inside = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the bounded sample
+    rows = rows.withColumn("upto", F.sum(F.octet_length("text")).over(inside)).where(F.col("upto") <= sample_bytes).drop("upto").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     return train([r[2] for r in rows], [r[1] for r in rows])
 
@@ -146,7 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows predicted 1, with all their columns; the texts are scored where they lie, without a join."""
+    """The rows predicted 1, with all their columns; the texts are scored where they lie, without a join. Null texts score as empty ones; null ids and repeated rows are rows like others."""
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     where = docs.columns.index("text")
