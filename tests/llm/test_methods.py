@@ -114,7 +114,75 @@ def test_broken_streams():
     assert mpegts.demux_bytes(twice)["payload"] == payload and mpegts.demux_bytes(twice)["repeats"] == 1
     assert mpegts.demux_bytes(s + b"x")["errors"] == 1 and mpegts.demux_bytes(b"")["packets"] == 0
     d = mpegts.demux_bytes(s)
-    assert d["pts"] == [k * mpegts.TICKS for k in range(9)] and d["random_access"] == [0, 8]
+    assert d["pts"] == [k * mpegts.TICKS for k in range(9)] and d["random_access"] == [0, 8] and d["damaged"] == []
+    assert mpegts.demux_bytes(lost)["damaged"] == [0] and len(mpegts.demux_bytes(lost)["pts"]) == 9
+    for junk in (s[:0] + b"\x00" + s, b"G" * 200 + s, s[: 188 * 7] + b"junk" + s[188 * 7 :], s + b"\x01" * 100):  # bytes that belong to no packet
+        x = mpegts.demux_bytes(junk)
+        assert x["payload"] == payload and x["errors"] >= 1 and x["broken"] == 0
+    cut = mpegts.demux_bytes(s[: 188 * 6 + 50] + s[188 * 6 + 60 :])  # ten bytes gone from within a packet: it goes, its unit is damaged
+    assert cut["broken"] == 1 and cut["damaged"] == [0] and cut["payload"][mpegts.UNIT - 184 :] == payload[mpegts.UNIT :]
+    assert mpegts.demux_bytes(bytes(1000))["packets"] == 0 and mpegts.demux_bytes(b"G" * 100)["elementary"] == []
+
+
+def plain_ts(streams, descriptors=0):
+    """A transport stream written packet by packet: streams are (pid, kind, units), a unit (pts, bytes, random access); tables first, then packets in turn."""
+    count = {}
+
+    def packets(pid, data, first, access=False):
+        out = []
+        while data or first:
+            room = 184
+            field = b""
+            if first and access:
+                field = bytes([1, 0x40])
+                room -= 2
+            part, data = data[:room], data[room:]
+            if len(part) < room:
+                gap = room - len(part)
+                if field:
+                    field = bytes([1 + gap, 0x40]) + b"\xff" * gap
+                else:
+                    field = bytes([gap - 1]) + (b"\x00" + b"\xff" * (gap - 2) if gap > 1 else b"")
+            cc = count[pid] = (count.get(pid, -1) + 1) % 16
+            out.append(bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 255, (0x30 if field else 0x10) | cc]) + field + part)
+            first = False
+        assert all(len(p) == 188 for p in out)
+        return out
+
+    def section(pid, body):
+        full = b"\x00" + body + mpegts.crc_mpeg(body).to_bytes(4, "big")
+        return packets(pid, full + b"\xff" * (-len(full) % 184), True)
+
+    pat = bytes([0, 0xB0, 13, 0, 1, 0xC1, 0, 0, 0, 1, 0xE1, 0x00])
+    loop = b"".join(bytes([k, 0xE0 | p >> 8, p & 255, 0xF0 | descriptors >> 8, descriptors & 255]) + b"d" * descriptors for p, k, _ in streams)
+    size = 9 + len(loop) + 4
+    out = section(0, pat) + section(0x100, bytes([2, 0xB0 | size >> 8, size & 255, 0, 1, 0xC1, 0, 0, 0xE0 | streams[0][0] >> 8, streams[0][0] & 255, 0xF0, 0]) + loop)
+    queues = []
+    for p, k, units in streams:
+        mine = []
+        for pts, data, access in units:
+            stamp = bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 255, pts >> 14 & 0xFE | 1, pts >> 7 & 255, pts << 1 & 0xFE | 1])
+            length = 0 if k == 0x1B else 8 + len(data)
+            mine += packets(p, bytes([0, 0, 1, 0xE0 if k == 0x1B else 0xC0, length >> 8, length & 255, 0x80, 0x80, 5]) + stamp + data, True, access)
+        queues.append(mine)
+    while any(queues):
+        out += [q.pop(0) for q in queues if q]
+    return b"".join(out)
+
+
+def test_streams_of_another_writer():
+    """Two streams in turn, a program map over several packets, units without a stated length, as a plain writer makes them."""
+    r = np.random.default_rng(4)
+    data = lambda n: r.integers(0, 256, n, dtype=np.uint8).tobytes()
+    video = [(9000 + 3000 * i, data(int(n)), i % 3 == 0) for i, n in enumerate(r.integers(1, 3000, 9))]
+    audio = [(8_589_934_000 + 10 * i, data(int(n)), False) for i, n in enumerate(r.integers(1, 700, 14))]
+    for descriptors in (0, 150, 420):
+        s = plain_ts([(0x1E1, 0x1B, video), (0x1E2, 0x0F, audio)], descriptors)
+        d = mpegts.demux_bytes(s)
+        assert d["programs"] == {0x100: 1} and d["streams"] == {0x1E1: 0x1B, 0x1E2: 0x0F} and d["errors"] == d["broken"] == d["repeats"] == 0
+        for found, units in zip(d["elementary"], (video, audio), strict=True):
+            assert found["payload"] == b"".join(u for _, u, _ in units) and found["pts"] == [p for p, *_ in units] and found["damaged"] == []
+            assert found["random_access"] == [i for i, (*_, a) in enumerate(units) if a]
 
 
 def test_segments():
