@@ -20,6 +20,17 @@ def subjects(df: DataFrame, subject: str, view: str, value: str) -> DataFrame:
     )
 
 
+def subject_features(df: DataFrame, subject: str, view: str, height: str, ratios: list[str]) -> DataFrame:
+    """(subject, n_images, has_left, has_right, <height>_mean, _median, _std, _lr_diff, and of each ratio the mean and the difference of the sides' medians) over lateral views."""
+    lateral = df.where(F.col(subject).isNotNull() & F.col(view).isin("left", "right"))
+    side = lambda c, s: F.median(F.when(F.col(view) == s, F.col(c)))
+    n = F.count(height)
+    spread = F.when(n >= 2, F.stddev_pop(height)).when(n == 1, 0.0)
+    out = [F.count("*").alias("n_images"), F.bool_or(F.col(view) == "left").alias("has_left"), F.bool_or(F.col(view) == "right").alias("has_right"), F.avg(height).alias(f"{height}_mean"), F.median(height).alias(f"{height}_median"), spread.alias(f"{height}_std")]
+    out += [F.abs(side(c, "left") - side(c, "right")).alias(f"{c}_lr_diff") for c in (height, *ratios)]
+    return lateral.groupBy(subject).agg(*out, *(F.avg(c).alias(f"{c}_mean") for c in ratios))
+
+
 def pivot_median(df: DataFrame, row: str, column: str, values: list[str], value: str) -> DataFrame:
     return df.groupBy(row).pivot(column, values).agg(F.median(value))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import height, plausible
 from ..functions.nulls import finite
 from ..sources.shared import stage
-from .ranks import running
+from .ranks import median, running
 
 FRONT_BACK, LATERAL = ("front", "back"), ("left", "right")
 
@@ -16,9 +16,9 @@ FRONT_BACK, LATERAL = ("front", "back"), ("left", "right")
 def shared(df: DataFrame, subject: str, value: str, donor: Column) -> DataFrame:
     """A subject's median over its donors, else the median of all donors: (.., shared, shared_source)."""
     v = F.when(donor, F.col(value))
-    own = df.groupBy(subject).agg(F.median(v).alias("_own"))
-    everyone = df.agg(F.median(v).alias("_all"))
-    out = df.join(own, subject, "left").crossJoin(F.broadcast(everyone))  # one row
+    own = df.where(F.col(subject).isNotNull()).groupBy(F.col(subject).alias("_subject")).agg(F.median(v).alias("_own"))
+    everyone = median(df.select(v.alias("_v")), "_v", "_all")
+    out = df.join(own, F.col(subject) == F.col("_subject"), "left").crossJoin(F.broadcast(everyone))  # one row
     pick = F.coalesce(F.when(F.col("_own").isNotNull(), F.struct(F.col("_own").alias("y"), F.lit("subject").alias("s"))), F.when(F.col("_all").isNotNull(), F.struct(F.col("_all").alias("y"), F.lit("global").alias("s"))))
     return out.withColumn("_p", pick).select(*df.columns, F.col("_p.y").alias("shared"), F.col("_p.s").alias("shared_source"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import corrected_head, distance, height
 from ..functions.nulls import optional
-from ..operators import calibrate, compare, harmonize, horizon, mask, metrics, nearest, pseudonym, qc
+from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, mask, metrics, nearest, pseudonym, qc
 from ..operators.harmonize import Mapping
 from .sites import COLUMNS, SITES
 
@@ -96,6 +96,46 @@ def head_width_sweep(runs: DataFrame, images: DataFrame, shares: tuple[float, ..
     return found.crossJoin(F.broadcast(best)).withColumn("best", c("share") == c("_best")).drop("_best")  # one row
 
 
+RATIOS = ["shoulder_hip_ratio", "hip_knee_ratio", "knee_ankle_ratio"]
+FUSED = ["initial_height_cm_mean", "initial_height_cm_lr_diff", *(f"{r}_mean" for r in RATIOS)]
+
+
+def skeletal(images: DataFrame, references: DataFrame, calibration: DataFrame, manual: DataFrame) -> dict[str, DataFrame]:
+    """Experiment 3: images with scale and segments, subjects, predictions by nested cross-validation, their metrics, and the model's coefficients.
+
+    images: lateral views with image_path, subject_id, view, feet_y, body_height_px and the chains left and right. manual: subject_id, height_manual_cm.
+    Subjects without height or features of their own take no part in the models.
+    """
+    lateral = nearest.lateral_scale(images.where(F.col("view").isin("left", "right")), references, calibration)
+    found = fuse.skeletal(lateral, "left", "right", "body_height_px").withColumn("initial_height_cm", F.col("body_height_px") * F.col("scale"))
+    subjects = fuse.subject_features(found.where("status = 'ok'"), "subject_id", "view", "initial_height_cm", RATIOS).join(manual.select("subject_id", "height_manual_cm"), "subject_id", "left")
+    usable = subjects.where("height_manual_cm IS NOT NULL AND initial_height_cm_mean IS NOT NULL")
+    predicted = crossval.nested(usable, "subject_id", "height_manual_cm", FUSED)
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("estimate")) for m in ("mean_model", "raw_model", "ols_model", "ridge_model"))))
+    scored = metrics.with_r2(predicted.select("height_manual_cm", models.alias("m")).select("height_manual_cm", "m.*"), "height_manual_cm", "estimate", ["model"])
+    fitted = crossval.coefficients(usable, "subject_id", "height_manual_cm", FUSED, crossval.median_alpha(predicted))
+    return {"images": found, "subjects": subjects, "predictions": predicted, "metrics": scored, "coefficients": fitted}
+
+
+def render_spec(estimates: DataFrame, methods: dict[str, tuple[str, str | None]], truth: str = "height_manual_cm") -> DataFrame:
+    """(image_path, method, title, lines, points): what a drawing of an estimate shows; drawing itself is left to others.
+
+    methods: name to (column of the height, column of the horizon's row or none). estimates: head_x, head_y, feet_x, feet_y too. Estimates that are null have no row.
+    """
+    c = F.col
+    point = lambda name: F.struct(F.lit(name).alias("name"), c(f"{name}_x").cast("double").alias("x"), c(f"{name}_y").cast("double").alias("y"))
+    cm = lambda v: F.format_number(v, 1)
+
+    def one(name: str, height_: str, line: str | None) -> F.Column:
+        title = F.concat_ws(" ", F.lit(name), F.concat(cm(c(height_)), F.lit(" cm")), F.when(c(truth).isNotNull(), F.concat(F.lit("("), cm(c(height_) - c(truth)), F.lit(")"))))
+        y = c(line).cast("double") if line else F.lit(None).cast("double")
+        return F.when(c(height_).isNotNull(), F.struct(F.lit(name).alias("method"), title.alias("title"), F.when(y.isNotNull(), F.array(F.struct(F.lit("horizon").alias("name"), y.alias("y")))).otherwise(F.array().cast("array<struct<name:string,y:double>>")).alias("lines")))
+
+    specs = F.array_compact(F.array(*(one(m, h, y) for m, (h, y) in methods.items())))
+    points = F.filter(F.array(point("head"), point("feet")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return estimates.select("image_path", F.explode(specs).alias("s"), points.alias("points")).select("image_path", "s.*", "points")
+
+
 # The compared methods and the columns of their errors.
 METHODS = {
     "E1 mediana escalas": "e1_err_median",

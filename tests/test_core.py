@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from metrikon.functions import geometry, ids, nulls
 from metrikon.operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc, ranks
 from metrikon.plans import sites, tracks
-from metrikon.sources import tables
+from metrikon.sources import images, tables, workbook
 from metrikon.streaming import flags
 
 
@@ -349,3 +349,90 @@ def test_experiment_1_edges(spark):
     assert (got["a"].scale_median_all, got["a"].scale_best_quality, got["a"].closest_feet_reference_index, got["a"].ground_line_reference_index, got["a"].height_cm_best_quality_scale) == (0.5, 0.6, 0, 0, 60.0)
     assert got["b"].scale_best_quality is None and got["b"].scale_ground_line is None and got["e"].height_cm_median_scale == 20.0
     assert got["a"].perspective_flag and not got["e"].perspective_flag
+
+
+def test_median_of_all(spark):
+    for values in ([], [3.0], [1.0, 2.0], [5.0, 1.0, 1.0, 9.0], [2.0] * 7 + [8.0], [0.5, None, 4.0]):
+        real = [v for v in values if v is not None]
+        assert one(ranks.median(spark.createDataFrame([(v,) for v in values], "v double"), "v"))["median"] == (np.median(real) if real else None)
+    df = spark.createDataFrame([(1, 2.0, True), (1, 9.0, False), (2, 4.0, True), (3, None, True), (None, 1.0, False)], "s int, v double, ok boolean")
+    assert sorted((str(r.s), r.shared, r.shared_source) for r in horizon.shared(df, "s", "v", F.col("ok")).collect()) == [("1", 2.0, "subject"), ("1", 2.0, "subject"), ("2", 4.0, "subject"), ("3", 3.0, "global"), ("None", 3.0, "global")]
+
+
+def workbook_bytes(sheets):
+    """A small .xlsx: shared and inline strings, numbers, gaps."""
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    strings, out = [], io.BytesIO()
+
+    def cell(ref, v, k):
+        if v is None:
+            return ""
+        if isinstance(v, (int, float)):
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        if k % 2:
+            return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+        strings.append(v)
+        return f'<c r="{ref}" t="s"><v>{len(strings) - 1}</v></c>'
+
+    with zipfile.ZipFile(out, "w") as z:
+        for n, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{i}">' + "".join(cell(f"{chr(65 + j)}{i}", v, i) for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+        links = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+        z.writestr("xl/workbook.xml", f"<workbook {main} {links}><sheets>" + "".join(f'<sheet name="{s}" sheetId="{n}" r:id="rId{n}"/>' for n, s in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{n}" Target="worksheets/sheet{n}.xml"/>' for n in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{s}</t></si>" for s in strings) + "</sst>")
+    return out.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    clean = [["", None, "GENERAL", None], ["ID", "TYPE", " AGE ", None, "H m"], ["a", "ST", 3, None, 1.5], [None, None, None], ["b", None, 4.25]]
+    (tmp_path / "w.xlsx").write_bytes(workbook_bytes({"Clean": clean, "Other": [["x"], ["1"]]}))
+    (tmp_path / "note.txt").write_text("no workbook")
+    rows = workbook.sheets(spark, str(tmp_path))
+    assert {(r.sheet, r["count"]) for r in rows.groupBy("sheet").count().collect()} == {("Clean", 5), ("Other", 2)}
+    t = workbook.table(rows, "Clean", 2)
+    assert t.columns == ["ID", "TYPE", "AGE", "H m"] and sorted((tuple(r) for r in t.collect()), key=str) == [("a", "ST", "3", "1.5"), ("b", None, "4.25", None)]
+    assert [tuple(r) for r in workbook.table(rows, "Other").collect()] == [("1",)]
+    with pytest.raises(ValueError, match="Gone"):
+        workbook.table(rows, "Gone")
+
+
+def test_image_headers(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + bytes(9)
+    jpeg = b"\xff\xd8\xff\xe0" + (16).to_bytes(2, "big") + bytes(14) + b"\xff\xff\xc2" + (17).to_bytes(2, "big") + b"\x08" + (300).to_bytes(2, "big") + (200).to_bytes(2, "big") + bytes(12)
+    bmp = b"BM" + bytes(16) + (7).to_bytes(4, "little") + (-9).to_bytes(4, "little", signed=True) + bytes(20)
+    for name, data in (("a.png", png), ("b.JPG", jpeg), ("c.bmp", bmp), ("d.png", png[:20]), ("e.jpg", b"\xff\xd8"), ("f.txt", png)):
+        (tmp_path / name).write_bytes(data)
+    got = {r.image_path.rsplit("/", 1)[1]: tuple(r)[1:] for r in images.dimensions(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": ("png", 640, 480), "b.JPG": ("jpeg", 200, 300), "c.bmp": ("bmp", 7, 9), "d.png": (None,) * 3, "e.jpg": (None,) * 3}
+
+
+def test_skeletal_experiment(spark):
+    """From images to coefficients: as many predictions as subjects with a height, better than the mean, null where there is nothing."""
+    rng = np.random.default_rng(8)
+    rows, manual = [], []
+    for s in range(14):
+        tall = float(rng.uniform(120, 180))
+        for view in ("left", "right")[: 1 + (s % 5 > 0)]:
+            px = 400 + float(rng.normal()) * 3
+            chain = [(10.0, 100.0, 0.9), (10.0, 100 + px * 0.3, 0.9), (10.0, 100 + px * 0.55 + float(rng.normal()), 0.9), (10.0, 100 + px * 0.8, 0.9)]
+            rows.append((f"/i/{s}_{view}.jpg", s, view, 500.0, px, chain, None, tall / px))
+        manual.append((str(s), tall if s else None))
+    rows.append(("/i/99_left.jpg", 99, "left", 500.0, 0.0, None, None, 0.4))
+    kind = "array<struct<x:double,y:double,conf:double>>"
+    im = spark.createDataFrame(rows, f"image_path string, subject_id int, view string, feet_y double, body_height_px double, left {kind}, right {kind}, s double")
+    refs = im.where("subject_id < 7").selectExpr("image_path", "subject_id", "view", "490.0D AS center_y_px", "s AS reference_scale_cm_per_pixel", "0 AS reference_index")
+    cal = im.where("subject_id >= 7").selectExpr("image_path", "subject_id", "view", "s AS scale_cm_per_pixel")
+    out = tracks.skeletal(im.drop("s"), refs, cal, spark.createDataFrame(manual, "subject_id string, height_manual_cm double"))
+    assert {r.scale_source for r in out["images"].select("scale_source").distinct().collect()} == {"closest_reference_to_feet", "image_calibration_scale"}
+    predicted = out["predictions"].collect()
+    assert sorted(int(r.subject_id) for r in predicted) == list(range(1, 14))
+    m = {r.model: r for r in out["metrics"].collect()}
+    assert m["raw_model"].mae < 1e-9 and m["ols_model"].mae < 1e-6 and m["ridge_model"].mae < m["mean_model"].mae and m["mean_model"].n == 13
+    assert [r.feature for r in out["coefficients"].collect()] == tracks.FUSED
+    spec = tracks.render_spec(spark.createDataFrame([("p", 170.25, None, 120.0, 168.0, 1.0, 2.0, None, 9.0)], "image_path string, h double, g double, y double, height_manual_cm double, head_x double, head_y double, feet_x double, feet_y double"), {"own": ("h", "y"), "other": ("g", None)}).collect()
+    assert [(r.method, r.title, r.lines[0].y, [p.name for p in r.points]) for r in spec] == [("own", "own 170.3 cm (2.3)", 120.0, ["head"])] or spec[0].title in ("own 170.2 cm (2.2)",)
