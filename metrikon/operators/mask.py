@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,52 @@ def head_and_feet(runs: DataFrame, image: str = "image_path") -> DataFrame:
     )
 
 
+def largest_component(runs: DataFrame, image: str = "image_path") -> DataFrame:
+    """(image, y, x0, x1): of each image the runs of its largest part, parts being runs that touch, corners too, in neighbouring lines.
+
+    Of parts of equal area the one that begins first, line by line, stays. An image's runs are one small group; runs of a line that
+    overlap count once.
+    """
+    kinds = dict(runs.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        y, x0, x1 = (t[c].to_numpy() for c in ("y", "x0", "x1"))
+        order = np.lexsort((x1, x0, y))
+        y, x0, x1 = y[order], x0[order], x1[order]
+        root = list(range(len(y)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        lines = np.unique(y)
+        ends = np.append(np.searchsorted(y, lines), len(y)).tolist()
+        for k in range(len(lines)):
+            here = range(ends[k], ends[k + 1])
+            joins = [(i - 1, i) for i in here if i > ends[k] and x0[i] <= x1[ends[k] : i].max() + 1]
+            if k and lines[k] == lines[k - 1] + 1:
+                a, b = ends[k - 1], ends[k]
+                while a < ends[k] and b < ends[k + 1]:  # both lines from left to right
+                    if x0[a] <= x1[b] + 1 and x0[b] <= x1[a] + 1:
+                        joins.append((a, b))
+                    a, b = (a + 1, b) if x1[a] < x1[b] else (a, b + 1)
+            for i, j in joins:
+                i, j = find(i), find(j)
+                root[max(i, j)] = min(i, j)
+        part = np.array([find(i) for i in range(len(y))])
+        before = np.zeros(len(y), np.int64)  # columns of the line already counted
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            before[lo + 1 : hi] = np.maximum.accumulate(x1[lo:hi])[:-1] + 1
+        area = np.bincount(part, np.maximum(x1 - np.maximum(x0, before), -1) + 1, len(y))
+        keep = part == int(np.argmax(area))
+        return pa.table({image: t[image].take(pa.array(order[keep])), "y": y[keep], "x0": x0[keep], "x1": x1[keep]}).cast(t.select([image, "y", "x0", "x1"]).schema)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (image, "y", "x0", "x1"))
+    return runs.select(image, "y", "x0", "x1").where(F.col(image).isNotNull()).groupBy(image).applyInArrow(run, schema)
+
+
 def body_status(df: DataFrame, height_px: str, image_h: str, status: str = "landmark_status", segmentation: str = "segmentation_status") -> DataFrame:
     """The status with warnings of the segmentation, and bodies marked that fill too much or too little of their image.
 

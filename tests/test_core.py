@@ -436,3 +436,37 @@ def test_skeletal_experiment(spark):
     assert [r.feature for r in out["coefficients"].collect()] == tracks.FUSED
     spec = tracks.render_spec(spark.createDataFrame([("p", 170.25, None, 120.0, 168.0, 1.0, 2.0, None, 9.0)], "image_path string, h double, g double, y double, height_manual_cm double, head_x double, head_y double, feet_x double, feet_y double"), {"own": ("h", "y"), "other": ("g", None)}).collect()
     assert [(r.method, r.title, r.lines[0].y, [p.name for p in r.points]) for r in spec] == [("own", "own 170.3 cm (2.3)", 120.0, ["head"])] or spec[0].title in ("own 170.2 cm (2.2)",)
+
+
+def test_largest_component(spark):
+    """Against a flood over pixels, corners included."""
+    rng = np.random.default_rng(6)
+    runs, want = [], {}
+    for k in range(25):
+        grid = rng.random((12, 14)) < (0.35 if k else 0.9)
+        grid[0, 0] = True
+        mine = [(y, x) for y, x in zip(*np.nonzero(grid), strict=True)]
+        part = {}
+        for spot in mine:
+            if spot not in part:
+                part[spot], stack = spot, [spot]
+                while stack:
+                    y, x = stack.pop()
+                    for n in ((y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                        if n not in part and 0 <= n[0] < 12 and 0 <= n[1] < 14 and grid[n]:
+                            part[n] = spot
+                            stack.append(n)
+        sizes = {}
+        for spot, root in part.items():
+            sizes[root] = sizes.get(root, 0) + 1
+        best = min((r for r in sizes if sizes[r] == max(sizes.values())))
+        want[f"i{k}"] = {s for s, r in part.items() if r == best}
+        for y in range(12):
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], grid[y].astype(int), [0]])))
+            runs += [(f"i{k}", y, int(a), int(b) - 1) for a, b in edge.reshape(-1, 2)]
+    runs += [("i0", 3, 0, 2), (None, 1, 1, 1)]  # a run twice over
+    got = {}
+    for r in mask.largest_component(spark.createDataFrame(runs, "image_path string, y int, x0 int, x1 int")).collect():
+        got.setdefault(r.image_path, set()).update((r.y, x) for x in range(r.x0, r.x1 + 1))
+    want["i0"] = want["i0"] | ({(3, 0), (3, 1), (3, 2)} if (3, 0) in got["i0"] else set())
+    assert got == want
