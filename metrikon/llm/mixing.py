@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import stage, unused
 
 BLOCK_TOKENS, STEPS = 1 << 20, 80
+#: So many sources may come to the driver and be broadcast.
+MOST_SOURCES = 10_000
 DELIMITERS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -55,41 +57,76 @@ def temperature(tokens: list[int], budget: int, target_entropy: float | None, mo
     """alpha for sources of so many tokens; target_entropy is a share of the greatest possible."""
     total = sum(tokens)
     shares = [t / total for t in tokens if t > 0]
+    spread, repeats = lambda a: entropy(weights(shares, a)), lambda a: max(w / p for w, p in zip(weights(shares, a), shares, strict=True))
+    return _temperature(spread, repeats, len(shares), budget / total, target_entropy, most_repeats)
+
+
+def _temperature(spread: Callable[[float], float], repeats: Callable[[float], float], n: int, budget: float, target_entropy: float | None, most_repeats: float | None) -> float:
+    """The search itself: spread and repeats are the entropy of the weights and the most that they raise a share; budget is in whole passes."""
     alpha = 1.0
-    if target_entropy is not None and len(shares) > 1:
-        alpha = bisect(lambda a: entropy(weights(shares, a)) >= target_entropy * math.log(len(shares)))
+    if target_entropy is not None and n > 1:
+        alpha = bisect(lambda a: spread(a) >= target_entropy * math.log(n))
     if most_repeats is not None:
-        over = lambda a: max(w * budget / (p * total) for w, p in zip(weights(shares, a), shares, strict=True)) > most_repeats
+        over = lambda a: repeats(a) * budget > most_repeats
         if over(alpha):
             alpha = 1.0 if over(1.0) else bisect(lambda a: over(a), alpha, 1.0)
             alpha = min(1.0, alpha + 2.0**-40) if over(alpha) else alpha
     return alpha
 
 
-def plan(docs: DataFrame, target_entropy: float | None = 0.97, most_repeats: float | None = 4.0, budget: int | None = None, seed: str = "mix", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+class Shares:
+    """Source shares in a table: the same sums as over a list, one small aggregation each, for sources too many for the driver."""
+
+    def __init__(self, sums: DataFrame, total: int):
+        self.p = sums.where("n > 0").select((F.col("n") / F.lit(float(total))).alias("p"))
+
+    def entropy(self, alpha: float) -> float:
+        up = F.pow("p", F.lit(alpha))
+        z, s = self.p.agg(F.sum(up), F.sum(up * F.log(up))).first()
+        return math.log(z) - s / z
+
+    def repeats(self, alpha: float) -> float:
+        up = F.pow("p", F.lit(alpha))
+        most, z = self.p.agg(F.max(up / F.col("p")), F.sum(up)).first()
+        return most / z
+
+    def count(self) -> int:
+        return self.p.count()
+
+
+def plan(docs: DataFrame, target_entropy: float | None = 0.97, most_repeats: float | None = 4.0, budget: int | None = None, seed: str = "mix", block_tokens: int = BLOCK_TOKENS, most_sources: int = MOST_SOURCES) -> DataFrame:
     """(doc_id, source, n_tokens, copies, block, place, weight): how often each document is taken.
 
     place orders a block's permutation. The budget is all tokens unless given. A null source is a
     source of its own, written as null; documents without words have no tokens to budget and are
     taken once in each whole pass and as their permutation comes. Repeated rows and rows without
-    doc_id are rows like others. The number of sources is that of a class column: their sums, one row each,
-    come to the driver.
+    doc_id are rows like others. No rows, no plan. Up to most_sources sources the shares come to the driver and the weights are
+    broadcast; beyond that they stay in a table, which the search asks for its sums.
     """
     spark = docs.sparkSession
     rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), token_count().alias("n_tokens")), "mix")
-    sums = sorted((tuple(r) for r in rows.groupBy("source").agg(F.sum("n_tokens"), F.count("*")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    total = sum(n for _, n, _ in sums)
+    sums = stage(rows.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("m")), "sources")
+    few = sorted((tuple(r) for r in sums.limit(most_sources + 1).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    total = sums.agg(F.sum("n")).first()[0] or 0
     budget = total if budget is None else budget
-    if total:
-        alpha = temperature([n for _, n, _ in sums], budget, target_entropy, most_repeats)
-        w = weights([n / total for _, n, _ in sums], alpha)
+    if len(few) <= most_sources:
+        if total:
+            w = weights([n / total for _, n, _ in few], temperature([n for _, n, _ in few], budget, target_entropy, most_repeats))
+        else:
+            w = [0.0 for _ in few]
+        dim = spark.createDataFrame([(s, n, m, x) for (s, n, m), x in zip(few, w, strict=True)], "source string, n long, m long, weight double")
     else:
-        w = [0.0 for _ in sums]
-    quota = [(s, x, n, x * budget / n if n else 1.0, max(1, math.ceil((n + rows_) / block_tokens))) for (s, n, rows_), x in zip(sums, w, strict=True)]
-    dim = spark.createDataFrame(quota, "source string, weight double, source_tokens long, passes double, n_blocks int")
+        shares = Shares(sums, max(total, 1))
+        alpha = _temperature(shares.entropy, shares.repeats, shares.count(), budget / total, target_entropy, most_repeats) if total else 1.0
+        up = F.when(F.col("n") > 0, F.pow(F.col("n") / F.lit(float(max(total, 1))), F.lit(alpha))).otherwise(0.0)
+        whole = sums.agg(F.sum(up)).first()[0] or 1.0
+        dim = sums.withColumn("weight", up / F.lit(whole))
+    blocks = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("m")) / F.lit(block_tokens))).cast("int")
+    dim = dim.select(F.col("source").alias("s"), "weight", F.when(F.col("n") > 0, F.col("weight") * budget / F.col("n")).otherwise(1.0).alias("passes"), blocks.alias("n_blocks"))
+    dim = F.broadcast(dim) if len(few) <= most_sources else dim
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("key")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("key", key).join(F.broadcast(dim.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.withColumn("key", key).join(dim, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("block", (number % F.col("n_blocks")).cast("int"))
     of = Window.partitionBy("source", "block")
     order = of.orderBy("key", "doc_id", "n_tokens")

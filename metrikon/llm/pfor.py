@@ -66,17 +66,24 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
     return low.reshape(len(values), -1)
 
 
+@functools.cache
+def _places(width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of n packed values the byte in which it begins and the shift that brings its last bit to the end of 32."""
+    at = np.arange(n) * width
+    return at // 8, (32 - width - at % 8).astype(np.uint32)
+
+
 def unpack(packed: np.ndarray, width: int, n: int) -> np.ndarray:
     """The inverse: rows of n values."""
-    out = np.zeros((len(packed), n, 4), np.uint8)
-    octets = (width + 7) // 8
-    if width % 8:
-        bits = np.zeros((len(packed), n, 8 * octets), np.uint8)
-        bits[..., 8 * octets - width :] = np.unpackbits(packed, axis=1, count=n * width).reshape(len(packed), n, width)
-        out[..., 4 - octets :] = np.packbits(bits, axis=-1)
-    elif width:
-        out[..., 4 - octets :] = packed.reshape(len(packed), n, octets)
-    return out.view(">u4")[..., 0].astype(np.uint32)
+    if width % 8 == 0 or width > 25:  # whole bytes, or values that can lie in five
+        bits = np.zeros((len(packed), n, 32), np.uint8)
+        bits[..., 32 - width :] = np.unpackbits(packed, axis=1, count=n * width).reshape(len(packed), n, width)
+        return np.packbits(bits, axis=-1).view(">u4")[..., 0].astype(np.uint32) if width != 16 else packed.view(">u2").astype(np.uint32)
+    at, shift = _places(width, n)
+    wide = np.zeros((len(packed), packed.shape[1] + 4), np.uint32)
+    wide[:, : packed.shape[1]] = packed
+    wide = wide[:, :-3] << np.uint32(24) | wide[:, 1:-2] << np.uint32(16) | wide[:, 2:-1] << np.uint32(8) | wide[:, 3:]
+    return wide[:, at] >> shift & np.uint32((1 << width) - 1)
 
 
 def _blocks(part: np.ndarray) -> list[bytes]:

@@ -154,6 +154,14 @@ def test_mix_meets_budget(spark):
         assert max(r.copies for r in part) - min(r.copies for r in part) <= 1
 
 
+def test_many_sources_stay_in_a_table(spark):
+    """The weights are the same whether the shares come to the driver or not."""
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), None if i % 40 == 7 else f"s{int(i**0.5)}") for i in range(900)] + [(2000, "", "void")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    both = [sorted(map(str, mixing.plan(df, most_sources=n).select("doc_id", "copies", "block", "place", mixing.F.round("weight", 12)).collect())) for n in (1000, 3)]
+    assert both[0] == both[1] and mixing.plan(df.limit(0), most_sources=0).count() == 0
+
+
 def test_mix_wordless_blocks(spark):
     """A source without words is dealt into blocks like any other."""
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'w w' ELSE '' END AS text", "CASE WHEN id % 3 = 0 THEN 's' ELSE 'void' END AS source")

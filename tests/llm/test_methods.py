@@ -518,3 +518,13 @@ def test_collisions_draw_another_tweak(spark, monkeypatch):
 
     out = pii.settled(make, "marks").collect()
     assert made == [0, 1] and "same" not in out[0].text and df.count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 512])
+def test_packing_of_every_width(n):
+    for width in range(33):
+        values = rng.integers(0, 2**width, (3, n), dtype=np.uint64).astype(np.uint32)
+        packed = pfor.pack(values, width)
+        assert packed.shape == (3, (n * width + 7) // 8)
+        if width:
+            assert (pfor.unpack(np.ascontiguousarray(packed), width, n) == values).all(), width

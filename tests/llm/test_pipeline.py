@@ -6,12 +6,14 @@ import math
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from metrikon.llm import mixing, pii, quality
+from metrikon.llm.common import strings
 from metrikon.llm.queries import PII_KEY, oracle_sql, queries, vocabulary
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -85,6 +87,28 @@ def test_pipeline(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Rows without doc_id, repeated rows, a null source and columns that operators could take for their own."""
+    rows, labels = corpus(9)
+    rows = rows[:60] + [rows[1]] * 3 + [(None, rows[2][1], "en", "big", 1), (None, rows[2][1], "en", None, 1), (None, None, None, None, None)]
+    kind = DOCUMENTS + ", _fp string, _marks int, _copies string, block int, marks string"
+    spark.createDataFrame([(*r, "f", 1, "c", 2, "m") for r in rows], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, marks = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    score = quality.fit(docs, marks)
+    good = lambda t: score.score(*strings(pa.array([t or ""])))[0] >= 0.5
+    left = [r for r in rows if good(r[1])]
+    with_id = keep_one(sorted({r for r in left if r[0] is not None}))
+    want = sorted(str((i, t and pii.replace(t, PII_KEY)[0])) for i, t, *_ in with_id + [r for r in left if r[0] is None])
+    out = docs
+    for name, f in corpus_pipeline.STAGES[:3]:
+        out = f(spark, out, str(tmp_path))
+        assert out.columns == docs.columns, name
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == want
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {r[0] for r in left} and sum(r.doc_id is None for r in got) >= 2
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
