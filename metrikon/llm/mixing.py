@@ -145,7 +145,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     times, count, turn = (unused(docs.columns, c) for c in ("_copies", "_tokens", "_pass"))
     planned = stage(plan(docs, **options), "planned")
     chosen = planned.where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias(times))
-    out = docs.join(chosen, "doc_id").select(*docs.columns, times)
+    out = docs.join(chosen.hint("merge"), "doc_id").select(*docs.columns, times)  # a row for each document: no side to broadcast at any size
     place = lambda df, n, by: df.withColumn(turn, F.row_number().over(Window.partitionBy("source", n).orderBy(*by)))
     rest = place(docs.where("doc_id IS NULL").withColumn(count, token_count()), count, ["text"]).alias("d")
     theirs = place(planned.where("doc_id IS NULL"), "n_tokens", ["block", "place"]).alias("p")

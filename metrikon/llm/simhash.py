@@ -66,8 +66,9 @@ def _hashes(text: bytes) -> list[int]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's bits as a signed long. Null and wordless texts have 0."""
-    return printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "fp").select("doc_id", "fp")
+    """(doc_id, fp long, tie long): the fingerprint's bits as a signed long, and a hash that tells texts of one doc_id apart. Null and wordless texts have fingerprint 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return printed(rows, "fp").select("doc_id", "fp", "tie")
 
 
 def printed(docs: DataFrame, name: str) -> DataFrame:
@@ -184,15 +185,20 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 HOT, FEW = 500, 200
 
 
-def split_join(rows: DataFrame, dim: DataFrame, key: str, counts: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with dim, which is unique in key; counts: (key, n), the rows of each key.
+def hot_keys(counts: DataFrame, key: str) -> tuple[int, DataFrame | None]:
+    """How many rows counts (key, n) stands for, and the keys with too many of them, none if there are none."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max((total or 0) / HOT, FEW)
+    return total or 0, counts.where(F.col("n") > limit).select(key) if (most or 0) > limit else None
+
+
+def split_join(rows: DataFrame, dim: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with dim, which is unique in key; hot: the keys that hot_keys names.
 
     Keys with more than 1 / HOT of the rows, fewer than HOT by that, meet their row of dim where their rows lie; the
     others are shuffled. So no task gets a whole hot key.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(total / HOT, FEW)).select(key)
-    if hot.isEmpty():
+    if hot is None:
         return rows.join(dim, key, how)
     few = F.broadcast(dim.join(F.broadcast(hot), key, "left_semi"))
     own, rest = (rows.join(F.broadcast(hot), key, kind) for kind in ("left_semi", "left_anti"))
@@ -207,24 +213,27 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Rounds end when no edge is left. Only counts come to the driver; the hub of a large
     component is renamed where its edges lie.
     """
-    edges, steps, turn = stage(edges.where("a <> b"), label), [], 0
-    while not edges.isEmpty():
+    edges, steps = stage(edges.where("a <> b"), label), []
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         least = both.groupBy("a").agg(F.min(rank("b")).alias("m"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("m", rank("a")).getField("v").alias("up"), "n")
         least = stage(least.select("node", "up", "n"), label)
+        total, hot = hot_keys(least, "node")
+        if not total:
+            break
         steps.append(least)
-        up = lambda c: least.select(F.col("node").alias(c), F.col("up").alias("to_" + c))  # noqa: B023, E731
-        links_ = lambda c: least.select(F.col("node").alias(c), "n")  # noqa: B023, E731
-        edges = split_join(split_join(edges, up("a"), "a", links_("a")), up("b"), "b", links_("b")).select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct()
-        edges, turn = stage(edges, label), turn + 1
+        for c in "ab":
+            up = least.select(F.col("node").alias(c), F.col("up").alias("to_" + c))
+            edges = split_join(edges, up, c, hot and hot.withColumnRenamed("node", c))
+        edges = stage(edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), label)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[0].select("node", F.col("up").alias("root"))
     for step in steps[1:]:
-        counts = out.groupBy("root").agg(F.count("*").alias("n"))
-        out = split_join(out, step.select(F.col("node").alias("root"), "up"), "root", counts, "left")
-        out = stage(out.select("node", F.coalesce("up", "root").alias("root")), label)
+        _, hot = hot_keys(out.groupBy("root").agg(F.count("*").alias("n")), "root")
+        out = split_join(out, step.select(F.col("node").alias("root"), "up"), "root", hot, "left").select("node", F.coalesce("up", "root").alias("root"))
+        out = out if hot is None else stage(out, label)
     return out
 
 
@@ -246,9 +255,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     roots = components(links(distinct, n))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = stage(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
-    named = split_join(named.select("fp", "root"), least.drop("n"), "root", least.select("root", "n"))
+    named = split_join(named.select("fp", "root"), least.drop("n"), "root", hot_keys(least, "root")[1])
     names = stage(named.select("fp", "root", "component_id"), "names")
-    return split_join(found, names, "fp", distinct.select("fp", "n")).select("doc_id", "fp", "root", "component_id")
+    return split_join(found, names, "fp", hot_keys(distinct, "fp")[1]).select("doc_id", "fp", "tie", "root", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -256,10 +265,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the row of least (doc_id, fingerprint), one of those that repeat it. Rows without doc_id all stay."""
-    id_, fp = unused(docs.columns, "_id"), unused(docs.columns, "_fp")
-    least = _grouped(docs.where("doc_id is not null")).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("least"))
-    keep = least.select(F.col("least.doc_id").alias(id_), F.col("least.fp").alias(fp)).distinct()
-    own = printed(docs.where("doc_id is not null"), fp).withColumn(id_, F.col("doc_id").cast("long"))
-    own = own.join(keep, [id_, fp], "left_semi").dropDuplicates([id_, fp]).select(*docs.columns)
+    """Of each component the row of least doc_id (of several with it the one whose text has the least hash), one of those that repeat it. Rows without doc_id all stay.
+
+    Texts are fingerprinted once; the rows kept are found again by doc_id and a hash of the text.
+    """
+    id_, tie = unused(docs.columns, "_id"), unused(docs.columns, "_tie")
+    least = _grouped(docs.where("doc_id is not null")).groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("least"))
+    keep = least.select(F.col("least.doc_id").alias(id_), F.col("least.tie").alias(tie)).distinct()
+    own = docs.where("doc_id is not null").withColumns({id_: F.col("doc_id").cast("long"), tie: F.xxhash64("text")})
+    own = own.join(keep.hint("merge"), [id_, tie], "left_semi").dropDuplicates([id_, tie]).select(*docs.columns)
     return own.unionAll(docs.where("doc_id is null"))

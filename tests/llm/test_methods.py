@@ -438,8 +438,10 @@ def test_split_join_is_a_join(spark, monkeypatch):
     rows = spark.range(4000).selectExpr("id AS v", "CASE WHEN id < 1500 THEN 7 WHEN id < 2200 THEN 8 ELSE id END AS k")
     dim = spark.range(3000).selectExpr("id AS k", "id * 2 AS w")
     counts = rows.groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    total, hot = simhash.hot_keys(counts, "k")
+    assert total == 4000 and sorted(r.k for r in hot.collect()) == [7, 8] and simhash.hot_keys(counts.where("n < 5"), "k")[1] is None and simhash.hot_keys(counts.limit(0), "k") == (0, None)
     for how in ("inner", "left"):
-        got = simhash.split_join(rows, dim, "k", counts, how)
+        got = simhash.split_join(rows, dim, "k", hot, how)
         assert sorted(map(str, got.select("v", "k", "w").collect())) == sorted(map(str, rows.join(dim, "k", how).select("v", "k", "w").collect()))
 
 
