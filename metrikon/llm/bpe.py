@@ -189,12 +189,12 @@ def encode_documents(docs: DataFrame, path: str, keep: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
         for b in batches:
-            n, one, two = [], [], []
-            for at in range(0, b.num_rows, 256):
-                for ids, text in coder.encode([x or "" for x in b.column(1).slice(at, 256).to_pylist()]):
+            for at in range(0, b.num_rows, 256):  # so many rows at a time, so that a batch's texts are not held twice
+                part, n, one, two = b.slice(at, 256), [], [], []
+                for ids, text in coder.encode([x or "" for x in part.column(1).to_pylist()]):
                     n.append(len(ids) // 4)
                     one.append(ids if keep else hashlib.sha256(ids).hexdigest())
                     two.append(text if keep else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.binary() if keep else pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", *last])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.binary() if keep else pa.string()), pa.array(two, pa.string())], ["doc_id", "n_tokens", *last])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -451,6 +451,13 @@ def marks(found: list[tuple[int, int, str, str, str]], key: bytes) -> list[dict]
     return [{"kind": k, "mark": mark(k, v, key), "surrogate": n} for k, v, n in {(k, v, n) for _, _, k, v, n in found}]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that few texts are held as they were and as they become."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def settled(make: Callable[[int], DataFrame], column: str) -> DataFrame:
     """What make(tweak) gives for the least tweak under which no two values of a kind share a surrogate, stored.
 
@@ -471,7 +478,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
     def make(nonce: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 both = [(None, []) if t is None else replace(t, key, nonce) for t in (x.as_py() for x in b.column(where))]
                 new = pa.array([t for t, _ in both], b.schema.field(where).type)
                 yield pa.RecordBatch.from_arrays([*(new if k == where else c for k, c in enumerate(b.columns)), pa.array([marks(f, key) for _, f in both], MARKS)], names=[*b.schema.names, name])
@@ -487,7 +494,7 @@ def digest(docs: DataFrame, key: bytes) -> DataFrame:
 
     def make(nonce: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 both = [replace(t.as_py() or "", key, nonce) for t in b.column(1)]
                 arrays = [b.column(0), pa.array([len(f) for _, f in both], pa.int64()), pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in both], pa.string()), pa.array([[{"kind": k, "start": s, "surrogate": n} for s, _, k, _, n in f] for _, f in both], pair), pa.array([t for t, _ in both], pa.string()), pa.array([marks(f, key) for _, f in both], MARKS)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_entities", "text_sha256", "entities", "text", "marks"])
