@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compaction, hnsw, merkle, mixing, mpegts, pfor, pii, quality, simhash, substring
+from . import bpe, compaction, hnsw, merkle, mixing, mpegts, pfor, pii, quality, resample, simhash, substring
 from .common import table
 
 #: The key of the surrogates; a deployment passes its own.
@@ -39,13 +39,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": lambda s, d: simhash.digest(table(s, d, "documents")),
         "op10_pii_surrogates": lambda s, d: pii.digest(table(s, d, "documents"), PII_KEY),
         "op11_merkle_manifest": lambda s, d: merkle.manifest(table(s, d, "documents")),
+        "op12_importance_resampling": lambda s, d: resample.resample(table(s, d, "documents"), table(s, d, "benchmark")),
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that DuckDB can express; the others are tested against brute force, exact round trips or held-out accuracy."""
-    return {"op6_compaction": compaction.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op3_substring_dedup": SUBSTRING, "op8_temperature_mix": MIX}
+    return {"op6_compaction": compaction.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_importance_resampling": resample.ORACLE, "op3_substring_dedup": SUBSTRING, "op8_temperature_mix": MIX}
 
 
 SUBSTRING = r"""
