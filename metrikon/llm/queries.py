@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compaction, hnsw, merkle, mixing, mpegts, pfor, pii, quality, resample, simhash, substring
+from . import bpe, compaction, hnsw, merkle, mixing, mpegts, pfor, pii, quality, resample, secret_scan, simhash, substring
 from .common import table
 
 #: The key of the surrogates; a deployment passes its own.
@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pii_surrogates": lambda s, d: pii.digest(table(s, d, "documents"), PII_KEY),
         "op11_merkle_manifest": lambda s, d: merkle.manifest(table(s, d, "documents")),
         "op12_importance_resampling": lambda s, d: resample.resample(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op13_secret_scan": lambda s, d: secret_scan.digest(table(s, d, "documents")),
         "pipeline": _pipeline,
     }
 
