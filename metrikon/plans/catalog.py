@@ -660,15 +660,15 @@ def knn_impute(spark: SparkSession, d: str) -> DataFrame:
 SELECT vec_id, round(coalesce(e4, i4), 6) AS e4, round(coalesce(e5, i5), 6) AS e5, round(coalesce(e6, i6), 6) AS e6, e4 IS NULL AND i4 IS NOT NULL AS e4_was_imputed, e5 IS NULL AND i5 IS NOT NULL AS e5_was_imputed, e6 IS NULL AND i6 IS NOT NULL AS e6_was_imputed,
 concat_ws(';', CASE WHEN e4 IS NULL AND i4 IS NOT NULL THEN 'e4' END, CASE WHEN e5 IS NULL AND i5 IS NOT NULL THEN 'e5' END, CASE WHEN e6 IS NULL AND i6 IS NOT NULL THEN 'e6' END) AS "IMPUTED_COLUMNS", ((e4 IS NULL AND i4 IS NOT NULL)::INT + (e5 IS NULL AND i5 IS NOT NULL)::INT + (e6 IS NULL AND i6 IS NOT NULL)::INT)::BIGINT AS "N_IMPUTED_VALUES" FROM vec LEFT JOIN w USING (vec_id)""")
 def knn_complete(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS), ["label"], "vec_id", TARGETS)
+    v = knn.numbered(vectors(spark, d), "row")
+    out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS, row="row"), "row", TARGETS)
     return tidy(out.select("vec_id", *TARGETS, *(f"{c}_was_imputed" for c in TARGETS), "IMPUTED_COLUMNS", "N_IMPUTED_VALUES"))
 
 
 @query(f"WITH {IMP} SELECT count(*) AS n FROM imp")
 def imputed_total(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS), ["label"], "vec_id", TARGETS)
+    v = knn.numbered(vectors(spark, d), "row")
+    out = knn.complete(v, knn.impute(v, ["label"], "vec_id", DIMS, TARGETS, row="row"), "row", TARGETS)
     return tidy(out.agg(F.sum("N_IMPUTED_VALUES").alias("n")))
 
 
@@ -679,7 +679,7 @@ lv AS (SELECT label, vec_id, "column", k, first(own) AS truth, median(given) AS
 
 @query(f"""WITH {DET} SELECT label::BIGINT AS label, vec_id, "column", k::BIGINT AS k, round(truth, 6) AS truth, round(predicted, 6) AS predicted, donors FROM lv""")
 def knn_lovo_detail(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(knn.lovo_detail(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS, KS))
+    return tidy(knn.lovo_detail(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS, KS).drop("used"))
 
 
 @query(f"""WITH {DET} SELECT label::BIGINT AS label, k::BIGINT AS k, count(*) AS n, round(avg(abs(predicted - truth)), 6) AS mae, round(sqrt(avg((predicted - truth) * (predicted - truth))), 6) AS rmse FROM lv GROUP BY 1, 2""")
@@ -693,6 +693,86 @@ def knn_pooled(spark: SparkSession, d: str) -> DataFrame:
     return tidy(metrics.pooled(knn.lovo(knn.lovo_detail(vectors(spark, d), ["label"], "vec_id", DIMS, TARGETS, KS), ["label"]), ["k"]))
 
 
+# Suppliers as subjects of three sites: B and C follow the height closely, D is not measured at one site, E is constant in a stratum.
+BODY = ["HEIGHT_cm", "WEIGHT_kg", "A", "B", "C", "D", "E"]
+SEGMENTS = ["A", "B", "C", "D", "E"]
+COHORT = """coh AS (SELECT k, site, kind, CASE WHEN k % 13 <> 0 THEN h END AS c0, CASE WHEN k % 17 <> 0 THEN 50 + (k * 53) % 47 / 2.0::DOUBLE END AS c1, CASE WHEN k % 7 <> 0 THEN (k * 71) % 97 / 7.0::DOUBLE END AS c2, CASE WHEN k % 6 <> 0 THEN h * 0.4::DOUBLE + (k * 29) % 11 / 9.0::DOUBLE END AS c3,
+  CASE WHEN k % 5 <> 0 THEN h * 0.8::DOUBLE + (k * 31) % 13 / 8.0::DOUBLE END AS c4, CASE WHEN site <> 'site0' AND k % 11 <> 0 THEN (k * 43) % 89 / 3.0::DOUBLE END AS c5, CASE WHEN kind = 'CN' THEN 7.0::DOUBLE WHEN k % 8 <> 0 THEN (k * 19) % 23 / 2.0::DOUBLE END AS c6
+  FROM (SELECT s_suppkey AS k, concat('site', s_nationkey % 3) AS site, CASE WHEN s_suppkey % 2 = 0 THEN 'ST' ELSE 'CN' END AS kind, 150 + (s_suppkey * 37) % 61 / 2.0::DOUBLE AS h FROM supplier))"""
+
+
+def bodies(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("s_suppkey"), table(spark, d, "supplier")
+    part = lambda a, n, by: (k * a) % n / F.lit(float(by))
+    tall = 150 + part(37, 61, 2)
+    site, kind = F.concat(F.lit("site"), (F.col("s_nationkey") % 3).cast("string")), F.when(k % 2 == 0, "ST").otherwise("CN")
+    cells = [F.when(k % 13 != 0, tall), F.when(k % 17 != 0, 50 + part(53, 47, 2)), F.when(k % 7 != 0, part(71, 97, 7)), F.when(k % 6 != 0, tall * 0.4 + part(29, 11, 9)), F.when(k % 5 != 0, tall * 0.8 + part(31, 13, 8))]
+    cells += [F.when((site != "site0") & (k % 11 != 0), part(43, 89, 3)), F.when(kind == "CN", 7.0).when(k % 8 != 0, part(19, 23, 2))]
+    return s.select(k.alias("ID"), site.alias("site"), kind.alias("TYPE"), *(c.alias(n) for c, n in zip(cells, BODY, strict=True)))
+
+
+def _kept_sql(n: int, source: str, groups: str) -> str:
+    """Column j stays unless its correlation with an earlier one that stays is over 0.9."""
+    near = [f"coalesce(isfinite(corr(c{i}, c{j})) AND abs(corr(c{i}, c{j})) > 0.9, FALSE) AS r{i}_{j}" for j in range(n) for i in range(j)]
+    out = f"SELECT {groups}, {', '.join(near)} FROM {source} GROUP BY {groups}"
+    for j in range(n):
+        out = f"SELECT *, NOT ({' OR '.join(f'(k{i} AND r{i}_{j})' for i in range(j)) or 'FALSE'}) AS k{j} FROM ({out})"
+    return out
+
+
+def _pairs_sql(mode: str) -> str:
+    """All pairs of a stratum with the summed terms, under the columns of the mode."""
+    n = range(len(BODY))
+    used = {i: f"l{i}" + (f" AND k{i}" if mode == "corr" else "") for i in n}
+    m = mode
+    return f"""used_{m} AS (SELECT site, kind, {", ".join(f"{u} AS u{i}" for i, u in used.items())} FROM kept JOIN live USING (site)),
+z_{m} AS (SELECT k, site, kind, {", ".join(f"c{i}" for i in n)}, {", ".join(f"CASE WHEN u{i} THEN (c{i} - avg(c{i}) OVER w) / nullif(stddev_pop(c{i}) OVER w, 0) END AS z{i}" for i in n)}, ({" + ".join(f"u{i}::INT" for i in n)})::DOUBLE AS d FROM coh JOIN used_{m} USING (site, kind) WINDOW w AS (PARTITION BY site, kind)),
+p_{m} AS (SELECT *, {" + ".join(f"coalesce(t{i}, 0)" for i in n)} AS s, {" + ".join(f"(t{i} IS NOT NULL)::INT" for i in n)} AS m FROM (SELECT a.site, a.kind, a.k, b.k AS donor, a.d, {", ".join(f"a.c{i} AS v{i}, b.c{i} AS g{i}, (a.z{i} - b.z{i}) * (a.z{i} - b.z{i}) AS t{i}" for i in n)} FROM z_{m} a JOIN z_{m} b ON a.site = b.site AND a.kind = b.kind AND a.k <> b.k))"""
+
+
+def _lovo_sql(mode: str) -> str:
+    cells = " UNION ALL ".join(f"""SELECT site, kind, k AS id, '{BODY[i]}' AS "column", v{i} AS own, g{i} AS given, donor, row_number() OVER w AS rn, (SELECT count(c{i}) FROM coh WHERE coh.site = x.site AND coh.kind = x.kind) AS observed
+FROM (SELECT *, sqrt(d / (m - (t{i} IS NOT NULL)::INT) * greatest(s - coalesce(t{i}, 0), 0)) AS dist FROM p_{mode} WHERE v{i} IS NOT NULL AND g{i} IS NOT NULL AND m - (t{i} IS NOT NULL)::INT > 0) x WINDOW w AS (PARTITION BY site, kind, k ORDER BY dist, donor)""" for i, c in enumerate(BODY) if c in SEGMENTS)
+    return f"""det_{mode} AS ({cells}), lv_{mode} AS (SELECT '{mode}' AS feature_mode, site, kind, id, "column", k, first(own) AS truth, median(given) AS predicted, string_agg(CAST(donor AS VARCHAR), ';' ORDER BY rn) AS donors, count(*) AS used FROM det_{mode} JOIN (SELECT unnest({KS}) AS k) ON rn <= k WHERE observed >= 3 GROUP BY ALL)"""
+
+
+LIVE = "live AS (SELECT site, " + ", ".join(f"count(c{i}) > 0 AS l{i}" for i in range(len(BODY))) + " FROM coh GROUP BY 1), kept AS (" + _kept_sql(len(BODY), "coh", "site, kind") + ")"
+MODES = f"{COHORT}, {LIVE}, {_pairs_sql('all')}, {_pairs_sql('corr')}, {_lovo_sql('all')}, {_lovo_sql('corr')}"
+BY_GROUP = """grp AS (SELECT site, kind AS "TYPE", feature_mode, k::BIGINT AS k, count(*) AS n_tested, round_even(avg(abs(predicted - truth)), 3) AS mae, round_even(sqrt(avg((predicted - truth) * (predicted - truth))), 3) AS rmse FROM (SELECT * FROM lv_all UNION ALL SELECT * FROM lv_corr) GROUP BY 1, 2, 3, 4)"""
+
+
+def _imputation(spark: SparkSession, d: str, **options) -> dict[str, DataFrame]:
+    return tracks.imputation(bodies(spark, d), "ID", BODY, SEGMENTS, **options)
+
+
+@query(f"WITH {COHORT}, {LIVE} SELECT site, kind AS \"TYPE\", concat_ws(';', " + ", ".join(f"CASE WHEN k{i} AND l{i} THEN '{c}' END" for i, c in enumerate(BODY)) + ") AS kept FROM kept JOIN live USING (site)")
+def knn_columns(spark: SparkSession, d: str) -> DataFrame:
+    sets = knn.column_sets(bodies(spark, d), ["site", "TYPE"], BODY, ["site"], 0.9)
+    names = F.array_compact(F.array(*(F.when(F.col("used")[i], F.lit(c)) for i, c in enumerate(BODY))))
+    return sets.select("site", "TYPE", F.array_join(names, ";").alias("kept"))
+
+
+@query(f"WITH {COHORT}, {LIVE}, {_pairs_sql('corr')} SELECT site, kind AS \"TYPE\", id::BIGINT AS \"ID\", \"column\", round(median(given), 6) AS value FROM (" + " UNION ALL ".join(f"""SELECT site, kind, k AS id, '{c}' AS "column", g{i} AS given, row_number() OVER (PARTITION BY site, kind, k ORDER BY sqrt(d / m * s), donor) AS rn FROM p_corr WHERE m > 0 AND v{i} IS NULL AND g{i} IS NOT NULL""" for i, c in enumerate(BODY) if c in SEGMENTS) + ") WHERE rn <= 3 GROUP BY ALL")
+def knn_corr(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(knn.impute(bodies(spark, d), ["site", "TYPE"], "ID", BODY, SEGMENTS, within=["site"], limit=0.9))
+
+
+@query(f"WITH {MODES}, {BY_GROUP} SELECT * FROM grp")
+def knn_modes(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(_imputation(spark, d)["by_group"])
+
+
+@query(f"""WITH {MODES}, {BY_GROUP}, pooled AS (SELECT feature_mode, k, sum(n_tested)::BIGINT AS n_tested, round_even(sum(n_tested * mae) / sum(n_tested), 3) AS mae, round_even(sqrt(sum(n_tested * rmse * rmse) / sum(n_tested)), 3) AS rmse FROM grp GROUP BY 1, 2)
+SELECT *, row_number() OVER (ORDER BY mae, feature_mode, k) = 1 AS best FROM pooled""")
+def knn_modes_summary(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(_imputation(spark, d)["summary"])
+
+
+@query(f"""WITH {COHORT}, {LIVE}, {_pairs_sql('corr')}, {_lovo_sql('corr')} SELECT site, kind AS "TYPE", feature_mode, k::BIGINT AS k, id::VARCHAR AS subject_id, "column", round_even(truth, 3) AS true_value, round_even(predicted, 3) AS predicted_value, round_even(abs(predicted - truth), 3) AS abs_error, used AS n_neighbors_used, donors AS neighbor_ids FROM lv_corr WHERE k = 3""")
+def knn_modes_detail(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(_imputation(spark, d, mode="corr")["detail"], 3)
+
+
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

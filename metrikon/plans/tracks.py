@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import corrected_head, distance, height
 from ..functions.nulls import optional
-from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, mask, metrics, nearest, pseudonym, qc
+from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
 from ..operators.harmonize import Mapping
 from .sites import COLUMNS, SITES
 
@@ -28,6 +28,38 @@ def tabular(raw: dict[str, DataFrame], salt: str, sites: dict[str, Mapping] = SI
     return {"preprocessed": marked.drop(qc.CELLS), "mapping": pseudonym.mapping(flagged, "site", "site", "ID", salt), "report": qc.report(marked, "site"), "flagged": values}
 
 
+# Columns that tell how alike subjects are but are not filled, the compared numbers of neighbours, and the limit of correlation of the reduced mode.
+DISTANCE_ONLY = ("HEIGHT_cm", "WEIGHT_kg", "PONDERAL_INDEX_kg_m3")
+KS, CORRELATED = (1, 3, 5, 7, 9), 0.9
+MEASUREMENTS = [c for c in COLUMNS if c not in ("ID", "TYPE", "AGE")]
+
+
+def imputation(tables: DataFrame, key: str, columns: list[str] = MEASUREMENTS, targets: list[str] | None = None, site: str = "site", kind: str = "TYPE", k: int = 3, mode: str = "all", ks: tuple[int, ...] = KS) -> dict[str, DataFrame]:
+    """Sites' tables to the validation of both modes by group, pooled with the best marked, the detail of one k and mode, and the tables filled with those.
+
+    Strata are sites by kind; a site's columns are those with any value there. In mode corr each stratum leaves out columns that repeat an earlier one.
+    Values flagged by quality control stay and donate; only missing ones are filled, by rows' places, not keys.
+    """
+    targets = [c for c in columns if c not in DISTANCE_ONLY] if targets is None else targets
+    strata, limits = [site, kind], {"all": None, "corr": CORRELATED}
+    tested = {m: knn.lovo_detail(tables, strata, key, columns, targets, sorted({*ks, k}), within=[site], limit=v).withColumn("feature_mode", F.lit(m)) for m, v in limits.items()}
+    both = tested["all"].unionByName(tested["corr"]).where(F.col("k").isin(*ks))
+    e = F.col("predicted") - F.col("truth")
+    by_group = both.groupBy(*strata, "feature_mode", "k").agg(F.count("*").alias("n_tested"), F.bround(F.avg(F.abs(e)), 3).alias("mae"), F.bround(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
+    n = F.sum("n_tested")
+    # a line for each mode and k, from groups' figures as they are reported
+    pooled = by_group.groupBy("feature_mode", "k").agg(n.alias("n_tested"), F.bround(F.sum(F.col("n_tested") * F.col("mae")) / n, 3).alias("mae"), F.bround(F.sqrt(F.sum(F.col("n_tested") * F.col("rmse") * F.col("rmse")) / n), 3).alias("rmse"))
+    best = pooled.agg(F.min(F.struct("mae", "feature_mode", "k")).alias("b"))
+    summary = pooled.crossJoin(F.broadcast(best)).withColumn("best", (F.col("feature_mode") == F.col("b.feature_mode")) & (F.col("k") == F.col("b.k"))).drop("b")  # one row
+    detail = tested[mode].where(F.col("k") == k).select(
+        *strata, "feature_mode", "k", F.col(key).cast("string").alias("subject_id"), "column", F.bround("truth", 3).alias("true_value"), F.bround("predicted", 3).alias("predicted_value"),
+        F.bround(F.abs(e), 3).alias("abs_error"), F.col("used").alias("n_neighbors_used"), F.col("donors").alias("neighbor_ids"),
+    )
+    rows = knn.numbered(tables, "_place")
+    filled = knn.complete(rows, knn.impute(rows, strata, key, columns, targets, k, row="_place", within=[site], limit=limits[mode]), "_place", targets)
+    return {"by_group": by_group, "summary": summary, "detail": detail, "complete": filled}
+
+
 SCALES = {"median_scale": "scale_median_all", "best_quality_scale": "scale_best_quality", "closest_feet_scale": "scale_closest_feet", "ground_line_scale": "scale_ground_line"}
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metrikon.functions import geometry, ids, nulls
-from metrikon.operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc, ranks
+from metrikon.operators import calibrate, compare, crossval, fuse, harmonize, horizon, mask, metrics, nearest, pseudonym, qc, ranks
 from metrikon.plans import sites, tracks
 from metrikon.sources import images, tables, workbook
 from metrikon.streaming import flags
@@ -195,27 +195,6 @@ def test_skeletal_and_manifest(spark):
     assert [tuple(r) for r in kept.collect()] == [("A1", "/in/x/A1_front.jpg", "/out/A1/A1_front.jpg")]
 
 
-def test_knn(spark):
-    rows = [(1, "s", 1.0, None), (2, "s", 1.1, 10.0), (3, "s", 1.2, 20.0), (4, "s", 9.0, 90.0), (5, "t", 1.0, None)]
-    df = spark.createDataFrame(rows, "id int, g string, a double, b double")
-    got = {r.id: r.value for r in knn.impute(df, ["g"], "id", ["a", "b"], ["b"], 2).collect()}
-    assert got == {1: 15.0}
-    full = {r.id: r for r in knn.complete(df, knn.impute(df, ["g"], "id", ["a", "b"], ["b"], 2), ["g"], "id", ["b"]).collect()}
-    assert (full[5].b, full[5].b_was_imputed, full[5].N_IMPUTED_VALUES) == (None, False, 0) and (full[1].b, full[1].IMPUTED_COLUMNS, full[1].N_IMPUTED_VALUES) == (15.0, "b", 1)
-    # one id in two strata keeps to its own
-    twin = spark.createDataFrame([(1, g, 1.0, None) for g in "st"] + [(k, "s", 1.0 + k, 10.0 * k) for k in (2, 3)] + [(k, "t", 1.0 + k, 100.0 * k) for k in (2, 3)] + [(9, None, 1.0, None), (None, "s", 1.0, 5.0)], df.schema)
-    found = knn.impute(twin, ["g"], "id", ["a", "b"], ["b"], 2)
-    assert {(r.g, r.id): r.b for r in knn.complete(twin, found, ["g"], "id", ["b"]).where("id = 1").collect()} == {("s", 1): 25.0, ("t", 1): 250.0}
-    # blocks of any size give the same
-    rng = np.random.default_rng(2)
-    many = spark.createDataFrame([(i, "s", *(None if rng.random() < 0.3 else float(rng.integers(0, 6)) for _ in range(3))) for i in range(80)], "id int, g string, a double, b double, c double")
-    args = (["g"], "id", ["a", "b", "c"], ["b", "c"])
-    order = lambda d: sorted(map(tuple, d.collect()))
-    assert order(knn.impute(many, *args, 3, 7)) == order(knn.impute(many, *args, 3)) and order(knn.lovo_detail(many, *args, [1, 3], 3, 9)) == order(knn.lovo_detail(many, *args, [1, 3]))
-    same = spark.createDataFrame([(float(i), 2.0 * i, float(i * i % 7)) for i in range(20)], "a double, b double, c double")
-    assert knn.not_redundant(same, ["a", "b", "c"]) == ["a", "c"]
-
-
 def test_folds_and_ridge(spark):
     f = crossval.folds(12, 5)
     assert sorted(np.bincount(f).tolist()) == [2, 2, 2, 3, 3]
