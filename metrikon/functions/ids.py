@@ -33,12 +33,20 @@ def has_extension(path: Column, extensions: tuple[str, ...]) -> Column:
     return F.lower(path).rlike(r"\.(" + "|".join(extensions) + ")$")
 
 
-def normal_path(path: Column, depth: int = 8) -> Column:
-    """A path without scheme, doubled separators and dots; of parents as many as depth in a row are resolved."""
-    out = F.regexp_replace(F.regexp_replace(path, r"^file:/*", "/"), r"/+(\./+)*", "/")
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return F.regexp_replace(out, r"(?<=.)/\.?$", "")
+def normal_path(path: Column) -> Column:
+    """A path without scheme, doubled separators and dots, of any depth; parents above the root stay at the root, those that begin a relative path stay."""
+    plain = F.regexp_replace(path, r"^file:/*", "/")
+    rooted = plain.startswith("/")
+
+    def step(kept: Column, s: Column) -> Column:
+        """The segments kept so far after one more; the first is a mark of the bottom."""
+        last, more = F.element_at(kept, -1), F.concat(kept, F.array(s))
+        parent = F.when(last == "/", F.when(rooted, kept).otherwise(more)).when(last == "..", more).otherwise(F.slice(kept, 1, F.size(kept) - 1))
+        return F.when(s.isin("", "."), kept).when(s == "..", parent).otherwise(more)
+
+    stack = F.aggregate(F.split(plain, "/"), F.array(F.lit("/")), step)
+    joined = F.array_join(F.slice(stack, 2, F.size(stack)), "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).otherwise(joined)
 
 
 def pseudo_id(prefix: Column, identifier: Column, salt: str, digits: int = 8) -> Column:

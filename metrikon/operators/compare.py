@@ -14,10 +14,15 @@ def outer(frames: dict[str, DataFrame], on: str) -> DataFrame:
 
 
 def outer_on(frames: list[DataFrame], on: str) -> DataFrame:
-    """The same for frames whose columns have names of their own already."""
+    """The same for frames whose columns have names of their own already.
+
+    A null key is a key: the rows without one meet each other, and a frame may have one of them. A key of one frame has one row, so a
+    shuffle by the key is balanced.
+    """
     out = require_unique(frames[0], [on])
     for df in frames[1:]:
-        out = out.join(require_unique(df, [on]), on, "full_outer")
+        right = require_unique(df, [on]).withColumnRenamed(on, "_on")
+        out = out.join(right, F.col(on).eqNullSafe(F.col("_on")), "full_outer").select(F.coalesce(on, "_on").alias(on), *(c for c in out.columns if c != on), *(c for c in df.columns if c != on))
     return out
 
 

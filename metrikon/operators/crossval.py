@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stage
-from .ranks import running
+from .ranks import quantiles, running
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 #: With fewer than two inner folds there is nothing to choose from.
@@ -138,12 +138,20 @@ def _shift(df: DataFrame, names: list[str]) -> dict[str, float]:
     return {c: float(row[i] or 0.0) for i, c in enumerate(names)}
 
 
+def _medians(rows: DataFrame, columns: list[str], sets: list[Column]) -> dict[tuple[int, int], float]:
+    """(set, column) to the median of the column's values in the rows of the set; a number for each comes to the driver."""
+    inside = F.explode(F.array_compact(F.array(*(F.when(s, F.lit(i)) for i, s in enumerate(sets)))))
+    cells = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(c).alias("v")) for j, c in enumerate(columns))))
+    each = rows.select(inside.alias("i"), *columns).select("i", cells.alias("c")).select("i", "c.*")
+    return {(r.i, r.j): r.q[0] for r in quantiles(each, ["i", "j"], "v", [0.5], "q").collect()}
+
+
 def nested(df: DataFrame, key: str, truth: str, features: list[str], baseline: str | None = None, k: int = 5, inner: int = 4, seed: int = 42) -> DataFrame:
     """(key, truth, cv_fold, ridge_alpha, mean_model, raw_model, ols_model, ridge_model): each subject predicted by models that never saw it.
 
     mean_model is the training mean, raw_model the baseline feature itself, ols_model a line on it. The alpha of each
     outer fold is the first of least mean absolute error over inner folds, 1 with one training row. Rows without
-    key or truth are left out; a missing feature takes the training median, whose values are held by their distinct counts.
+    key or truth are left out; a missing feature takes the training median, which is found by ranges of counted values.
     """
     base = baseline or features[0]
     own = list(dict.fromkeys([*features, base]))
@@ -159,7 +167,7 @@ def nested(df: DataFrame, key: str, truth: str, features: list[str], baseline: s
         return rows.select(key, truth, "cv_fold", *(F.lit(None).cast("double").alias(c) for c in ("ridge_alpha", "mean_model", "raw_model", "ols_model", "ridge_model")))
     # one pass: sums by cell of the outer fold's and all inner folds' numbers, and the medians of every training set
     cells = [r.asDict() for r in rows.groupBy("cv_fold", *(f"_in{f}" for f in outer)).agg(*(c.alias(n) for n, c in _aggregates(own, truth, at).items())).collect()]
-    medians = rows.agg(*(F.median(F.when(s, F.col(f))).alias(f"{i}_{j}") for i, s in enumerate(sets.values()) for j, f in enumerate(own))).first()
+    medians = _medians(rows, own, list(sets.values()))
     d, models = len(own), {}
 
     def total(f: int, g: int | None) -> Sums:
@@ -172,7 +180,7 @@ def nested(df: DataFrame, key: str, truth: str, features: list[str], baseline: s
     pick = [own.index(f) for f in features]
     for i, (f, g) in enumerate(sets):
         sums = total(f, g)
-        fill = np.array([np.nan if (v := medians[f"{i}_{j}"]) is None else v - at[own[j]] for j in range(d)])
+        fill = np.array([np.nan if (v := medians.get((i, j))) is None else v - at[own[j]] for j in range(d)])
         one = lambda which, s=sums: Sums(*(a if np.ndim(a) == 0 else a[which] if np.ndim(a) == 1 else a[np.ix_(which, which)] for a in s.all))
         models[f, g] = {a: one(pick).fit(fill[pick], a) for a in ALPHAS} | {"ols": one([own.index(base)]).fit(fill[[own.index(base)]], 0.0), "mean": sums.all[1] / sums.all[0]}
     moved = rows.withColumns({c: F.col(c) - at[c] for c in own})
@@ -193,11 +201,12 @@ def coefficients(df: DataFrame, key: str, truth: str, features: list[str], alpha
     """(feature, alpha, coefficient_standardised, coefficient_original_units, intercept_original_units) of the model on all subjects; no rows without any."""
     kept = df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("double").alias(truth), *(F.col(f).cast("double").alias(f) for f in features))
     at = _shift(kept, [truth, *features])
-    row = kept.agg(*(c.alias(n) for n, c in _aggregates(features, truth, at).items()), *(F.median(f).alias(f"median{i}") for i, f in enumerate(features))).first().asDict()
+    row = kept.agg(*(c.alias(n) for n, c in _aggregates(features, truth, at).items())).first().asDict()
     schema = "feature string, alpha double, coefficient_standardised double, coefficient_original_units double, intercept_original_units double"
     if not row["n"]:
         return df.sparkSession.createDataFrame([], schema)
-    fill = np.array([np.nan if row[f"median{i}"] is None else row[f"median{i}"] - at[f] for i, f in enumerate(features)])
+    medians = _medians(kept, features, [F.lit(True)])
+    fill = np.array([np.nan if (v := medians.get((0, i))) is None else v - at[f] for i, f in enumerate(features)])
     m = _sums(row, len(features)).fit(fill, alpha)
     own = m.coef / m.sd
     intercept = m.mean + at[truth] - float(own @ (m.mu + np.array([at[f] for f in features])))

@@ -55,7 +55,7 @@ def loso_medians(donors: DataFrame, subjects: DataFrame, subject: str, value: st
     places = F.explode(F.array_distinct(F.array(F.floor((F.col("rest") + 1) / 2), F.floor((F.col("rest") + 2) / 2))))
     asked = asked.where("rest > 0").select("kind", "subject", places.alias("k"))
     passed = asked.join(mine, ["kind", "subject"]).where(F.col("g") - F.col("mine") < F.col("k")).groupBy("kind", "subject", "k").agg(F.max("mine").alias("passed"))
-    asked = stage(asked.join(passed, ["kind", "subject", "k"], "left").select("kind", "subject", (F.col("k") + F.coalesce("passed", F.lit(0))).alias("r")), "asked")
+    asked = asked.join(passed, ["kind", "subject", "k"], "left").select("kind", "subject", (F.col("k") + F.coalesce("passed", F.lit(0))).alias("r"))
     # each place asked for is looked up once, in the part of the values that holds it
     last = upto.groupBy("kind", "part").agg(F.max("g").alias("end"))
     last = last.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("part", "end"))).alias("ends"))  # a number for each part

@@ -25,8 +25,8 @@ def collisions(pairs: DataFrame, key: str) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Fails the query that uses it if a key occurs twice: the check runs as part of the plan."""
-    counted = df.groupBy(*keys).count()
-    text = F.concat(F.lit("duplicate key: "), F.concat_ws(",", *(F.col(k).cast("string") for k in keys)))
-    checked = counted.withColumn("_ok", F.when(F.col("count") > 1, F.raise_error(text).cast("boolean")).otherwise(True)).where("_ok")
-    return df.join(checked.select(*keys), keys, "left_semi")
+    """Fails the query that uses it if a key occurs twice, null among them: the check runs as part of the plan."""
+    counted = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_n"))
+    text = F.concat(F.lit("duplicate key: "), F.concat_ws(",", *(F.coalesce(F.col(f"_k{i}").cast("string"), F.lit("null")) for i in range(len(keys)))))
+    checked = counted.where(F.when(F.col("_n") > 1, F.raise_error(text).cast("boolean")).otherwise(True))
+    return df.join(checked, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi")

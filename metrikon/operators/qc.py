@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import joined
+from ..functions.nulls import finite, joined
+from . import ranks
 
 # Physiological bounds, inclusive; the unit is in the column's name.
 RANGES = {
@@ -46,23 +47,21 @@ CELLS = "QC_CELLS"
 def iqr_bounds(df: DataFrame, site: str, columns: list[str], exempt: tuple[str, ...] = ("AGE",), least: int = 5) -> DataFrame:
     """(site, column, low, high): Tukey fences with exact quartiles; none under five values or without spread, nor for exempt columns.
 
-    One aggregation of the wide table. The quartiles are exact and hold the values of one site and column by their counts of distinct values.
+    The quartiles come from counts of distinct values by ranges, so that a site with most of the rows is many tasks.
     """
     kept = [c for c in columns if c not in exempt]
     if not kept:
         return df.select(site, F.lit("").alias("column"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).limit(0)
-    quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    out = df.groupBy(site).agg(*(f(F.col(c).cast("double")).alias(f"{k}{i}") for i, c in enumerate(kept) for k, f in (("q", lambda v: F.percentile(v, quartiles)), ("n", F.count))))
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q"), F.col(f"n{i}").alias("n")) for i, c in enumerate(kept))))
-    out = out.select(site, cells.alias("c")).select(site, "c.*")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), finite(F.col(c).cast("double")).alias("value")) for c in kept)))
+    out = ranks.quantiles(df.select(F.col(site).alias("_site"), each.alias("c")).select("_site", "c.*"), ["_site", "column"], "value", [0.25, 0.75], "q")
     spread = F.col("q")[1] - F.col("q")[0]
-    return out.where((F.col("n") >= least) & (spread != 0)).select(site, "column", (F.col("q")[0] - 1.5 * spread).alias("low"), (F.col("q")[1] + 1.5 * spread).alias("high"))
+    return out.where((F.col("n") >= least) & (spread != 0)).select(F.col("_site").alias(site), "column", (F.col("q")[0] - 1.5 * spread).alias("low"), (F.col("q")[1] + 1.5 * spread).alias("high"))
 
 
 def flag(df: DataFrame, site: str, columns: list[str], ranges: dict[str, tuple[float, float]] = RANGES, bounds: DataFrame | None = None) -> DataFrame:
     """The rows with QC_FLAGS and QC_COLUMNS (sorted ;-joined sets), QC_N_FLAGS (flagged columns) and QC_CELLS, an array of (column, value, flags).
 
-    A missing cell has that flag alone, another up to two. bounds (site, column, low, high) may be given, as for streams.
+    A missing cell (NaN and infinities among them) has that flag alone, another up to two. bounds (site, column, low, high) may be given, as for streams.
     A null site is a site of its own.
     """
     bounds = iqr_bounds(df, site, columns) if bounds is None else bounds
@@ -70,7 +69,7 @@ def flag(df: DataFrame, site: str, columns: list[str], ranges: dict[str, tuple[f
     marked = df.join(fences, F.col(site).eqNullSafe(F.col("_site")), "left")  # a row for each site; its size decides how it is joined
 
     def cell(c: str) -> Column:
-        value, fence = F.col(c).cast("double"), F.col("_fences")[c]
+        value, fence = finite(F.col(c).cast("double")), F.col("_fences")[c]
         missing = value.isNull()
         low, high = ranges.get(c, (None, None))
         invalid = F.lit(False) if low is None else ~value.between(F.lit(float(low)), F.lit(float(high)))

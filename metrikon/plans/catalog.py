@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids, nulls
-from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
+from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc, ranks
 from ..sources import tables
+from ..sources.shared import fresh_path
 from . import sites, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +191,31 @@ def anti_subjects(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
 
 
+PATH = "concat(CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN 'file:///' ELSE '/' END, repeat(concat('d', o_custkey % 7, '/'), CAST(o_orderkey % 12 AS INT)), CASE WHEN o_orderkey % 2 = 0 THEN './/' ELSE '' END, repeat('../', CAST(o_custkey % 15 AS INT)), 'x/./y/..//', o_orderkey, '.jpg')"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN rooted THEN '/' ELSE '' END || array_to_string(kept[2:], '/') AS path FROM (SELECT o_orderkey, p LIKE '/%' AS rooted,
+list_reduce([['/']] || list_transform(string_split(p, '/'), lambda x: [x]), lambda a, b: CASE WHEN b[1] IN ('', '.') THEN a WHEN b[1] <> '..' THEN a || b WHEN a[-1] = '/' THEN CASE WHEN p LIKE '/%' THEN a ELSE a || b END WHEN a[-1] = '..' THEN a || b ELSE a[:-2] END) AS kept
+FROM (SELECT o_orderkey, regexp_replace({PATH}, '^file:/*', '/') AS p FROM orders))""")
+def normal_paths(spark: SparkSession, d: str) -> DataFrame:
+    k, who = F.col("o_orderkey"), F.col("o_custkey")
+    start = F.when(k % 5 == 0, "").when(k % 5 == 1, "file:///").otherwise("/")
+    folders = F.repeat(F.concat(F.lit("d"), (who % 7).cast("string"), F.lit("/")), (k % 12).cast("int"))
+    path = F.concat(start, folders, F.when(k % 2 == 0, ".//").otherwise(""), F.repeat(F.lit("../"), (who % 15).cast("int")), F.lit("x/./y/..//"), k.cast("string"), F.lit(".jpg"))
+    return table(spark, d, "orders").select(k, ids.normal_path(path).alias("path"))
+
+
+@query(f"""WITH {CUST} SELECT site, id, round(CASE WHEN site = 'BUILDING' THEN balance + 1000 ELSE balance END, 6) AS balance FROM cust WHERE site IS DISTINCT FROM 'BUILDING' OR balance > 0""")
+def site_archive(spark: SparkSession, d: str) -> DataFrame:
+    """All sites stored one by one in one place; one of them again with other rows, and once more with none."""
+    df, path = customers(spark, d).select("site", "id", "balance"), fresh_path(spark, "archive")
+    tables.store(df, path, ["site"])
+    again = df.where("site = 'BUILDING' AND balance > 0").withColumn("balance", F.col("balance") + 1000)
+    tables.store(again, path, ["site"])
+    tables.store(again.where("balance IS NULL"), path, ["site"])
+    return tidy(tables.stored(spark, path, df.schema))
+
+
 # ---- quality control ------------------------------------------------------------
 
 CELLS = CUST + """, cells AS (SELECT rid, site, id, 'balance' AS "column", balance AS value FROM cust UNION ALL SELECT rid, site, id, 'spend', spend FROM cust UNION ALL SELECT rid, site, id, 'AGE', "AGE" FROM cust),
@@ -243,6 +269,14 @@ def qc_pass_through(spark: SparkSession, d: str) -> DataFrame:
     return tidy(qc.pass_through(customers(spark, d).select("site", "id", "balance")))
 
 
+@query(f"""WITH {CUST}, c AS (SELECT site, 'balance' AS "column", balance AS v FROM cust UNION ALL SELECT site, 'spend', spend FROM cust) SELECT site, "column", count(v) AS n, round(quantile_cont(v, 0.1), 6) AS q10, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.9), 6) AS q90 FROM c WHERE v IS NOT NULL GROUP BY 1, 2""")
+def grouped_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("balance", "spend"))))
+    each = customers(spark, d).select("site", cells.alias("c")).select("site", "c.*")
+    out = ranks.quantiles(each, ["site", "column"], "v", [0.1, 0.5, 0.9], "q")
+    return tidy(out.select("site", "column", "n", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((10, 50, 90)))))
+
+
 # ---- metrics --------------------------------------------------------------------
 
 ERR = "count(e) AS n, round(avg(e), 6) AS bias, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse"
@@ -809,6 +843,15 @@ def compare_outer_join(spark: SparkSession, d: str) -> DataFrame:
     return tidy(out.withColumn("scale", compare.equivalent_scale(F.col("e3_v"), F.col("e1_v"))))
 
 
+@query("""WITH s AS (SELECT CASE WHEN s_suppkey <> 7 THEN s_suppkey END AS k, s_acctbal AS v FROM supplier), c AS (SELECT CASE WHEN c_custkey <> 11 THEN c_custkey END AS k, c_acctbal AS v FROM customer WHERE c_nationkey <> 3 OR c_custkey = 11), p AS (SELECT CASE WHEN p_partkey <> 5 THEN p_partkey END AS k, p_retailprice AS v FROM part WHERE p_size > 10 OR p_partkey = 5)
+SELECT coalesce(s.k, c.k, p.k) AS k, round(s.v, 6) AS s_v, round(c.v, 6) AS c_v, round(p.v, 6) AS p_v FROM s FULL JOIN c ON s.k IS NOT DISTINCT FROM c.k FULL JOIN p ON p.k IS NOT DISTINCT FROM coalesce(s.k, c.k)""")
+def compare_outer_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame has one row without key; the three are one row of the result."""
+    frame = lambda name, key, value, none, keep: table(spark, d, name).where(keep | (F.col(key) == none)).select(F.when(F.col(key) != none, F.col(key)).alias("k"), F.col(value).alias("v"))
+    frames = {"s": frame("supplier", "s_suppkey", "s_acctbal", 7, F.lit(True)), "c": frame("customer", "c_custkey", "c_acctbal", 11, F.col("c_nationkey") != 3), "p": frame("part", "p_partkey", "p_retailprice", 5, F.col("p_size") > 10)}
+    return tidy(compare.outer(frames, "k"))
+
+
 @query(f"""WITH {MATRIX} SELECT method, round_even(max(mae) FILTER (grp = 'FRONT+BACK'), 4) AS "FRONT+BACK", round_even(max(mae) FILTER (grp = 'LEFT+RIGHT'), 4) AS "LEFT+RIGHT", round_even(max(mae) FILTER (grp = 'GLOBAL'), 4) AS "GLOBAL" FROM m GROUP BY 1""")
 def matrix_wide(spark: SparkSession, d: str) -> DataFrame:
     return compare.matrix_wide(matrix(spark, d), ["FRONT+BACK", "LEFT+RIGHT", "GLOBAL"])

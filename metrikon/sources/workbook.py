@@ -71,14 +71,17 @@ def sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table(rows: DataFrame, sheet: str, header: int = 1) -> DataFrame:
-    """One sheet of ``sheets`` as a table of text: names (trimmed) from its header row, rows below it; a name is null where its cell is.
+    """One sheet of ``sheets`` as a table of text: names (trimmed) from the header row of each workbook, rows below it; a name is null where its cell is.
 
-    The header row alone comes to the driver. Rows of empty cells are left out.
+    Every workbook has a header of its own, joined to its rows by path; columns are those of all headers, null where a workbook lacks them. The
+    distinct names come to the driver. Rows of empty cells are left out; of two columns of one name in a workbook the first counts.
     """
     mine = rows.where(F.col("sheet") == sheet)
-    found = mine.where(F.col("row") == header).limit(1).collect()
-    if not found:
+    cell = F.struct(F.trim(F.col("name")).alias("name"), F.col("i").alias("i"))
+    heads = mine.where(F.col("row") == header).select("path", F.posexplode("cells").alias("i", "name")).where("trim(name) <> ''").select("path", cell.alias("c"))
+    names = [r[0] for r in heads.groupBy(F.col("c.name").alias("name")).agg(F.min(F.struct("path", "c.i")).alias("at")).orderBy("at").select("name").collect()]
+    if not names:
         raise ValueError(f"no row {header} in sheet {sheet}")
-    names = [(i, n.strip()) for i, n in enumerate(found[0]["cells"]) if n]
-    data = mine.where((F.col("row") > header) & F.exists("cells", lambda c: c.isNotNull()))
-    return data.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in names))
+    places = heads.groupBy("path", F.col("c.name").alias("name")).agg(F.min("c.i").alias("i")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "i"))).alias("at"))
+    data = mine.where((F.col("row") > header) & F.exists("cells", lambda c: c.isNotNull())).join(places, "path")
+    return data.select(*(F.get("cells", F.try_element_at("at", F.lit(n))).alias(n) for n in names))
