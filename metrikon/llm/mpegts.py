@@ -27,6 +27,8 @@ from .common import fresh_path
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, STREAM_TYPE, STREAM_ID = 0x100, 0x101, 0x06, 0xBD
+# The stream ids whose units carry bytes right after their length, padding among them.
+PLAIN, PADDING = (0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF), 0xBE
 HEAD = 14  # PES header with a time stamp
 FIRST = PACKET - 4 - 8  # room beside an adaptation field with a clock
 UNIT_PACKETS = 17
@@ -203,8 +205,22 @@ def _packets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return first, mark, breaks
 
 
-def _units_of(rows: np.ndarray, start: np.ndarray, begins: np.ndarray, field: np.ndarray, lost: np.ndarray) -> dict:
-    """Payload, time stamps, random-access points and damaged units of one stream's packets, in order and without repetitions."""
+def _repeated(rows: np.ndarray, mine: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which packets of a PID repeat the one before: with its counter (same), equal to it but for the clock, and once. Others of that counter come after a loss."""
+    out = np.zeros(len(same), bool)
+    for i in np.flatnonzero(same):
+        pair = rows[mine[i : i + 2]].copy()
+        if pair[0, 3] & 0x20 and pair[0, 4] >= 7 and pair[0, 5] & 0x10:
+            pair[:, 6:12] = 0
+        out[i] = (pair[0] == pair[1]).all() and not (i and out[i - 1])
+    return out
+
+
+def _units_of(rows: np.ndarray, start: np.ndarray, begins: np.ndarray, field: np.ndarray, lost: np.ndarray, cut_off: bool = False) -> dict:
+    """Payload, time stamps, random-access points and damaged units of one stream's packets, in order and without repetitions.
+
+    cut_off says that packets after the last one could not be read. Units of the kinds in PLAIN have no header beyond their length; padding has no payload.
+    """
     out = {"payload": b"", "pts": [], "random_access": [], "damaged": [], "errors": 0}
     if not begins.any():
         return out
@@ -219,17 +235,18 @@ def _units_of(rows: np.ndarray, start: np.ndarray, begins: np.ndarray, field: np
     harmed = np.zeros(len(first), bool)
     harmed[unit[lost & ~begins]] = True
     harmed[np.maximum(unit[lost & begins] - 1, 0)] |= unit[lost & begins] > 0  # packets lost before a start were its forerunner's
-    sane = first + 9 <= stop
+    harmed[-1] |= cut_off
     head = flat[np.minimum(first[:, None] + np.arange(14), len(flat) - 1)].astype(np.int64)
-    sane &= (head[:, 0] == 0) & (head[:, 1] == 0) & (head[:, 2] == 1)
+    plain = np.isin(head[:, 3], PLAIN)
+    sane = (first + np.where(plain, 6, 9) <= stop) & (head[:, 0] == 0) & (head[:, 1] == 0) & (head[:, 2] == 1)
     length = head[:, 4] << 8 | head[:, 5]
     harmed |= (length > 0) & (first + 6 + length > stop)
     stop = np.where(length > 0, np.minimum(stop, first + 6 + length), stop)
-    body = np.minimum(first + 9 + head[:, 8], stop)
+    body = np.where(head[:, 3] == PADDING, stop, np.minimum(first + np.where(plain, 6, 9 + head[:, 8]), stop))
     keep = np.zeros(len(flat) + 1, np.int32)
     np.add.at(keep, body[sane], 1)
     np.add.at(keep, stop[sane], -1)
-    timed = (head[:, 7] & 0x80 > 0) & (head[:, 8] >= 5)
+    timed = ~plain & (head[:, 7] & 0x80 > 0) & (head[:, 8] >= 5)
     pts = (head[:, 9] >> 1 & 7) << 30 | head[:, 10] << 22 | (head[:, 11] >> 1) << 15 | head[:, 12] << 7 | head[:, 13] >> 1
     return {"payload": flat[np.cumsum(keep[:-1]) > 0].tobytes(), "pts": np.where(timed, pts, -1)[sane].tolist(), "random_access": np.flatnonzero(marked[sane]).tolist(), "damaged": np.flatnonzero(harmed[sane]).tolist(), "errors": int((~sane).sum())}
 
@@ -238,7 +255,8 @@ def demux_bytes(media: bytes) -> dict:
     """Programs and streams, and of each stream its payload, time stamps, random-access points and damaged units.
 
     errors counts breaks of the packets' order, packets marked as faulty and units without a header; broken counts places where
-    a counter jumps. Units that lack packets keep what is left of them and are listed as damaged. A stream of bytes without
+    a counter jumps, or stands still although the packet is no repetition. A counter has 16 values, so a loss of a multiple of 16 packets shows only where
+    units state their length. Scrambled packets are counted and left out. Units that lack packets keep what is left of them and are listed as damaged. A stream of bytes without
     valid tables has no elementary streams. payload, pts, random_access and damaged are those of the first.
     """
     data = np.frombuffer(media, np.uint8)
@@ -259,13 +277,23 @@ def demux_bytes(media: bytes) -> dict:
     for p in np.unique(pid[carries]):
         mine = np.flatnonzero((pid == p) & carries & (p != 0x1FFF))
         step = (counter[mine[1:]].astype(int) - counter[mine[:-1]]) & 15
-        again[mine[1:][step == 0]] = True
+        twin = _repeated(rows, mine, step == 0)
+        again[mine[1:][twin]] = True
         jump = field[mine[1:]] & (start[mine[1:]] > 5) & (rows[mine[1:], 5] & 0x80 > 0)  # a jump that the stream announces
-        gap = (step > 1) & ~jump
+        gap = (step != 1) & ~twin & ~jump
         lost[mine[1:][gap]] = True
         broken += int(gap.sum())
-        repeats += int((step == 0).sum())
-    usable = carries & ~again & (start < PACKET)
+        repeats += int(twin.sum())
+    # what is scrambled cannot be read: it is left out like a lost packet
+    hidden = carries & (rows[:, 3] & 0xC0 > 0) & (pid != 0x1FFF)
+    usable = carries & ~again & ~hidden & (start < PACKET)
+    cut_off = set()
+    for p in np.unique(pid[hidden]):
+        mine = np.flatnonzero((pid == p) & carries & ~again)
+        before = np.flatnonzero(hidden[mine[:-1]]) + 1
+        lost[mine[before]] = True
+        if hidden[mine[-1]]:
+            cut_off.add(int(p))
 
     def tables(p: int) -> dict:
         mine = np.flatnonzero((pid == p) & usable)
@@ -276,11 +304,11 @@ def demux_bytes(media: bytes) -> dict:
     elementary = []
     for e, kind in streams.items():
         mine = np.flatnonzero((pid == e) & usable)
-        found = _units_of(rows[mine], start[mine], begins[mine], field[mine], lost[mine])
+        found = _units_of(rows[mine], start[mine], begins[mine], field[mine], lost[mine], e in cut_off)
         errors += found.pop("errors")
         elementary.append({"pid": e, "kind": kind} | found)
     top = {k: elementary[0][k] for k in ("payload", "pts", "random_access", "damaged")} if elementary else {"payload": b"", "pts": [], "random_access": [], "damaged": []}
-    return {"packets": len(at), "errors": errors, "broken": broken, "repeats": repeats, "programs": programs, "streams": streams, "elementary": elementary} | top
+    return {"packets": len(at), "errors": errors, "broken": broken, "repeats": repeats, "scrambled": int(hidden.sum()), "programs": programs, "streams": streams, "elementary": elementary} | top
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -301,7 +329,7 @@ def mux(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-FIELDS = "packets int, errors int, broken int, repeats int, programs map<int,int>, streams map<int,int>"
+FIELDS = "packets int, errors int, broken int, repeats int, scrambled int, programs map<int,int>, streams map<int,int>"
 UNITS = "pts array<long>, random_access array<int>, damaged array<int>"
 STREAM = "struct<pid:int,kind:int,payload:binary,pts:array<bigint>,random_access:array<int>,damaged:array<int>>"
 
