@@ -140,12 +140,13 @@ def test_files_and_a_workbook_feed_the_tables(spark, tmp_path):
         body = [[{names[0]: f"s{k}{i}", names[1]: "ST"}.get(n, str(50 + i)) for n in order] for i in range(3)]
         (tmp_path / f"csv/{k}.csv").write_text("\n".join(",".join(r) for r in [["B"] * len(order), order, *body]) + "\n")
     br = sites.SITES["BR"]
-    used = [br.columns["ID"], br.columns["TYPE"], br.columns["HEIGHT_cm"], br.columns["WEIGHT_kg"]]
-    (tmp_path / "a.xlsx").write_bytes(workbook_bytes({"Clean": [["b"] * 4, used, ["b1", "ST", 170, 60]]}))
-    (tmp_path / "b.xlsx").write_bytes(workbook_bytes({"Clean": [["b"] * 3, [used[2], used[0], used[1]], [180, "b2", "CN"]]}))
+    used = [br.columns["ID"], br.columns["TYPE"], br.columns["HEIGHT_cm"], *sorted({s for c in sites.COLUMNS[2:] for s in (br.means.get(c) or ((br.columns[c],) if c in br.columns else ()))} - {br.columns["HEIGHT_cm"]})]
+    more = len(used) - 3
+    (tmp_path / "a.xlsx").write_bytes(workbook_bytes({"Clean": [["b"], used[:20], ["b1", "ST", 170, *([60] * min(more, 17))]]}))
+    (tmp_path / "b.xlsx").write_bytes(workbook_bytes({"Clean": [["b"], [used[2], used[0], used[1], *used[20:]], [180, "b2", "CN", *([61] * (len(used) - 20))]]}))
     raw = {"CO": tables.two_row_header(spark, str(tmp_path / "csv")), "BR": workbook.table(workbook.sheets(spark, str(tmp_path)), "Clean", 2)}
     out = tracks.tabular(raw, "salt")
     got = {r.ID: r.site for r in out["mapping"].collect()}
     assert got == {f"s{k}{i}": "CO" for k in range(2) for i in range(3)} | {"b1": "BR", "b2": "BR"}
     known = {r.site: (r.n, r.h, r.w) for r in out["preprocessed"].groupBy("site").agg(F.count("*").alias("n"), F.max("HEIGHT_cm").alias("h"), F.count("WEIGHT_kg").alias("w")).collect()}
-    assert known == {"CO": (6, 52.0, 6), "BR": (2, 180.0, 1)}
+    assert known == {"CO": (6, 52.0, 6), "BR": (2, 180.0, 1)}  # each workbook has a part of the columns
