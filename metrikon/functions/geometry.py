@@ -39,6 +39,18 @@ def verticality(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return 1 - F.abs(angle - 90) / 90
 
 
+def upright_edge(corners: Column, least_px: float = 10.0) -> Column:
+    """(base_y, top_y) of the most upright side of a marker's four corners, structs of x and y; of equals (to nine digits, as opposite sides are) the first; null if all are shorter than least_px."""
+
+    def side(i: int) -> Column:
+        a, b = corners[i], corners[(i + 1) % 4]
+        found = F.struct(F.round(verticality(a["x"], a["y"], b["x"], b["y"]), 9).alias("upright"), F.lit(-i).alias("order"), F.greatest(a["y"], b["y"]).alias("base_y"), F.least(a["y"], b["y"]).alias("top_y"))
+        return F.when(distance(a["x"], a["y"], b["x"], b["y"]) >= least_px, found)
+
+    best = F.array_max(F.array(*map(side, range(4))))
+    return F.when(best.isNotNull(), F.struct(best["base_y"].alias("base_y"), best["top_y"].alias("top_y")))
+
+
 def crown(eye: Column, face: Column, factor: Column, mask_top: Column) -> Column:
     """The crown above the eyes: not above the mask, at least a pixel above the eyes."""
     return clamp(eye - factor * face, mask_top, eye - 1)

@@ -185,3 +185,68 @@ def body_status(df: DataFrame, height_px: str, image_h: str, status: str = "land
     warned = F.when((s == "ok") & (seg != "ok"), F.concat(F.lit("ok_with_warning_"), seg)).otherwise(s)
     share = F.when(F.col(image_h) > 0, F.col(height_px) / F.col(image_h)).otherwise(0.0)
     return df.withColumn(status, F.when(warned.startswith("ok"), F.when(share > 0.95, "suspect_mask_covers_image").when(share < 0.15, "suspect_mask_too_small").otherwise(warned)).otherwise(warned))
+
+
+def _spread(runs: DataFrame, image: str, size: int, name: str = "s") -> DataFrame:
+    """(image, y, x0, x1): each run over a square of size, in all lines and columns that the square reaches."""
+    half = size // 2
+    lines = F.explode(F.sequence(F.col("y") - half, F.col("y") + half))
+    return runs.select(image, lines.alias("y"), (F.col("x0") - half).alias("x0"), (F.col("x1") + half).alias("x1"))
+
+
+def _merged(runs: DataFrame, image: str) -> DataFrame:
+    """(image, y, x0, x1): runs of a line that overlap or touch as one; a line's runs are few."""
+    order = Window.partitionBy(image, "y").orderBy("x0", "x1")
+    before = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = runs.withColumn("_new", F.coalesce((F.col("x0") > before + 1).cast("int"), F.lit(0)))
+    part = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return begun.withColumn("_part", part).groupBy(image, "y", "_part").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_part")
+
+
+def dilate(runs: DataFrame, size: int, image: str = "image_path") -> DataFrame:
+    """(image, y, x0, x1): the pixels that a square of size (odd) around a pixel of the mask reaches. It may reach beyond the image: see ``inside``."""
+    return _merged(_spread(runs, image, size), image)
+
+
+def erode(runs: DataFrame, size: int, image: str = "image_path", img_h: str | None = None, img_w: str | None = None) -> DataFrame:
+    """(image, y, x0, x1): the pixels around which a square of size (odd) lies in the mask.
+
+    With img_h and img_w, columns of runs, what lies outside the image counts as mask, so that a body is not eaten away at the edge. Per line the runs
+    of the lines of the square are stairs: where as many runs lie over each other as the square has lines, all have the column; the result is shrunk sidewards.
+    """
+    half = size // 2
+    whole = _merged(runs.select(image, "y", "x0", "x1"), image)
+    if img_h:
+        # the outside as runs: lines above and below, columns left and right of every line
+        frame = runs.groupBy(image).agg(F.first(img_h).alias("_h"), F.first(img_w).alias("_w"))
+        line = F.explode(F.sequence(F.lit(-half), F.col("_h") - 1 + half)).alias("y")
+        ends = F.array(F.struct(F.lit(-half).alias("x0"), F.lit(-1).alias("x1")), F.struct(F.col("_w").alias("x0"), (F.col("_w") - 1 + half).alias("x1")))
+        full = F.array(F.struct(F.lit(-half).alias("x0"), (F.col("_w") - 1 + half).alias("x1")))
+        outside = frame.select(image, "_h", "_w", line).select(image, "y", F.explode(F.when((F.col("y") < 0) | (F.col("y") >= F.col("_h")), full).otherwise(ends)).alias("e")).select(image, "y", "e.x0", "e.x1")
+        whole = _merged(whole.unionByName(outside), image)
+    lines = whole.select(image, F.explode(F.sequence(F.col("y") - half, F.col("y") + half)).alias("y"), "x0", "x1")
+    step = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("step"))))
+    order = Window.partitionBy(image, "y").orderBy("x")
+    stairs = lines.select(image, "y", step.alias("e")).groupBy(image, "y", F.col("e.x").alias("x")).agg(F.sum("e.step").alias("step"))
+    stairs = stairs.withColumns({"tall": F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("x").over(order)})
+    common = _merged(stairs.where(F.col("tall") == size).select(image, "y", F.col("x").alias("x0"), (F.col("next") - 1).alias("x1")), image)
+    return common.select(image, "y", (F.col("x0") + half).alias("x0"), (F.col("x1") - half).alias("x1")).where("x0 <= x1")
+
+
+def inside(runs: DataFrame, frame: DataFrame, image: str = "image_path", img_h: str = "img_h", img_w: str = "img_w") -> DataFrame:
+    """The runs cut to their image. frame: (image, img_h, img_w)."""
+    out = runs.join(frame.select(image, img_h, img_w), image).where((F.col("y") >= 0) & (F.col("y") < F.col(img_h)))
+    return out.select(image, "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.col(img_w) - 1).alias("x1"), img_h, img_w).where("x0 <= x1")
+
+
+def cleaned(runs: DataFrame, image: str = "image_path", close: int = 9, open_: int = 5, img_h: str = "img_h", img_w: str = "img_w") -> DataFrame:
+    """(image, y, x0, x1): small holes closed, thin parts opened, and of what is left the largest part.
+
+    runs: (image, y, x0, x1, img_h, img_w). Runs are widened and narrowed as intervals over a window of lines; pixels are never listed. Beyond the image
+    there is nothing to widen and nothing to narrow from, as image libraries treat their borders.
+    """
+    frame = runs.groupBy(image).agg(F.first(img_h).alias(img_h), F.first(img_w).alias(img_w))
+    wide = inside(dilate(runs.select(image, "y", "x0", "x1"), close, image), frame, image, img_h, img_w)
+    closed = inside(erode(wide, close, image, img_h, img_w), frame, image, img_h, img_w)
+    thin = inside(erode(closed, open_, image, img_h, img_w), frame, image, img_h, img_w)
+    return largest_component(inside(dilate(thin.select(image, "y", "x0", "x1"), open_, image), frame, image, img_h, img_w), image)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite
+from .ranks import quantiles
 
 
 def of_errors(e: Column) -> dict[str, Column]:
@@ -79,8 +80,14 @@ def bland_altman(df: DataFrame, error: str, by: list[str]) -> DataFrame:
 
 
 def alignment(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    v = F.col(value)
-    return df.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    """n, mean, median, sample deviation, least and largest value of each group; medians from ranges of counted values, so that a few large groups are many tasks."""
+    names = [f"_b{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(b).alias(n) for b, n in zip(by, names, strict=True)), F.col(value).alias("_v"))
+    v = F.col("_v")
+    out = rows.groupBy(*names).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    middle = quantiles(rows, names, "_v", [0.5], "_q", "_n").select(*(F.col(n).alias(f"{n}_") for n in names), F.col("_q")[0].alias("median"))
+    out = out.join(middle, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
+    return out.select(*(F.col(n).alias(b) for b, n in zip(by, names, strict=True)), "n", "mean", "median", "std", "min", "max")
 
 
 def improvement(df: DataFrame, before: str, after: str, by: list[str]) -> DataFrame:

@@ -633,6 +633,18 @@ def mask_head(spark: SparkSession, d: str) -> DataFrame:
     return tidy(mask.head(runs_of(spark, d), "img"))
 
 
+@query(f"""WITH {RUNS}, p AS (SELECT DISTINCT img, y, x FROM px), d1 AS (SELECT DISTINCT img, y, x + k AS x FROM p, (SELECT unnest([-1, 0, 1]) AS k)), d2 AS (SELECT DISTINCT img, y + k AS y, x FROM d1, (SELECT unnest([-1, 0, 1]) AS k)),
+e1 AS (SELECT img, y, x FROM d2 WINDOW w AS (PARTITION BY img, y ORDER BY x) QUALIFY lag(x) OVER w = x - 1 AND lead(x) OVER w = x + 1), c AS (SELECT img, y, x FROM e1 WINDOW w AS (PARTITION BY img, x ORDER BY y) QUALIFY lag(y) OVER w = y - 1 AND lead(y) OVER w = y + 1),
+e3 AS (SELECT img, y, x FROM c WINDOW w AS (PARTITION BY img, y ORDER BY x) QUALIFY lag(x) OVER w = x - 1 AND lead(x) OVER w = x + 1), e4 AS (SELECT img, y, x FROM e3 WINDOW w AS (PARTITION BY img, x ORDER BY y) QUALIFY lag(y) OVER w = y - 1 AND lead(y) OVER w = y + 1),
+d3 AS (SELECT DISTINCT img, y, x + k AS x FROM e4, (SELECT unnest([-1, 0, 1]) AS k)), o AS (SELECT DISTINCT img, y + k AS y, x FROM d3, (SELECT unnest([-1, 0, 1]) AS k)), m AS (SELECT *, lag(x) OVER (PARTITION BY img, y ORDER BY x) IS DISTINCT FROM x - 1 AS begun FROM o)
+SELECT img, count(*) FILTER (begun) AS runs, count(*) AS area, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys, sum(x * y)::BIGINT AS xys FROM m GROUP BY 1""")
+def mask_closed_opened(spark: SparkSession, d: str) -> DataFrame:
+    """Closing and opening by squares of 3, summed up over the pixels of the runs that are left."""
+    r = mask.dilate(mask.erode(mask.erode(mask.dilate(runs_of(spark, d), 3, "img"), 3, "img"), 3, "img"), 3, "img")
+    n, total = F.col("x1") - F.col("x0") + 1, (F.col("x0") + F.col("x1")) * (F.col("x1") - F.col("x0") + 1) / 2
+    return tidy(r.groupBy("img").agg(F.count("*").alias("runs"), F.sum(n).alias("area"), F.sum(total).cast("long").alias("xs"), F.sum(F.col("y") * n).alias("ys"), F.sum(F.col("y") * total).cast("long").alias("xys")))
+
+
 @query(f"WITH {RUNS}, {FEET_OF} SELECT img, ankle, contact_x, contact_y FROM con")
 def mask_contact(spark: SparkSession, d: str) -> DataFrame:
     return tidy(contacts_of(spark, d))
@@ -990,6 +1002,80 @@ def experiment_1(spark: SparkSession, d: str) -> DataFrame:
     return tidy(experiment(spark, d))
 
 
+# Orders stand for images, their lines for masks (as runs) and for markers, customers for subjects.
+EXP2 = RUNS + """, fm AS (SELECT img, max(y)::DOUBLE AS fm FROM runs GROUP BY 1),
+wide AS (SELECT img, y, min(x0) AS l, max(x1) AS r, max(x1) - min(x0) + 1 AS w FROM runs GROUP BY 1, 2),
+hd AS (SELECT w.*, row_number() OVER (PARTITION BY img ORDER BY w DESC) AS k, count(*) OVER (PARTITION BY img) AS n FROM wide w JOIN ext e USING (img) WHERE y <= floor(y_min + 0.12::DOUBLE * (y_max - y_min))),
+sk AS (SELECT img, median(w) AS sw FROM hd WHERE k <= greatest(1, n // 3) GROUP BY 1), mh AS (SELECT img, min(y)::DOUBLE AS mh FROM hd JOIN sk USING (img) WHERE w >= 0.5::DOUBLE * sw GROUP BY 1),
+im AS (SELECT o_orderkey AS img, CASE WHEN o_custkey % 2 = 0 THEN 'CO' ELSE 'BR' END AS site, o_custkey::VARCHAR AS subject_id, ['front', 'back', 'left', 'right'][1 + o_orderkey % 4] AS view, CASE WHEN o_orderkey % 21 <> 0 THEN 60 ELSE 0 END AS img_h, CASE WHEN o_orderkey % 10 = 0 THEN 'invalid_height_px' WHEN o_orderkey % 10 = 1 THEN 'ok_with_warning_small' ELSE 'ok' END AS ls,
+  CASE WHEN o_orderkey % 37 <> 0 THEN 8.0::DOUBLE + o_custkey % 25 END AS f0, CASE WHEN o_orderkey % 41 <> 0 THEN o_custkey % 7 + 0.5::DOUBLE END AS h0 FROM orders),
+mk AS (SELECT l_orderkey AS img, (l_partkey * 1000000 + l_suppkey * 10 + l_linenumber) * 100000 + l_quantity::BIGINT * 1000 + round(l_discount * 100)::BIGINT * 10 + round(l_tax * 100)::BIGINT AS i, l_discount * 500 AS x, l_tax * 300 AS y, 6.0::DOUBLE + l_quantity % 13 AS s, (l_partkey % 5)::DOUBLE AS t FROM lineitem WHERE l_returnflag <> 'R'),
+ed AS (SELECT img, i, (y + (y + t) + (y + s + t) + (y + s)) / 4 AS middle, unnest([0, 1, 2, 3]) AS j, unnest([[x, y, x + s, y + t], [x + s, y + t, x + s - t, y + s + t], [x + s - t, y + s + t, x - t, y + s], [x - t, y + s, x, y]]) AS q FROM mk),
+eb AS (SELECT img, i, any_value(middle) AS middle, arg_max({'b': greatest(q[2], q[4]), 't': least(q[2], q[4])}, {'v': round(1 - abs(abs(degrees(atan2(q[4] - q[2], q[3] - q[1]))) % 180 - 90) / 90, 9), 'j': -j}) FILTER (sqrt((q[1] - q[3]) * (q[1] - q[3]) + (q[2] - q[4]) * (q[2] - q[4])) >= 10) AS edge FROM ed GROUP BY 1, 2),
+p1 AS (SELECT im.*, fm.fm, CASE WHEN view IN ('left', 'right') AND fm >= f0 - 5 THEN fm ELSE f0 END AS yf, coalesce(view IN ('left', 'right') AND fm >= f0 - 5, FALSE) AS soled, mh.mh FROM im LEFT JOIN fm USING (img) LEFT JOIN mh USING (img)),
+p2 AS (SELECT *, coalesce(abs(mh - h0) <= 0.12::DOUBLE * (yf - h0), FALSE) AS near, CASE WHEN view IN ('left', 'right') THEN greatest(mh, h0 - 30) ELSE mh END AS target FROM p1),
+p3 AS (SELECT *, CASE WHEN near THEN target ELSE h0 END AS yh, CASE WHEN NOT near THEN 'pose' WHEN view IN ('left', 'right') THEN 'mask_trim_hair_capped' ELSE 'mask_trim_hair' END AS hs, CASE WHEN near THEN h0 - target ELSE 0 END AS mv FROM p2),
+pk AS (SELECT p3.img, TRUE AS has, arg_min(edge, {'d': abs(middle - yf), 'i': i}) FILTER (edge IS NOT NULL AND yf IS NOT NULL) AS edge FROM p3 JOIN eb USING (img) GROUP BY 1),
+p4 AS (SELECT p3.*, has, edge, edge.b - 100.0::DOUBLE * (edge.b - edge.t) / 50.0::DOUBLE AS yc FROM p3 LEFT JOIN pk USING (img)),
+p5 AS (SELECT *, CASE WHEN abs(yf - yc) > 1e-6 THEN 100.0::DOUBLE * ((yf - yh) / (yf - yc)) END AS hc FROM p4),
+p6 AS (SELECT img, site, subject_id, view, img_h, 150 + c_nationkey::DOUBLE AS truth, ls LIKE 'ok%' AS person, CASE WHEN ls NOT LIKE 'ok%' THEN 'person_failed_' || ls WHEN has IS NULL THEN 'no_aruco' WHEN edge IS NULL THEN 'no_cube_edge' WHEN coalesce(hc > 40 AND hc < 230, FALSE) THEN 'ok' ELSE 'horizon_out_of_range' END AS status, yc, hc, yf, yh, f0, fm, soled, hs, mv FROM p5 LEFT JOIN customer ON c_custkey::VARCHAR = subject_id),
+p7 AS (SELECT img, site, subject_id, view, img_h, truth, status, CASE WHEN person THEN yc END AS yc, CASE WHEN person THEN hc END AS hc, CASE WHEN person THEN yf END AS yf, CASE WHEN person THEN yh END AS yh, CASE WHEN person THEN f0 END AS f0, CASE WHEN person THEN fm END AS fm, CASE WHEN person AND soled THEN 'mask_bottom' ELSE 'pose' END AS fs, CASE WHEN person THEN hs ELSE 'pose' END AS hs, CASE WHEN person THEN mv ELSE 0 END AS mv FROM p6),
+good AS (SELECT subject_id, yc FROM p7 WHERE view IN ('front', 'back') AND status = 'ok' AND yc IS NOT NULL), sub AS (SELECT subject_id, median(yc) AS v FROM good GROUP BY 1), glo AS (SELECT median(yc) AS g FROM good),
+p8 AS (SELECT p7.*, coalesce(sub.v, g) AS yr, CASE WHEN sub.v IS NOT NULL THEN 'subject' ELSE 'global' END AS src FROM p7 LEFT JOIN sub USING (subject_id), glo),
+e2 AS (SELECT *, yc - yr AS delta, CASE WHEN img_h > 0 THEN (yc - yr) / img_h END AS frac, CASE WHEN abs(yf - yr) > 1e-6 THEN 100.0::DOUBLE * ((yf - yh) / (yf - yr)) END AS h_s, CASE WHEN abs(f0 - yr) > 1e-6 THEN 100.0::DOUBLE * ((f0 - yh) / (f0 - yr)) END AS h_1, CASE WHEN abs(fm - yr) > 1e-6 THEN 100.0::DOUBLE * ((fm - yh) / (fm - yr)) END AS h_m FROM p8)"""
+
+
+def second(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    c, o = F.col, table(spark, d, "orders")
+    k, who = c("o_orderkey"), c("o_custkey")
+    path = lambda x: F.concat(F.lit("img/"), x.cast("string")).alias("image_path")
+    view = F.array(*map(F.lit, tracks.VIEWS))[(k % 4).cast("int")]
+    status = F.when(k % 10 == 0, "invalid_height_px").when(k % 10 == 1, "ok_with_warning_small").otherwise("ok")
+    im = o.select(path(k), F.when(who % 2 == 0, "CO").otherwise("BR").alias("site"), who.alias("subject_id"), view.alias("view"), F.when(k % 21 != 0, 60).otherwise(0).alias("img_h"), status.alias("landmark_status"), F.when(k % 37 != 0, who % 25 + F.lit(8.0)).alias("feet_y"), F.when(k % 41 != 0, who % 7 + F.lit(0.5)).alias("head_y"))
+    runs = runs_of(spark, d).select(path(c("img")), "y", "x0", "x1")
+    x, y, s, t = c("l_discount") * 500, c("l_tax") * 300, c("l_quantity") % 13 + F.lit(6.0), (c("l_partkey") % 5).cast("double")
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    corners = F.array(point(x, y), point(x + s, y + t), point(x + s - t, y + s + t), point(x - t, y + s))
+    markers = table(spark, d, "lineitem").where("l_returnflag <> 'R'").select(path(c("l_orderkey")), ((c("l_partkey") * 1000000 + c("l_suppkey") * 10 + c("l_linenumber")) * 100000 + c("l_quantity").cast("long") * 1000 + F.round(c("l_discount") * 100).cast("long") * 10 + F.round(c("l_tax") * 100).cast("long")).alias("marker_index"), corners.alias("corners"))
+    manual = table(spark, d, "customer").select(c("c_custkey").alias("ID"), (150 + c("c_nationkey")).alias("HEIGHT_cm"), F.lit(0).alias("row_order"))
+    return tracks.experiment_2(im, runs, markers, manual, marker_cm=50.0)
+
+
+def unsigned(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Tidy, with zeros of one sign: differences of equal numbers come as either."""
+    out = tidy(df, digits)
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c, k in out.dtypes if k == "double"})
+
+
+@query(f"""WITH {EXP2} SELECT 'img/' || img AS image_path, site, subject_id, view, status, img_h::BIGINT AS img_h, round(truth, 6) + 0.0::DOUBLE AS height_manual_cm, round(yc, 6) + 0.0::DOUBLE AS y_horizon_cube, round(hc, 6) + 0.0::DOUBLE AS "H_horizon_cube", round(yf, 6) + 0.0::DOUBLE AS y_feet, round(yh, 6) + 0.0::DOUBLE AS y_head, round(yf - yh, 6) + 0.0::DOUBLE AS height_px, round(f0, 6) + 0.0::DOUBLE AS y_feet_single, round(fm, 6) + 0.0::DOUBLE AS y_feet_mask, fs AS feet_source, hs AS head_source, round(mv, 6) + 0.0::DOUBLE AS head_move_px,
+round(yr, 6) + 0.0::DOUBLE AS y_horizon_ref, src AS horizon_ref_source, round(delta, 6) + 0.0::DOUBLE AS delta_horizon_px, round(frac, 6) + 0.0::DOUBLE AS delta_horizon_frac, round(h_s, 6) + 0.0::DOUBLE AS "H_horizon_shared", round(h_1, 6) + 0.0::DOUBLE AS "H_shared_feet_single", round(h_m, 6) + 0.0::DOUBLE AS "H_shared_feet_mask", round(h_s - truth, 6) + 0.0::DOUBLE AS error_horizon_shared, round(hc - truth, 6) + 0.0::DOUBLE AS error_horizon_cube, round(h_1 - truth, 6) + 0.0::DOUBLE AS error_feet_single, round(h_m - truth, 6) + 0.0::DOUBLE AS error_feet_mask FROM e2""")
+def experiment_2(spark: SparkSession, d: str) -> DataFrame:
+    return unsigned(second(spark, d)["estimates"])
+
+
+@query(f"""WITH {EXP2} SELECT view, count(delta) AS n, round(avg(delta), 6) AS mean_px, round(median(delta), 6) AS median_px, round(stddev_samp(delta), 6) AS std_px, round(min(delta), 6) AS min_px, round(max(delta), 6) AS max_px FROM e2 WHERE delta IS NOT NULL GROUP BY 1""")
+def experiment_2_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return unsigned(second(spark, d)["alignment"])
+
+
+@query(f"WITH {EXP2} SELECT subject_id, " + ", ".join(f"""round(median(delta) FILTER (view = '{v}'), 6) + 0.0::DOUBLE AS "{v}\"""" for v in tracks.VIEWS) + " FROM e2 WHERE delta IS NOT NULL GROUP BY 1")
+def experiment_2_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return unsigned(second(spark, d)["pivot"])
+
+
+@query(f"""WITH {EXP2}, g AS (SELECT unnest(list_filter([view, CASE WHEN view IN ('front', 'back') THEN 'FRONT+BACK' END, 'GLOBAL'], lambda x: x IS NOT NULL)) AS grupo, h_s - truth AS e FROM e2)
+SELECT grupo, count(e) AS n, coalesce(round_even(avg(e), 1), 0) AS bias_cm, coalesce(round_even(avg(abs(e)), 1), 0) AS mae_cm, coalesce(round_even(sqrt(avg(e * e)), 1), 0) AS rmse_cm FROM g GROUP BY 1""")
+def experiment_2_summary(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(second(spark, d)["summary"])
+
+
+@query(f"""WITH {EXP2}, g AS (SELECT unnest(list_filter([view, CASE WHEN view IN ('front', 'back') THEN 'FRONT+BACK' END, 'GLOBAL'], lambda x: x IS NOT NULL)) AS grp, hc - truth AS e1, h_s - truth AS e2, h_1 - truth AS e3, h_m - truth AS e4 FROM e2),
+m AS (SELECT grp, unnest(['cube', 'shared', 'feet_single', 'feet_mask']) AS method, unnest([e1, e2, e3, e4]) AS e FROM g)
+SELECT grp, method, count(e) AS n, round(avg(e), 4) AS bias, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse FROM m WHERE e IS NOT NULL GROUP BY 1, 2""")
+def experiment_2_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(second(spark, d)["matrix"], 4)
+
+
 LATERAL_SCALE = """im AS (SELECT o_orderkey, '/d/' || o_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'Right'][1 + o_orderkey % 2] AS v, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 60)::DOUBLE END AS fy FROM orders),
 rf AS (SELECT l_orderkey AS i, '/d/' || l_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'right'][1 + l_orderkey % 2] AS v, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS y, CASE WHEN l_partkey % 3 <> 0 THEN (l_partkey % 40)::DOUBLE / 100 END AS sc, l_linenumber AS n, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'),
 cl AS (SELECT '/d/' || o_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'right'][1 + o_orderkey % 2] AS v, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1000000 END AS sc FROM orders WHERE o_orderstatus <> 'O'),

@@ -1,14 +1,16 @@
-"""The tracks end to end: measurement tables, experiment 1, the corrected horizon with its sweep, and the final comparison."""
+"""The tracks end to end: measurement tables and their imputation, experiments 1 and 2, the corrected horizon with its sweep, experiment 3, and the final comparison."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import corrected_head, distance, height
+from ..functions.geometry import corrected_head, distance, height, plausible, upright_edge
+from ..functions.geometry import horizon as horizon_row
 from ..functions.nulls import optional
 from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
 from ..operators.harmonize import Mapping
+from ..sources.shared import stage
 from .sites import COLUMNS, SITES
 
 VIEWS = ("front", "back", "left", "right")
@@ -100,6 +102,68 @@ def corrected_scale(estimates: DataFrame, method: str = "ground_line_scale", by:
     return out.withColumn(f"error_cm_{method}_corrected", F.col(f"height_cm_{method}_corrected") - F.col("height_manual_cm"))
 
 
+#: Height of the camera, side of a marker, both in cm.
+CAMERA_CM, MARKER_CM = 100.0, 10.0
+
+
+def experiment_2(images: DataFrame, runs: DataFrame, markers: DataFrame, manual: DataFrame, camera_cm: float = CAMERA_CM, marker_cm: float = MARKER_CM) -> dict[str, DataFrame]:
+    """Heights from each image's own horizon and from the one its subject's front and back views share.
+
+    images: one row for each image_path with site, subject_id, view, img_h, landmark_status, feet_y and head_y of the pose. runs: masks as
+    (image_path, y, x0, x1). markers: image_path, marker_index, corners (four structs of x and y). manual: ID, HEIGHT_cm, row_order; the first counts.
+
+    estimates: one row for each image. In lateral views the mask's lowest line replaces the feet unless it lies over 5 pixels above them; the trimmed
+    mask's head replaces the pose's where it moves at most 12 % of the body (and rises 30 pixels at most in lateral views). The marker nearest to the feet gives the image's horizon.
+    alignment: by view, how far images' horizons lie from the shared ones. pivot: their medians by subject and view. summary: errors of the
+    shared horizon by view, for front and back, and for all, zeros where there are none. matrix: errors of all four heights by group.
+    """
+    c = F.col
+    number = lambda name: F.lit(None).cast("double").alias(name)
+    known = nearest.first_match(manual.select(c("ID").cast("string").alias("subject_id"), "row_order", c("HEIGHT_cm").cast("double").alias("height_manual_cm")), ["subject_id"], "row_order").drop("row_order")
+    low = mask.feet(runs).select("image_path", c("feet_y").cast("double").alias("y_feet_mask"))
+    top = mask.head(runs).select("image_path", c("head_y").cast("double").alias("_mask_head"))
+    ok = c("landmark_status").startswith("ok")
+    rows = images.withColumn("subject_id", c("subject_id").cast("string")).join(known, "subject_id", "left").join(low, "image_path", "left").join(top, "image_path", "left")
+    single, lateral = c("feet_y").cast("double"), c("view").isin("left", "right")
+    soled = F.coalesce(lateral & (c("y_feet_mask") >= single - 5), F.lit(False))
+    rows = rows.withColumns({"y_feet_single": single, "y_feet": F.when(soled, c("y_feet_mask")).otherwise(single), "feet_source": F.when(soled, "mask_bottom").otherwise("pose")})
+    rows = rows.withColumns(corrected_head(c("view"), c("head_y").cast("double"), c("_mask_head"), c("y_feet")))
+    # of the markers with an upright side the one nearest to the feet, the first of equals
+    edge = markers.select("image_path", "marker_index", upright_edge(c("corners")).alias("edge"), (F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["y"]) / 4).alias("middle"))
+    away = F.abs(c("middle") - c("y_feet"))
+    pick = F.min(F.when(c("edge").isNotNull() & away.isNotNull(), F.struct(away.alias("away"), "marker_index", "edge")))
+    found = rows.select("image_path", "y_feet").join(edge, "image_path").groupBy("image_path").agg(pick.alias("pick"), F.lit(True).alias("_any"))
+    rows = rows.join(found, "image_path", "left")
+    y_cube = horizon_row(c("pick.edge.base_y"), c("pick.edge.top_y"), F.lit(camera_cm), F.lit(marker_cm))
+    h_cube = height(F.lit(camera_cm), c("y_feet"), c("head_y"), c("_y"), "a")
+    status = F.when(~ok, F.concat(F.lit("person_failed_"), F.coalesce("landmark_status", F.lit("")))).when(c("_any").isNull(), "no_aruco").when(c("pick").isNull(), "no_cube_edge")
+    rows = rows.withColumn("_y", y_cube).withColumn("_h", h_cube)
+    rows = rows.withColumn("status", status.when(F.coalesce(plausible(c("_h")), F.lit(False)), "ok").otherwise("horizon_out_of_range"))
+    own = {"y_horizon_cube": c("_y"), "H_horizon_cube": c("_h"), "y_feet": c("y_feet"), "y_head": c("head_y"), "height_px": c("y_feet") - c("head_y"), "y_feet_single": c("y_feet_single"), "y_feet_mask": c("y_feet_mask")}
+    person = F.coalesce(ok, F.lit(False))  # without a person there is nothing to measure
+    rows = rows.select(
+        "site", "subject_id", "view", "image_path", "status", "img_h", "height_manual_cm", *(F.when(person, v).alias(n) for n, v in own.items()),
+        F.when(person, c("feet_source")).otherwise("pose").alias("feet_source"), F.when(person, c("head_source")).otherwise("pose").alias("head_source"), F.when(person, c("head_move_px")).otherwise(0.0).alias("head_move_px"),
+    )
+    given = horizon.shared(rows, "subject_id", "y_horizon_cube", horizon.valid_donor(c("view"), horizon.FRONT_BACK, c("status"), c("y_horizon_cube")))
+    given = given.withColumn("shared_source", F.coalesce("shared_source", F.lit("global"))).withColumnsRenamed({"shared": "y_horizon_ref", "shared_source": "horizon_ref_source"})
+    delta, e = c("y_horizon_cube") - c("y_horizon_ref"), lambda h: h - c("height_manual_cm")
+    from_ref = {"H_horizon_shared": "y_feet", "H_shared_feet_single": "y_feet_single", "H_shared_feet_mask": "y_feet_mask"}
+    out = given.withColumns({"delta_horizon_px": delta, "delta_horizon_frac": F.when(c("img_h") > 0, delta / c("img_h"))} | {h: height(F.lit(camera_cm), c(y), c("y_head"), c("y_horizon_ref"), "a") for h, y in from_ref.items()})
+    errors = {"error_horizon_shared": "H_horizon_shared", "error_horizon_cube": "H_horizon_cube", "error_feet_single": "H_shared_feet_single", "error_feet_mask": "H_shared_feet_mask"}
+    out = stage(out.withColumns({n: e(c(h)) for n, h in errors.items()}), "experiment-2")
+    moved = out.where("delta_horizon_px IS NOT NULL AND view IS NOT NULL")
+    names = {"mean": "mean_px", "median": "median_px", "std": "std_px", "min": "min_px", "max": "max_px"}
+    alignment = metrics.alignment(moved, "delta_horizon_px", ["view"]).withColumnsRenamed(names)
+    pivot = fuse.pivot_median(moved.where("subject_id IS NOT NULL"), "subject_id", "view", list(VIEWS), "delta_horizon_px")
+    sets = {"FRONT+BACK": GROUPS["FRONT+BACK"]}
+    always = out.sparkSession.range(1).select(F.explode(F.array(F.lit("FRONT+BACK"), F.lit("GLOBAL"))).alias("grupo"), number("e"))  # both have a line whatever there is
+    each = out.select(F.explode(metrics.labels_of(c("view"), sets)).alias("grupo"), c("error_horizon_shared").alias("e")).unionByName(always)
+    summary = metrics.error_metrics(each, "e", ["grupo"], 0.0).select("grupo", "n", *(F.bround(m, 1).alias(f"{m}_cm") for m in ("bias", "mae", "rmse")))
+    methods = {"cube": "error_horizon_cube", "shared": "error_horizon_shared", "feet_single": "error_feet_single", "feet_mask": "error_feet_mask"}
+    return {"estimates": out, "alignment": alignment, "pivot": pivot, "summary": summary, "matrix": metrics.error_matrix(out, methods, "view", sets)}
+
+
 def corrected_horizon(images: DataFrame, by: str | None = None) -> DataFrame:
     """Adds H_horizon_cube, the horizon hierarchy, H_horizon_corrected and its error.
 
