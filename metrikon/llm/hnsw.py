@@ -25,7 +25,12 @@ from .common import stage
 
 SLOTS, WIDE, BLOCK_QUERIES = 16, 64, 2048
 #: A shard holds so many rows at least and at most; between, there are two shards for each core.
-LEAST_ROWS, MOST_ROWS = 4096, 1 << 17
+LEAST_ROWS, MOST_ROWS = 4096, 1 << 14
+
+
+def width(nodes: int) -> int:
+    """Candidates that a search keeps, in building too: WIDE up to 4,096 nodes, from there with the root of their number, as recall falls otherwise."""
+    return max(WIDE, math.ceil(WIDE * math.sqrt(nodes / LEAST_ROWS)))
 
 
 @dataclass
@@ -105,9 +110,10 @@ def _diverse(vectors: np.ndarray, node: np.ndarray, near: np.ndarray, cos: np.nd
     return np.where(np.take_along_axis(valid, order, 1), out, -1)
 
 
-def build(vectors: np.ndarray, slots: int = SLOTS, wide: int = WIDE, seed: int = 3) -> Graph:
+def build(vectors: np.ndarray, slots: int = SLOTS, wide: int | None = None, seed: int = 3) -> Graph:
     """vectors: unit rows (float32), at least one."""
     n = len(vectors)
+    wide = width(n) if wide is None else wide
     rng = np.random.default_rng(seed)
     level = np.minimum((-np.log(1 - rng.random(n)) / math.log(slots)).astype(int), 5)
     order = np.argsort(-level, kind="stable")  # the highest first, so that layers nest as prefixes
@@ -162,6 +168,12 @@ def _layer(vectors: np.ndarray, members: np.ndarray, slots: int, wide: int) -> n
     return links
 
 
+def even(flat: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two to a largest component between 1/2 and 1: no product over- or underflows, and cosines keep every bit."""
+    _, power = np.frexp(np.abs(flat).max(1))
+    return np.ldexp(flat, -power[:, None])
+
+
 INDEX = "shard int, dims int, keep int, ids array<long>, owner array<int>, vectors binary, members array<binary>, links array<binary>, entry int"
 
 
@@ -170,7 +182,7 @@ def _flat(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dims))
 
 
-def _node(t: pa.Table, keep: int, slots: int, wide: int) -> dict:
+def _node(t: pa.Table, keep: int, slots: int, wide: int | None) -> dict:
     """The index row of one shard."""
     dims = t["dims"][0].as_py()
     t = t.sort_by("vec_id")
@@ -180,14 +192,14 @@ def _node(t: pa.Table, keep: int, slots: int, wide: int) -> dict:
     ids, node = ids[o][once], node[o][once]  # by node, distinct ids in order
     place = np.arange(len(node)) - np.repeat(np.cumsum(c := np.bincount(node)) - c, c)
     held = place < keep
-    own = flat[first]
+    own = even(flat[first])
     g = build((own / np.linalg.norm(own, axis=1, keepdims=True)).astype(np.float32), slots, wide)
     row = {"shard": t["shard"][0].as_py(), "dims": dims, "keep": keep, "ids": ids[held].tolist(), "owner": node[held].tolist(), "vectors": own.tobytes(), "entry": g.entry}
     return row | {"members": [m.astype("<i4").tobytes() for m, _ in g.layers], "links": [x[m].astype("<i4").tobytes() for m, x in g.layers]}
 
 
-def index(vectors: DataFrame, shard_rows: int | None = None, k: int = 5, slots: int = SLOTS, wide: int = WIDE) -> DataFrame:
-    """One row for each shard: ids by node (owner), original vectors of the nodes in double precision, flat neighbour arrays.
+def index(vectors: DataFrame, shard_rows: int | None = None, k: int = 5, slots: int = SLOTS, wide: int | None = None) -> DataFrame:
+    """One row for each shard: ids by node (owner), vectors of the nodes in double precision (scaled by powers of two), flat neighbour arrays.
 
     vectors: (vec_id, embedding). Null, zero and non-finite vectors and null ids take no part; k is the most that a
     search may ask for, so a node of equal vectors holds k + 1 ids, the asking one among them. Repeated rows lie in one shard
@@ -246,16 +258,16 @@ class _Shard:
         self.first = np.searchsorted(np.sort(owner), np.arange(len(own) + 1))
         self.ids = np.array(r["ids"])[np.argsort(owner, kind="stable")]
 
-    def nearest(self, names: np.ndarray, flat: np.ndarray, k: int, wide: int) -> Iterator[tuple[int, int, float]]:
+    def nearest(self, names: np.ndarray, flat: np.ndarray, k: int, wide: int | None) -> Iterator[tuple[int, int, float]]:
         if k > self.held:
             raise ValueError(f"{k} nearest asked of an index for {self.held}")
         _, node = np.unique(flat.view(f"V{8 * flat.shape[1]}").ravel(), return_inverse=True)
         _, once = np.unique(np.stack([names, node]), axis=1, return_index=True)
-        names, flat = names[once], flat[once]  # distinct queries, by id
+        names, flat = names[once], even(flat[once])  # distinct queries, by id
         for lo in range(0, len(names), 256):
             x = flat[lo : lo + 256]
             norm = np.linalg.norm(x, axis=1)
-            near, _ = self.graph.search((x / norm[:, None]).astype(np.float32), max(wide, k + 1))
+            near, _ = self.graph.search((x / norm[:, None]).astype(np.float32), max(wide or width(len(self.own)), k + 1))
             for i, found in enumerate(near):
                 found = found[found >= 0]
                 exact = (self.own[found] * x[i]).sum(1) / (self.size[found] * norm[i])  # row by row: equal vectors, equal sums
@@ -274,7 +286,7 @@ def _packed(t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], pa.schema([("dims", pa.int32()), ("turn", pa.int32()), ("names", pa.binary()), ("asked", pa.binary())]))
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 5, wide: int = WIDE) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int = 5, wide: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found, by cosine in double precision on the original vectors.
 
     k is at most that of the index; graphs is best a stored one. queries: (vec_id, embedding), of which usable rows count, repeated ones

@@ -103,3 +103,36 @@ def test_vectors_of_extreme_length(spark):
     df = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
     got = {(r.query_id, r.vec_id): r.score for r in hnsw.search(hnsw.index(df), df).collect()}
     assert got[0, 1] == pytest.approx(1) and got[0, 2] == pytest.approx(0, abs=1e-12) and got[3, 4] == pytest.approx(1) and len(got) == 20
+
+
+@pytest.mark.parametrize(("n", "least"), [(4096, 0.97), (hnsw.MOST_ROWS, 0.95)])
+def test_recall_of_the_largest_shard(n, least):
+    """Random directions, the hardest case, at the least and the largest size of a shard."""
+    r = np.random.default_rng(0)
+    v = r.normal(size=(n, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    q = r.choice(n, 100, replace=False)
+    exact = v[q] @ v.T
+    exact[np.arange(100), q] = -9
+    top = np.argsort(-exact, axis=1)[:, :5]
+    ids, _ = hnsw.build(v).search(v[q], hnsw.width(n))
+    assert np.mean([len({*ids[i][ids[i] != q[i]][:5]} & {*top[i]}) / 5 for i in range(100)]) >= least
+
+
+def test_recall_of_many_rows(spark):
+    """More rows than a shard holds: shards' answers together."""
+    r = np.random.default_rng(1)
+    n = 2 * hnsw.MOST_ROWS + 500
+    v = r.normal(size=(n, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(8)
+    asked = df.where("vec_id % 500 = 0")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    got = {}
+    for x in hnsw.search(hnsw.index(df), asked).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(found & {*np.argsort(-s)[:5].tolist()})
+    assert len(got) == -(-n // 500) and hits / (5 * len(got)) >= 0.95
