@@ -7,7 +7,7 @@ valid, a public address public). So equal entities get equal surrogates anywhere
 (coreference), different ones differ, and none stays as it is unless it is alone in
 its class. Names go word by word, wherever a word stands, so that mentions of one
 person keep their common words; words keep script, case and, where tables say so, the pattern of vowels.
-Names are found after a title, and again, whole or by a word, anywhere in the same text.
+Names are found after a title, or from a listed given name on, and again, whole or by a word, anywhere in the same text.
 Listed given names go to listed ones of their gender; another given name after a
 title that states a gender gets a listed one of that gender before its own surrogate,
 with a hyphen, so that it is linked to mentions without gender. Texts are rewritten and stored once; a
@@ -39,8 +39,13 @@ GIVEN = {
     ("m", "cyrillic"): "Антон Борис Виктор Денис Егор Иван Кирилл Олег Павел Роман".split(),
 }
 GENDER = {n: g for (g, _), names in GIVEN.items() for n in names}
-TITLES = {"f": "Mrs Ms Miss Frau Mme Madame Sra Srta Señora Г-жа".split(), "m": "Mr Herr Monsieur Sr Señor Г-н".split(), "": "Dr Prof".split()}
-TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+TITLES = {
+    "f": "Mrs Ms Miss Madam Lady Frau Fräulein Mme Madame Mlle Mademoiselle Sra Srta Señora Señorita Doctora Professorin Г-жа".split(),
+    "m": "Mr Mister Sir Lord Herr Herrn Monsieur Sr Señor Г-н".split(),
+    "": "Dr Prof Doctor Professor Doktor Docteur Professeur Profesor Reverend Rev Captain Capt Lieutenant Sergeant Sgt Colonel Judge".split(),
+}
+#: As written and in capitals.
+TITLE_GENDER = {w: g for g, ts in TITLES.items() for t in ts for w in (t, t.upper())}
 #: Sets of letters that stand for each other, lower case: vowels and consonants of each script.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 CLASS = {c: k for k, s in enumerate(LETTERS) for c in s}
@@ -48,6 +53,12 @@ NAME = r"(?:[^\W\d_]{2,}|[^\W\d_](?=['’-][^\W\d_]))(?:-[^\W\d_]+|['’](?!s\b)
 TITLE = re.compile(r"\b(" + "|".join(sorted(TITLE_GENDER, key=len, reverse=True)) + r")(?:\.\s{0,2}|\s{1,2})")
 #: A word of a name, an initial or a letter alone; what may stand between two.
 PART, GAP, TOKEN = re.compile(rf"{NAME}|[^\W\d_]\.|[^\W\d_](?=[  ])"), re.compile("[  ]{1,2}"), re.compile(rf"{NAME}|[^\W\d_]")
+#: Chinese names: fixed values, the most frequent family names and the titles that follow a name; after another title a name has up to three characters.
+FAMILIES, HAN_TITLES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高梁郑罗宋谢唐韩曹许邓冯", {"先生": "m", "女士": "f", "小姐": "f", "教授": "", "博士": "", "医生": ""}
+HAN = re.compile("[\u4e00-\u9fff]{1,3}")
+HAN_TITLED = re.compile(f"(?P<v>[{FAMILIES}][\u4e00-\u9fff]{{0,2}}?)(?P<title>{'|'.join(HAN_TITLES)})")
+#: A capitalised word; if it is a listed given name and a further one follows, they are a name without a title.
+LISTED = re.compile(r"[A-ZА-Я][^\W\d_]+(?=[ \u00a0-])")
 #: Small words inside names; they stay as they are.
 PARTICLES = frozenset("von van vom zu zur zum der den dem de del della di da do dos das du la le les el al bin ibn ben ter ten te y e und".split())
 JOINED = re.compile(r"(?:[dl]['’]|(?:al|el|ben|bin)-)(?=[^\W\d_])(?![a-zà-ÿ])")
@@ -65,7 +76,13 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")),
     ("phone", re.compile(r"(?<![\w+.,/-])(?:1[ .-])?[2-9]\d\d([ .-])\d{3}\1\d{4}(?![\w/-]|[.,]\d)")),
     ("phone", re.compile(r"(?<![\w+.,/-])0(?:\d[ /-]\d{7,8}|\d{2,4}[ /-]\d{5,8}|\d{1,4}[ -]\d{3,4}[ -]\d{3,4}|\d{2,4}[ /-]\d{2,4}(?:[ -]\d\d){2,3}|\d([ .-])\d\d(?:\1\d\d){3})(?![\w/-]|[.,]\d)")),
+    # numbers that only the word before them tells; the value is the group
+    ("phone", re.compile(r"(?i:\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|handy|téléphone|teléfono)\b)\.?(?: (?:no|number|nr)\.?)?(?::? ?| at | on )(?P<v>\d{8,11})(?![\w-]|[.,]\d)")),
+    ("birth", re.compile(r"(?i:\b(?:born(?: on)?|dob|date of birth|birth ?date|geboren am|geb|geburtsdatum|née? le|nacid[oa] el)\b)[.:]?:? ?(?P<v>\d{4}([./-])\d\d?\2\d\d?|\d\d?([./-])\d\d?\3\d{4})(?!\d)")),
+    ("passport", re.compile(r"(?i:\b(?:passport|reisepass|passeport|pasaporte)\b)(?i: (?:no|number|nr|n°)\.?)?[.:]?:? ?(?P<v>[A-Z]{0,2}\d{6,9})(?!\w)")),
     ("name", TITLE),  # from the title on; the words after it are read one by one
+    ("name", HAN_TITLED),
+    ("name", LISTED),
 ]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Address ranges that stand apart, as first address and size.
@@ -278,9 +295,21 @@ def surrogate(kind: str, text: str, key: bytes, nonce: int = 0) -> str:
             out += [name[at : m.start()], named(m[0], own, key, tweak) if len(m[0]) > 1 else letters(m[0], key, tweak + b"i")]
             at = m.end()
         return "".join([*out, name[at:]])
+    if kind == "passport":
+        return letters(text, key, tweak)
+    if kind == "birth":  # a date stays one
+        there = a_date(text)
+        return digits(text, 0, key, tweak, lambda s: a_date(s) == there)
     return digits(text, 0, key, tweak)
 
 
+def a_date(text: str) -> bool:
+    """Whether numbers are a date of the years 1900 to 2029, in either order of day and month."""
+    a, b, c = (int(x) for x in re.split(r"[./-]", text))
+    year, rest = (a, (b, c)) if a > 31 else (c, (a, b))
+    return 1900 <= year < 2030 and 1 <= min(rest) <= 12 and 1 <= max(rest) <= 31
+
+
 def check_iban(text: str) -> str:
     """The same account with the check digits that make it valid."""
     t = text.replace(" ", "")
@@ -327,7 +356,7 @@ def _titled(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             if kind == "name":
-                if not (found := after(text, m)):
+                if not (found := after(text, m) if pattern is TITLE else (m.start("v"), m.end("v"), HAN_TITLES[m["title"]]) if pattern is HAN_TITLED else untitled(text, m)):
                     continue
                 start, end, gender = found
                 value = f"{gender}\0{text[start:end]}"
@@ -337,7 +366,7 @@ def _titled(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 value = ipaddress.IPv6Address(text[start:end]).compressed
             else:
-                start, end = before(text, m.start()) if kind == "email" else m.start(), m.end()
+                start, end = m.span("v") if "v" in pattern.groupindex else (before(text, m.start()) if kind == "email" else m.start(), m.end())
                 if kind == "email" and start == m.start():
                     continue
                 value = text[start:end]
@@ -355,9 +384,33 @@ def after(text: str, title: re.Match) -> tuple[int, int, str] | None:
     gender, last, at = TITLE_GENDER[title[1]], title, title.end()
     while (m := TITLE.match(text, at)) is not None:
         gender, last, at = gender or TITLE_GENDER[m[1]], m, m.end()
+    start, end = words_of(text, at)
+    if end > start:
+        return start, end, gender
+    return None if last is title else (last.start(1), last.end(1), gender)  # a name that is written like a title
+
+
+def untitled(text: str, given: re.Match) -> tuple[int, int, str] | None:
+    """The same for a listed given name without a title, if another word of a name follows."""
+    start = given.start()
+    if not listed(given[0]) or (start and (text[start - 1].isalnum() or text[start - 1] in "_-")):
+        return None
+    start, end = words_of(text, start)
+    rest = text[given.end() : end]
+    return (start, end, "") if any(len(w) > 1 and w not in PARTICLES for w in TOKEN.findall(rest)) else None
+
+
+def words_of(text: str, at: int) -> tuple[int, int]:
+    """Where the words of a name that begin at a place lie; empty if there are none. Of words in capitals two belong to it at most, as a whole text may be in capitals."""
     start = end = at
+    if (m := HAN.match(text, at)) is not None:
+        return m.span()
+    loud = 0
     while (m := PART.match(text, at)) is not None:
         word = m[0]
+        loud += len(word) > 2 and word.isupper()
+        if loud > 2:
+            break
         if (word[0].isupper() or JOINED.match(word)) and (len(word) > 1 or end == start) and not (end > start and TITLE.match(text, at)):
             start, end = start if end > start else m.start(), m.end()
         elif word not in PARTICLES:
@@ -366,9 +419,7 @@ def after(text: str, title: re.Match) -> tuple[int, int, str] | None:
         if gap is None and word[-1] != ".":
             break
         at = gap.end() if gap else m.end()
-    if end > start:
-        return start, end, gender
-    return None if last is title else (last.start(1), last.end(1), gender)  # a name that is written like a title
+    return start, end
 
 
 HEX = frozenset("0123456789abcdefABCDEF:.")

@@ -461,11 +461,11 @@ def test_names_are_found_again(spark):
     new, found = pii.replace("Frau Maria Lopez called. Maria Lopez paid; Lopez left, LOPEZ did not, nor Mariana. So Lopez's and (Maria).", b"k")
     assert "Maria " not in new and "Lopez" not in new and "LOPEZ" in new and "Mariana" in new
     given, last = found[0][4].split(" ")
-    assert [n for *_, n in found[1:]] == [given, last, last, last, given]
+    assert [n for *_, n in found[1:]] == [f"{given} {last}", last, last, given]
     new, found = pii.replace("Mrs Gudrun Schmidt: Gudrun, Schmidt, Dr Gudrun Schmidt", b"k")
     her = found[0][4].split(" ")[0]
     assert found[1][4] == her and found[2][4] == found[0][4].split(" ")[1] and pii.GENDER[her.split("-")[0]] == "f"
-    assert pii.replace("Maria Lopez and the May of Lopez", b"k")[1] == []
+    assert pii.replace("Gudrun Lopez and the May of Lopez", b"k")[1] == []  # without a title, and no listed given name
 
 
 def test_other_scripts():
