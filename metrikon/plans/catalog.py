@@ -1076,6 +1076,45 @@ def experiment_2_matrix(spark: SparkSession, d: str) -> DataFrame:
     return tidy(second(spark, d)["matrix"], 4)
 
 
+# The lateral images of experiment 2 whose own horizon is ok.
+LATERAL = EXP2 + """, la AS (SELECT img, subject_id, view, truth, yf, yh, yc, yr, CASE WHEN yf - yh > 0 AND yf - yc > 1e-6 THEN 100.0::DOUBLE * ((yf - yh) / (yf - yc)) END AS po, CASE WHEN yf - yh > 0 AND yf - yr > 1e-6 THEN 100.0::DOUBLE * ((yf - yh) / (yf - yr)) END AS ps FROM e2 WHERE view IN ('left', 'right') AND status = 'ok'),
+lb AS (SELECT *, abs(ps - truth) - abs(po - truth) AS gain, yc - yr AS dl FROM la), lv AS (SELECT *, unnest([view, 'LATERAL_GLOBAL']) AS g FROM lb),
+su AS (SELECT subject_id, median(truth) AS truth, count(*) AS n, bool_or(view = 'left') AS hl, bool_or(view = 'right') AS hr, avg(po) AS om, median(po) AS od, avg(ps) AS sm, median(ps) AS sd, avg(yc) AS yc, avg(yr) AS yr, avg(yc - yr) AS dl, CASE WHEN count(po) >= 2 THEN max(po) - min(po) END AS lr FROM lb GROUP BY 1 HAVING median(truth) IS NOT NULL)"""
+
+
+def _scores(rows: str, cells: dict[str, str]) -> str:
+    """The metrics of some estimates; rows has g, subject_id and truth."""
+    each = " UNION ALL ".join(f"SELECT g, subject_id, truth, '{m}' AS method, {x} AS p FROM {rows}" for m, x in cells.items())
+    return f"""SELECT g AS "group", method, any_value(ns) AS n_subjects, count(p - truth) AS n, round(avg(p - truth), 6) AS bias_cm, round(avg(abs(p - truth)), 6) AS mae_cm, round(sqrt(avg((p - truth) * (p - truth))), 6) AS rmse_cm, round(CASE WHEN count(p - truth) >= 2 THEN 1 - sum((p - truth) * (p - truth)) / nullif(var_pop(truth) FILTER (p IS NOT NULL) * count(p - truth), 0) END, 6) AS r2
+FROM ({each}) JOIN (SELECT g, count(DISTINCT subject_id) AS ns FROM {rows} GROUP BY 1) USING (g) GROUP BY 1, 2"""
+
+
+def lateral(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return tracks.lateral_diagnostic(second(spark, d)["estimates"])
+
+
+@query(f"WITH {LATERAL} " + _scores("lv", {"per_image_cube_horizon": "po", "shared_subject_horizon": "ps"}))
+def lateral_views(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(lateral(spark, d)["views"])
+
+
+@query(f"""WITH {LATERAL} SELECT subject_id, round(truth, 6) AS height_manual_cm, n AS n_lateral_images, hl AS has_left, hr AS has_right, round(om, 6) AS pred_per_image_horizon_mean_cm, round(od, 6) AS pred_per_image_horizon_median_cm, round(sm, 6) AS pred_shared_horizon_mean_cm, round(sd, 6) AS pred_shared_horizon_median_cm, round(yc, 6) AS mean_cube_horizon_px, round(yr, 6) AS mean_shared_horizon_px,
+round(dl, 6) + 0.0::DOUBLE AS mean_horizon_delta_px, round(lr, 6) AS left_right_prediction_difference_cm, round(om - truth, 6) + 0.0::DOUBLE AS error_per_image_horizon_mean_cm, round(sm - truth, 6) + 0.0::DOUBLE AS error_shared_horizon_mean_cm FROM su""")
+def lateral_subjects(spark: SparkSession, d: str) -> DataFrame:
+    return unsigned(lateral(spark, d)["subjects"])
+
+
+@query(f"WITH {LATERAL}, sg AS (SELECT *, 'SUBJECT_LEVEL' AS g FROM su) " + _scores("sg", {"per_image_horizon_left_right_mean": "om", "per_image_horizon_left_right_median": "od", "shared_horizon_left_right_mean": "sm", "shared_horizon_left_right_median": "sd"}))
+def lateral_subject_summary(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(lateral(spark, d)["subject_summary"])
+
+
+@query(f"""WITH {LATERAL} SELECT g AS "group", count(*) AS n_images, round(avg(dl), 6) AS mean_horizon_delta_px, round(median(dl), 6) AS median_horizon_delta_px, round(stddev_samp(dl), 6) AS std_horizon_delta_px, round(min(dl), 6) AS min_horizon_delta_px, round(max(dl), 6) AS max_horizon_delta_px, round(avg(gain), 6) AS mean_error_improvement_cm, round(median(gain), 6) + 0.0::DOUBLE AS median_error_improvement_cm,
+round(avg(CASE WHEN gain > 0 THEN 1.0 WHEN gain IS NOT NULL THEN 0.0 END), 6) AS fraction_images_improved FROM lv GROUP BY 1""")
+def lateral_horizons(spark: SparkSession, d: str) -> DataFrame:
+    return unsigned(lateral(spark, d)["horizons"])
+
+
 LATERAL_SCALE = """im AS (SELECT o_orderkey, '/d/' || o_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'Right'][1 + o_orderkey % 2] AS v, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 60)::DOUBLE END AS fy FROM orders),
 rf AS (SELECT l_orderkey AS i, '/d/' || l_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'right'][1 + l_orderkey % 2] AS v, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS y, CASE WHEN l_partkey % 3 <> 0 THEN (l_partkey % 40)::DOUBLE / 100 END AS sc, l_linenumber AS n, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'),
 cl AS (SELECT '/d/' || o_orderkey || '.jpg' AS p, o_custkey AS s, ['left', 'right'][1 + o_orderkey % 2] AS v, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1000000 END AS sc FROM orders WHERE o_orderstatus <> 'O'),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import corrected_head, distance, height, plausible, upright_edge
 from ..functions.geometry import horizon as horizon_row
 from ..functions.nulls import optional
-from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc
+from ..operators import calibrate, compare, crossval, fuse, harmonize, horizon, knn, mask, metrics, nearest, pseudonym, qc, ranks
 from ..operators.harmonize import Mapping
 from ..sources.shared import stage
 from .sites import COLUMNS, SITES
@@ -164,6 +164,53 @@ def experiment_2(images: DataFrame, runs: DataFrame, markers: DataFrame, manual:
     return {"estimates": out, "alignment": alignment, "pivot": pivot, "summary": summary, "matrix": metrics.error_matrix(out, methods, "view", sets)}
 
 
+def lateral_diagnostic(estimates: DataFrame, camera_cm: float = CAMERA_CM) -> dict[str, DataFrame]:
+    """Own against shared horizon in lateral views, from estimates of experiment 2: what the error would be with either.
+
+    estimates: subject_id, view, status, y_head, y_feet, y_horizon_cube, y_horizon_ref, height_manual_cm; of them images of lateral views that are ok.
+    predictions: one row for each image. views: n, bias, MAE, RMSE and R squared of both horizons by view and for all, with the subjects. subjects: means and medians over a subject's
+    images; those without a manual height have no row. subject_summary: the metrics after that fusion. horizons: by view and for all, how far the own horizons lie and how often they help.
+    """
+    c = F.col
+    kept = estimates.withColumn("view", F.lower("view")).where(c("view").isin("left", "right") & (c("status") == "ok"))
+    names = {"own": "per_image", "shared": "shared"}
+    rows = kept.select("*", F.lit(float(camera_cm)).alias("_camera"), F.lit(None).cast("double").alias("_tall"))
+    out = horizon.diagnose(rows, "_camera", "y_feet", "y_head", "y_horizon_cube", "y_horizon_ref", "height_manual_cm", "_tall").drop("_camera", "_tall", "delta_share")
+    for k, n in names.items():
+        out = out.withColumnsRenamed({f"h_{k}": f"pred_{n}_horizon_cm", f"error_{k}": f"error_{n}_horizon_cm", f"abs_error_{k}": f"abs_error_{n}_horizon_cm"})
+    out = out.withColumnsRenamed({"improvement": "improvement_per_image_vs_shared_cm", "delta_px": "horizon_delta_px"})
+    out = out.withColumns({"body_height_px": c("y_feet") - c("y_head"), "feet_to_cube_horizon_px": c("y_feet") - c("y_horizon_cube"), "feet_to_shared_horizon_px": c("y_feet") - c("y_horizon_ref")})
+    out = stage(out, "lateral")
+    label = F.explode(F.array("view", F.lit("LATERAL_GLOBAL"))).alias("group")
+
+    def scored(df: DataFrame, methods: dict[str, str], groups: DataFrame) -> DataFrame:
+        """Metrics by group and method; a group of which a method has none is there with nulls."""
+        long = df.select("group", "height_manual_cm", F.explode(F.array(*(F.struct(F.lit(m).alias("method"), c(x).alias("estimate")) for m, x in methods.items()))).alias("m")).select("group", "height_manual_cm", "m.*")
+        grid = groups.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+        found = metrics.with_r2(long, "height_manual_cm", "estimate", ["group", "method"]).withColumnsRenamed({"bias": "bias_cm", "mae": "mae_cm", "rmse": "rmse_cm"})
+        return grid.join(found, ["group", "method"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    by_view = out.select("*", label)
+    counted = by_view.groupBy("group").agg(F.countDistinct("subject_id").alias("n_subjects"))
+    views = scored(by_view, {"per_image_cube_horizon": "pred_per_image_horizon_cm", "shared_subject_horizon": "pred_shared_horizon_cm"}, counted)
+    both = {f"pred_{n}_horizon_{kind}_cm": f(f"pred_{n}_horizon_cm") for n in names.values() for kind, f in (("mean", F.avg), ("median", F.median))}
+    own = c("pred_per_image_horizon_cm")
+    subjects = out.where("subject_id IS NOT NULL").groupBy("subject_id").agg(
+        F.median("height_manual_cm").alias("height_manual_cm"), F.count("*").alias("n_lateral_images"), F.bool_or(c("view") == "left").alias("has_left"), F.bool_or(c("view") == "right").alias("has_right"), *(v.alias(k) for k, v in both.items()),
+        F.avg("y_horizon_cube").alias("mean_cube_horizon_px"), F.avg("y_horizon_ref").alias("mean_shared_horizon_px"), F.avg("horizon_delta_px").alias("mean_horizon_delta_px"), F.when(F.count(own) >= 2, F.max(own) - F.min(own)).alias("left_right_prediction_difference_cm"),
+    )
+    subjects = subjects.where("height_manual_cm IS NOT NULL").withColumns({f"error_{n}_horizon_mean_cm": c(f"pred_{n}_horizon_mean_cm") - c("height_manual_cm") for n in names.values()})
+    level = subjects.withColumn("group", F.lit("SUBJECT_LEVEL"))
+    fused = {f"{n}_horizon_left_right_{kind}": f"pred_{n}_horizon_{kind}_cm" for n in names.values() for kind in ("mean", "median")}
+    summary = scored(level, fused, level.groupBy("group").agg(F.countDistinct("subject_id").alias("n_subjects")))
+    gain = c("improvement_per_image_vs_shared_cm")
+    count = by_view.groupBy("group").agg(F.count("*").alias("n_images"), F.avg(gain).alias("mean_error_improvement_cm"), F.avg((gain > 0).cast("double")).alias("fraction_images_improved"))
+    moved = metrics.alignment(by_view, "horizon_delta_px", ["group"]).drop("n")
+    moved = moved.withColumnsRenamed({k: f"{k}_horizon_delta_px" for k in ("mean", "median", "std", "min", "max")})
+    middle = ranks.quantiles(by_view.select("group", gain.alias("g")), ["group"], "g", [0.5], "q", "_n").select("group", c("q")[0].alias("median_error_improvement_cm"))
+    return {"predictions": out, "views": views, "subjects": subjects, "subject_summary": summary, "horizons": count.join(moved, "group", "left").join(middle, "group", "left")}
+
+
 def corrected_horizon(images: DataFrame, by: str | None = None) -> DataFrame:
     """Adds H_horizon_cube, the horizon hierarchy, H_horizon_corrected and its error.
 

@@ -137,3 +137,26 @@ def test_experiment_2_without_images(spark):
     )
     assert none["estimates"].count() == none["alignment"].count() == 0
     assert sorted((r.grupo, r.n, r.mae_cm) for r in none["summary"].collect()) == [("FRONT+BACK", 0, 0.0), ("GLOBAL", 0, 0.0)]
+
+
+def test_lateral_diagnostic(spark):
+    """Own against shared horizon: only lateral views that are ok, both heights by hand, nulls where a side is missing."""
+    rows = [("7", "Left", "ok", 100.0, 900.0, 500.0, 480.0, 170.0), ("7", "right", "ok", 100.0, 900.0, 520.0, 480.0, 170.0), ("8", "left", "ok", 100.0, 900.0, 950.0, 500.0, 210.0), ("9", "left", "no_aruco", 100.0, 900.0, 500.0, 500.0, 150.0), ("9", "front", "ok", 100.0, 900.0, 500.0, 500.0, 150.0), ("5", "right", "ok", 100.0, 900.0, 500.0, 500.0, None)]
+    df = spark.createDataFrame(rows, "subject_id string, view string, status string, y_head double, y_feet double, y_horizon_cube double, y_horizon_ref double, height_manual_cm double")
+    out = tracks.lateral_diagnostic(df)
+    got = {(r.subject_id, r.view): r for r in out["predictions"].collect()}
+    assert set(got) == {("7", "left"), ("7", "right"), ("8", "left"), ("5", "right")}
+    a = got["7", "left"]
+    assert a.pred_per_image_horizon_cm == 200.0 and a.pred_shared_horizon_cm == pytest.approx(100 * 800 / 420) and a.improvement_per_image_vs_shared_cm == pytest.approx(100 * 800 / 420 - 200) and a.horizon_delta_px == 20.0
+    assert got["8", "left"].pred_per_image_horizon_cm is None and got["5", "right"].error_shared_horizon_cm is None  # the horizon lies below the feet
+    views = {(r.group, r.method): r for r in out["views"].collect()}
+    assert len(views) == 6 and (views["LATERAL_GLOBAL", "per_image_cube_horizon"].n, views["LATERAL_GLOBAL", "per_image_cube_horizon"].n_subjects) == (2, 3)
+    assert views["right", "shared_subject_horizon"].n == 1 and views["right", "shared_subject_horizon"].r2 is None
+    subjects = {r.subject_id: r for r in out["subjects"].collect()}
+    assert set(subjects) == {"7", "8"} and subjects["7"].has_left and subjects["7"].has_right and not subjects["8"].has_right
+    assert subjects["7"].left_right_prediction_difference_cm == pytest.approx(100 * 800 / 380 - 200) and subjects["8"].left_right_prediction_difference_cm is None
+    assert {r.method: r.n for r in out["subject_summary"].collect()}["shared_horizon_left_right_mean"] == 2
+    horizons = {r.group: r for r in out["horizons"].collect()}
+    assert (horizons["LATERAL_GLOBAL"].n_images, horizons["right"].n_images, horizons["right"].fraction_images_improved) == (4, 2, 0.0)
+    none = tracks.lateral_diagnostic(df.limit(0))
+    assert all(f.count() == 0 for f in none.values())
