@@ -640,7 +640,7 @@ d3 AS (SELECT DISTINCT img, y, x + k AS x FROM e4, (SELECT unnest([-1, 0, 1]) AS
 SELECT img, count(*) FILTER (begun) AS runs, count(*) AS area, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys, sum(x * y)::BIGINT AS xys FROM m GROUP BY 1""")
 def mask_closed_opened(spark: SparkSession, d: str) -> DataFrame:
     """Closing and opening by squares of 3, summed up over the pixels of the runs that are left."""
-    r = mask.dilate(mask.erode(mask.erode(mask.dilate(runs_of(spark, d), 3, "img"), 3, "img"), 3, "img"), 3, "img")
+    r = mask.morphed(runs_of(spark, d), [("dilate", 3), ("erode", 3), ("erode", 3), ("dilate", 3)], "img")
     n, total = F.col("x1") - F.col("x0") + 1, (F.col("x0") + F.col("x1")) * (F.col("x1") - F.col("x0") + 1) / 2
     return tidy(r.groupBy("img").agg(F.count("*").alias("runs"), F.sum(n).alias("area"), F.sum(total).cast("long").alias("xs"), F.sum(F.col("y") * n).alias("ys"), F.sum(F.col("y") * total).cast("long").alias("xys")))
 
