@@ -120,20 +120,19 @@ def experiment_2(images: DataFrame, runs: DataFrame, markers: DataFrame, manual:
     c = F.col
     number = lambda name: F.lit(None).cast("double").alias(name)
     known = nearest.first_match(manual.select(c("ID").cast("string").alias("subject_id"), "row_order", c("HEIGHT_cm").cast("double").alias("height_manual_cm")), ["subject_id"], "row_order").drop("row_order")
-    low = mask.feet(runs).select("image_path", c("feet_y").cast("double").alias("y_feet_mask"))
-    top = mask.head(runs).select("image_path", c("head_y").cast("double").alias("_mask_head"))
+    body = mask.ends(runs, [0.5]).select("image_path", c("lowest").cast("double").alias("y_feet_mask"), c("head_y").cast("double").alias("_mask_head"))
     ok = c("landmark_status").startswith("ok")
-    rows = images.withColumn("subject_id", c("subject_id").cast("string")).join(known, "subject_id", "left").join(low, "image_path", "left").join(top, "image_path", "left")
+    rows = images.withColumn("subject_id", c("subject_id").cast("string")).join(known, "subject_id", "left").join(body, "image_path", "left")
     single, lateral = c("feet_y").cast("double"), c("view").isin("left", "right")
     soled = F.coalesce(lateral & (c("y_feet_mask") >= single - 5), F.lit(False))
     rows = rows.withColumns({"y_feet_single": single, "y_feet": F.when(soled, c("y_feet_mask")).otherwise(single), "feet_source": F.when(soled, "mask_bottom").otherwise("pose")})
     rows = rows.withColumns(corrected_head(c("view"), c("head_y").cast("double"), c("_mask_head"), c("y_feet")))
-    # of the markers with an upright side the one nearest to the feet, the first of equals
-    edge = markers.select("image_path", "marker_index", upright_edge(c("corners")).alias("edge"), (F.aggregate("corners", F.lit(0.0), lambda a, p: a + p["y"]) / 4).alias("middle"))
-    away = F.abs(c("middle") - c("y_feet"))
-    pick = F.min(F.when(c("edge").isNotNull() & away.isNotNull(), F.struct(away.alias("away"), "marker_index", "edge")))
-    found = rows.select("image_path", "y_feet").join(edge, "image_path").groupBy("image_path").agg(pick.alias("pick"), F.lit(True).alias("_any"))
-    rows = rows.join(found, "image_path", "left")
+    # of the markers with an upright side the one nearest to the feet, the first of equals; an image's markers are few
+    edge = markers.select("image_path", "marker_index", upright_edge(c("corners")).alias("edge"), (sum((c("corners")[i]["y"] for i in range(1, 4)), c("corners")[0]["y"]) / 4).alias("middle"))
+    found = edge.groupBy("image_path").agg(F.collect_list(F.struct("middle", "marker_index", "edge")).alias("_edges"))
+    near = F.transform("_edges", lambda m: F.struct(F.abs(m["middle"] - c("y_feet")).alias("away"), m["marker_index"].alias("marker_index"), m["edge"].alias("edge")))
+    pick = F.array_min(F.filter(near, lambda m: m["edge"].isNotNull() & m["away"].isNotNull()))
+    rows = rows.join(found, "image_path", "left").withColumns({"pick": pick, "_any": F.when(c("_edges").isNotNull(), F.lit(True))}).drop("_edges")
     y_cube = horizon_row(c("pick.edge.base_y"), c("pick.edge.top_y"), F.lit(camera_cm), F.lit(marker_cm))
     h_cube = height(F.lit(camera_cm), c("y_feet"), c("head_y"), c("_y"), "a")
     status = F.when(~ok, F.concat(F.lit("person_failed_"), F.coalesce("landmark_status", F.lit("")))).when(c("_any").isNull(), "no_aruco").when(c("pick").isNull(), "no_cube_edge")
@@ -145,6 +144,7 @@ def experiment_2(images: DataFrame, runs: DataFrame, markers: DataFrame, manual:
         "site", "subject_id", "view", "image_path", "status", "img_h", "height_manual_cm", *(F.when(person, v).alias(n) for n, v in own.items()),
         F.when(person, c("feet_source")).otherwise("pose").alias("feet_source"), F.when(person, c("head_source")).otherwise("pose").alias("head_source"), F.when(person, c("head_move_px")).otherwise(0.0).alias("head_move_px"),
     )
+    rows = stage(rows, "experiment-2-own")  # read three times
     given = horizon.shared(rows, "subject_id", "y_horizon_cube", horizon.valid_donor(c("view"), horizon.FRONT_BACK, c("status"), c("y_horizon_cube")))
     given = given.withColumn("shared_source", F.coalesce("shared_source", F.lit("global"))).withColumnsRenamed({"shared": "y_horizon_ref", "shared_source": "horizon_ref_source"})
     delta, e = c("y_horizon_cube") - c("y_horizon_ref"), lambda h: h - c("height_manual_cm")
