@@ -24,7 +24,9 @@ def tabular(raw: dict[str, DataFrame], salt: str, sites: dict[str, Mapping] = SI
     alone holds identifiers.
     """
     frames = [harmonize.equalise(df, sites[s], COLUMNS).select(F.lit(s).alias("site"), *COLUMNS) for s, df in raw.items()]
-    flagged = qc.pass_through(qc.flag(harmonize.union(frames), "site", COLUMNS[2:]))
+    # dealt by whole rows: small files are few tasks, and numbers are parsed once, not in each of the flags made of them
+    whole = harmonize.union(frames).repartition("site", *COLUMNS)
+    flagged = qc.pass_through(qc.flag(whole, "site", COLUMNS[2:]))
     marked = pseudonym.pseudonymise(flagged, "site", "ID", salt)
     values = qc.flagged_values(marked, "site", "PSEUDO_ID", "TYPE").withColumnRenamed("PSEUDO_ID", "subject_id")
     return {"preprocessed": marked.drop(qc.CELLS), "mapping": pseudonym.mapping(flagged, "site", "site", "ID", salt), "report": qc.report(marked, "site"), "flagged": values}
