@@ -234,7 +234,8 @@ def head_width_sweep(runs: DataFrame, images: DataFrame, shares: tuple[float, ..
     heads = mask.head_sweep(runs, list(shares), image).select(image, "share", c("head_y").cast("double").alias("_mask_head"))
     each = images.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares)))).join(heads, [image, "share"], "left")
     moved = corrected_head(c("view"), c("y_head"), c("_mask_head"), c("y_feet"), rise_px=None)["head_y"]
-    e = corrected_horizon(each.withColumn("y_head", moved).drop("_mask_head"), "share")
+    each = stage(each.withColumn("y_head", moved).drop("_mask_head"), "head-widths")  # medians and donors read it several times
+    e = corrected_horizon(each, "share")
     mae = lambda views: F.avg(F.abs(F.when(c("view").isin(*views), c("error_horizon_corrected"))))
     found = e.groupBy("share").agg(F.count(F.when(c("view").isin("front", "back"), c("error_horizon_corrected"))).alias("n_fb"), mae(["front", "back"]).alias("mae_front_back"), mae(["left"]).alias("mae_left"), mae(["right"]).alias("mae_right"))
     best = found.agg(F.min(F.struct("mae_front_back", "share")).alias("b")).select(c("b.share").alias("_best"))
