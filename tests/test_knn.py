@@ -1,7 +1,9 @@
 """Nearest neighbours against plain loops over all pairs, row by row."""
 
+import itertools
 import math
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,3 +168,23 @@ def test_distances_of_rows_that_share_a_key(spark):
     got = knn.nan_distance(df, ["g"], "id", ["a", "b"])
     assert got.count() == 6 and got.where("id = 1 AND donor = 1").count() == 2
     assert got.where(F.col("distance").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_the_whole_matrix_of_a_hot_stratum_is_many_tasks(spark, tile):
+    rows = [{**r, "g": None if i % 40 == 0 else "t" if i % 10 == 0 else "s"} for i, r in enumerate(table(80, 9))]
+    got = knn.nan_distance(frame(spark, rows), ["g", "h"], "id", COLUMNS, tile).withColumn("task", F.spark_partition_id()).collect()
+    own = {s: [r for r in rows if r["g"] == s] for s in ("s", "t")}
+    want = []
+    for s, part in own.items():
+        z = [[None if r[c] is None else (r[c] - m) / d for r in part] for c in COLUMNS for m, d in [moments([r[c] for r in part])]]
+        for i, j in itertools.permutations(range(len(part)), 2):
+            terms = [(v[i] - v[j]) ** 2 for v in z if v[i] is not None and v[j] is not None]
+            want.append((s, 1, part[i]["id"], part[j]["id"], math.sqrt(len(COLUMNS) / len(terms) * sum(terms)) if terms else None))
+    assert sorted((rounded(tuple(r)[:-1]) for r in got), key=str) == sorted(map(rounded, want), key=str)
+    share = max(Counter(r["task"] for r in got).values()) / len(got)
+    assert tile == 2048 or share < 0.2
+
+
+def test_the_whole_matrix_of_no_rows(spark):
+    assert knn.nan_distance(frame(spark, []), ["g"], "id", COLUMNS).count() == 0
