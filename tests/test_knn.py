@@ -188,3 +188,24 @@ def test_the_whole_matrix_of_a_hot_stratum_is_many_tasks(spark, tile):
 
 def test_the_whole_matrix_of_no_rows(spark):
     assert knn.nan_distance(frame(spark, []), ["g"], "id", COLUMNS).count() == 0
+
+
+def test_a_row_of_the_whole_matrix_is_sent_no_more_often_as_the_table_grows(spark, monkeypatch):
+    sent, kind = [], type(spark.range(1))
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *by: sent.append(self.count()) or plain(self, *by))
+    often = []
+    for n in (200, 800):
+        sent.clear()
+        got = knn.nan_distance(frame(spark, table(n, 2, groups=("s",))), ["g", "h"], "id", COLUMNS, 4)
+        often.append(sum(sent) / n)
+        assert got.count() == n * (n - 1)
+    assert often[1] <= often[0] * 1.1, often
+
+
+def test_columns_in_several_words(spark, monkeypatch):
+    df = frame(spark, table(30, 7, 0.5))
+    rows = lambda: sorted((rounded(r) for r in knn.nan_distance(df, ["g", "h"], "id", COLUMNS).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(knn, "WORD", 3)
+    assert rows() == want and any(r[-1] is None for r in want)
